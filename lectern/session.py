@@ -13,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 16 << 20
 
 
 def local_session(cores: int = 8, memory: str = "8g", app: str = "lectern") -> SparkSession:
@@ -34,12 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see.
 
     It's what the cluster names in spark.checkpoint.dir. Only where that is unset
-    (tests, one machine) a local folder is made and set for the session.
+    (tests, one machine) a local folder is made.
     """
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not named:
-        named = "file://" + os.path.join(tempfile.gettempdir(), f"lectern-shared-{os.getuid()}")
-        spark.conf.set(_KEY, named)
+        named = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="lectern-shared-"))
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), ignore_errors=True)
     return named.rstrip("/")
 
 
@@ -64,7 +67,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let executors import this package wherever they run: a zip of it goes to them once an application."""
+    """Make a session ready for Python functions of this package.
+
+    Executors get the package as a zip, once an application, wherever they run; Arrow batches are
+    bounded by bytes, so very long texts don't fill a worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         top, tmp = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="lectern-zip-")

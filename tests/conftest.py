@@ -12,7 +12,6 @@ def spark(tmp_path_factory):
 
     s = local_session(4, "4g", "lectern-tests")
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
     s.conf.set("spark.sql.shuffle.partitions", "4")
     yield s
     s.stop()
