@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup
+from lectern.llm import exact_dedup, near_dedup
 from lectern.session import table
 
 
@@ -25,8 +25,12 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85).drop("k1", "k2")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {"op6_exact_dedup": op6_exact_dedup, "op8_near_dedup": op8_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
