@@ -6,10 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, near_dedup
+from lectern.llm import embedding_dedup, exact_dedup, near_dedup
 from lectern.session import table
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+OP3_SQL = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), low AS (SELECT a, min(b) AS m FROM reach GROUP BY a), cnt AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(cnt.n, 0) AS n_links, least(e.vec_id, coalesce(low.m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(low.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN low ON low.a = e.vec_id LEFT JOIN cnt ON cnt.a = e.vec_id
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.in_first_half())
 
@@ -30,8 +51,8 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": op6_exact_dedup, "op8_near_dedup": op8_near_dedup}
+    return {"op3_embedding_dedup": op3_embedding_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_near_dedup": op8_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL}
