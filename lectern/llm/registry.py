@@ -6,8 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import embedding_dedup, exact_dedup, near_dedup
-from lectern.session import table
+from lectern.llm import embedding_dedup, exact_dedup, near_dedup, token_files
+from lectern.session import scratch, table
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files lie on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_tokens(spark, path)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +64,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_embedding_dedup": op3_embedding_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_near_dedup": op8_near_dedup}
+    return {"op2_token_files": op2_token_files, "op3_embedding_dedup": op3_embedding_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_near_dedup": op8_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
