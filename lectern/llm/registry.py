@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import embedding_dedup, exact_dedup, near_dedup, token_files
+from lectern.llm import embedding_dedup, exact_dedup, mixing, near_dedup, token_files
 from lectern.session import scratch, table
 
 
@@ -44,6 +44,10 @@ FROM embeddings e LEFT JOIN low ON low.a = e.vec_id LEFT JOIN cnt ON cnt.a = e.v
 """
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.in_first_half())
 
@@ -64,7 +68,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_files": op2_token_files, "op3_embedding_dedup": op3_embedding_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_near_dedup": op8_near_dedup}
+    return {
+        "op2_token_files": op2_token_files,
+        "op3_embedding_dedup": op3_embedding_dedup,
+        "op4_mixing": op4_mixing,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op8_near_dedup": op8_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
