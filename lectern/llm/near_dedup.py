@@ -5,9 +5,11 @@
    of one word sequence are a class; a class is represented by its smallest id, so copies
    never meet in a bucket.
 2. Classes that share a band are candidates. In a first pass each class meets the smallest one of each of
-   its buckets: at most as many pairs as bucket entries, whatever a bucket's size. In a second pass
-   the classes of a bucket that aren't connected yet meet each other, in blocks, and
-   pairs whose sketches rule the threshold out (over SLACK standard deviations below it) are left.
+   its buckets: at most as many pairs as bucket entries, whatever a bucket's size. After that, the
+   classes of a bucket that aren't connected yet meet each other, in blocks, but for pairs whose
+   sketches rule the threshold out (SLACK standard deviations below it): for BEST rounds each class
+   tries its most similar partner in another component, which joins hot groups with
+   as many pairs as entries; a last round tries all pairs that are still apart.
 3. Each remaining pair is confirmed on the full shingle sets of both texts: 100 * intersection >=
    percent * union. Connected components of confirmed links are found without gathering any.
 
@@ -37,6 +39,8 @@ from lectern.session import materialise, ship
 BANDS, ROWS = 25, 5
 #: Standard deviations below the threshold from which a sketch rules a pair out (about 3e-7 of true pairs at 5).
 SLACK = 5.0
+#: Rounds in which a class tries its most similar partner only, before all that is left is tried.
+BEST = 3
 #: Classes of a block, in a bucket that is compared in blocks.
 BLOCK = 1000
 
@@ -96,8 +100,11 @@ def _close(percent: int):
     return close
 
 
-def _apart(percent: int):
-    """Pairs of a bucket's classes in different components that the sketches don't rule out and that the first pass didn't try."""
+def _apart(percent: int, best: bool):
+    """Pairs of a bucket's classes in different components that the sketches don't rule out and that the first pass didn't try.
+
+    With `best`, only the most similar such partner of each class; else all.
+    """
     least = _least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,22 +112,41 @@ def _apart(percent: int):
             node, root, lo = (table[c].to_numpy() for c in ("node", "root", "lo"))
             i, j, block = (table[c].to_numpy() for c in ("i", "j", "block"))
             sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(table), -1)
+            xs, ys = [], []
             for first, last in zip(bounds[:-1], bounds[1:], strict=True):
                 if last - first < 2:
                     continue
-                g = slice(first, last)
-                inside = i[first] == j[first]
-                left = np.arange(first, last) if inside else np.flatnonzero(block[g] == i[first]) + first
-                right = left if inside else np.flatnonzero(block[g] == j[first]) + first
-                for x in left:
-                    ys = right[(root[right] != root[x]) & (node[right] != lo[x]) & (node[right] != node[x])]
-                    if inside:
-                        ys = ys[ys > x]
-                    if node[x] == lo[x]:
+                at = np.flatnonzero(node[first:last] != lo[first]) + first
+                left = at if i[first] == j[first] else at[block[at] == i[first]]
+                right = at if i[first] == j[first] else at[block[at] == j[first]]
+                if not len(left) or not len(right):
+                    continue
+                top, of = np.full(len(right), least - 1, np.int64), np.zeros(len(right), np.int64)
+                for k in range(0, len(left), 32):
+                    x = left[k : k + 32]
+                    score = _agreement(sig[x][:, None, :], sig[right][None, :, :])
+                    score[root[x][:, None] == root[right][None, :]] = -1
+                    if not best:
+                        p, q = np.nonzero(score >= least)
+                        xs.append(node[x[p]])
+                        ys.append(node[right[q]])
                         continue
-                    ys = ys[_agreement(sig[ys], sig[x]) >= least]
-                    if len(ys):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[ys])), pa.array(np.maximum(node[x], node[ys]))], names=["a", "b"])
+                    to = score.argmax(axis=1)
+                    ok = score[np.arange(len(x)), to] >= least
+                    xs.append(node[x[ok]])
+                    ys.append(node[right[to[ok]]])
+                    here = score.max(axis=0)
+                    more = here > top
+                    top[more], of[more] = here[more], x[score.argmax(axis=0)[more]]
+                if best:
+                    ok = top >= least
+                    xs.append(node[of[ok]])
+                    ys.append(node[right[ok]])
+            if xs:
+                x, y = np.concatenate(xs), np.concatenate(ys)
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
@@ -163,8 +189,7 @@ def near_dedup(docs: DataFrame, percent: int = 80, words_a_shingle: int = 5, id_
     shared = materialise(entries.join(lows, "band").distinct(), "shared")
     signatures = materialise(reps.join(shared.select("node").distinct(), "node", "left_semi").select("node", "signature"), "signatures")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = materialise(pairs, "pairs")
+    def confirmed(wanted: DataFrame) -> DataFrame:
         texts = wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
         of = signed.select("id", "k1", "k2").join(texts, ["k1", "k2"]).filter("id = node").select("id").distinct()
         found = materialise(plain.join(of, "id", "left_semi").select(F.col("id").alias("node"), "text").distinct(), "texts")
@@ -176,16 +201,22 @@ def near_dedup(docs: DataFrame, percent: int = 80, words_a_shingle: int = 5, id_
     close = stars.join(sig[0], "a").join(sig[1], "b").filter(_close(percent)("sa", "sb")).select("a", "b").distinct()
     # rows that share an id are one node
     same_id = signed.filter("n_shingles > 0 AND id IS NOT NULL").join(classes, ["k1", "k2"]).groupBy("id").agg(F.min("node").alias("a"), F.array_sort(F.collect_set("node")).alias("nodes")).filter("size(nodes) > 1").select("a", F.explode("nodes").alias("b")).filter("a != b")
-    links = confirmed(close).unionByName(same_id)
-    roots = components(links)
-
-    rest = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rest.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("band")
-    rest = rest.join(mixed, "band", "left_semi").join(signatures.dropDuplicates(["node"]), "node")
-    more = in_blocks(rest, "band", "node", block).select("band", "i", "j", "block", "node", "root", "lo", "signature").mapInArrow(_apart(percent), "a long, b long").distinct()
-    found = confirmed(more)
-    if not found.isEmpty():
-        roots = components(links.unionByName(found).distinct())
+    tried = materialise(close, "tried")
+    roots = components(confirmed(tried).unionByName(same_id))
+    step = 0
+    while step <= BEST:
+        rest = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rest.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("band")
+        rest = rest.join(mixed, "band", "left_semi").join(signatures.dropDuplicates(["node"]), "node")
+        met = in_blocks(rest, "band", "node", block).select("band", "i", "j", "block", "node", "root", "lo", "signature")
+        more = materialise(met.mapInArrow(_apart(percent, step < BEST), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = confirmed(more)
+        tried = tried.unionByName(more)
+        if found.isEmpty():
+            step = BEST if step < BEST else BEST + 1
+            continue
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        step += 1
 
     named = classes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
     out = signed.select("id", "k1", "k2", "n_shingles").join(named, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")))
