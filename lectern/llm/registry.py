@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import embedding_dedup, exact_dedup, mixing, near_dedup, pieces, token_files
+from lectern.llm import embedding_dedup, exact_dedup, mixing, near_dedup, pieces, token_files, toxicity
 from lectern.session import scratch, table
 
 
@@ -56,6 +56,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.in_first_half())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP6_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_near_dedup": op8_near_dedup,
+        "op9_toxicity": op9_toxicity,
     }
 
 
