@@ -5,13 +5,14 @@
    of one word sequence are a class; a class is represented by its smallest id, so copies
    never meet in a bucket.
 2. Classes that share a band are candidates. In a first pass each class meets the smallest one of each of
-   its buckets: at most as many pairs as bucket entries, whatever a bucket's size. After that, the
-   classes of a bucket that aren't connected yet meet each other, in blocks, but for pairs whose
-   sketches rule the threshold out (SLACK standard deviations below it): for BEST rounds each class
-   tries its most similar partner in another component, which joins hot groups with
-   as many pairs as entries; a last round tries all pairs that are still apart.
-3. Each remaining pair is confirmed on the full shingle sets of both texts: 100 * intersection >=
-   percent * union. Connected components of confirmed links are found without gathering any.
+   its buckets, then its most similar partner in another component: at most as many pairs as
+   bucket entries, whatever a bucket's size, which joins most of a hot group. Each pair is confirmed on the
+   full shingle sets of both texts: 100 * intersection >= percent * union.
+3. Classes of a bucket that are still apart, though their sketches don't rule the threshold out (SLACK standard
+   deviations below it), meet in blocks of the bucket that carry their texts. There all such pairs are
+   confirmed on full sets, and a block gives a spanning forest of the links, not the links.
+
+Connected components are found without gathering any.
 
 With BANDS x ROWS = 25 x 5 a pair at similarity 0.85 shares no band with probability 4e-7, one at 0.80 with
 5e-5; a sketch of 125 coordinates at 0.85 has a standard deviation of 0.032.
@@ -32,17 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from lectern.llm.graph import components, in_blocks, whole_groups
+from lectern.llm.graph import components, forest, in_blocks, whole_groups
 from lectern.llm.shingles import chunks, key, mix, shingle_sets, sketches, words
 from lectern.session import materialise, ship
 
 BANDS, ROWS = 25, 5
 #: Standard deviations below the threshold from which a sketch rules a pair out (about 3e-7 of true pairs at 5).
 SLACK = 5.0
-#: Rounds in which a class tries its most similar partner only, before all that is left is tried.
-BEST = 3
 #: Classes of a block, in a bucket that is compared in blocks.
-BLOCK = 1000
+BLOCK = 500
 
 _SIGNED = "id long, k1 long, k2 long, n_shingles long, bands array<long>, signature binary"
 
@@ -100,48 +99,55 @@ def _close(percent: int):
     return close
 
 
-def _apart(percent: int, best: bool):
-    """Pairs of a bucket's classes in different components that the sketches don't rule out and that the first pass didn't try.
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[np.ndarray, np.ndarray, bool]]]]:
+    """Tables of whole groups, and for each group the rows that meet: left, right, and whether they're the same rows."""
+    for table, bounds in whole_groups(batches, ["band", "i", "j"]):
+        i, j, block = (table[c].to_numpy() for c in ("i", "j", "block"))
+        found = []
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            at, inside = np.arange(first, last), i[first] == j[first]
+            left = at if inside else at[block[at] == i[first]]
+            right = at if inside else at[block[at] == j[first]]
+            if len(left) and len(right) and last - first > 1:
+                found.append((left, right, inside))
+        yield table, found
+
+
+def _scores(table: pa.Table, least: int):
+    """For rows x of a table and rows y: agreement of their sketches, -1 where they're of one component or below `least`."""
+    root = table["root"].to_numpy()
+    sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(table), -1)
+
+    def of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        s = _agreement(sig[x][:, None, :], sig[y][None, :, :])
+        s[(s < least) | (root[x][:, None] == root[y][None, :])] = -1
+        return s
 
-    With `best`, only the most similar such partner of each class; else all.
-    """
+    return of
+
+
+def _apart(percent: int):
+    """For each class of a bucket its most similar partner in another component, unless the sketches rule it out: a pair a class and bucket at most."""
     least = _least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, ["band", "i", "j"]):
-            node, root, lo = (table[c].to_numpy() for c in ("node", "root", "lo"))
-            i, j, block = (table[c].to_numpy() for c in ("i", "j", "block"))
-            sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(table), -1)
+        for table, groups in _meetings(batches):
+            node, scores = table["node"].to_numpy(), _scores(table, least)
             xs, ys = [], []
-            for first, last in zip(bounds[:-1], bounds[1:], strict=True):
-                if last - first < 2:
-                    continue
-                at = np.flatnonzero(node[first:last] != lo[first]) + first
-                left = at if i[first] == j[first] else at[block[at] == i[first]]
-                right = at if i[first] == j[first] else at[block[at] == j[first]]
-                if not len(left) or not len(right):
-                    continue
-                top, of = np.full(len(right), least - 1, np.int64), np.zeros(len(right), np.int64)
+            for left, right, inside in groups:
+                top, of = np.full(len(right), -1, np.int64), np.zeros(len(right), np.int64)
                 for k in range(0, len(left), 32):
                     x = left[k : k + 32]
-                    score = _agreement(sig[x][:, None, :], sig[right][None, :, :])
-                    score[root[x][:, None] == root[right][None, :]] = -1
-                    if not best:
-                        p, q = np.nonzero(score >= least)
-                        xs.append(node[x[p]])
-                        ys.append(node[right[q]])
-                        continue
-                    to = score.argmax(axis=1)
-                    ok = score[np.arange(len(x)), to] >= least
+                    s = scores(x, right)
+                    to = s.argmax(axis=1)
+                    ok = s[np.arange(len(x)), to] >= 0
                     xs.append(node[x[ok]])
                     ys.append(node[right[to[ok]]])
-                    here = score.max(axis=0)
-                    more = here > top
-                    top[more], of[more] = here[more], x[score.argmax(axis=0)[more]]
-                if best:
-                    ok = top >= least
-                    xs.append(node[of[ok]])
-                    ys.append(node[right[ok]])
+                    more = s.max(axis=0) > top
+                    top[more], of[more] = s.max(axis=0)[more], x[s.argmax(axis=0)[more]]
+                if not inside:
+                    xs.append(node[of[top >= 0]])
+                    ys.append(node[right[top >= 0]])
             if xs:
                 x, y = np.concatenate(xs), np.concatenate(ys)
                 pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
@@ -151,6 +157,57 @@ def _apart(percent: int, best: bool):
     return run
 
 
+def _pending(percent: int):
+    """The classes of a bucket that have a partner in another component there which the sketches don't rule out."""
+    least = _least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in _meetings(batches):
+            scores, hit = _scores(table, least), np.zeros(len(table), bool)
+            for left, right, _ in groups:
+                for k in range(0, len(left), 32):
+                    s = scores(left[k : k + 32], right) >= 0
+                    hit[left[k : k + 32]] |= s.any(axis=1)
+                    hit[right] |= s.any(axis=0)
+            yield pa.RecordBatch.from_arrays([table[c].filter(pa.array(hit)).combine_chunks() for c in ("band", "node", "root")], names=["band", "node", "root"])
+
+    return run
+
+
+def _settle(percent: int, n: int):
+    """Links among all classes of a bucket that are pending, confirmed on full sets: a spanning forest of them."""
+    least = _least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in _meetings(batches):
+            node, scores = table["node"].to_numpy(), _scores(table, least)
+            for left, right, inside in groups:
+                rows = left if inside else np.r_[left, right]
+                sets = shingle_sets([words(t) for t in table["text"].take(pa.array(rows)).to_pylist()], n)
+                sizes = np.array([len(x) for x in sets])
+                _, number = np.unique(np.concatenate(sets), return_inverse=True)
+                starts = np.r_[0, np.cumsum(sizes)]
+                r0 = 0 if inside else len(left)
+                others, bounds, mark = number[starts[r0] :], starts[r0:-1] - starts[r0], np.zeros(number.max(initial=0) + 1, np.int64)
+                a, b = [], []
+                for k in range(0, len(left), 32):
+                    close = scores(left[k : k + 32], right) >= 0
+                    for x in np.flatnonzero(close.any(axis=1)):
+                        own = number[starts[k + x] : starts[k + x + 1]]
+                        mark[own] = 1
+                        both = np.add.reduceat(mark[others], bounds)
+                        mark[own] = 0
+                        y = np.flatnonzero(close[x] & (100 * both >= percent * (sizes[k + x] + sizes[r0:] - both)))
+                        a.append(np.full(len(y), k + x))
+                        b.append(y + r0)
+                if a and sum(map(len, a)):
+                    root = forest(np.concatenate(a), np.concatenate(b), len(rows))
+                    moved = np.flatnonzero(root != np.arange(len(rows)))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[rows[moved]]), pa.array(node[rows[root[moved]]])], names=["a", "b"])
+
+    return run
+
+
 def _confirm(percent: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
@@ -189,34 +246,37 @@ def near_dedup(docs: DataFrame, percent: int = 80, words_a_shingle: int = 5, id_
     shared = materialise(entries.join(lows, "band").distinct(), "shared")
     signatures = materialise(reps.join(shared.select("node").distinct(), "node", "left_semi").select("node", "signature"), "signatures")
 
+    def texts(nodes: DataFrame) -> DataFrame:
+        """node, text of classes; a node whose rows have several word sequences has several texts."""
+        of = signed.select("id", "k1", "k2").join(nodes.distinct().join(classes, "node"), ["k1", "k2"]).filter("id = node").select("id").distinct()
+        return materialise(plain.join(of, "id", "left_semi").select(F.col("id").alias("node"), "text").distinct(), "texts")
+
     def confirmed(wanted: DataFrame) -> DataFrame:
-        texts = wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
-        of = signed.select("id", "k1", "k2").join(texts, ["k1", "k2"]).filter("id = node").select("id").distinct()
-        found = materialise(plain.join(of, "id", "left_semi").select(F.col("id").alias("node"), "text").distinct(), "texts")
+        found = texts(wanted.select(F.explode(F.array("a", "b")).alias("node")))
         both = wanted.join(found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(found.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         return materialise(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent, words_a_shingle), "a long, b long"), "links")
 
+    def meeting(entries: DataFrame, *more: str) -> DataFrame:
+        return in_blocks(entries, "band", "node", block).select("band", "i", "j", "block", "node", "root", "signature", *more)
+
+    def apart() -> DataFrame:
+        """Entries of buckets whose classes are of several components."""
+        rest = shared.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        mixed = rest.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("band")
+        return rest.join(mixed, "band", "left_semi").join(one_signature, "node")
+
     sig = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa")), signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
     stars = shared.filter("node != lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
     close = stars.join(sig[0], "a").join(sig[1], "b").filter(_close(percent)("sa", "sb")).select("a", "b").distinct()
     # rows that share an id are one node
     same_id = signed.filter("n_shingles > 0 AND id IS NOT NULL").join(classes, ["k1", "k2"]).groupBy("id").agg(F.min("node").alias("a"), F.array_sort(F.collect_set("node")).alias("nodes")).filter("size(nodes) > 1").select("a", F.explode("nodes").alias("b")).filter("a != b")
-    tried = materialise(close, "tried")
-    roots = components(confirmed(tried).unionByName(same_id))
-    step = 0
-    while step <= BEST:
-        rest = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rest.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("band")
-        rest = rest.join(mixed, "band", "left_semi").join(signatures.dropDuplicates(["node"]), "node")
-        met = in_blocks(rest, "band", "node", block).select("band", "i", "j", "block", "node", "root", "lo", "signature")
-        more = materialise(met.mapInArrow(_apart(percent, step < BEST), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = confirmed(more)
-        tried = tried.unionByName(more)
-        if found.isEmpty():
-            step = BEST if step < BEST else BEST + 1
-            continue
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        step += 1
+    one_signature = signatures.dropDuplicates(["node"])
+    roots = components(confirmed(materialise(close, "pairs")).unionByName(same_id))
+    linked = lambda more: components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = linked(confirmed(materialise(meeting(apart()).mapInArrow(_apart(percent), "a long, b long").distinct(), "pairs")))
+    pending = materialise(meeting(apart()).mapInArrow(_pending(percent), "band long, node long, root long").distinct(), "pending")
+    held = pending.join(one_signature, "node").join(texts(pending.select("node")), "node")
+    roots = linked(materialise(meeting(held, "text").mapInArrow(_settle(percent, words_a_shingle), "a long, b long"), "links"))
 
     named = classes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
     out = signed.select("id", "k1", "k2", "n_shingles").join(named, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")))
