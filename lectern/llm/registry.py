@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import embedding_dedup, exact_dedup, mixing, near_dedup, pieces, token_files, toxicity
+from lectern.llm import embedding_dedup, exact_dedup, html_text, mixing, near_dedup, pieces, token_files, toxicity
 from lectern.session import scratch, table
 
 
@@ -75,6 +75,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85).drop("k1", "k2")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op8_near_dedup": op8_near_dedup,
         "op9_toxicity": op9_toxicity,
+        "op10_html_text": op10_html_text,
     }
 
 
