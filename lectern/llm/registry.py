@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import embedding_dedup, exact_dedup, html_text, mixing, near_dedup, pieces, token_files, toxicity
+from lectern.llm import embedding_dedup, exact_dedup, html_text, mixing, near_dedup, pieces, token_files, toxicity, warc
 from lectern.session import scratch, table
 
 
@@ -52,6 +53,39 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a response and a not-modified answer; the answers resolved. Headers as sorted JSON-like text."""
+    out = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    said = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return out.select(F.col("record_id").alias("page_id"), "url_key", "outcome", "refers_to", F.col("digest").alias("payload_md5"), F.col("length").alias("payload_chars"), said.alias("headers"))
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, html, md5(coalesce(html, '')) AS tag, 1700000000000000 + page_id * 60000000 AS ts,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS rest
+  FROM pages
+), k AS (
+  SELECT *, ts + CASE WHEN page_id % 10 = 9 THEN -30000000 ELSE (page_id % 7) * 3600000000 + 90000000 END AS later,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref)='))), '&') AS kept
+  FROM p
+), u AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), ':(80|443)$', ''), '^www[0-9]*\.', '')
+            || regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', ''), '\.html$', '')
+            || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS url_key
+  FROM k
+), m AS (
+  SELECT r.page_id, r.url_key, r.tag, r.later, s.page_id AS to_id, s.tag AS to_tag, length(s.html) AS to_chars
+  FROM u r ASOF LEFT JOIN u s ON r.url_key = s.url_key AND r.later > s.ts
+)
+SELECT page_id, url_key, CASE WHEN to_id IS NULL THEN 'no_earlier' WHEN tag = to_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+       CASE WHEN tag = to_tag THEN to_id END AS refers_to, CASE WHEN tag = to_tag THEN to_tag END AS payload_md5,
+       CASE WHEN tag = to_tag THEN to_chars END AS payload_chars,
+       CASE WHEN tag = to_tag THEN 'cache-control=max-age=3600;content-length=' || to_chars || ';content-type=text/html;etag=W/' || tag || ';expires=' || later END AS headers
+FROM m
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.in_first_half())
 
@@ -85,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": op2_token_files,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_mixing": op4_mixing,
+        "op5_warc_revisits": op5_warc_revisits,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_near_dedup": op8_near_dedup,
         "op9_toxicity": op9_toxicity,
@@ -93,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op5_warc_revisits": OP5_SQL, "op6_exact_dedup": OP6_SQL}
