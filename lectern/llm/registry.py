@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import embedding_dedup, exact_dedup, html_text, mixing, near_dedup, pieces, token_files, toxicity, warc
+from lectern.llm import embedding_dedup, exact_dedup, html_text, licences, mixing, near_dedup, pieces, token_files, toxicity, warc
 from lectern.session import scratch, table
 
 
@@ -90,6 +90,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.in_first_half())
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan(table(spark, sf_dir, "documents"))
+    return out.withColumn("families", F.array_join("families", ","))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -121,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_warc_revisits": op5_warc_revisits,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_licences": op7_licences,
         "op8_near_dedup": op8_near_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_html_text": op10_html_text,
