@@ -11,6 +11,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 _OUTER = ("", "markdown", "md", "text", "txt")
 #: States of the annotator, and the deepest level.
@@ -195,7 +196,7 @@ def annotate(tokens: list[str]) -> tuple[list[int], list[int]]:
 
 
 def _string(f):
-    @F.pandas_udf("string")
+    @F.pandas_udf(Y.StringType())
     def column(x: pd.Series) -> pd.Series:
         return x.map(lambda t: None if t is None else f(t))
 
@@ -208,12 +209,12 @@ mixed_check = _string(mixed_reason)
 json_check = _string(lambda t: "ok" if (e := json_error(t)) is None else f"invalid_json: {e}")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(Y.BooleanType())
 def fences_balanced(x: pd.Series) -> pd.Series:
     return x.map(lambda t: balanced(t or "")).astype(bool)
 
 
-@F.pandas_udf("kind string, error string")
+@F.pandas_udf(Y.StructType().add("kind", Y.StringType()).add("error", Y.StringType()))
 def json_kind(x: pd.Series) -> pd.DataFrame:
     """object, array or scalar of a valid JSON text, else the parser's message."""
     rows = []
@@ -224,12 +225,12 @@ def json_kind(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "error"], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(Y.ArrayType(Y.StringType()))
 def json_blocks_of(x: pd.Series) -> pd.Series:
     return x.map(lambda t: [] if t is None else json_blocks(t))
 
 
-@F.pandas_udf("depth array<int>, state array<int>")
+@F.pandas_udf(Y.StructType().add("depth", Y.ArrayType(Y.IntegerType())).add("state", Y.ArrayType(Y.IntegerType())))
 def annotations(x: pd.Series) -> pd.DataFrame:
     """Depth and state of each token of token arrays."""
     return pd.DataFrame([annotate([] if t is None else list(t)) for t in x], columns=["depth", "state"])

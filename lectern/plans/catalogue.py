@@ -265,13 +265,13 @@ def pack_blocks(spark, d):
     return blocks.select("block_id", F.size("input_ids").alias("n"))
 
 
-@query(f"WITH {_FLAT}, w AS (SELECT length(token) AS x, row_number() OVER (ORDER BY doc_id, pos) - 1 AS at FROM e), m AS (SELECT at // 384 - s AS block_id, at, x FROM w, range(2) r(s)) SELECT block_id, md5(string_agg(x, ',' ORDER BY at)) AS block_md5 FROM m WHERE block_id >= 0 AND at >= block_id * 384 AND at < block_id * 384 + 512 GROUP BY block_id HAVING count(*) = 512")
+@query(f"WITH {_FLAT}, w AS (SELECT length(token) AS x, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM e), m AS (SELECT g // 384 - s AS block_id, g, x FROM w, range(2) r(s)) SELECT block_id, md5(string_agg(x, ',' ORDER BY g)) AS block_md5 FROM m WHERE block_id >= 0 AND g >= block_id * 384 AND g < block_id * 384 + 512 GROUP BY block_id HAVING count(*) = 512")
 def pack_strided(spark, d):
     blocks = ordered.chunks(_tokens(spark, d).withColumn("ids", F.transform("tokens", F.length)), "doc_id", "ids", 512, 384)
     return blocks.select("block_id", F.md5(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",").cast("binary")).alias("block_md5"))
 
 
-@query(f"WITH {_FLAT}, w AS (SELECT length(token) AS x, row_number() OVER (ORDER BY doc_id, pos) - 1 AS at FROM e) SELECT a.at AS block_id, a.x AS first_x, b.x AS last_y FROM w a JOIN w b ON b.at = a.at + 8")
+@query(f"WITH {_FLAT}, w AS (SELECT length(token) AS x, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM e) SELECT a.g AS block_id, a.x AS first_x, b.x AS last_y FROM w a JOIN w b ON b.g = a.g + 8")
 def dense_windows(spark, d):
     """Stride-1 windows over all tokens: inherently a window a token."""
     w = ordered.dense_windows(_tokens(spark, d).withColumn("ids", F.transform("tokens", F.length)), "doc_id", "ids", 8)
