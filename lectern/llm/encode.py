@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable
+from itertools import chain, islice
 
 import numpy as np
 
-#: Segments that a worker remembers at most (about 70 MB), and the longest of them.
-REMEMBERED, LONGEST = 250_000, 64
+#: Segments that a worker remembers at most (about 160 MB), and the longest of them.
+REMEMBERED, LONGEST = 800_000, 64
 
 _made: dict[tuple, object] = {}
 
@@ -33,21 +36,28 @@ def threads(n: int = 2) -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
 
 
+def packed(ids: list[int]) -> bytes:
+    x = array("I", ids)
+    if sys.byteorder == "big":
+        x.byteswap()
+    return x.tobytes()
+
+
 class SegmentEncoder:
     """Ids as little-endian unsigned 32-bit integers. `ids_of`: ids of each of a list of segments."""
 
-    def __init__(self, ids_of: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, ids_of: Callable[[list], list[bytes]]):
         self.ids_of, self.known = ids_of, {}
 
-    def encode(self, texts: list[list[str]]) -> list[bytes]:
+    def encode(self, texts: list[list]) -> list[bytes]:
         known = self.known
-        new = list({s for segments in texts for s in segments if s not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({s for segments in texts for s in segments})
+        new = list(set(chain.from_iterable(texts)).difference(known))
+        if len(known) + len(new) > REMEMBERED:  # the older half goes; what is frequent comes back at once
+            known = self.known = dict(islice(known.items(), len(known) // 2, None))
+            new = list(set(chain.from_iterable(texts)).difference(known))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            known.update(zip(part, (np.array(ids, "<u4").tobytes() for ids in self.ids_of(part)), strict=True))
+            known.update(zip(part, self.ids_of(part), strict=True))
         out = [b"".join(map(known.__getitem__, segments)) for segments in texts]
         for s in new:
             if len(s) > LONGEST:
@@ -64,9 +74,8 @@ class WordEncoder:
     A text that holds an added token's string is encoded whole.
     """
 
-    _END = re.compile(r"(?<=[a-z])([.,])(?=[ \t-\r]|$)")
-    _ASCII_UPPER = {c: c + 32 for c in range(65, 91)}
-    _SPACE = re.compile(r"[ \t-\r]+")
+    _BETWEEN = "|"
+    _END = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|$)")
 
     def __init__(self, file_json: str):
         import json
@@ -82,17 +91,38 @@ class WordEncoder:
         self.cuts = '"Lowercase"' in said and r"[\\p{L}]+" in split and '"Removed"' in split
         if not self.cuts or spec["post_processor"]:
             raise ValueError("only for tokenizer files that lower-case and drop white space")
-        self.segments = SegmentEncoder(lambda xs: [e.ids for e in self.tokenizer.encode_batch_fast(xs, add_special_tokens=False)])
+        self.between = self.tokenizer.encode(self._BETWEEN, add_special_tokens=False).ids
+        self.segments = SegmentEncoder(self._ids)
+
+    def _ids(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of words, many words a text: a mark that none of them holds stands between them, and its id cuts the text's ids."""
+        words = [w.decode() for w in raw]
+        if len(self.between) != 1:
+            return [packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out = [b""] * len(words)
+        easy = [i for i, w in enumerate(words) if self._BETWEEN not in w]
+        odd = [i for i, w in enumerate(words) if self._BETWEEN in w]
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = packed(e.ids)
+        runs = [easy[k : k + 500] for k in range(0, len(easy), 500)]
+        joined = self.tokenizer.encode_batch_fast([f" {self._BETWEEN} ".join(words[i] for i in run) for run in runs], add_special_tokens=False)
+        for run, e in zip(runs, joined, strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.between[0])
+            both = ids.tobytes()
+            for i, first, last in zip(run, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(both)], strict=True):
+                out[i] = both[first:last]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         plain, whole = [], {}
         for i, t in enumerate(texts):
             if t and any(a in t for a in self.added):
-                whole[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                whole[i] = packed(self.tokenizer.encode(t, add_special_tokens=False).ids)
                 plain.append([])
             else:
-                t = self._END.sub(r" \1", t.translate(self._ASCII_UPPER) if not t.isascii() else t.lower()) if t else ""
-                plain.append([s for s in (t.split() if t.isascii() and not re.search("[\x1c-\x1f]", t) else self._SPACE.split(t)) if s])
+                # bytes.lower() and bytes.split() know ASCII letters and white space only
+                plain.append(self._END.sub(rb" \1", t.encode().lower()).split() if t else [])
         out = self.segments.encode(plain)
         for i, ids in whole.items():
             out[i] = ids

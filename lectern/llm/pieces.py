@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.encode import SegmentEncoder, once, threads
+from lectern.llm.encode import SegmentEncoder, once, packed, threads
 from lectern.llm.shingles import chunks
 from lectern.session import ship
 
@@ -161,7 +161,7 @@ class PieceTokenizer:
         self.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
         self.names = names
         self.special = {i for i, (_, _, k) in enumerate(m.pieces) if k == CONTROL}
-        self.segments = SegmentEncoder(lambda xs: [e.ids for e in self.tokenizer.encode_batch_fast(xs, add_special_tokens=False)])
+        self.segments = SegmentEncoder(lambda xs: [packed(e.ids) for e in self.tokenizer.encode_batch_fast(xs, add_special_tokens=False)])
         self.cut = Cutter(m)
 
     def normalise(self, text: str | None) -> str:
