@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+#: Scratch paths of this process, in the order in which they were made.
+made: list[str] = []
 #: Bytes of an Arrow batch that goes to a Python worker.
 ARROW_BYTES = 16 << 20
 
@@ -48,7 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch paths that nothing reads any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(hadoop).delete(p, True)
+        made.remove(path)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
