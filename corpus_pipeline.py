@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
 from lectern.llm.registry import tokenizer_path
-from lectern.session import materialise, ship, table
+from lectern.session import made, materialise, ship, sweep, table
 
 #: Rows of keys (at most 48 bytes each) that are broadcast at most; beyond it the join shuffles.
 BROADCAST_KEYS = 200_000
@@ -110,7 +110,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, first = table(spark, sf_dir, "documents"), len(made)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, made[first:-1])  # all but the stage's own rows
     return STAGES[-1][1](spark, docs, sf_dir)

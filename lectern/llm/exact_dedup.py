@@ -205,7 +205,8 @@ def exact_dedup(
     few = several.count() <= broadcast_groups
     texts = plain.select("id", "text", digest(F.col("text")).alias("digest"))
     texts = texts.join(F.broadcast(several) if few else several, "digest")
-    first = texts.filter(F.col("id").eqNullSafe(F.col("top"))).groupBy("digest").agg(F.min("text").alias("model"))
+    # written first: then both sides of the join are plain exchanges, and a hot group's texts can be split over tasks
+    first = materialise(texts.filter(F.col("id").eqNullSafe(F.col("top"))).groupBy("digest").agg(F.min("text").alias("model")), "models")
     unlike = materialise(texts.join(first, "digest").filter("text != model").select("digest").distinct(), "collisions")
 
     rows = rows.withColumnRenamed("n", "rows")

@@ -40,7 +40,8 @@ def in_blocks(rows: DataFrame, key: str, node: str, limit: int) -> DataFrame:
     A group of more than `limit` rows is cut in blocks of about that many by the node's hash, and every two
     blocks meet in a task's run of their own; `block` tells which of i and j a row is of.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    # written first: then both sides of the join are plain exchanges, and a hot group's rows can be split over tasks
+    sizes = materialise(rows.select(key).groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1"), "sizes")
     cut = rows.join(sizes, key).withColumn("_blocks", F.ceil(F.col("_n") / limit).cast("int")).withColumn("block", F.pmod(F.hash(F.col(node), F.lit(17)), F.col("_blocks")))
     met = cut.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     met = met.withColumn("i", F.least("block", "_with")).withColumn("j", F.greatest("block", "_with")).drop("_n", "_blocks", "_with")

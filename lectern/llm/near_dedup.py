@@ -242,7 +242,8 @@ def near_dedup(docs: DataFrame, percent: int = 80, words_a_shingle: int = 5, id_
     classes = materialise(signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("node")), "classes")
     reps = signed.join(classes, ["k1", "k2"]).filter("id = node").select("node", "bands", "signature")
     entries = reps.select("node", F.explode("bands").alias("band"))
-    lows = entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("band", "lo")
+    # written first: then both sides of the join are plain exchanges, and a hot band's rows can be split over tasks
+    lows = materialise(entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("band", "lo"), "lows")
     shared = materialise(entries.join(lows, "band").distinct(), "shared")
     signatures = materialise(reps.join(shared.select("node").distinct(), "node", "left_semi").select("node", "signature"), "signatures")
 
