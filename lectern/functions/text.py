@@ -47,12 +47,9 @@ def repeated_ngrams(c: Column, n: int = 4, max_chars: int = 4000) -> Column:
     """Share of character n-grams that repeat earlier ones, in the first `max_chars` characters without white space."""
     s = F.regexp_replace(F.substring(c, 1, max_chars), f"[{SPACE}]+", "")
 
-    def share(cs: Column) -> Column:  # over single characters: cutting n-grams out of a string would count from its start each time
-        grams = F.transform(F.slice(cs, F.lit(1), F.greatest(F.size(cs) - (n - 1), F.lit(1))), lambda c, i: F.concat(c, *[F.get(cs, i + k) for k in range(1, n)]))
-        return F.when(F.size(cs) < n * 4, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
-
-    s = F.regexp_extract_all(s, F.lit("(?s)(.)"), F.lit(1))
-    return F.element_at(F.transform(F.array(s), share), 1)
+    # the runs of n characters that start at each of the first n places are all n-grams; the pattern engine cuts them in one pass each
+    grams = F.concat(*[F.regexp_extract_all(F.substring(s, k + 1, max_chars), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for k in range(n)])
+    return F.when(F.length(s) < n * 4, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
 
 
 def normalise(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -26,11 +27,14 @@ def judged(docs: DataFrame, text: str = "text", fix: bool = False, **limits) ->
 
 def counters(judged_rows: DataFrame, order: str, by: list[str] | None = None) -> DataFrame:
     """Seen, kept, duplicate and dropped rows by reason, and kept bytes: the first row of a key is kept."""
-    first = judged_rows.filter("reason = 'kept'").groupBy("key").agg(F.min(order).alias("_first"))
-    d = judged_rows.join(first, "key", "left")
-    kept = (F.col("reason") == "kept") & (F.col(order) == F.col("_first"))
-    reasons = [F.count_if(F.col("reason") == r).alias(r) for r in ("too_short", "symbol_dense", "command_contaminated", "repeated_ngram")]
-    return d.groupBy(*(by or [])).agg(F.count("*").alias("seen"), F.count_if(kept).alias("kept"), F.count_if((F.col("reason") == "kept") & ~kept).alias("duplicate"), *reasons, F.coalesce(F.sum(F.when(kept, F.col("bytes"))), F.lit(0)).alias("kept_bytes"))
+    by = by or []
+    # one pass over the texts: rows of a key, reason and group meet as one, and only those are ranked
+    few = judged_rows.groupBy(*by, "reason", "key").agg(F.count("*").alias("_n"), F.min(order).alias("_o"), F.min_by("bytes", order).alias("_b"))
+    good = F.col("reason") == "kept"
+    few = few.withColumn("_kept", good & (F.col("_o") == F.min("_o").over(W.partitionBy("reason", "key"))))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
+    reasons = [total(F.col("reason") == r).alias(r) for r in ("too_short", "symbol_dense", "command_contaminated", "repeated_ngram")]
+    return few.groupBy(*by).agg(F.sum("_n").alias("seen"), F.count_if("_kept").alias("kept"), (total(good) - F.count_if("_kept")).alias("duplicate"), *reasons, F.coalesce(F.sum(F.when(F.col("_kept"), F.col("_b"))), F.lit(0)).alias("kept_bytes"))
 
 
 def prepare(docs: DataFrame, order: str, category: str, target_bytes: int, shares: dict[str, float] | None = None, valid_rate: float = 0.002, valid_most: int = 10_000, seed: int = 0, **limits) -> DataFrame:

@@ -16,7 +16,7 @@ from lectern.functions import text as T
 from lectern.functions import tokens as K
 from lectern.operators import corpus, instructions, ordered
 from lectern.sources import readers
-from lectern.session import materialise, scratch, table
+from lectern.session import materialise, scratch, spread, table
 
 LETTERS = "\\p{L}"
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +52,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.judged(table(spark, d, "documents"), script=LETTERS)
+    return corpus.judged(spread(table(spark, d, "documents").select("doc_id", "text", "source")), script=LETTERS)
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +90,7 @@ def filter_reason_by_source(spark, d):
     "SELECT count(*) AS rows, CAST(sum(n) AS DOUBLE) / count(*) AS avg_chars, CAST(sum(c) AS DOUBLE) / sum(n) AS script_ratio, CAST(count(*) FILTER (bad) AS DOUBLE) / count(*) AS contaminated_ratio, CAST(count(*) - count(DISTINCT key) AS DOUBLE) / count(*) AS duplicate_ratio, CAST(count(*) FILTER (c < 50) AS DOUBLE) / count(*) AS too_short_ratio FROM p"
 )
 def corpus_profile(spark, d):
-    return corpus.profile(table(spark, d, "documents"), script=LETTERS)
+    return corpus.profile(spread(table(spark, d, "documents").select("text")), script=LETTERS)
 
 
 @query(f"WITH {_JUDGED} SELECT key, count(*) AS n, min(doc_id) AS first_id FROM j GROUP BY key HAVING count(*) > 1")
@@ -224,7 +224,7 @@ _VOCAB = f"{_FLAT}, seed(token, token_id) AS (VALUES {_SEED_ROWS}), cnt AS (SELE
 
 
 def _tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source", K.tokenise(F.col("text")).alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", K.tokenise(F.col("text")).alias("tokens"))
 
 
 def _vocab(spark, d):
@@ -373,7 +373,7 @@ def synthetic_texts(spark, d):
 
 @query()
 def prepared_corpus(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
     return corpus.prepare(docs, "doc_id", "source", 400_000, {f"src{i}": 0.05 for i in range(20)}, 0.02, 50, script=LETTERS).select("doc_id", "source", "bytes", "valid")
 
 
