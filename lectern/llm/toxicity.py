@@ -31,9 +31,11 @@ from lectern.llm.shingles import chunks
 from lectern.session import ship
 
 #: Labelled texts of each label that train at most; embedding rows; their width; filters of each width.
-MAX_TRAIN, ROWS, WIDE, FILTERS, WIDTHS = 2500, 1 << 15, 12, 8, (1, 2, 3)
+MAX_TRAIN, ROWS, WIDE, FILTERS, WIDTHS = 1500, 1 << 15, 12, 8, (1, 2, 3)
 #: Score at which a text counts as toxic, and texts of a language that its own threshold needs.
 DECISION, LEAST_OF_LANGUAGE = 0.7, 60
+#: Texts that are worked on together, which bounds memory.
+TOGETHER = 64
 #: Words that a worker remembers.
 REMEMBERED = 300_000
 _WORD = re.compile(r"\w+")
@@ -53,19 +55,20 @@ class Vocabulary:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, _PARTS), np.int32)
 
-    def number(self, texts: list[str | None]) -> list[np.ndarray]:
+    def number(self, texts: list[str | None], keep: bool = False) -> list[np.ndarray]:
+        """Word numbers of each text; with `keep`, numbers given before stay good."""
         words = [_WORD.findall(t.lower()) if t else [] for t in texts]
         new = {w for ws in words for w in ws if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
+        if not keep and len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = {w for ws in words for w in ws}
         first = len(self.known)
         if first + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros((first + 2 * len(new), _PARTS), np.int32)])
+            self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) // 2 + len(new), _PARTS), np.int32)])
         for i, w in enumerate(sorted(new)):
             self.known[w] = first + i
             self.rows[first + i] = _hashes(w)
-        return [np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws)) for ws in words]
+        return [np.fromiter(map(self.known.__getitem__, ws), np.int32, len(ws)) for ws in words]
 
 
 @dataclass
@@ -122,8 +125,9 @@ class Net:
         return out, places
 
     def raw(self, texts: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-        m, _ = self.pooled(texts, rows)
-        return np.maximum(m + self.b, 0) @ self.v + self.c
+        """Scores before calibration, some texts at a time."""
+        parts = [np.zeros((0, len(self.b)), np.float32), *(self.pooled(texts[i : i + TOGETHER], rows)[0] for i in range(0, len(texts), TOGETHER))]
+        return np.maximum(np.concatenate(parts) + self.b, 0) @ self.v + self.c
 
     def score(self, texts: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(texts, rows).astype(np.float64) * self.scale + self.shift, -30, 30)))
@@ -143,8 +147,8 @@ def _start(net: Net, nums: list[np.ndarray], rows: np.ndarray, y: np.ndarray) ->
     net.w[0, :] = 0
     net.w[0, 0] = 1
     net.w[1:, 0] = 0
-    top, _ = net.pooled(nums, rows)
-    cut = _best_cut(top[:, 0].astype(float), y)
+    top = np.concatenate([net.pooled(nums[i : i + TOGETHER], rows)[0][:, 0] for i in range(0, len(nums), TOGETHER)])
+    cut = _best_cut(top.astype(float), y)
     net.b[0], net.v[0], net.c = 1 - cut, 1.5, -1.5
 
 
@@ -157,7 +161,9 @@ def train(texts: list[str | None], y: np.ndarray, langs: list[str | None], seed:
         share = (y.sum() + 1) / (len(y) + 2)
         net.c = float(np.log(share / (1 - share)))
         return net
-    nums = vocab.number(texts)
+    texts, nums = list(texts), []
+    while len(nums) < len(texts):  # numbers are small beside words
+        nums += vocab.number(texts[len(nums) : len(nums) + TOGETHER], keep=True)
     r = np.random.default_rng(seed)
     apart = np.array([zlib.crc32((t or "").encode("utf-8", "replace")) % 5 == 0 for t in texts])
     if len({*y[~apart]}) < 2 or len({*y[apart]}) < 2:
