@@ -46,13 +46,13 @@ def packed(ids: list[int]) -> bytes:
 class SegmentEncoder:
     """Ids as little-endian unsigned 32-bit integers. `ids_of`: ids of each of a list of segments."""
 
-    def __init__(self, ids_of: Callable[[list], list[bytes]]):
-        self.ids_of, self.known = ids_of, {}
+    def __init__(self, ids_of: Callable[[list], list[bytes]], remembered: int = REMEMBERED):
+        self.ids_of, self.known, self.remembered = ids_of, {}, remembered
 
     def encode(self, texts: list[list]) -> list[bytes]:
         known = self.known
         new = list(set(chain.from_iterable(texts)).difference(known))
-        if len(known) + len(new) > REMEMBERED:  # the older half goes; what is frequent comes back at once
+        if len(known) + len(new) > self.remembered:  # the older half goes; what is frequent comes back at once
             known = self.known = dict(islice(known.items(), len(known) // 2, None))
             new = list(set(chain.from_iterable(texts)).difference(known))
         for i in range(0, len(new), 20_000):

@@ -40,6 +40,8 @@ from lectern.llm.shingles import chunks
 from lectern.session import ship
 
 MARK = "▁"
+#: Segments that a worker remembers; the sentencepiece library's model and two vocabularies lie beside them.
+REMEMBERED = 400_000
 #: Fixed values of the public model format: kinds of pieces, and the algorithms that are read here.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -161,7 +163,7 @@ class PieceTokenizer:
         self.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
         self.names = names
         self.special = {i for i, (_, _, k) in enumerate(m.pieces) if k == CONTROL}
-        self.segments = SegmentEncoder(lambda xs: [packed(e.ids) for e in self.tokenizer.encode_batch_fast(xs, add_special_tokens=False)])
+        self.segments = SegmentEncoder(lambda xs: [packed(e.ids) for e in self.tokenizer.encode_batch_fast(xs, add_special_tokens=False)], REMEMBERED)
         self.cut = Cutter(m)
 
     def normalise(self, text: str | None) -> str:

@@ -253,18 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int = MAX
     return train([r.text for r in got], np.array([r.y for r in got]), [r.lang for r in got])
 
 
-_vocabularies: list[Vocabulary] = []
-
-
 def score(docs: DataFrame, net: Net, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The rows of `docs` with a score between 0 and 1."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(net)  # ROWS x WIDE floats: 1.6 MB whatever the input
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if not _vocabularies:
-            _vocabularies.append(Vocabulary())
-        vocab, model = _vocabularies[0], shared.value
+        vocab, model = Vocabulary(), shared.value  # a task's own: what it holds goes when the task ends
         for texts in batches:
             out = np.zeros(len(texts))
             xs = texts.tolist()
