@@ -89,7 +89,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     m = mixing.Mix(docs)
     used = m.slots.groupBy("src", "block").agg(F.collect_list(F.struct("turn", "words")).alias("uses")).select(F.col("src").alias("s"), F.col("block").alias("k"), "uses")
-    met = m.pieces.join(used, F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k"))).withColumn("use", F.explode("uses"))
+    met = m.pieces.join(used.hint("merge"), F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k"))).withColumn("use", F.explode("uses"))
     met = met.withColumn("n", F.least(F.col("words"), F.col("use.words") - F.col("off"))).filter("n > 0")
     takes = met.groupBy("row", F.col("use.turn").alias("turn")).agg(F.collect_list(F.struct("at", "n")).alias("_ranges"))
     takes = takes.join(m.docs.select("row", "id", "tie", F.col("size").alias("_size")), "row").dropDuplicates(["id", "tie", "turn"]).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "_size", "_ranges")

@@ -214,7 +214,8 @@ class Mix:
         """id, row, words: what the mix takes of each document that it takes from, over all its slots."""
         # slots of a block are whole but for at most one that is cut: whole uses and the cut one's words
         used = self.slots.groupBy("src", "block").agg(F.collect_list("words").alias("uses")).select(F.col("src").alias("s"), F.col("block").alias("k"), "uses")
-        met = self.pieces.join(used, F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")))
+        # the planner takes slots, made from a range of shards, for a few bytes and would broadcast them: they grow with the mix
+        met = self.pieces.join(used.hint("merge"), F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")))
         got = F.aggregate("uses", F.lit(0).cast("long"), lambda acc, w: acc + F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), w - F.col("off"))))
         return met.select("id", "row", got.alias("got")).groupBy("id", "row").agg(F.sum("got").alias("taken"))
 
