@@ -1,15 +1,20 @@
 """Licence notices in texts: a trained paragraph classifier, confirmed by templates.
 
-A paragraph (a line of the text) that holds one of ANCHORS is reduced to lower-case words; its distinct word n-grams
+A paragraph (a line of the text, or with `wrapped` a window of lines, below) that holds one of ANCHORS is reduced to lower-case words; its distinct word n-grams
 (one to three words) are the features of a softmax regression with an L1 penalty, trained on the driver from the
 templates below, variants of them, and paragraphs of other kinds. Each family is a class and so is `unknown`. The
 probability from which a family counts is placed between what held-out variants and held-out other paragraphs
 reach. A prediction holds only if a template of its family is confirmed: CONFIRM of its words are in the paragraph.
 
+With `wrapped`, notices broken over lines are found too: lines up to a blank one are a block, and the windows of
+consecutive lines of a block are paragraphs of their own, up to SPAN words between first and last line (lines without
+words don't count). A window is a notice if it's the shortest: no window inside it is one, nor one of the same family that
+overlaps it from before. So each line that is a notice stays one, and lines are joined where none is.
+
 All work on the texts is built-in column functions, row by row: no exchange, no Python on executors. The
 model is a few hundred n-grams, a literal in the plan.
 
-Defined cases: null and empty texts have no notice; a paragraph counts once, whatever it repeats; a text may have notices
+Defined cases: null and empty texts have no notice; a paragraph (line or window) counts once, whatever it repeats; a text may have notices
 of several families; rows that repeat an id are scanned one by one; an empty table gives no rows; other columns
 are ignored.
 """
@@ -20,6 +25,7 @@ import functools
 import itertools
 import json
 import math
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 #: What a paragraph must hold to be looked at, and notices of each family.
 ANCHORS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "public domain", "spdx")
 TEMPLATES = {
-    "AGPL": ("This program is licensed under the GNU Affero General Public License, version 3", "Licensed under the AGPL version 3 license", "SPDX-License-Identifier: AGPL-3.0"),
+    "AGPL": ("This program is licensed under the GNU Affero General Public License, version 3", "Licensed under the AGPL version 3 license", "SPDX-License-Identifier: AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Released under the Apache 2.0 License", "SPDX-License-Identifier: Apache-2.0"),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License", "Licensed under the BSD License", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -36,10 +42,10 @@ TEMPLATES = {
     "CC-BY-ND": ("Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC0": ("Licensed under CC0 1.0 Universal", "This work is dedicated to the public domain under CC0"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "Licensed under the GPL version 2 license", "SPDX-License-Identifier: GPL-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "Licensed under the GPL version 3 license", "SPDX-License-Identifier: GPL-3.0"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "Licensed under the GPL version 2 license", "SPDX-License-Identifier: GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "Licensed under the GPL version 3 license", "SPDX-License-Identifier: GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "ISC": ("Released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    "LGPL": ("This library is licensed under the GNU Lesser General Public License", "Licensed under the LGPL license", "SPDX-License-Identifier: LGPL-3.0"),
+    "LGPL": ("This library is licensed under the GNU Lesser General Public License", "Licensed under the LGPL license", "SPDX-License-Identifier: LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License"),
     "MIT": ("Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License", "SPDX-License-Identifier: MPL-2.0"),
     "proprietary": ("All rights reserved", "Copyright. All rights reserved. No part may be reproduced without permission"),
@@ -56,11 +62,15 @@ OTHER = (
 #: Words of a template, as a share, that a paragraph must hold.
 CONFIRM = 0.8
 UNKNOWN = "unknown"
+#: Words that the lines between the first and the last one of a window hold at most; the longest template has 30.
+SPAN = 40
 
 
-def words_of(text: str) -> list[str]:
-    import re
+#: Where a block ends: before a blank line, and nothing is cut out.
+_BLOCK = r"(?<=\n)(?=[ \t\r\f\x0B]*\n)"
+
 
+def words_of(text: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
 
 
@@ -128,17 +138,39 @@ def classify(text: str) -> str:
     return classes[k] if any(len(held & set(words_of(t))) >= CONFIRM * len(set(words_of(t))) for t in TEMPLATES[classes[k]]) else UNKNOWN
 
 
+def notices(text: str) -> list[tuple[int, int, str]]:
+    """First line, last line and family of the notices of a text with `wrapped`, in plain Python; what `scan` must equal."""
+    found: list[tuple[int, int, str]] = []
+    at = 1
+    for block in re.split(_BLOCK, text):
+        lines = [(k, x) for k, x in enumerate(block.split("\n"), at) if words_of(x)]
+        hits = []
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if sum(len(words_of(x)) for _, x in lines[i + 1 : j]) > SPAN:
+                    break
+                kind = classify("\n".join(x for _, x in lines[i : j + 1]))
+                if kind != UNKNOWN:
+                    hits.append((lines[i][0], lines[j][0], kind))
+        found += [h for h in hits if not any(o != h and (o[0] >= h[0] and o[1] <= h[1] or o[2] == h[2] and o[0] < h[0] <= o[1] < h[1]) for o in hits)]
+        at += block.count("\n")
+    return found
+
+
 def _doubles(xs: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in xs])
 
 
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+
+
 def family(paragraph: Column) -> Column:
     """The family of a paragraph, `unknown` if none."""
     classes, weights, biases, least = model()
     # the tables are one literal each once constants are folded: thousands of literals would slow planning
     table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
     templates = F.from_json(F.lit(json.dumps({c: [sorted(set(words_of(t))) for t in TEMPLATES[c]] for c in classes[:-1]})), "map<string,array<array<string>>>")
-    clean = F.split(F.trim(F.regexp_replace(F.lower(paragraph), "[^a-z0-9]+", " ")), " ")
 
     def of(ws: Column) -> Column:
         def runs(n: int) -> Column:
@@ -159,17 +191,65 @@ def family(paragraph: Column) -> Column:
 
         return F.element_at(F.transform(F.array(z), decide), 1)
 
-    return F.element_at(F.transform(F.array(clean), of), 1)
+    return F.element_at(F.transform(F.array(_words(paragraph)), of), 1)
+
+
+def _windows(block: Column, first: Column) -> Column:
+    """first, last, family of the windows of a block's lines that are notices; the block's first line is line `first`."""
+    anchored = _anchored
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x, i: F.struct((i + first).alias("line"), x.alias("text"), _words(x).alias("ws"))), lambda x: F.element_at(x["ws"], 1) != "")
+
+    def of(lines: Column) -> Column:
+        n = F.size(lines)
+
+        def at(k: Column) -> Column:
+            part = F.slice(lines, k, SPAN + 2)  # each line between holds a word at least
+
+            def to(part: Column) -> Column:
+                ends = F.filter(F.sequence(F.lit(1), F.size(part)), lambda j: (j < 3) | (F.aggregate(F.slice(part, 2, F.greatest(j - 2, F.lit(0))), F.lit(0), lambda acc, x: acc + F.size(x["ws"])) <= SPAN))
+                made = F.transform(ends, lambda j: F.struct(F.element_at(part, 1)["line"].alias("first"), F.element_at(part, j)["line"].alias("last"), F.array_join(F.transform(F.slice(part, 1, j), lambda x: x["text"]), "\n").alias("text")))
+                return F.filter(made, lambda w: anchored(F.lower(w["text"])))
+
+            return F.element_at(F.transform(F.array(part), to), 1)
+
+        return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), n), at)))
+
+    windows = F.element_at(F.transform(F.array(lines), of), 1)
+    said = F.filter(F.transform(windows, lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last"), family(w["text"]).alias("family"))), lambda w: w["family"] != UNKNOWN)
+
+    def shortest(said: Column) -> Column:
+        inside = lambda o, h: ((o["first"] != h["first"]) | (o["last"] != h["last"])) & (o["first"] >= h["first"]) & (o["last"] <= h["last"])
+        before = lambda o, h: (o["family"] == h["family"]) & (o["first"] < h["first"]) & (h["first"] <= o["last"]) & (o["last"] < h["last"])
+        return F.filter(said, lambda h: ~F.exists(said, lambda o: inside(o, h) | before(o, h)))
+
+    return F.coalesce(F.element_at(F.transform(F.array(said), shortest), 1), F.array().cast("array<struct<first:int,last:int,family:string>>"))
+
+
+def _anchored(text: Column) -> Column:
+    return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(a)) for a in ANCHORS])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, families (sorted, distinct), n_notices, candidates (paragraphs with an anchor), first_line (from 1; null without a notice)."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
+    """Per row: id_col, families (sorted, distinct), n_notices, candidates (lines with an anchor), first_line (from 1; null without a notice)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    anchored = lambda t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(a)) for a in ANCHORS])
+    anchored = _anchored
     lines = F.filter(F.transform(F.split(text, "\n"), lambda p, i: F.struct((i + 1).alias("line"), p.alias("text"))), lambda p: anchored(F.lower(p["text"])))
-    said = F.transform(lines, lambda p: F.struct(p["line"].alias("line"), family(p["text"]).alias("family")))
-    empty = F.array().cast("array<struct<line:int,family:string>>")
-    # texts without an anchor anywhere, nearly all, never reach the branch that splits them
-    d = docs.select(F.col(id_col), F.when(anchored(F.lower(text)), said).otherwise(empty).alias("said"))
-    d = d.withColumn("notices", F.filter("said", lambda p: p["family"] != UNKNOWN))
-    return d.select(id_col, F.array_sort(F.array_distinct(F.col("notices.family"))).alias("families"), F.size("notices").cast("long").alias("n_notices"), F.size("said").cast("long").alias("candidates"), F.array_min(F.col("notices.line")).cast("long").alias("first_line"))
+    if wrapped:
+        empty = F.array().cast("array<struct<line:int,text:string>>")
+        start = F.struct(F.lit(1).alias("at"), empty.alias("blocks"))
+        count = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+        # blocks without an anchor are left out before any is kept, and only line numbers go on
+        add = lambda acc, x: F.struct((acc["at"] + count(x)).alias("at"), F.when(anchored(F.lower(x)), F.concat(acc["blocks"], F.array(F.struct(acc["at"].alias("line"), x.alias("text"))))).otherwise(acc["blocks"]).alias("blocks"))
+        blocks = F.aggregate(F.split(text, _BLOCK), start, add)["blocks"]
+        hits = F.flatten(F.transform(blocks, lambda p: _windows(p["text"], p["line"])))
+        notices = F.transform(hits, lambda h: F.struct(h["first"].alias("line"), h["family"].alias("family")))
+        made = F.struct(F.size(lines).alias("candidates"), notices.alias("notices"))
+        none = F.struct(F.lit(0).alias("candidates"), F.array().cast("array<struct<line:int,family:string>>").alias("notices"))
+        d = docs.select(F.col(id_col), F.when(anchored(F.lower(text)), made).otherwise(none).alias("made")).select(id_col, F.col("made.notices").alias("notices"), F.col("made.candidates").alias("candidates"))
+    else:
+        said = F.transform(lines, lambda p: F.struct(p["line"].alias("line"), family(p["text"]).alias("family")))
+        empty = F.array().cast("array<struct<line:int,family:string>>")
+        # texts without an anchor anywhere, nearly all, never reach the branch that splits them
+        d = docs.select(F.col(id_col), F.when(anchored(F.lower(text)), said).otherwise(empty).alias("said"))
+        d = d.select(id_col, F.filter("said", lambda p: p["family"] != UNKNOWN).alias("notices"), F.size("said").alias("candidates"))
+    return d.select(id_col, F.array_sort(F.array_distinct(F.col("notices.family"))).alias("families"), F.size("notices").cast("long").alias("n_notices"), F.col("candidates").cast("long").alias("candidates"), F.array_min(F.col("notices.line")).cast("long").alias("first_line"))

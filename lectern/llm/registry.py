@@ -91,7 +91,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = licences.scan(table(spark, sf_dir, "documents"))
+    out = licences.scan(table(spark, sf_dir, "documents"), wrapped=True)
     return out.withColumn("families", F.array_join("families", ","))
 
 

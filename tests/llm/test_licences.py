@@ -37,3 +37,48 @@ def test_columns_equal_plain_python(spark):
 def test_plan_is_native(spark):
     plan = licences.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "BSD": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:""",
+    "GPL-2.0": """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+
+
+def test_wrapped_notices(spark):
+    import random
+
+    r = random.Random(4)
+    cases = [(name, f"{before}{t}{after}") for name, t in WRAPPED.items() for before, after in (("", ""), ("Some words of a file.\n\n", "\n\nMore of it."), ("Plain prose goes before it\n", "\nand after it"))]
+    pool = [*(x for t in WRAPPED.values() for x in t.split("\n")), *NOTICES, *OTHERS, "", " ", "//"]
+    texts = [t for _, t in cases] + ["\n".join(r.choice(pool) for _ in range(r.choice([1, 4, 12]))) for _ in range(40)] + [None, "\n\n", "LICENSED UNDER\nthe Apache License, Version 2.0", "LICENSED UNDER\n\nthe Apache License, Version 2.0", "x\n" * 20_000 + "All rights reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in licences.scan(df, wrapped=True).collect()}
+    for i, (name, t) in enumerate(cases):
+        assert got[i].families == [name], t
+    for i, t in enumerate(texts[:-1]):
+        want = licences.notices(t or "")
+        assert (got[i].families, got[i].n_notices, got[i].first_line) == (sorted({f for *_, f in want}), len(want), min((a for a, *_ in want), default=None)), t
+    assert (got[len(texts) - 1].families, got[len(texts) - 1].first_line) == (["proprietary"], 20_001)
