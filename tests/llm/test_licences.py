@@ -82,3 +82,16 @@ def test_wrapped_notices(spark):
         want = licences.notices(t or "")
         assert (got[i].families, got[i].n_notices, got[i].first_line) == (sorted({f for *_, f in want}), len(want), min((a for a, *_ in want), default=None)), t
     assert (got[len(texts) - 1].families, got[len(texts) - 1].first_line) == (["proprietary"], 20_001)
+
+
+def test_anchors_lose_nothing(spark, monkeypatch):
+    named = {"Released under CC0 1.0 Universal": "CC0", "Available under CC BY-SA 4.0": "CC-BY-SA", "Available under CC BY 4.0": "CC-BY"}
+    assert {t: licences.classify(t) for t in named} == named
+    rows = licences.scan(spark.createDataFrame(list(enumerate(named)), "doc_id long, text string"), wrapped=True).collect()
+    assert {r.doc_id: r.families for r in rows} == {i: [f] for i, f in enumerate(named.values())}
+    assert licences.uncovered(licences.ANCHORS) == []
+    assert licences.uncovered(("licen", "copyright", "rights reserved", "permission", "redistribut", "public domain", "spdx"))
+    texts = [" ".join(w for k, w in enumerate(licences.words_of(t)) if k != out) for ts in licences.TEMPLATES.values() for t in ts for out in range(30)]
+    some = [licences.classify(t) for t in texts]
+    monkeypatch.setattr(licences, "ANCHORS", ("",))
+    assert some == [licences.classify(t) for t in texts]
