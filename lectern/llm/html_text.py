@@ -6,7 +6,11 @@ positive; tags, words of links and words of furniture (menus, headers, footers,
 negative. One pass finds the contiguous run of the highest sum. Where an article or main element holds most
 of that run's words, the region is that element. The region's blocks, without those of furniture, are the text.
 
-Furniture is told by the element or by words of its class, id or role. Text in head, script, style and like elements is
+Furniture is told by the element or by a name in its class, id or role, if that consists of words of furniture (with
+MODIFIERS or without) and of nothing else. Names make no furniture of html, body, article and main, of what lies in
+pre and code, of headings by their ids, of sections in an article by ids that don't mean reader comments, and of an
+element other than reader comments that holds more than half of the page's words, and an h1, an article, a main or two
+paragraphs. Furniture within a line is left out of its block. Text in head, script, style and like elements is
 no text at all. Character references are decoded, white space in a block becomes one space, and
 blocks are joined by a line feed. Inline tags and comments join what they stand between; <br> is white space.
 
@@ -34,6 +38,9 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
 SILENT = frozenset("head script style noscript template iframe object svg math canvas audio video textarea title noframes xmp".split())
 FURNITURE = frozenset("nav header footer aside form menu button select dialog fieldset".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices alert newsletter subscribe subscription share sharing social comment comments disqus replies respond related recommended popup modal overlay widget toolbar pagination pager skip login signup complementary contentinfo search".split())
+MODIFIERS = frozenset("main site page global top bottom left right primary secondary sticky fixed mobile desktop container wrapper wrap inner outer box bar block area list item items link links button buttons icon icons section posts articles stories form".split())
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+NAMELESS = frozenset("html body article main".split())
 RAW = frozenset("script style textarea title xmp iframe noframes noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HOLDERS = frozenset("article main".split())
@@ -47,24 +54,40 @@ LABELLED = (
 )
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|</[^>]*(?:>|$)|<$", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_HEADING = re.compile("h[1-6]")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _says_furniture(attributes: str) -> bool:
-    return any(w.lower() in WORDS for _, value in _ATTRIBUTE.findall(attributes) for w in _PART.findall(value))
+def _says_furniture(name: str, attributes: str, in_article: bool) -> str:
+    """"comments" or "other" furniture, by the names of an element; "" if they say nothing."""
+    said = [(a.lower(), n, {w.lower() for w in _PART.findall(n) if len(w) > 1}) for a, value in _ATTRIBUTE.findall(attributes) for n in value.strip("\"'").split()]
+    a_section = name == "section" or any(a == "class" and n.lower() == "section" for a, n, _ in said)
+    found = ""
+    for a, _, parts in said:
+        if not parts & WORDS or parts - WORDS - MODIFIERS or a == "id" and _HEADING.fullmatch(name):
+            continue
+        if parts & COMMENTS:
+            return "comments"
+        if a != "id" or not (a_section and in_article):
+            found = "other"
+    return found
 
 
 class Page:
     """Blocks of a page in order: text, kind of its words, tags before it, and the holder element it lies in (0: none)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, spared: frozenset[int] | None = None):
         self.blocks: list[tuple[str, str, list[str], int]] = []
-        self._parts: list[str] = []
-        self._kinds: Counter = Counter()
+        self._parts: list[tuple[str, str]] = []
         self._tags: list[str] = []
         open_: list[tuple[str, str, int]] = []  # name, what it makes of words (or ""), holder
         at, holders = 0, 0
+        spared = spared or frozenset()
+        #: Of elements that are furniture by a name, by their places in the page: words, paragraphs, and whether there's a sign of an article.
+        self.named: dict[int, list[int]] = {}
+        inside: list[tuple[int, int]] = []  # depth in open_, place
+        self.words = 0
 
         def state() -> tuple[str, int]:
             kind, holder = "word", 0
@@ -78,23 +101,36 @@ class Page:
 
         def text(raw: str) -> None:
             if raw:
-                self._parts.append(raw)
-                self._kinds[kind] += len(raw)
+                self._parts.append((raw, kind))
+                n = len(raw.split())
+                self.words += n
+                for _, p in inside:
+                    self.named[p][0] += n
+
+        def leave() -> None:
+            while inside and inside[-1][0] >= len(open_):
+                inside.pop()
 
         def end_block() -> None:
-            t = " ".join(_html.unescape("".join(self._parts)).split()) if self._parts else ""
+            shown = [(x, k) for x, k in self._parts if k != "furniture"]
+            if not any(x.strip() for x, _ in shown):
+                shown = self._parts
+            t = " ".join(_html.unescape("".join(x for x, _ in shown)).split())
             if t:
-                made = "furniture" if self._kinds["furniture"] else self._kinds.most_common(1)[0][0]
+                sizes: Counter = Counter()
+                for x, k in shown:
+                    sizes[k] += len(x)
+                made = "furniture" if sizes["furniture"] else sizes.most_common(1)[0][0]
                 self.blocks.append((t, made, self._tags, holder))
                 self._tags = []
-            self._parts, self._kinds = [], Counter()
+            self._parts = []
 
         while True:
             m = _TOKEN.search(source, at)
             text(source[at : m.start()] if m else source[at:])
             if not m:
                 break
-            at = m.end()
+            at, place = m.end(), m.start()
             name = (m[2] or m[5] or "").lower()
             if not name:
                 continue
@@ -120,16 +156,30 @@ class Page:
                     while open_.pop()[0] != name:
                         pass
             elif name not in VOID and not attributes.endswith("/"):
-                makes = "furniture" if name in FURNITURE or attributes and _says_furniture(attributes) else "link" if name == "a" else ""
+                leave()
+                plain = name in NAMELESS or any(n in ("pre", "code") for n, _, _ in open_) or name in ("pre", "code")
+                says = _says_furniture(name, attributes, bool(holder)) if attributes and not plain and name not in FURNITURE else ""
+                makes = "furniture" if name in FURNITURE or says and place not in spared else "link" if name == "a" else ""
+                for _, p in inside:
+                    self.named[p][1] += name == "p"
+                    self.named[p][2] |= name in HOLDERS or name == "h1"
+                if says == "other" and place not in spared:
+                    self.named[place] = [0, 0, 0]
+                    inside.append((len(open_), place))
                 h = 0
                 if name in HOLDERS and not makes:
                     holders += 1
                     h = holders
-                if makes or h or name in BLOCKS and name != "p":
+                if makes or h or name == "code" or name in BLOCKS and name != "p":
                     open_.append((name, makes, h))
+            leave()
             kind, holder = state()
         end_block()
 
+    def wrappers(self) -> frozenset[int]:
+        """Places of elements whose names say furniture, but which hold most of the page."""
+        return frozenset(p for p, (n, paragraphs, sign) in self.named.items() if 2 * n > self.words and (sign or paragraphs > 1))
+
 
 def _learn() -> dict[str, float]:
     """Log odds of each kind of word, and of tags, to lie in an article."""
@@ -163,7 +213,12 @@ def main_text(source: str | None) -> str:
     """The article's text, blocks joined by line feeds."""
     if not source:
         return ""
-    blocks = Page(source).blocks
+    page = Page(source)
+    spared: frozenset[int] = frozenset()
+    while more := page.wrappers() - spared:
+        spared |= more
+        page = Page(source, spared)
+    blocks = page.blocks
     line: list[float] = []
     for words, kind, tags, _ in blocks:
         line += [min(SCORES["tag"], 0) * len(tags), SCORES[kind] * (words.count(" ") + 1)]

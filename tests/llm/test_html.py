@@ -63,3 +63,35 @@ def test_table(spark):
     assert len(got) == 4 and all(g.n_chars == len(g.text) for g in got)
     assert [g.text.count("\n") for g in got if g.page_id == 1] == [3, 3]
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+BODY = "<h1>Head of it</h1><p>The first part of the article says what it is about.</p><p>The second part goes on with more words of the kind.</p>"
+WANT = "Head of it\nThe first part of the article says what it is about.\nThe second part goes on with more words of the kind."
+
+
+def test_names_that_are_no_furniture():
+    for page in (
+        f"<html class='no-js menu'><body class='has-sidebar'>{BODY}</body></html>",
+        f"<body class='admin-bar sidebar'>{BODY}</body>",
+        f"<body><div id=page class='with-sidebar'>{BODY}</div><footer>All rights</footer></body>",
+        f"<body><div id=page class='sidebar'><div class=widget>{BODY}</div><div class=sidebar><a href=x>Most read</a></div></div></body>",
+        f"<body><article class='post comments-open'>{BODY}</article></body>",
+        f"<body><main role=search id=search>{BODY}</main></body>",
+        f"<body><div data-role=menu>{BODY}</div></body>",
+    ):
+        assert main_text(page) == WANT, page
+    assert main_text(f"<article>{BODY}<section id='search'><h2 id='related-work'>Related work</h2><p>Some words of this section.</p></section><h2 id=search>Search</h2><p>Last.</p></article>") == WANT + "\nRelated work\nSome words of this section.\nSearch\nLast."
+
+
+def test_names_that_are_furniture():
+    for tag in ("div class=site-header", "div class='x main-nav'", "section id=comments", "div id=RelatedPosts", "ul role=navigation", "p class=ad"):
+        name = tag.split()[0]
+        assert main_text(f"<body><article>{BODY}<{tag}><b>Not this</b></{name}></article></body>") == WANT, tag
+    long = "<p>Readers say a lot of things that are not the article's.</p>" * 20
+    assert main_text(f"<body><article>{BODY}<div id=comments>{long}</div></article></body>") == WANT
+    assert main_text("<body><div class=menu><a href=a>One</a> <a href=b>Two</a></div></body>") == ""
+
+
+def test_furniture_within_a_line():
+    assert main_text("<article><p>A paragraph with <span class='notice'>a notice</span> in it.</p><p>Second.</p></article>") == "A paragraph with in it.\nSecond."
+    assert main_text("<article><p>Code:</p><pre>x = 1 <span class='hljs-comment'># one</span> <span class='token comment'># two</span></pre></article>") == "Code:\nx = 1 # one # two"
