@@ -3,8 +3,8 @@
 A page is read as a sequence of words and tags. A word's or tag's score is the log odds, learnt from the
 labelled pages below, that one of its kind lies in the article: words outside links and furniture score
 positive; tags, words of links and words of furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) score
-negative. One pass finds the contiguous run of the highest sum. Where an article or main element holds most
-of that run's words, the region is that element. The region's blocks, without those of furniture, are the text.
+negative. One pass finds the contiguous run of the highest sum. Where article or main elements hold most
+of that run's words, the region is the outermost of them with all that's nested in it, and the run. The region's blocks, without those of furniture, are the text.
 
 Furniture is told by the element or by a name in its class, id or role, if that consists of words of furniture (with
 MODIFIERS or without) and of nothing else. Names make no furniture of html, body, article and main, of what lies in
@@ -75,10 +75,10 @@ def _says_furniture(name: str, attributes: str, in_article: bool) -> str:
 
 
 class Page:
-    """Blocks of a page in order: text, kind of its words, tags before it, and the holder element it lies in (0: none)."""
+    """Blocks of a page in order: text, kind of its words, tags before it, and the holder elements it lies in, outermost first."""
 
     def __init__(self, source: str, spared: frozenset[int] | None = None):
-        self.blocks: list[tuple[str, str, list[str], int]] = []
+        self.blocks: list[tuple[str, str, list[str], tuple[int, ...]]] = []
         self._parts: list[tuple[str, str]] = []
         self._tags: list[str] = []
         open_: list[tuple[str, str, int]] = []  # name, what it makes of words (or ""), holder
@@ -89,15 +89,14 @@ class Page:
         inside: list[tuple[int, int]] = []  # depth in open_, place
         self.words = 0
 
-        def state() -> tuple[str, int]:
-            kind, holder = "word", 0
-            for _, makes, h in open_:
+        def state() -> tuple[str, tuple[int, ...]]:
+            kind = "word"
+            for _, makes, _ in open_:
                 if makes == "furniture" or kind == "word" and makes:
                     kind = makes
-                holder = h or holder
-            return kind, holder
+            return kind, tuple(h for _, _, h in open_ if h)
 
-        kind, holder = "word", 0
+        kind, holder = "word", ()
 
         def text(raw: str) -> None:
             if raw:
@@ -224,14 +223,16 @@ def main_text(source: str | None) -> str:
         line += [min(SCORES["tag"], 0) * len(tags), SCORES[kind] * (words.count(" ") + 1)]
     first, last = best_run(line)
     run = [i for i in range(len(blocks)) if first <= 2 * i + 1 < last]
-    size = Counter()
+    size, total = Counter(), 0
     for i in run:
         if blocks[i][1] != "furniture":
-            size[blocks[i][3]] += blocks[i][0].count(" ") + 1
-    if size:
-        holder, most = size.most_common(1)[0]
-        if holder and 2 * most > size.total():
-            run = [i for i, b in enumerate(blocks) if b[3] == holder]
+            n = blocks[i][0].count(" ") + 1
+            total += n
+            for h in blocks[i][3]:
+                size[h] += n
+    if most := [h for h, n in size.items() if 2 * n > total]:
+        outermost, taken = min(most), set(run)  # those that hold most lie in each other, and holders are numbered as they begin
+        run = [i for i, b in enumerate(blocks) if i in taken or outermost in b[3]]
     return "\n".join(blocks[i][0] for i in run if blocks[i][1] != "furniture")
 
 

@@ -95,3 +95,11 @@ def test_names_that_are_furniture():
 def test_furniture_within_a_line():
     assert main_text("<article><p>A paragraph with <span class='notice'>a notice</span> in it.</p><p>Second.</p></article>") == "A paragraph with in it.\nSecond."
     assert main_text("<article><p>Code:</p><pre>x = 1 <span class='hljs-comment'># one</span> <span class='token comment'># two</span></pre></article>") == "Code:\nx = 1 # one # two"
+
+
+def test_holders_keep_what_lies_in_and_around_them():
+    title, lead, long = "Title of it", "The lead tells in a few words what comes.", "The body of the article is longer than all that stands before it, and says a lot more than the lead did."
+    assert main_text(f"<body><main><h1>{title}</h1><p>{lead}</p><article><p>{long}</p></article></main></body>") == f"{title}\n{lead}\n{long}"
+    assert main_text(f"<body><article><p>{long}</p></article><article><p>{lead}</p></article></body>") == f"{long}\n{lead}"
+    assert main_text(f"<body><article><h1>{title}</h1><p>{long}</p><article><p>{lead}</p></article><p>{long}</p></article></body>") == f"{title}\n{long}\n{lead}\n{long}"
+    assert main_text(f"<body><nav>Menu</nav><main><p>{lead}</p><aside>Not this</aside><article><p>{long}</p></article></main><footer>End</footer></body>") == f"{lead}\n{long}"
