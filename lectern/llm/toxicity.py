@@ -4,8 +4,10 @@ A word's vector is the sum of hashed embeddings of the word and of its first thr
 so inflected and compound forms share what they begin with. Filters of widths 1, 2 and 3 run over the words of a whole text;
 each filter's maximum, rectified, feeds a logistic unit. It's trained in numpy with word-level dropout by
 Adagrad; gradients reach only the words where a filter has its maximum. Of the labelled rows at most MAX_TRAIN of
-each label are used, those with the smallest hashes of their ids; a fifth of them is kept apart to place the decision:
-the raw score of best F1 becomes a score of 0.7, and each language with enough of such rows gets a threshold of its own.
+each label fit the net, those with the smallest hashes of their ids; a fifth of them is kept apart. The decision is placed
+by all labelled rows that may train and didn't fit it: the raw score of best F1 becomes a score of 0.7, and each language with
+enough of such rows gets a threshold of its own. Where there are more than MAX_TRAIN of a label, they're scored in Spark and
+counted by language, score bin and label; a count stands for the rows of its label (and language) that fit the net, too.
 Language, source, ids and labels are no inputs of a score; the language only picks the threshold of
 `rejected`.
 
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.shingles import chunks
-from lectern.session import ship
+from lectern.session import materialise, ship
 
 #: Labelled texts of each label that train at most; embedding rows; their width; filters of each width.
 MAX_TRAIN, ROWS, WIDE, FILTERS, WIDTHS = 1500, 1 << 15, 12, 8, (1, 2, 3)
@@ -39,7 +41,9 @@ TOGETHER = 64
 #: Words that a worker remembers.
 REMEMBERED = 300_000
 _WORD = re.compile(r"\w+")
-_PARTS = 5
+_PARTS, _FIFTH = 5, 5
+#: Bins of a raw score's unit, and where they end.
+BINS, END = 50, 1500
 
 
 def _hashes(word: str) -> tuple[int, ...]:
@@ -152,6 +156,14 @@ def _start(net: Net, nums: list[np.ndarray], rows: np.ndarray, y: np.ndarray) ->
     net.b[0], net.v[0], net.c = 1 - cut, 1.5, -1.5
 
 
+def _apart(texts: list[str | None], y: np.ndarray) -> np.ndarray:
+    """Which texts are kept apart; none, if a label would be missing there or among the others."""
+    apart = np.array([zlib.crc32((t or "").encode("utf-8", "replace")) % _FIFTH == 0 for t in texts])
+    if len({*y[~apart]}) < 2 or len({*y[apart]}) < 2:
+        apart[:] = False
+    return apart
+
+
 def train(texts: list[str | None], y: np.ndarray, langs: list[str | None], seed: int = 3, steps: int = 250, batch: int = 48) -> Net:
     """Fit, then calibrate on a fifth kept apart."""
     net, vocab, y = Net.new(seed), Vocabulary(), np.asarray(y, int)
@@ -165,9 +177,7 @@ def train(texts: list[str | None], y: np.ndarray, langs: list[str | None], seed:
     while len(nums) < len(texts):  # numbers are small beside words
         nums += vocab.number(texts[len(nums) : len(nums) + TOGETHER], keep=True)
     r = np.random.default_rng(seed)
-    apart = np.array([zlib.crc32((t or "").encode("utf-8", "replace")) % 5 == 0 for t in texts])
-    if len({*y[~apart]}) < 2 or len({*y[apart]}) < 2:
-        apart[:] = False
+    apart = _apart(texts, y)
     fit = [np.flatnonzero((y == k) & ~apart) for k in (0, 1)]
     _start(net, [nums[i] for f in fit for i in f], vocab.rows, np.concatenate([y[f] for f in fit]))
     g = {k: np.full_like(getattr(net, k), 0.1) for k in ("e", "w", "b", "v")}
@@ -230,6 +240,44 @@ def _best_cut(s: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + after[k]) / 2)
 
 
+def _best_cut_of_bins(bins: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """`_best_cut` over counts n of bins (bin k: raw scores from k / BINS) and labels."""
+    order = np.unique(bins)[::-1]
+    at = np.searchsorted(-order, -bins)
+    hit, all_ = (np.cumsum(np.bincount(at, n * w, len(order))) for w in (y, np.ones(len(y))))
+    f1 = 2 * hit / (all_ + hit[-1])
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    low = order / BINS
+    after = np.append((order[1:] + 1) / BINS, low[-1] - 2)
+    k = best[np.argmax(low[best] - after[best])]
+    return float((low[k] + after[k]) / 2)
+
+
+def _calibrate_all(net: Net, rows: DataFrame) -> None:
+    """Decision and thresholds from all labelled rows: lang, raw, y, and whether a row `fitted` the net."""
+    place = F.greatest(F.least(F.floor(F.col("raw") * BINS), F.lit(END)), F.lit(-END)).cast("int").alias("bin")
+    counts = materialise(rows.groupBy("lang", place, "y", "fitted").agg(F.count("*").alias("n")), "toxicity")
+
+    def cut(found: pd.DataFrame, least: int, toxic: int) -> float | None:
+        free = found[~found["fitted"]]
+        y, n = free["y"].to_numpy(), free["n"].to_numpy(float)
+        have = np.bincount(y, n, 2)
+        if have.sum() < least or have[1] < toxic or not have.all():
+            return None
+        every = np.bincount(found["y"].to_numpy(), found["n"].to_numpy(float), 2)
+        return _best_cut_of_bins(free["bin"].to_numpy(), y, n * (every / have)[y])
+
+    general = cut(counts.groupBy("bin", "y", "fitted").agg(F.sum("n").alias("n")).toPandas(), 2, 1)
+    if general is None:
+        return
+    net.scale, net.shift, net.thresholds = 1.0, float(np.log(DECISION / (1 - DECISION)) - general), {}
+    many = counts.filter("NOT fitted AND lang <> ''").groupBy("lang").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("y")).alias("toxic")).filter((F.col("all") >= LEAST_OF_LANGUAGE) & (F.col("toxic") >= LEAST_OF_LANGUAGE // 4))
+    for lang, found in counts.join(many.select("lang"), "lang", "left_semi").toPandas().groupby("lang"):
+        mine = cut(found, LEAST_OF_LANGUAGE, LEAST_OF_LANGUAGE // 4)
+        if mine is not None:
+            net.thresholds[lang] = float(1 / (1 + np.exp(-np.clip(mine + net.shift, -30, 30))))
+
+
 def _calibrate(net: Net, nums: list[np.ndarray], rows: np.ndarray, y: np.ndarray, langs: list[str | None]) -> None:
     raw = net.raw(nums, rows)
     cut = _best_cut(raw, y)
@@ -250,11 +298,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int = MAX
     few = named.filter("y = 1").orderBy("h", "id").limit(max_train).unionByName(named.filter("y = 0").orderBy("h", "id").limit(max_train))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(few), "id")
     got = rows.orderBy("h", "id", "text").limit(4 * max_train).collect()  # bounded: max_train of each label, and their repeats
-    return train([r.text for r in got], np.array([r.y for r in got]), [r.lang for r in got])
+    texts, y = [r.text for r in got], np.array([r.y for r in got], int)
+    net = train(texts, y, [r.lang for r in got])
+    if len({*y}) == 2 and not named.groupBy("y").count().filter(F.col("count") > max_train).isEmpty():
+        away = _apart(texts, y).any()
+        free = F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(_FIFTH)) == 0 if away else F.lit(False)
+        plain = docs.filter(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        # scored before the join, which then deals numbers and no texts
+        raw = score(plain, net, "text", "raw", raw=True).select("id", "lang", "raw", free.alias("free"))
+        marked = named.select("id", "y").join(F.broadcast(few.select("id", F.lit(True).alias("few"))), "id", "left")
+        _calibrate_all(net, raw.join(marked, "id").select("lang", "raw", "y", (F.col("few").isNotNull() & ~F.col("free")).alias("fitted")))
+    return net
 
 
-def score(docs: DataFrame, net: Net, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The rows of `docs` with a score between 0 and 1."""
+def score(docs: DataFrame, net: Net, text_col: str = "text", score_col: str = "score", raw: bool = False) -> DataFrame:
+    """The rows of `docs` with a score between 0 and 1 (raw: before calibration)."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(net)  # ROWS x WIDE floats: 1.6 MB whatever the input
 
     @F.pandas_udf("double")
@@ -264,7 +322,7 @@ def score(docs: DataFrame, net: Net, text_col: str = "text", score_col: str = "s
             out = np.zeros(len(texts))
             xs = texts.tolist()
             for part in chunks(xs):
-                out[part.start : part.stop] = model.score(vocab.number([xs[i] for i in part]), vocab.rows)
+                out[part.start : part.stop] = (model.raw if raw else model.score)(vocab.number([xs[i] for i in part]), vocab.rows)
             yield pd.Series(out)
 
     return docs.withColumn(score_col, of(F.col(text_col)))

@@ -67,3 +67,23 @@ def test_no_labels_and_no_documents(spark):
     got = toxicity.toxicity(docs, none).collect()
     assert len(got) == 1 and 0.3 < got[0].score < 0.7
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    rows, labels, truth = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    net = toxicity.fit(docs, known, ~toxicity.held_out(), max_train=60)  # a fifth of 120 rows is too little for a language
+    assert set(net.thresholds) == {"en", "de"}
+    got = toxicity.score(docs, net).withColumn("toxic", toxicity.rejected(net)).collect()
+    assert np.mean([g.toxic == truth[g.doc_id] for g in got if g.doc_id in truth]) > 0.9
+
+
+def test_cut_of_bins_equals_the_cut_of_scores():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        bins, y = r.integers(-40, 40, 30), r.integers(0, 2, 30)
+        y[:2] = 0, 1
+        cut = toxicity._best_cut_of_bins(bins, y, np.ones(30))
+        f1 = lambda c: 2 * y[bins >= c * toxicity.BINS - 1e-9].sum() / ((bins >= c * toxicity.BINS - 1e-9).sum() + y.sum())  # noqa: B023, E731
+        assert abs(f1(cut) - max(f1(b / toxicity.BINS) for b in bins)) < 1e-9
