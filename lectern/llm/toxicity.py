@@ -11,8 +11,8 @@ counted by language, score bin and label; a count stands for the rows of its lab
 Language, source, ids and labels are no inputs of a score; the language only picks the threshold of
 `rejected`.
 
-Defined cases: null and empty texts are scored like a text without words; with no labelled rows, or one label
-only, the score is that label's share, pulled to the middle; unlabelled rows and null labels don't train; rows that
+Defined cases: null and empty texts are scored like a text without words; of rows
+that repeat a labelled id the one with the smallest text trains; with no labelled rows, or one label only, the score is that label's share, pulled to the middle; unlabelled rows and null labels don't train; rows that
 repeat an id are scored one by one; a null language takes the general threshold; an empty table gives no rows; other columns
 are kept by `score` and ignored by `toxicity`.
 """
@@ -297,7 +297,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int = MAX
     named = named.withColumnRenamed("id", id_col).filter(usable).withColumnRenamed(id_col, "id").withColumn("h", F.xxhash64("id"))
     few = named.filter("y = 1").orderBy("h", "id").limit(max_train).unionByName(named.filter("y = 0").orderBy("h", "id").limit(max_train))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(few), "id")
-    got = rows.orderBy("h", "id", "text").limit(4 * max_train).collect()  # bounded: max_train of each label, and their repeats
+    one = rows.groupBy("id").agg(F.min(F.struct("h", "id", "text", "lang", "y")).alias("r")).select("r.*")
+    got = one.orderBy("h", "id").collect()  # bounded: max_train of each label, and one row of an id however often it repeats
     texts, y = [r.text for r in got], np.array([r.y for r in got], int)
     net = train(texts, y, [r.lang for r in got])
     if len({*y}) == 2 and not named.groupBy("y").count().filter(F.col("count") > max_train).isEmpty():

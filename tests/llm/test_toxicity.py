@@ -87,3 +87,15 @@ def test_cut_of_bins_equals_the_cut_of_scores():
         cut = toxicity._best_cut_of_bins(bins, y, np.ones(30))
         f1 = lambda c: 2 * y[bins >= c * toxicity.BINS - 1e-9].sum() / ((bins >= c * toxicity.BINS - 1e-9).sum() + y.sum())  # noqa: B023, E731
         assert abs(f1(cut) - max(f1(b / toxicity.BINS) for b in bins)) < 1e-9
+
+
+def test_a_repeated_id_pushes_no_label_out(spark, monkeypatch):
+    labels = [(i, i % 2) for i in range(40)]
+    hashed = spark.createDataFrame(labels, "doc_id long, y int").selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect()
+    first = hashed[0].doc_id
+    rows = [(i, f"text {i}", "en") for i, _ in labels] + [(first, f"copy {k}", "en") for k in range(200)]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, langs: seen.append((texts, list(y))) or toxicity.Net.new(1))
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.F.lit(True), max_train=20)
+    texts, y = seen[0]
+    assert len(texts) == 40 and sum(y) == 20 and [t for t in texts if t.startswith("copy")] == ["copy 0"]
