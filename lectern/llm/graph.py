@@ -27,9 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are written first: then both sides of the joins are plain exchanges, and a hub's edges can be split over tasks
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        large = materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = materialise(small.distinct(), "edges")
 

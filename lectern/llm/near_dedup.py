@@ -2,15 +2,16 @@
 
 1. One pass over the texts gives each document its number of distinct word shingles, a 128-bit key of
    its word sequence, band hashes of a fast similarity sketch, and a byte of each coordinate. Documents
-   of one word sequence are a class; a class is represented by its smallest id, so copies
-   never meet in a bucket.
-2. Classes that share a band are candidates. In a first pass each class meets the smallest one of each of
+   of one word sequence are a class, which stands for them from here on, so copies never meet in a
+   bucket. The texts of classes that share a bucket with others, and no more, are written once.
+2. Classes that share a band are candidates. In a first pass each class meets the first one of each of
    its buckets, then its most similar partner in another component: at most as many pairs as
    bucket entries, whatever a bucket's size, which joins most of a hot group. Each pair is confirmed on the
    full shingle sets of both texts: 100 * intersection >= percent * union.
 3. Classes of a bucket that are still apart, though their sketches don't rule the threshold out (SLACK standard
-   deviations below it), meet in blocks of the bucket that carry their texts. There all such pairs are
-   confirmed on full sets, and a block gives a spanning forest of the links, not the links.
+   deviations below it), meet in blocks of the bucket that carry their texts, unless they met in the bucket of an
+   earlier band. There all such pairs are confirmed on full sets, and a block gives a spanning forest of the
+   links, not the links.
 
 Connected components are found without gathering any.
 
@@ -35,6 +36,7 @@ from pyspark.sql.types import BooleanType
 
 from lectern.llm.graph import components, forest, in_blocks, whole_groups
 from lectern.llm.shingles import chunks, key, mix, shingle_sets, sketches, words
+from lectern.llm.worker import lean
 from lectern.session import materialise, ship
 
 BANDS, ROWS = 25, 5
@@ -42,8 +44,12 @@ BANDS, ROWS = 25, 5
 SLACK = 5.0
 #: Classes of a block, in a bucket that is compared in blocks.
 BLOCK = 500
+#: Ids of texts to fetch (16 bytes each) that are broadcast at most; beyond it the join shuffles.
+BROADCAST_IDS = 50_000
+#: Shingles that a task remembers of the texts it has met.
+REMEMBERED = 1 << 21
 
-_SIGNED = "id long, k1 long, k2 long, n_shingles long, bands array<long>, signature binary"
+_SIGNED = "id long, tie long, k1 long, k2 long, n_shingles long, bands array<long>, signature binary"
 
 
 def _sign(n: int):
@@ -65,13 +71,14 @@ def _sign(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(part.start, len(part)),
+                        batch.column("tie").slice(part.start, len(part)),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, np.int32), bands.reshape(-1).view(np.int64)),
                         pa.array([x.tobytes() for x in small], pa.binary()),
                     ],
-                    names=["id", "k1", "k2", "n_shingles", "bands", "signature"],
+                    names=["id", "tie", "k1", "k2", "n_shingles", "bands", "signature"],
                 )
 
     return run
@@ -114,13 +121,18 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, lis
 
 
 def _scores(table: pa.Table, least: int):
-    """For rows x of a table and rows y: agreement of their sketches, -1 where they're of one component or below `least`."""
-    root = table["root"].to_numpy()
+    """For rows x and y of one bucket: agreement of their sketches, -1 where they're of one component, below `least`, or met in an earlier band's bucket."""
+    root, band = table["root"].to_numpy(), table["band"].to_numpy()
     sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(table), -1)
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(table), BANDS)
+    place = (bands == band[:, None]).argmax(axis=1) if len(table) else band
 
-    def of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def of(x: np.ndarray, y: np.ndarray, once: bool = True) -> np.ndarray:
         s = _agreement(sig[x][:, None, :], sig[y][None, :, :])
-        s[(s < least) | (root[x][:, None] == root[y][None, :])] = -1
+        out = (s < least) | (root[x][:, None] == root[y][None, :])
+        for t in range(place[x[0]] if once and len(x) else 0):
+            out |= bands[x, t][:, None] == bands[y, t][None, :]
+        s[out] = -1
         return s
 
     return of
@@ -210,17 +222,18 @@ def _settle(percent: int, n: int):
 
 def _confirm(percent: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[int, np.ndarray] = {}
         held = 0
         for batch in batches:
-            a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
             ok = np.zeros(len(a), bool)
-            for part in chunks([x + y for x, y in zip(a, b, strict=True)]):
-                fresh = list({t for i in part for t in (a[i], b[i])} - known.keys())
-                if held > 1 << 22:
+            for part in chunks([x + y for x, y in zip(ta, tb, strict=True)]):
+                if held > REMEMBERED:
                     known.clear()
-                    held, fresh = 0, list({t for i in part for t in (a[i], b[i])})
-                sets = shingle_sets([words(t) for t in fresh], n)
+                    held = 0
+                fresh = {c: t for i in part for c, t in ((a[i], ta[i]), (b[i], tb[i])) if c not in known}
+                sets = shingle_sets([words(t) for t in fresh.values()], n)
                 known.update(zip(fresh, sets, strict=True))
                 held += sum(map(len, sets))
                 for i in part:
@@ -237,48 +250,58 @@ def _confirm(percent: int, n: int):
 def near_dedup(docs: DataFrame, percent: int = 80, words_a_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: id_col, n_shingles, component_id, kept, and the word sequence's key k1, k2."""
     ship(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialise(plain.mapInArrow(_sign(words_a_shingle), _SIGNED), "signed")
-    classes = materialise(signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("node")), "classes")
-    reps = signed.join(classes, ["k1", "k2"]).filter("id = node").select("node", "bands", "signature")
-    entries = reps.select("node", F.explode("bands").alias("band"))
+    own = lambda run: lean("near_dedup", run)
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
+    signed = materialise(plain.mapInArrow(own(_sign(words_a_shingle)), _SIGNED), "signed")
+    sequences = signed.filter("n_shingles > 0 AND id IS NOT NULL")
+    # equal words have equal bands and sketches: copies become one row before the exchange
+    grouped = sequences.groupBy("k1", "k2").agg(F.min(F.struct("id", "tie")).alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    classes = materialise(grouped.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "first.id", "first.tie", "bands", "signature"), "classes")
+    entries = classes.select("node", F.explode("bands").alias("band"))
     # written first: then both sides of the join are plain exchanges, and a hot band's rows can be split over tasks
     lows = materialise(entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("band", "lo"), "lows")
     shared = materialise(entries.join(lows, "band").distinct(), "shared")
-    signatures = materialise(reps.join(shared.select("node").distinct(), "node", "left_semi").select("node", "signature"), "signatures")
+    met = materialise(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "id", "tie", "signature", "bands"), "met")
+    wanted = met.select("node", "id", "tie")
+    wanted = F.broadcast(wanted) if met.count() <= BROADCAST_IDS else wanted
+    texts = materialise(plain.join(wanted, ["id", "tie"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        """node, text of classes; a node whose rows have several word sequences has several texts."""
-        of = signed.select("id", "k1", "k2").join(nodes.distinct().join(classes, "node"), ["k1", "k2"]).filter("id = node").select("id").distinct()
-        return materialise(plain.join(of, "id", "left_semi").select(F.col("id").alias("node"), "text").distinct(), "texts")
-
-    def confirmed(wanted: DataFrame) -> DataFrame:
-        found = texts(wanted.select(F.explode(F.array("a", "b")).alias("node")))
-        both = wanted.join(found.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(found.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return materialise(both.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent, words_a_shingle), "a long, b long"), "links")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        return materialise(both.select("a", "b", "ta", "tb").mapInArrow(own(_confirm(percent, words_a_shingle)), "a long, b long"), "links")
 
     def meeting(entries: DataFrame, *more: str) -> DataFrame:
-        return in_blocks(entries, "band", "node", block).select("band", "i", "j", "block", "node", "root", "signature", *more)
+        return in_blocks(entries, "band", "node", block).select("band", "i", "j", "block", "node", "root", "signature", "bands", *more)
 
     def apart() -> DataFrame:
         """Entries of buckets whose classes are of several components."""
         rest = shared.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rest.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("band")
-        return rest.join(mixed, "band", "left_semi").join(one_signature, "node")
+        mixed = materialise(rest.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("band"), "mixed")
+        return rest.join(mixed, "band", "left_semi").join(met.select("node", "signature", "bands"), "node")
 
-    sig = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa")), signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
+    sig = met.select(F.col("node").alias("a"), F.col("signature").alias("sa")), met.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
     stars = shared.filter("node != lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    close = stars.join(sig[0], "a").join(sig[1], "b").filter(_close(percent)("sa", "sb")).select("a", "b").distinct()
-    # rows that share an id are one node
-    same_id = signed.filter("n_shingles > 0 AND id IS NOT NULL").join(classes, ["k1", "k2"]).groupBy("id").agg(F.min("node").alias("a"), F.array_sort(F.collect_set("node")).alias("nodes")).filter("size(nodes) > 1").select("a", F.explode("nodes").alias("b")).filter("a != b")
-    one_signature = signatures.dropDuplicates(["node"])
+    close = stars.join(sig[0], "a").join(sig[1], "b").filter(_close(percent)("sa", "sb")).select("a", "b")
+    # rows that share an id are one document: their classes are linked
+    several = sequences.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).filter("x != y").select("id")
+    of_id = sequences.select("id", "k1", "k2").join(several, "id").distinct().join(classes.select("k1", "k2", "node"), ["k1", "k2"])
+    same_id = materialise(of_id.groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("nodes")).select("a", F.explode("nodes").alias("b")).filter("a != b"), "same-id")
     roots = components(confirmed(materialise(close, "pairs")).unionByName(same_id))
     linked = lambda more: components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    roots = linked(confirmed(materialise(meeting(apart()).mapInArrow(_apart(percent), "a long, b long").distinct(), "pairs")))
-    pending = materialise(meeting(apart()).mapInArrow(_pending(percent), "band long, node long, root long").distinct(), "pending")
-    held = pending.join(one_signature, "node").join(texts(pending.select("node")), "node")
-    roots = linked(materialise(meeting(held, "text").mapInArrow(_settle(percent, words_a_shingle), "a long, b long"), "links"))
-
-    named = classes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-    out = signed.select("id", "k1", "k2", "n_shingles").join(named, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")))
+    roots = linked(confirmed(materialise(meeting(apart()).mapInArrow(own(_apart(percent)), "a long, b long").distinct(), "pairs")))
+    pending = materialise(meeting(apart()).mapInArrow(own(_pending(percent)), "band long, node long, root long").distinct(), "pending")
+    held = pending.join(met.select("node", "signature", "bands"), "node").join(texts, "node")
+    roots = linked(materialise(meeting(held, "text").mapInArrow(own(_settle(percent, words_a_shingle)), "a long, b long"), "links"))
+
+    # the smallest id of each component of several classes; a root is a node of its component without a row in `roots`
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    low = materialise(members.join(classes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("low")), "low")
+    return _named(signed, classes, roots, low, id_col)
+
+
+def _named(signed: DataFrame, classes: DataFrame, roots: DataFrame, low: DataFrame, id_col: str) -> DataFrame:
+    """Each row with the smallest id of its component."""
+    of = classes.select("k1", "k2", F.col("id").alias("least"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(low, "root", "left")
+    of = of.select("k1", "k2", F.coalesce("low", "least").alias("least"))
+    out = signed.select("id", "k1", "k2", "n_shingles").join(of, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "k1", "k2")

@@ -1,9 +1,9 @@
 """Sets of word shingles as 64-bit hashes, a chunk of texts at a time.
 
 Texts are UTF-8 bytes. A-Z become a-z; words are runs of bytes other than \\x20 and \\x09-\\x0D,
-which is what bytes.split() cuts at; words are joined by one space. A shingle is a span of the
-joined words, hashed as a polynomial over random 64-bit values of its bytes, so one cumulative sum
-over a chunk gives the hash of any span in it.
+which is what bytes.split() cuts at. A word's hash is the sum of a random number for each pair of a byte and
+its place (words of more than LONG bytes go by their 128-bit digests); a shingle's hash combines those of its words. So
+memory follows the chunk's size, whatever the length of a word.
 """
 
 from __future__ import annotations
@@ -13,22 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-_RANDOM = np.random.default_rng(20240229)
-_BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
-_BASE = int(_RANDOM.integers(0, 2**63)) * 2 + 1
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 .. n of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 20)
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers.append(np.cumprod(x, dtype=np.uint64))
-    return _powers[0], _powers[1]
+#: Bytes of a word that are hashed byte by byte.
+LONG = 64
+_TABLE = np.random.default_rng(20240229).integers(0, 2**64, LONG * 256, np.uint64)
+_STEP = 0xD6E8FEB86659FD93
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -48,29 +36,43 @@ def key(ws: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def word_hashes(ws: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word; no word is empty."""
+    if not ws:
+        return np.empty(0, np.uint64)
+    lengths = np.fromiter(map(len, ws), np.int64, len(ws))
+    if lengths.max() > LONG:
+        ws = [w if len(w) <= LONG else b"\0long\0" + xxhash.xxh3_128_digest(w) for w in ws]
+        lengths = np.fromiter(map(len, ws), np.int64, len(ws))
+    starts = np.r_[0, np.cumsum(lengths)[:-1]]
+    buf = np.frombuffer(b"".join(ws), np.uint8)
+    place = (np.arange(len(buf), dtype=np.int32) - np.repeat(starts, lengths).astype(np.int32)) << 8
+    place |= buf
+    return mix(np.add.reduceat(_TABLE.take(place), starts))
+
+
+def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, by their words' hashes."""
+    out = h[: len(h) - k + 1].copy()
+    for j in range(1, k):
+        out *= np.uint64(_STEP)
+        out += h[j : len(h) - k + 1 + j]
+    return mix(out, k)
+
+
 def shingle_sets(chunk: list[list[bytes]], n: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each word list: with fewer than n words the whole list is one, with none there is none."""
-    counts = np.array([len(ws) for ws in chunk], np.int64)
-    held = np.flatnonzero(counts)
-    out = [np.empty(0, np.uint64)] * len(chunk)
-    if not len(held):
-        return out
-    raw = b" ".join(b" ".join(chunk[i]) for i in held)
-    buf = np.frombuffer(raw, np.uint8)
-    power, inverse = _power(len(buf))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
-    gaps = np.flatnonzero(buf == 32)
-    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(buf)]
-    at = np.r_[0, np.cumsum(counts[held])]
-    for i, first, last in zip(held, at[:-1], at[1:], strict=True):
-        k = min(n, last - first)
-        s, e = starts[first : last - k + 1], ends[first + k - 1 : last]
-        out[i] = np.unique(mix((total[e] - total[s]) * inverse[s]))
+    h = word_hashes([w for ws in chunk for w in ws])
+    runs = _shingles(h, n) if len(h) >= n else h[:0]
+    out, at = [], 0
+    for ws in chunk:
+        end = at + len(ws)
+        out.append(np.unique(runs[at : end - n + 1]) if len(ws) >= n else _shingles(h[at:end], len(ws)) if ws else h[:0])
+        at = end
     return out
 
 
-def chunks(texts: list[bytes | None], size: int = 1 << 21) -> Iterator[range]:
+def chunks(texts: list[bytes | None], size: int = 1 << 19) -> Iterator[range]:
     """Ranges of rows whose texts take about `size` bytes together; a longer text is a chunk of its own."""
     first = held = 0
     for i, t in enumerate(texts):

@@ -121,6 +121,21 @@ def test_near_dedup_against_brute_force(spark):
     assert all(g.kept == (g.doc_id == g.component_id) for g in got)
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(9, a), (9, b), (9, b), (4, a + " more"), (7, b + " more"), (8, "apart from all of these others")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=85).collect()
+    assert sorted((g.doc_id, g.component_id) for g in got) == [(4, 4), (7, 4), (8, 8), (9, 4), (9, 4), (9, 4)]
+
+
+def test_long_words_and_long_texts():
+    long, texts = "x" * 1_000_000, []
+    texts = [f"{long} a b c d e", f"{long[1:]} a b c d e", f"{long} a b c d e", "w " * 300_000 + "end", None, ""]
+    sets = shingles.shingle_sets([shingles.words(t.encode() if t else None) for t in texts])
+    assert [len(s) for s in sets] == [len(brute_set(t)) for t in texts]
+    assert len(np.intersect1d(sets[0], sets[1])) == 1 and (sets[0] == sets[2]).all()
+
+
 def test_near_dedup_of_nothing_and_null_ids(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_dedup(docs).count() == 0
