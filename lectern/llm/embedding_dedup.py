@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.graph import components, forest, in_blocks, whole_groups
 from lectern.llm.shingles import mix
+from lectern.llm.worker import lean
 from lectern.session import materialise, ship
 
 TABLES, HASHES, WIDTH = 28, 8, 2.0
@@ -134,13 +135,13 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     """Per row: id_col, n_links, component_id, kept."""
     ship(vectors.sparkSession)
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = materialise(plain.mapInArrow(_usable, "id long, label string, vector binary"), "vectors")
+    rows = materialise(plain.mapInArrow(lean("embedding_dedup", _usable), "id long, label string, vector binary"), "vectors")
     can = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull()
     keyed = rows.withColumn("k1", F.when(can, F.xxhash64("label", "vector"))).withColumn("k2", F.when(can, F.xxhash64(F.lit(1), "vector", "label")))
     groups = keyed.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vector").alias("vector"))
     classes = materialise(groups.withColumn("grp", F.xxhash64("label", F.length("vector"))), "classes")
-    met = in_blocks(classes.select("grp", "node", "n", "vector").mapInArrow(_bucketed, "bucket long, tbl int, grp long, node long, n long, vector binary"), "bucket", "node", block)
-    found = materialise(met.select("bucket", "i", "j", "block", "tbl", "grp", "node", "n", "vector").mapInArrow(_linked(least), "node long, links long, to long"), "links")
+    met = in_blocks(classes.select("grp", "node", "n", "vector").mapInArrow(lean("embedding_dedup", _bucketed), "bucket long, tbl int, grp long, node long, n long, vector binary"), "bucket", "node", block)
+    found = materialise(met.select("bucket", "i", "j", "block", "tbl", "grp", "node", "n", "vector").mapInArrow(lean("embedding_dedup", _linked(least)), "node long, links long, to long"), "links")
     same_id = keyed.filter("k1 IS NOT NULL").join(classes.select("k1", "k2", "node"), ["k1", "k2"]).groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("nodes")).filter("a != b").select("a", F.explode("nodes").alias("b")).filter("a != b")
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")).unionByName(same_id))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

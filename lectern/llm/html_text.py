@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.worker import lean
 from lectern.session import ship
 
 #: Elements that start and end blocks; that hold no text of the page; that are furniture; and words of class, id or role that mean furniture.
@@ -246,4 +247,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per row: id_col, url_col, text, n_chars."""
     ship(pages.sparkSession)
     plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return plain.mapInArrow(_extracted, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    return plain.mapInArrow(lean("html_text", _extracted), "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})

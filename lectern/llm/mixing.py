@@ -33,6 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.shingles import mix
+from lectern.llm.worker import lean
 from lectern.session import materialise, ship
 
 #: Words of a block, slots of an output shard, hash buckets of a source, and sources at most.
@@ -208,7 +209,7 @@ class Mix:
                     where = np.argsort(permuted(np.arange(len(k)), len(k), seed, int(shard), 77))
                     yield pd.DataFrame({"shard": shard, "slot": where, "src_no": src.astype(np.int32), "src": [names[i] for i in src], "turn": turn, "block": at, "words": words})
 
-        return spark.range(shards, numPartitions=max(1, min(shards, 4096))).mapInPandas(run, "shard long, slot long, src_no int, src string, turn long, block long, words long")
+        return spark.range(shards, numPartitions=max(1, min(shards, 4096))).mapInPandas(lean("mixing", run), "shard long, slot long, src_no int, src string, turn long, block long, words long")
 
     def taken(self) -> DataFrame:
         """id, row, words: what the mix takes of each document that it takes from, over all its slots."""

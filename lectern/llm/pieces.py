@@ -7,9 +7,10 @@ marker), unigram scores or the merges that the scores of a BPE model imply, byte
 
 No token crosses the place between two characters that are neighbours in no piece. Texts are cut at such
 places (before markers, around line ends, before full stops after letters, as the model allows), and each
-distinct segment is encoded once a worker.
+distinct segment is encoded, and decoded again, once a worker. Ids of a text are those of its segments one after
+another, and so are the bytes that they spell: a text's round trip holds if those of its segments do.
 
-`parity` compares ids with those of the sentencepiece library; the query compares every document.
+`parity` compares ids with those of the sentencepiece library; the query compares every document's whole text.
 
 Limits, stated rather than hidden: word and char models, user-defined pieces, a suffix marker and
 normalisers that drop the marker are refused. In a unigram model with byte fallback the names of byte
@@ -32,16 +33,18 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.encode import SegmentEncoder, once, packed, threads
+from lectern.llm.encode import REMEMBERED, SegmentEncoder, encode_together, large, lists_of, threads
 from lectern.llm.shingles import chunks
+from lectern.llm.worker import lean, once
 from lectern.session import ship
 
 MARK = "▁"
-#: Segments that a worker remembers; the sentencepiece library's model and two vocabularies lie beside them.
-REMEMBERED = 400_000
+#: Bytes of texts that are encoded together; a longer text is encoded alone.
+TOGETHER = 4 << 20
 #: Fixed values of the public model format: kinds of pieces, and the algorithms that are read here.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -127,19 +130,25 @@ class Cutter:
         self.mark = not any(b == MARK != a for a, b in pairs)
         # without byte fallback, neighbouring unknown characters are one unknown piece: no cut among those
         ends = [c for c in ".,!?;:" if (model.byte_fallback or c in alone) and not any(b == c and a.isalpha() for a, b in pairs)]
-        self.ends = re.compile(r"([^\W\d_])([" + "".join(ends) + "])") if ends and self.mark else None
+        self.ends = rf"(\pL)([{''.join(ends)}])" if ends and self.mark else ""
         self.line = self.mark and model.byte_fallback and "\n" not in alone
-        self.runs = re.compile(f"(?<!{MARK}){MARK}")
 
-    def __call__(self, s: str) -> list[str]:
-        if not self.mark or self.AT in s:
-            return [s] if s else []
-        s = self.runs.sub(self.AT + MARK, s) if MARK * 2 in s else s.replace(MARK, self.AT + MARK)
+    def __call__(self, texts: pa.LargeStringArray) -> pa.LargeListArray:
+        """The segments of each text; an empty one is none."""
+        if not self.mark:
+            return pc.split_pattern(texts, self.AT + self.AT, max_splits=0)
+        held = pc.match_substring(texts, self.AT).to_numpy(zero_copy_only=False)
+        if held.any():  # a text that spells the sign of a cut is one segment
+            cut = self(pc.if_else(pa.array(held), pa.scalar("", pa.large_string()), texts)).to_pylist()
+            return pa.array([[t] if h else c for t, h, c in zip(texts.to_pylist(), held, cut, strict=True)], pa.large_list(pa.large_string()))
+        # a run of marks stays whole: pieces hold several
+        x = pc.replace_substring(pc.replace_substring(texts, MARK, self.AT + MARK), MARK + self.AT, MARK)
         if self.ends:
-            s = self.ends.sub(rf"\1{self.AT}\2", s)
+            x = pc.replace_substring_regex(x, self.ends, rf"\1{self.AT}\2")
         if self.line:
-            s = s.replace("\n", f"{self.AT}\n{self.AT}")
-        return [x for x in s.split(self.AT) if x]
+            x = pc.replace_substring(x, "\n", f"{self.AT}\n{self.AT}")
+        cut = pc.split_pattern(x, self.AT)
+        return pa.LargeListArray.from_arrays(cut.offsets.cast(pa.int64()), cut.flatten())
 
 
 class PieceTokenizer:
@@ -163,8 +172,22 @@ class PieceTokenizer:
         self.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
         self.names = names
         self.special = {i for i, (_, _, k) in enumerate(m.pieces) if k == CONTROL}
-        self.segments = SegmentEncoder(lambda xs: [packed(e.ids) for e in self.tokenizer.encode_batch_fast(xs, add_special_tokens=False)], REMEMBERED)
         self.cut = Cutter(m)
+        self._spelt = {i: p.replace(MARK, " ").encode() for i, (p, _, k) in enumerate(m.pieces) if k == NORMAL}
+        self._spelt |= {i: bytes([int(p[3:5], 16)]) for i, (p, _, k) in enumerate(m.pieces) if k == BYTE}
+        glue = "\n" if self.cut.line else ""
+        mark = self.tokenizer.encode(glue, add_special_tokens=False).ids if glue else []
+        self.segments = SegmentEncoder(lambda xs: encode_together(self.tokenizer, xs, *((glue, mark[0]) if len(mark) == 1 else ())), seen=self._decoded)
+        #: Segments that their ids don't spell.
+        self.lost: set[str] = set()
+
+    def _decoded(self, segments: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        spelt, at = [self._spelt.get(i) for i in ids.tolist()], 0
+        for s, n in zip(segments, counts.tolist(), strict=True):
+            part = spelt[at : at + n]
+            if None in part or b"".join(part) != s.replace(MARK, " ").encode():
+                self.lost.add(s)
+            at += n
 
     def normalise(self, text: str | None) -> str:
         """The text that pieces spell, markers for spaces."""
@@ -177,18 +200,29 @@ class PieceTokenizer:
             text = " " + text
         return text.replace(" ", MARK)
 
+    def encode_all(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts (a list or an Arrow array) one after another, where each text's begin and end, and whether they spell the normalised text."""
+        raw = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+        cut = self.cut(large([self.normalise(t) for t in raw]))
+        if len(self.lost) > REMEMBERED:
+            self.lost.intersection_update(self.segments.known)
+        flat, offsets = self.segments.encode(cut)
+        back = np.ones(len(raw), bool)
+        if self.lost:
+            at = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+            bad = np.r_[0, np.cumsum(pc.is_in(cut.flatten(), pa.array(sorted(self.lost), pa.large_string())).to_numpy(zero_copy_only=False))]
+            back = bad[at[1:]] == bad[at[:-1]]
+        return flat, offsets, back
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self.segments.encode([self.cut(self.normalise(t)) for t in texts])
+        return lists_of(*self.encode_all(texts)[:2])
 
     def decode(self, ids: list[int]) -> str:
         return self.decoder.decode([self.names[i] for i in ids if i not in self.special])
 
     def decode_all(self, many: list[bytes]) -> list[str]:
         """Texts of id lists: runs of byte pieces become their bytes, markers spaces, the dummy prefix goes."""
-        if not hasattr(self, "_spelt"):
-            self._spelt = {i: p.replace(MARK, " ").encode() for i, (p, _, k) in enumerate(self.model.pieces) if k == NORMAL}
-            self._spelt |= {i: bytes([int(p[3:5], 16)]) for i, (p, _, k) in enumerate(self.model.pieces) if k == BYTE}
         out = []
         for raw in many:
             ids = np.frombuffer(raw, "<u4").tolist()
@@ -200,52 +234,42 @@ class PieceTokenizer:
         return out
 
 
-def parity(raw: bytes, texts: list[str], ids: list[bytes]) -> list[bool]:
-    """Whether the sentencepiece library gives the same ids."""
+def parity(raw: bytes, texts: list[str], flat: np.ndarray, offsets: np.ndarray) -> list[bool]:
+    """Whether the sentencepiece library gives the same ids for whole texts."""
     import sentencepiece
 
-    sp = once(("sentencepiece", crc32(raw)), lambda: sentencepiece.SentencePieceProcessor(model_proto=raw))
-    return [np.array(x, "<u4").tobytes() == y for x, y in zip(sp.encode(list(texts), num_threads=1), ids, strict=True)]
+    sp = once(("pieces", "sentencepiece", crc32(raw)), lambda: sentencepiece.SentencePieceProcessor(model_proto=raw))
+    found = sp.encode(list(texts), num_threads=1, return_type="numpy")
+    return [np.array_equal(x, flat[a:b]) for x, a, b in zip(found, offsets[:-1], offsets[1:], strict=True)]
 
 
 def _encoded(spec, compare: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = spec.value
-        made: list = []  # the tokenizer stays with its task's worker
+        t = None
         for batch in batches:
-            if not made:
-                made.append(_tokenizer(raw))
-            t = made[0]
+            t = t or _tokenizer(raw)
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for part in chunks(texts):
+            for part in chunks(texts, TOGETHER):
                 some = [texts[i] for i in part]
-                ids = t.encode(some)
-                back = t.decode_all(ids)
-                spelt = [t.normalise(x).replace(MARK, " ") for x in some]
-                lead = t.model.dummy_prefix
+                flat, offsets, back = t.encode_all(some)
+                whole = flat.astype("<u4", copy=False)
                 cols = [
                     batch.column("id").slice(part.start, len(part)),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([crc32(x) for x in ids], pa.int64()),
-                    pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32), np.frombuffer(b"".join(ids), "<u4").astype(np.int32)),
-                    pa.array([b == (s[1:] if lead and s[:1] == " " else s) for b, s in zip(back, spelt, strict=True)]),
-                    pa.array(parity(raw, some, ids) if compare else [None] * len(some), pa.bool_()),
+                    pa.array(np.diff(offsets), pa.int64()),
+                    pa.array([crc32(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.int64()),
+                    pa.ListArray.from_arrays(offsets.astype(np.int32), flat.view(np.int32)),
+                    pa.array(back),
+                    pa.array(parity(raw, some, flat, offsets) if compare else [None] * len(some), pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids_crc32", "ids", "round_trip", "parity"])
 
-    return run
-
-
-_tokenizers: dict[int, PieceTokenizer] = {}
+    return lean("pieces", run)
 
 
 def _tokenizer(raw: bytes) -> PieceTokenizer:
     """The tokenizer of a model, made once in a worker process."""
-    k = crc32(raw)
-    if k not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[k] = PieceTokenizer(raw)
-    return _tokenizers[k]
+    return once(("pieces", crc32(raw)), lambda: PieceTokenizer(raw))
 
 
 def encode_pieces(docs: DataFrame, model_file: str, compare: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,4 +298,4 @@ def decode_pieces(encoded: DataFrame, model_file: str, id_col: str = "doc_id", i
             texts = t.decode_all([np.array(x or [], "<u4").tobytes() for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(lean("pieces", run), "id long, text string").withColumnRenamed("id", id_col)

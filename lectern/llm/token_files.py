@@ -7,8 +7,9 @@ table of the public seekable format: for each frame compressed size, content siz
 content's xxh64, then the number of frames, a descriptor byte and the magic number 0x8F92EAB1. A
 reader takes the table from the file's end, the index, and then only the frames of the documents asked for.
 
-Files are written by Spark's own text writer, one row a file, so they land in any file system that Spark
-knows and a lost task leaves nothing half-written. That writer ends each row with a separator: here the
+Files are written by Spark's own text writer, one row a file: the writers of PySpark that reach any file system that
+Spark knows and commit tasks, so that a lost one leaves nothing half-written, are those of its formats, and text is
+the one that adds no bytes but a separator of choice. It neither checks nor changes the bytes of a string. That writer ends each row with a separator: here the
 last three bytes of the magic number, EA 92 8F, which are U+A48F in UTF-8.
 
 Documents lie in ascending order of id (nulls first; ties by the text's hash), within files and over
@@ -32,15 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.encode import WordEncoder, once
+from lectern.llm.encode import WordEncoder, lists_of
 from lectern.llm.shingles import chunks
-from lectern.session import ship
+from lectern.llm.worker import lean, once
+from lectern.session import materialise, ship
 
 #: Fixed values of the public seekable format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 _SEPARATOR = b"\xea\x92\x8f".decode()
-#: Compressed bytes after which a file is closed.
-FILE_BYTES = 8 << 20
+#: Compressed bytes after which a file is closed, and bytes of texts that are encoded together (a longer text alone).
+FILE_BYTES, TOGETHER = 8 << 20, 4 << 20
 
 
 def pack(ids: list[bytes], doc_ids: list[int | None], level: int = 3) -> bytes:
@@ -90,13 +92,13 @@ class TokenFile:
 
 def _packed(spec, end_id: int, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once(("word", end_id), lambda: WordEncoder(spec.value))
+        encoder = once(("token_files", crc32(spec.value.encode())), lambda: WordEncoder(spec.value))
         end = np.array([end_id], "<u4").tobytes()
         ids, docs, held = [], [], 0
         for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("id").to_pylist()
-            for part in chunks(texts):
-                for i, x in zip(part, encoder.encode([texts[i] for i in part]), strict=True):
+            texts, names = batch.column("text"), batch.column("id").to_pylist()
+            for part in chunks(texts.cast("binary").to_pylist(), TOGETHER):
+                for i, x in zip(part, lists_of(*encoder.encode_all(texts.slice(part.start, len(part)))), strict=True):
                     ids.append(x + end)
                     docs.append(names[i])
                     held += len(ids[-1])
@@ -106,7 +108,7 @@ def _packed(spec, end_id: int, file_bytes: int):
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([pack(ids, docs)[:-3]], pa.binary())], names=["content"])
 
-    return run
+    return lean("token_files", run)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
@@ -140,10 +142,12 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     """Per document of the files: id_col, start, n_tokens, ids_crc32, file, frame."""
     ship(spark)
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "part-*").load(path)
-    rows = files.select("path", "content").mapInArrow(_unpacked, "file string, frame int, id long, before long, n_tokens long, ids_crc32 long")
-    rows = rows.withColumn("part", F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)", 1).cast("long")).withColumn("nth", F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)", 2).cast("long"))
+    rows = files.select("path", "content").mapInArrow(lean("token_files", _unpacked), "file string, frame int, id long, before long, n_tokens long, ids_crc32 long")
+    at = F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)", 1).cast("long"), F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)", 2).cast("long")
+    # files are read once: their frames' figures are written, and the totals come from there
+    rows = materialise(rows.withColumns({"part": at[0], "nth": at[1], "file": F.element_at(F.split("file", "/"), -1)}), "frames")
     # one row a file from here on: at most one for each FILE_BYTES and partition
     totals = rows.groupBy("part", "nth").agg(F.sum("n_tokens").alias("total"))
     starts = totals.select("part", "nth", (F.sum("total").over(W.orderBy("part", "nth")) - F.col("total")).alias("file_start"))
     out = rows.join(starts, ["part", "nth"])
-    return out.select(F.col("id").alias(id_col), (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", F.element_at(F.split("file", "/"), -1).alias("file"), "frame")
+    return out.select(F.col("id").alias(id_col), (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "frame")

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.shingles import chunks
+from lectern.llm.worker import lean
 from lectern.session import materialise, ship
 
 #: Labelled texts of each label that train at most; embedding rows; their width; filters of each width.
@@ -316,7 +317,6 @@ def score(docs: DataFrame, net: Net, text_col: str = "text", score_col: str = "s
     """The rows of `docs` with a score between 0 and 1 (raw: before calibration)."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(net)  # ROWS x WIDE floats: 1.6 MB whatever the input
 
-    @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocab, model = Vocabulary(), shared.value  # a task's own: what it holds goes when the task ends
         for texts in batches:
@@ -326,7 +326,7 @@ def score(docs: DataFrame, net: Net, text_col: str = "text", score_col: str = "s
                 out[part.start : part.stop] = (model.raw if raw else model.score)(vocab.number([xs[i] for i in part]), vocab.rows)
             yield pd.Series(out)
 
-    return docs.withColumn(score_col, of(F.col(text_col)))
+    return docs.withColumn(score_col, F.pandas_udf(lean("toxicity", of), "double")(F.col(text_col)))
 
 
 def rejected(net: Net, score_col: str = "score", lang_col: str = "lang") -> Column:

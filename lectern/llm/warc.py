@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.llm.worker import lean
 from lectern.session import ship
 
 #: Headers that a 304 answer may change in a stored response.
@@ -150,7 +151,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    out = files.mapInArrow(run, "record_id string, type string, url string, date string, status int, headers map<string,string>, digest string, length long, body binary")
+    out = files.mapInArrow(lean("warc", run), "record_id string, type string, url string, date string, status int, headers map<string,string>, digest string, length long, body binary")
     return out.withColumn("micros", F.unix_micros(F.try_to_timestamp("date"))).drop("date")
 
 

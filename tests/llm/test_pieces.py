@@ -57,14 +57,29 @@ def test_parity_with_the_sentencepiece_library(raw):
     if raw != RAW:  # stated limits of unigram models: markers spelt in a text, and ties in long runs
         xs = [x.replace("▁", "")[:60] for x in xs]
     t = pieces.PieceTokenizer(raw)
+    flat, offsets, back = t.encode_all(xs)
     ids = t.encode(xs)
-    bad = [x for x, ok in zip(xs, pieces.parity(raw, xs, ids), strict=True) if not ok]
+    assert [x.tobytes() for x in np.split(flat, offsets[1:-1])] == ids
+    bad = [x for x, ok in zip(xs, pieces.parity(raw, xs, flat, offsets), strict=True) if not ok]
     assert not bad
     sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
     lists = [np.frombuffer(x, "<u4").tolist() for x in ids]
     if t.model.byte_fallback:
         assert t.decode_all(ids) == [sp.decode(x) for x in lists]
         assert t.decode_all(ids)[:300] == [t.decode(x) for x in lists[:300]]
+    # a text's round trip is that of its segments
+    lead = t.model.dummy_prefix
+    spelt = [t.normalise(x).replace(pieces.MARK, " ") for x in xs]
+    assert back.tolist() == [d == (s[1:] if lead and s[:1] == " " else s) for d, s in zip(t.decode_all(ids), spelt, strict=True)]
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    xs = texts()
+    want = pieces.PieceTokenizer(RAW).encode(xs)
+    t = pieces.PieceTokenizer(RAW)
+    t.segments.remembered = 100
+    assert [x for i in range(0, len(xs), 50) for x in t.encode(xs[i : i + 50])] == want
+    assert len(t.segments.known) < 1000 and max(map(len, t.segments.known)) <= 64
 
 
 def test_kinds_that_are_refused():

@@ -29,6 +29,14 @@ def test_segments_give_the_ids_of_whole_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids(t) for t in texts]
 
 
+def test_parts_of_arrays():
+    import pyarrow as pa
+
+    whole = pa.array(["Some À words first. " * 20, None, *TEXTS[3:], "ÀÀ Last."])
+    for x in (whole, pa.chunked_array([whole.slice(0, 2), whole.slice(2)])):
+        assert ENCODER.encode(x.slice(1)) == [np.array(ids(t.as_py()), "<u4").tobytes() for t in whole.slice(1)]
+
+
 def test_file_round_trip_and_single_frames():
     lists = [np.array(ids(t) + [2], "<u4").tobytes() for t in TEXTS]
     names = [None, *range(10, 10 + len(TEXTS) - 1)]
