@@ -17,7 +17,7 @@ _own: dict[str, str] = {}
 #: Scratch paths of this process, in the order in which they were made.
 made: list[str] = []
 #: Bytes of an Arrow batch that goes to a Python worker.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def local_session(cores: int = 8, memory: str = "8g", app: str = "lectern") -> SparkSession:
