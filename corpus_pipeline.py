@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
 from lectern.llm.registry import tokenizer_path
+from lectern.llm.worker import lean
 from lectern.session import made, materialise, ship, sweep, table
 
 #: Rows of keys (at most 48 bytes each) that are broadcast at most; beyond it the join shuffles.
@@ -94,7 +95,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     takes = met.groupBy("row", F.col("use.turn").alias("turn")).agg(F.collect_list(F.struct("at", "n")).alias("_ranges"))
     takes = takes.join(m.docs.select("row", "id", "tie", F.col("size").alias("_size")), "row").dropDuplicates(["id", "tie", "turn"]).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "_size", "_ranges")
     both = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text")) == F.col("_tie")))
-    return both.select(*docs.columns, "_size", "_ranges").mapInArrow(_cut_texts, docs.schema)
+    return both.select(*docs.columns, "_size", "_ranges").mapInArrow(lean("pipeline", _cut_texts), docs.schema)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
