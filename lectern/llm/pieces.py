@@ -37,14 +37,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.encode import REMEMBERED, SegmentEncoder, encode_together, large, lists_of, threads
+from lectern.llm.encode import SegmentEncoder, encode_together, large, lists_of, threads
 from lectern.llm.shingles import chunks
 from lectern.llm.worker import lean, once
 from lectern.session import ship
 
 MARK = "▁"
-#: Bytes of texts that are encoded together; a longer text is encoded alone.
-TOGETHER = 4 << 20
+#: Bytes of texts that are encoded together (a longer text alone), and segments that a worker remembers beside two models.
+TOGETHER, REMEMBERED = 2 << 20, 250_000
 #: Fixed values of the public model format: kinds of pieces, and the algorithms that are read here.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -177,7 +177,7 @@ class PieceTokenizer:
         self._spelt |= {i: bytes([int(p[3:5], 16)]) for i, (p, _, k) in enumerate(m.pieces) if k == BYTE}
         glue = "\n" if self.cut.line else ""
         mark = self.tokenizer.encode(glue, add_special_tokens=False).ids if glue else []
-        self.segments = SegmentEncoder(lambda xs: encode_together(self.tokenizer, xs, *((glue, mark[0]) if len(mark) == 1 else ())), seen=self._decoded)
+        self.segments = SegmentEncoder(lambda xs: encode_together(self.tokenizer, xs, *((glue, mark[0]) if len(mark) == 1 else ())), REMEMBERED, self._decoded)
         #: Segments that their ids don't spell.
         self.lost: set[str] = set()
 
