@@ -225,6 +225,37 @@ def json_kind(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "error"], dtype=object)
 
 
+def _replaced(value, table: tuple) -> tuple[object, int]:
+    """A JSON value with its strings (not keys) replaced, and how many changed."""
+    if isinstance(value, str):
+        new = value
+        for a, b in table:
+            new = new.replace(a, b)
+        return new, int(new != value)
+    if isinstance(value, dict):
+        parts = {k: _replaced(v, table) for k, v in value.items()}
+        return {k: v for k, (v, _) in parts.items()}, sum(n for _, n in parts.values())
+    if isinstance(value, list):
+        items = [_replaced(v, table) for v in value]
+        return [v for v, _ in items], sum(n for _, n in items)
+    return value, 0
+
+
+@F.pandas_udf(Y.StructType().add("value", Y.StringType()).add("changed", Y.IntegerType()))
+def normalise_json(x: pd.Series) -> pd.DataFrame:
+    """JSON lines with the spellings of units replaced in all their strings, however deep, and the number of strings changed; bad JSON raises, blank lines are null."""
+    from lectern.functions.text import REPLACEMENTS
+
+    rows = []
+    for t in x:
+        if t is None or not t.strip():
+            rows.append((None, 0))
+            continue
+        value, n = _replaced(json.loads(t.strip()), REPLACEMENTS)
+        rows.append((json.dumps(value, ensure_ascii=False), n))
+    return pd.DataFrame(rows, columns=["value", "changed"])
+
+
 @F.pandas_udf(Y.ArrayType(Y.StringType()))
 def json_blocks_of(x: pd.Series) -> pd.Series:
     return x.map(lambda t: [] if t is None else json_blocks(t))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,7 +138,8 @@ def answer_part(answer: Column) -> Column:
 
 def prompt_of(prompt: Column, answer: Column, instruction: Column, input_: Column, output: Column) -> Column:
     """struct(prompt, answer): the pair itself, else instruction (and input below it) with output, else null."""
-    more = F.when(strip(F.coalesce(input_, F.lit(""))) != "", F.concat(instruction, F.lit("\n"), input_)).otherwise(instruction)
+    said = lambda c: F.when(strip(c) != "", strip(c))
+    more = F.concat_ws("\n", said(instruction), said(input_))
     return F.when(prompt.isNotNull() & answer.isNotNull(), F.struct(prompt.alias("prompt"), answer.alias("answer"))).when(instruction.isNotNull() & output.isNotNull(), F.struct(more.alias("prompt"), output.alias("answer")))
 
 
@@ -155,3 +158,57 @@ def learning_rate(step: Column, max_lr: float, max_steps: int, warmup: int = 0,
 
 def pretty_bytes(n: Column) -> Column:
     return F.when(n >= 1 << 30, F.format_string("%.2f GB", n / (1 << 30))).otherwise(F.format_string("%.2f MB", n / (1 << 20)))
+
+
+def pretty_count(n: Column) -> Column:
+    return F.concat(F.format_number(n, 0), F.lit(" ("), F.format_string("%.2f", n / 1_000_000), F.lit("M)"))
+
+
+# ---- logits -------------------------------------------------------------------------------------
+
+
+def repetition_penalty(logits: Column, generated: Column, penalty: float) -> Column:
+    """Logits (an array by token id) with those of generated tokens pushed down."""
+    if penalty <= 1.0:
+        return logits
+    return F.transform(logits, lambda x, i: F.when(F.array_contains(generated, i), F.when(x < 0, x * penalty).otherwise(x / penalty)).otherwise(x))
+
+
+def no_repeat_ngram(logits: Column, generated: Column, n: int) -> Column:
+    """Logits where a token that would repeat an n-gram of the generated ones is impossible; n of 1 and less changes nothing."""
+    if n <= 1:
+        return logits
+    size = F.size(generated)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: (i + n - 1 <= size) & (F.slice(generated, i, n - 1) == F.slice(generated, F.greatest(size - n + 2, F.lit(1)), n - 1)))
+    banned = F.transform(starts, lambda i: F.element_at(generated, i + n - 1))
+    return F.when(size + 1 < n, logits).otherwise(F.transform(logits, lambda x, i: F.when(F.array_contains(banned, i), F.lit(float("-inf"))).otherwise(x)))
+
+
+def top_k(logits: Column, k: int) -> Column:
+    """Logits below the k-th largest are impossible; ties with it stay."""
+    if k <= 0:
+        return logits
+    least = F.element_at(F.sort_array(logits, False), F.least(F.lit(k), F.size(logits)))
+    return F.transform(logits, lambda x: F.when(x < least, F.lit(float("-inf"))).otherwise(x))
+
+
+def top_p(logits: Column, p: float) -> Column:
+    """Logits after the smallest set whose probability exceeds `p` are impossible; the largest always stays, and of equal ones the lower id is first."""
+    if not 0.0 < p < 1.0:
+        return logits
+
+    @F.pandas_udf("array<double>")
+    def cut(rows: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None or not len(x):
+                return x
+            x = np.array(x, float)
+            order = np.argsort(-x, kind="stable")
+            e = np.exp(x[order] - x[order[0]])
+            before = np.r_[0.0, np.cumsum(e / e.sum())[:-1]]
+            x[order[before > p]] = -np.inf
+            return x
+
+        return rows.map(one)
+
+    return cut(logits)

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.session import ship
+
+#: Tokens of a vocabulary that goes to all executors at most (some 50 bytes each); a larger one is joined.
+BROADCAST_TOKENS = 500_000
+
 #: The token pattern's alternatives, longest structures first; special tokens; structural seeds.
 PATTERN = "|".join(
     (
@@ -54,8 +63,62 @@ def load_vocabulary(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.from_json("value", "token_to_id map<string,int>")["token_to_id"]).alias("token", "token_id"))
 
 
+def _shared(vocabulary: DataFrame):
+    """A vocabulary as arrays of tokens and ids on all executors; None where it's too large for that."""
+    rows = vocabulary.select("token", "token_id").orderBy("token_id").limit(BROADCAST_TOKENS + 1).collect()
+    if len(rows) > BROADCAST_TOKENS:
+        return None
+    return ship(vocabulary.sparkSession).sparkContext.broadcast(([r.token for r in rows], [r.token_id for r in rows]))
+
+
 def encode(tokenised: DataFrame, vocabulary: DataFrame, key: str, tokens: str = "tokens", specials: bool = True, out: str = "ids") -> DataFrame:
-    """key, ids: by a join with the vocabulary, unknown tokens to its unknown id. `key` is unique."""
+    """key, ids: unknown tokens to the unknown id. A null list is empty. Token by token in place, without a shuffle; for a vocabulary too large to send, by a join, where `key` must be unique."""
+    shared = _shared(vocabulary)
+    if shared is None:
+        return _encode_by_join(tokenised, vocabulary, key, tokens, specials, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids = (pa.array(x, t) for x, t in zip(shared.value, (pa.string(), pa.int32()), strict=True))
+        for batch in batches:
+            lists = batch.column(1)
+            found = pc.fill_null(ids.take(pc.index_in(lists.flatten(), value_set=names)), UNK)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _in_lists(found, lists)], names=[key, "_ids"])
+
+    filled = tokenised.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("_tokens"))
+    kind = filled.schema[key].dataType.simpleString()
+    ids = filled.mapInArrow(run, f"`{key}` {kind}, _ids array<int>")
+    whole = F.concat(F.array(F.lit(BOS)), F.col("_ids"), F.array(F.lit(EOS))) if specials else F.col("_ids")
+    return ids.select(key, whole.alias(out))
+
+
+def _in_lists(values: pa.Array, like: pa.ListArray) -> pa.ListArray:
+    """Values laid out as the lists of another array without nulls."""
+    counts = pc.list_value_length(like).to_numpy(zero_copy_only=False)
+    offsets = [0, *counts.cumsum().tolist()]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def decode(encoded: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """key, text: tokens joined; padding, begin and end are left out, the unknown token isn't, and stands for unknown ids. A null list is empty."""
+    shared = _shared(vocabulary)
+    if shared is None:
+        return _decode_by_join(encoded, vocabulary, key, ids, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, numbers = (pa.array(x, t) for x, t in zip(shared.value, (pa.string(), pa.int32()), strict=True))
+        silent = pa.array([PAD, BOS, EOS], pa.int32())
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            said = pc.fill_null(names.take(pc.index_in(flat, value_set=numbers)), SPECIALS[UNK])
+            said = pc.if_else(pc.is_in(flat, value_set=silent), "", said)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_join(_in_lists(said, lists), "")], names=[key, out])
+
+    filled = encoded.select(key, F.coalesce(ids, F.array().cast("array<int>")).cast("array<int>").alias("_ids"))
+    return filled.mapInArrow(run, f"`{key}` {filled.schema[key].dataType.simpleString()}, `{out}` string")
+
+
+def _encode_by_join(tokenised: DataFrame, vocabulary: DataFrame, key: str, tokens: str, specials: bool, out: str) -> DataFrame:
     flat = tokenised.select(key, F.posexplode(tokens).alias("pos", "token"))
     ids = flat.join(vocabulary, "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("id"))))["id"].alias(out))
     body = F.coalesce(out, F.array().cast("array<int>"))
@@ -63,14 +126,39 @@ def encode(tokenised: DataFrame, vocabulary: DataFrame, key: str, tokens: str =
     return tokenised.select(key).join(ids, key, "left").select(key, whole.alias(out))
 
 
-def decode(encoded: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """key, text: tokens joined; padding, begin and end are left out, the unknown token isn't."""
+def _decode_by_join(encoded: DataFrame, vocabulary: DataFrame, key: str, ids: str, out: str) -> DataFrame:
     flat = encoded.select(key, F.posexplode(ids).alias("pos", "token_id")).filter(~F.col("token_id").isin(PAD, BOS, EOS))
     said = flat.join(vocabulary, "token_id", "left").withColumn("token", F.coalesce("token", F.lit(SPECIALS[UNK])))
     text = said.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "token")))["token"], "").alias(out))
     return encoded.select(key).join(text, key, "left").select(key, F.coalesce(out, F.lit("")).alias(out))
 
 
+def annotate_ids(encoded: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids") -> DataFrame:
+    """key, depth_ids, state_ids of id lists: specials are depth 0 and plain, and the annotator doesn't see them; unknown ids are the unknown token, a special one."""
+    from lectern.functions.structure import PLAIN, annotate
+
+    shared = _shared(vocabulary)
+    if shared is None:
+        raise ValueError(f"a vocabulary of more than {BROADCAST_TOKENS} tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = dict(zip(shared.value[1], shared.value[0], strict=True))
+        for batch in batches:
+            depths, states = [], []
+            for row in batch.column(1).to_pylist():
+                said = [names.get(i, SPECIALS[UNK]) for i in row or []]
+                at = [i for i, t in enumerate(said) if t not in SPECIALS]
+                depth, state = [0] * len(said), [PLAIN] * len(said)
+                for i, d, k in zip(at, *annotate([said[i] for i in at]), strict=True):
+                    depth[i], state[i] = d, k
+                depths.append(depth)
+                states.append(state)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(depths, pa.list_(pa.int32())), pa.array(states, pa.list_(pa.int32()))], names=[key, "depth_ids", "state_ids"])
+
+    rows = encoded.select(key, F.col(ids).cast("array<int>").alias("_ids"))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, depth_ids array<int>, state_ids array<int>")
+
+
 def special_id(named: dict[str, int | None], name: str) -> int:
     """A special id by name, with what stands in for it where it's missing."""
     order = {"bos": ("bos", "cls", "eos", "sep", "pad"), "eos": ("eos", "sep", "pad"), "unk": ("unk", "pad"), "pad": ("pad",)}[name]

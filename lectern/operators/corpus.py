@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.ordered import first_of_each, running_before, under_quota, valid_split
+from lectern.operators.ordered import first_of_each, under_quota, valid_split
 from lectern.session import materialise
 
 #: Shares of the categories' bytes.
@@ -15,7 +15,9 @@ SHARES = {"general": 0.60, "education": 0.25, "technical": 0.10, "structured": 0
 
 
 def judged(docs: DataFrame, text: str = "text", fix: bool = False, **limits) -> DataFrame:
-    """`docs` with clean (normalised text), reason, key and bytes."""
+    """`docs` with clean (normalised text), reason, key and bytes; columns of these names are refused. A null text is empty (too_short)."""
+    if taken := {"clean", "reason", "key", "bytes"} & set(docs.columns):
+        raise ValueError(f"columns in the way: {sorted(taken)}")
     source = F.col(text)
     if fix:
         from lectern.functions.structure import mojibake
@@ -43,7 +45,7 @@ def prepare(docs: DataFrame, order: str, category: str, target_bytes: int, share
     Deduplicates all rows before quotas. Reading in order and stopping at a quota differs where a later
     source repeats a text that was past an earlier source's stop; `prepare_in_order` gives that.
     """
-    kept = first_of_each(judged(docs, **limits).filter("reason = 'kept'"), "key", order)
+    kept = first_of_each(materialise(judged(docs, **limits), "judged").filter("reason = 'kept'"), "key", order)
     kept = materialise(valid_split(kept, order, valid_rate, valid_most, seed), "kept")
     train, valid = kept.filter("NOT valid"), kept.filter("valid")
     quota = F.lit(target_bytes).cast("double")
@@ -58,10 +60,10 @@ def prepare_in_order(sources: list[DataFrame], order: str, quotas: list[int], **
     """Kept rows of sources one after another: each leaves out keys that earlier ones kept, and stops at its quota of bytes."""
     taken: DataFrame | None = None
     for docs, quota in zip(sources, quotas, strict=True):
-        kept = first_of_each(judged(docs, **limits).filter("reason = 'kept'"), "key", order)
+        kept = first_of_each(materialise(judged(docs, **limits), "judged").filter("reason = 'kept'"), "key", order)
         if taken is not None:
             kept = kept.join(taken.select("key"), "key", "left_anti")
-        got = materialise(running_before(kept, "bytes", order, out="_before").filter(F.col("_before") < quota).drop("_before"), "taken")
+        got = materialise(under_quota(kept, "bytes", F.lit(quota), order), "taken")
         taken = got if taken is None else taken.unionByName(got)
     return taken
 

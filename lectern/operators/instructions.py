@@ -85,8 +85,8 @@ def up_to_need(samples: DataFrame, order: str, need: int) -> tuple[DataFrame, Da
     """The first `need` samples, and the overflow."""
     from lectern.operators.ordered import dense_rank_of
 
-    d = dense_rank_of(samples, order, "_place")
-    return d.filter(F.col("_place") < need).drop("_place"), d.filter(F.col("_place") >= need).drop("_place")
+    d = dense_rank_of(samples, order, "__place")
+    return d.filter(F.col("__place") < need).drop("__place"), d.filter(F.col("__place") >= need).drop("__place")
 
 
 def merge_samples(parts: list[DataFrame], order: str, structured: bool = False) -> DataFrame:
@@ -194,3 +194,35 @@ def best_so_far(log: DataFrame, step: str, value: str, run: str | None = None) -
     w = W.partitionBy(*([run] if run else [])).orderBy(step)
     before = F.min(value).over(w.rowsBetween(W.unboundedPreceding, -1))
     return log.withColumn("best", F.min(value).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("improved", before.isNull() | (F.col(value) < before))
+
+
+def mean_loss(log: DataFrame, step: str, values: list[str], most: int) -> DataFrame:
+    """One row: the mean of each column over the first `most` steps; null counts as 0, and no rows give 0."""
+    few = log.orderBy(step).limit(most)
+    return few.agg(*[(F.coalesce(F.sum(F.coalesce(v, F.lit(0.0))), F.lit(0.0)) / F.greatest(F.count("*"), F.lit(1))).alias(v) for v in values])
+
+
+def progress(log: DataFrame, step: str, elapsed: str, tokens: str, max_steps: int, start_step: int = 0) -> DataFrame:
+    """`log` with tokens_per_second and estimated_remaining_time (seconds) at each step."""
+    done = F.greatest(F.col(step) - start_step, F.lit(1))
+    return log.withColumn("tokens_per_second", F.col(tokens) / F.greatest(F.col(elapsed), F.lit(1e-6))).withColumn("estimated_remaining_time", F.greatest(F.lit(max_steps) - F.col(step), F.lit(0)) * (F.col(elapsed) / done))
+
+
+def call_budget(remaining: Column, batch: Column) -> Column:
+    """Calls that a run may make: four for each batch that is missing, and ten."""
+    return F.greatest(F.lit(10), (remaining / F.greatest(batch, F.lit(1)) * 4).cast("int") + 10)
+
+
+def parameter_counts(layers: Column, width: Column, block: Column, vocabulary: Column, depths: int = 32, states: int = 9) -> Column:
+    """struct of parameters by part, and their total."""
+    parts = {
+        "token_embedding": vocabulary * width,
+        "position_embedding": block * width,
+        "depth_embedding": (depths + 1) * width,
+        "state_embedding": states * width,
+        "transformer_blocks": layers * (12 * width * width + 13 * width),
+        "final_layer_norm": 2 * width,
+        "depth_head": width * (depths + 1) + (depths + 1),
+        "state_head": width * states + states,
+    }
+    return F.struct(*[c.cast("long").alias(n) for n, c in parts.items()], reduce(lambda a, b: a + b, parts.values()).cast("long").alias("total"))

@@ -1,8 +1,10 @@
 """Operators over a total order: running sums, quotas, splits, shards, blocks.
 
-A running sum over all rows takes two levels: rows are dealt to `parts` ranges of the order, each range is
+A running sum over all rows takes two levels: rows are dealt to ranges of the order, each range is
 summed, the ranges' sums (few) are accumulated, and each range runs on from there. No range
 holds more than its share of the rows.
+
+Columns that these operators add for themselves begin with two underscores; a table's own must not.
 """
 
 from __future__ import annotations
@@ -18,34 +20,36 @@ from pyspark.sql import functions as F
 from lectern.session import materialise
 
 
-def ranged(df: DataFrame, order: str, by: list[str], parts: int = 64) -> DataFrame:
-    """`df` with `_part`: equal-count ranges of a numeric order column within each group of `by`, from approximate quantiles."""
-    quantiles = F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)
-    if not by:
-        marks = df.agg(quantiles).first()[0] or []  # `parts` numbers
-        return df.withColumn("_part", reduce(lambda a, m: a + (F.col(order) > m).cast("int"), sorted(set(marks)), F.lit(0)))
-    keyed = df.join(df.groupBy(*by).agg(quantiles.alias("_marks")), by)
-    return keyed.withColumn("_part", F.size(F.filter("_marks", lambda m: m < F.col(order)))).drop("_marks")
+def _same(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of one name where nulls equal each other; `b`'s are dropped."""
+    right = b.withColumnsRenamed({n: f"__right_{n}" for n in names})
+    on = reduce(lambda x, y: x & y, [a[n].eqNullSafe(right[f"__right_{n}"]) for n in names])
+    return a.join(right, on, how).drop(*[f"__right_{n}" for n in names])
+
 
+def running_before(df: DataFrame, value: str, order: str, by: list[str] | None = None, out: str = "before") -> DataFrame:
+    """`df` with the sum of `value` over the rows before each in its group. `order` is unique within a group.
 
-def running_before(df: DataFrame, value: str, order: str, by: list[str] | None = None, out: str = "before", parts: int = 64) -> DataFrame:
-    """`df` with the sum of `value` over the rows before each in its group. `order` is a unique number within a group."""
+    Rows are dealt to ranges of (by, order), as many as the session has shuffle partitions, and written there, so a group that
+    holds most rows has many ranges. Defined cases: nulls of `order` come first and of `by` are a group; null values
+    add nothing; rows of equal order follow each other in some order; an empty table gives no rows.
+    """
     by = by or []
-    cut = ranged(df, order, by, parts)
-    sums = cut.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
-    starts = sums.withColumn("_start", F.sum("_sum").over(W.partitionBy(*by).orderBy("_part")) - F.col("_sum")).drop("_sum")
-    inner = F.coalesce(F.sum(value).over(W.partitionBy(*by, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return cut.withColumn("_inner", inner).join(starts, [*by, "_part"]).withColumn(out, F.col("_start") + F.col("_inner")).drop("_part", "_start", "_inner")
+    cut = materialise(df.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = cut.groupBy(*by, "__part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__sum"))
+    starts = sums.withColumn("__start", F.sum("__sum").over(W.partitionBy(*by).orderBy("__part")) - F.col("__sum")).drop("__sum")
+    inner = F.coalesce(F.sum(value).over(W.partitionBy(*by, "__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return _same(cut.withColumn("__inner", inner), starts, [*by, "__part"]).withColumn(out, F.col("__start") + F.col("__inner")).drop("__part", "__start", "__inner")
 
 
-def dense_rank_of(df: DataFrame, order: str, out: str = "rank", by: list[str] | None = None, parts: int = 64) -> DataFrame:
+def dense_rank_of(df: DataFrame, order: str, out: str = "rank", by: list[str] | None = None) -> DataFrame:
     """`df` with the 0-based place of each row in the order."""
-    return running_before(df.withColumn("_one", F.lit(1).cast("long")), "_one", order, by, out, parts).drop("_one")
+    return running_before(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, by, out).drop("__one")
 
 
 def under_quota(df: DataFrame, size: str, quota: Column, order: str, by: list[str] | None = None) -> DataFrame:
     """Rows that come before their group's quota is used up; the row that crosses it is the last one in."""
-    return running_before(df, size, order, by, "_before").filter(F.col("_before") < quota).drop("_before")
+    return running_before(df, size, order, by, "__before").filter(F.col("__before") < quota).drop("__before")
 
 
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -69,10 +73,10 @@ def ratio_split(df: DataFrame, key: str, ratios: tuple[float, float, float] = (0
     """`df` with `split`: train, val and test by hash order; cuts are floors, the rest is test."""
     if abs(sum(ratios) - 1) > 1e-6:
         raise ValueError("ratios must add up to 1")
-    placed = dense_rank_of(df.withColumn("_h", (hashed(F.col(key), seed) * 2**48).cast("long")), "_h", "_place")
+    placed = dense_rank_of(df.withColumn("_h", (hashed(F.col(key), seed) * 2**48).cast("long")), "_h", "__place")
     n = df.count()
     a, b = int(n * ratios[0]), int(n * ratios[0]) + int(n * ratios[1])
-    return placed.withColumn("split", F.when(F.col("_place") < a, "train").when(F.col("_place") < b, "val").otherwise("test")).drop("_h", "_place")
+    return placed.withColumn("split", F.when(F.col("__place") < a, "train").when(F.col("__place") < b, "val").otherwise("test")).drop("_h", "__place")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -85,8 +89,8 @@ def shuffled(df: DataFrame, key: str, seed: int = 0, buffer: int | None = None,
     h = F.xxhash64(F.lit(seed), F.col(key))
     if buffer is None:
         return df.withColumn("_h", h).orderBy("_h", key).drop("_h")
-    placed = dense_rank_of(df, order, "_place").withColumn("_buffer", F.floor(F.col("_place") / buffer))
-    return placed.withColumn("_h", h).orderBy("_buffer", "_h", key).drop("_place", "_buffer", "_h")
+    placed = dense_rank_of(df, order, "__place").withColumn("__buffer", F.floor(F.col("__place") / buffer))
+    return placed.withColumn("_h", h).orderBy("__buffer", "_h", key).drop("__place", "__buffer", "_h")
 
 
 def weighted_choice(on: Column, weights: dict[str, float], seed: int = 0) -> Column:
@@ -131,22 +135,29 @@ def assign_shards(df: DataFrame, size: str, limit: int, order: str, parts: int =
 # ---- sequences ----------------------------------------------------------------------------------
 
 
-def chunks(df: DataFrame, order: str, ids: str, block: int, stride: int | None = None, by: list[str] | None = None) -> DataFrame:
-    """by, block_id, input_ids: blocks of `block` tokens of the rows' token lists one after another, every `stride` tokens; the tail that fills none is dropped.
+def chunks(df: DataFrame, order: str, ids: str | list[str], block: int, stride: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """by, block_id, and blocks of `block` elements of the rows' lists one after another, every `stride` elements; the tail that fills none is dropped.
 
-    Needs 0 < stride <= block. A token goes to the blocks that cover its place, so a block's tokens meet by its number.
+    One list column gives input_ids; several of equal lengths give a column each under their own names. Needs
+    0 < stride <= block. A row gives each block that it overlaps one slice, and a block joins its few slices.
+    Null and empty lists give nothing.
     """
     stride = stride or block
     if not 0 < stride <= block:
         raise ValueError("stride must be in 1 .. block")
-    by = by or []
-    placed = running_before(df.withColumn("_n", F.size(ids).cast("long")), "_n", order, by)
-    total = placed.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    flat = placed.select(*by, F.col("before"), F.posexplode(ids).alias("_i", "token")).withColumn("_at", F.col("before") + F.col("_i"))
-    lowest = F.greatest(F.ceil((F.col("_at") - block + 1) / stride), F.lit(0))
-    met = flat.withColumn("block_id", F.explode(F.sequence(lowest.cast("long"), F.floor(F.col("_at") / stride).cast("long"))))
-    packed = met.groupBy(*by, "block_id").agg(F.array_sort(F.collect_list(F.struct("_at", "token")))["token"].alias("input_ids"))
-    return packed.filter(F.size("input_ids") == block)
+    by, lists = by or [], [ids] if isinstance(ids, str) else ids
+    names = ["input_ids"] if isinstance(ids, str) else lists
+    slim = df.select(*by, order, *lists).withColumn("__n", F.greatest(F.size(lists[0]), F.lit(0)).cast("long"))
+    at, end = F.col("__at"), F.col("__at") + F.col("__n")
+    placed = running_before(slim, "__n", order, by, "__at").filter("__n > 0")
+    lowest = F.greatest(F.floor((at - block) / stride) + 1, F.lit(0)).cast("long")
+    met = placed.withColumn("block_id", F.explode(F.sequence(lowest, F.floor((end - 1) / stride).cast("long"))))
+    first = F.greatest(at, F.col("block_id") * stride)
+    length = F.least(end, F.col("block_id") * stride + block) - first
+    part = F.struct(first.alias("at"), *[F.slice(c, (first - at + 1).cast("int"), length.cast("int")).alias(n) for c, n in zip(lists, names, strict=True)])
+    packed = met.filter(length > 0).select(*by, "block_id", part.alias("part")).groupBy(*by, "block_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    whole = packed.select(*by, "block_id", *[F.flatten(F.col("parts")[n]).alias(n) for n in names])
+    return whole.filter(F.size(names[0]) == block)
 
 
 def dense_windows(df: DataFrame, order: str, ids: str, block: int) -> DataFrame:
@@ -155,6 +166,11 @@ def dense_windows(df: DataFrame, order: str, ids: str, block: int) -> DataFrame:
     return w.select("block_id", F.slice("input_ids", 1, block).alias("x"), F.slice("input_ids", 2, block).alias("y"))
 
 
+def workers(df: DataFrame, order: str, n: int, out: str = "worker") -> DataFrame:
+    """`df` with the worker of each row: its place in the order modulo `n`. Blocks are packed by worker."""
+    return dense_rank_of(df, order, "__place").withColumn(out, F.pmod("__place", F.lit(n))).drop("__place")
+
+
 def masked(prompt_ids: Column, answer_ids: Column, bos: int = 2, eos: int = 3, ignore: int = -100) -> Column:
     """struct(input_ids, labels): shifted by one, the prompt's labels masked."""
     full = F.concat(F.array(F.lit(bos)), prompt_ids, answer_ids, F.array(F.lit(eos)))
@@ -165,11 +181,11 @@ def masked(prompt_ids: Column, answer_ids: Column, bos: int = 2, eos: int = 3, i
 
 def batches(df: DataFrame, order: str, size: int, drop_last: bool = False) -> DataFrame:
     """`df` with batch_id."""
-    placed = dense_rank_of(df, order, "_place").withColumn("batch_id", F.floor(F.col("_place") / size))
+    placed = dense_rank_of(df, order, "__place").withColumn("batch_id", F.floor(F.col("__place") / size))
     if drop_last:
         n = df.count()
         placed = placed.filter(F.col("batch_id") < n // size)
-    return placed.drop("_place")
+    return placed.drop("__place")
 
 
 def smooth_schedule(weights: list[float], steps: int) -> list[int]:
@@ -185,15 +201,36 @@ def smooth_schedule(weights: list[float], steps: int) -> list[int]:
     return out
 
 
+def smooth_period(weights: list[float], most: int = 1_000_000) -> list[int]:
+    """The schedule up to where all credits are back at nothing, from where it repeats; `most` steps at most."""
+    if not weights or min(weights) <= 0:
+        raise ValueError("weights must be positive")
+    credit, out, total = [0.0] * len(weights), [], sum(weights)
+    while len(out) < most:
+        credit = [c + w for c, w in zip(credit, weights, strict=True)]
+        k = max(range(len(weights)), key=lambda i: (credit[i], -i))
+        credit[k] -= total
+        out.append(k)
+        if max(map(abs, credit)) < 1e-9 * total:
+            return out
+    raise ValueError("the weights have no common measure")
+
+
 def mix_streams(df: DataFrame, source: str, order: str, weights: list[float], steps: int) -> DataFrame:
-    """`df`'s rows dealt by the smooth schedule, exhausted sources starting over: step and the row. Sources are numbered 0 ..."""
-    plan: dict[int, int] = {}
-    rows = []
-    for step, k in enumerate(smooth_schedule(weights, steps)):
-        rows.append((step, k, plan.get(k, 0)))
-        plan[k] = plan.get(k, 0) + 1
-    steps_df = df.sparkSession.createDataFrame(rows, "step long, _src int, _k long")
-    placed = dense_rank_of(df, order, "_place", [source])
-    sizes = placed.groupBy(source).agg(F.count("*").alias("_size"))
-    want = steps_df.join(sizes, F.col("_src") == F.col(source)).withColumn("_at", F.pmod(F.col("_k"), F.col("_size"))).drop(source, "_size")
-    return want.join(placed, (F.col("_src") == F.col(source)) & (F.col("_at") == F.col("_place"))).drop("_src", "_k", "_at", "_place")
+    """`df`'s rows dealt by the smooth schedule, exhausted sources starting over: step and the row. Sources are numbered 0 ...
+
+    One period of the schedule is a small table; steps are a range that is joined with it. Rows of no
+    numbered source take no part; a source without rows gives its steps none.
+    """
+    plan, rows = [0] * len(weights), []
+    for at, k in enumerate(smooth_period(weights)):
+        rows.append((at, k, plan[k]))
+        plan[k] += 1
+    spark = df.sparkSession
+    period = spark.createDataFrame([(at, k, nth, plan[k]) for at, k, nth in rows], "__at long, __src int, __nth long, __uses long")
+    deal = spark.range(steps).select(F.col("id").alias("step"), F.pmod("id", F.lit(len(rows))).alias("__at"), F.floor(F.col("id") / len(rows)).alias("__turn")).join(F.broadcast(period), "__at")
+    placed = dense_rank_of(df, order, "__place", [source])
+    sizes = placed.groupBy(F.col(source).alias("__of")).agg(F.count("*").alias("__size"))
+    want = deal.join(F.broadcast(sizes.filter(F.col("__of").between(0, len(weights) - 1))), F.col("__src") == F.col("__of"))  # a row a source
+    want = want.withColumn("__want", F.pmod(F.col("__turn") * F.col("__uses") + F.col("__nth"), F.col("__size"))).select("step", "__src", "__want")
+    return want.join(placed, (F.col("__src") == F.col(source)) & (F.col("__want") == F.col("__place"))).drop("__src", "__want", "__place")

@@ -56,8 +56,9 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
-    judged = materialise(_docs(spark, d).filter("reason = 'kept'").select("doc_id", "source", "key", "bytes"), "judged")
-    return ordered.first_of_each(judged, "key", "doc_id")
+    # judged rows are written before they're filtered: a filter on the reason would move below the exchange, with all its text work
+    judged = materialise(_docs(spark, d).select("doc_id", "source", "reason", "key", "bytes"), "judged")
+    return ordered.first_of_each(judged.filter("reason = 'kept'"), "key", "doc_id")
 
 
 @query(
@@ -191,27 +192,54 @@ def existing_anti_join(spark, d):
 
 def _samples(spark, d):
     """Pairs as instruction samples of tasks and formats drawn by key, some of them wrong."""
-    pick = lambda names, seed: F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.crc32(F.concat(F.lit(seed), F.col("key")).cast("binary")), F.lit(len(names))) + 1).cast("int"))
+    pick = lambda names, seed: F.element_at(F.array(*map(F.lit, names)), (F.floor(ordered.hashed(F.col("key"), seed) * len(names)) + 1).cast("int"))
     q = _keyed(spark, d)
-    return q.select("ord", "key", pick([*instructions.TASKS, "other"], "t").alias("task_type"), pick([*instructions.FORMATS, "pdf"], "f").alias("format"), F.lit(1).alias("difficulty"), F.col("prompt").alias("instruction"), F.lit("").alias("input"), F.when(F.pmod("ord", F.lit(4)) == 0, F.lit('{"a": [1, 2]}')).otherwise(F.col("answer")).alias("output"))
+    return q.select("ord", "key", pick([*instructions.TASKS, "other"], 11).alias("task_type"), pick([*instructions.FORMATS, "pdf"], 12).alias("format"), F.lit(1).alias("difficulty"), F.col("prompt").alias("instruction"), F.lit("").alias("input"), F.when(F.pmod("ord", F.lit(4)) == 0, F.lit('{"a": [1, 2]}')).otherwise(F.col("answer")).alias("output"))
 
 
-@query()
+def _picked(names: list[str], seed: int) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"list_extract([{listed}], CAST(floor({_DRAW.format(seed=seed, key='key')} * {len(names)}) AS BIGINT) + 1)"
+
+
+_SAMPLES = f"{_KEYED}, sm AS (SELECT ord, key, {_picked([*instructions.TASKS, 'other'], 11)} AS task_type, {_picked([*instructions.FORMATS, 'pdf'], 12)} AS format, {_strip('prompt')} AS ask, {_strip(chr(67) + 'ASE WHEN ord % 4 = 0 THEN ' + chr(39) + '{' + chr(34) + 'a' + chr(34) + ': [1, 2]}' + chr(39) + ' ELSE answer END')} AS said FROM q)"
+#: The fixtures' answers are prose: not JSON from the first letter on, and without fences.
+_NO_JSON = "Expecting value: line 1 column 1 (char 0)"
+_TRAPPED = " OR ".join(f"contains(ask, '{m}')" for m in instructions.TRAPS)
+
+
+def _checked(structured: bool) -> str:
+    listed = lambda names: ", ".join(f"'{n}'" for n in names)
+    more = structured and f"WHEN format = 'json' AND left(said, 1) NOT IN ('{{', '[') THEN 'json_output_must_start_with_object_or_array' " or ""
+    yaml = structured and "WHEN format = 'yaml' AND (NOT contains(said, ':') OR left(said, 1) IN ('{', '[')) THEN 'yaml_output_invalid_shape' " or ""
+    tasks = [*instructions.TASKS, *(instructions.STRUCTURED if structured else ())]
+    array = structured and "WHEN format = 'json' AND task_type = 'json_array_output' THEN 'json_output_must_be_array' " or ""
+    return (
+        f"v AS (SELECT *, CASE WHEN task_type NOT IN ({listed(tasks)}) THEN 'bad_task_type:' || task_type WHEN format NOT IN ({listed(instructions.FORMATS)}) THEN 'bad_format:' || format "
+        f"WHEN ask = '' THEN 'empty_instruction' WHEN said = '' THEN 'empty_output' WHEN length(ask) > 1200 THEN 'instruction_too_long' WHEN length(said) > 6000 THEN 'output_too_long' {more}"
+        f"WHEN format = 'json' AND ord % 4 <> 0 THEN 'json_output_invalid:{_NO_JSON}' {array}{yaml}WHEN task_type = 'control_trap' AND NOT ({_TRAPPED}) THEN 'control_trap_not_obvious' ELSE 'ok' END AS reason FROM sm)"
+    )
+
+
+@query(f"WITH {_SAMPLES}, {_checked(False)} SELECT ord, task_type, format, reason FROM v")
 def sample_validation(spark, d):
     return instructions.check_samples(_samples(spark, d)).select("ord", "task_type", "format", "reason")
 
 
-@query()
+@query(f"WITH {_SAMPLES}, {_checked(True)} SELECT ord, task_type, format, reason FROM v")
 def sample_validation_structured(spark, d):
     return instructions.check_samples(_samples(spark, d), structured=True).select("ord", "task_type", "format", "reason")
 
 
-@query()
+@query(f"WITH {_SAMPLES}, {_checked(False)}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha256({_strip('ask || chr(10) || said')}) ORDER BY ord) AS rn FROM v WHERE reason = 'ok') WHERE rn = 1) SELECT task_type, format, count(*) AS n FROM f GROUP BY GROUPING SETS ((task_type), (format), ())")
 def merge_statistics(spark, d):
     return instructions.merge_stats(instructions.merge_samples([_samples(spark, d)], "ord"))
 
 
-@query()
+_PLANNED = ", ".join(f"('{k}', {v})" for k, v in instructions.PLAN.items())
+
+
+@query(f"WITH {_SAMPLES}, p(task_type, target) AS (VALUES {_PLANNED}), c AS (SELECT task_type, count(*) AS n FROM sm GROUP BY task_type) SELECT task_type, target, coalesce(n, 0) AS n, greatest(target - coalesce(n, 0), 0) AS missing FROM p LEFT JOIN c USING (task_type)")
 def plan_progress(spark, d):
     return instructions.plan_counts(_samples(spark, d).groupBy("task_type").agg(F.count("*").alias("n")))
 
@@ -259,22 +287,30 @@ def decode_ids(spark, d):
     return text.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query(f"WITH {_TOKENS}, b AS (SELECT CAST(sum(len(tokens)) AS BIGINT) AS n FROM t) SELECT range AS block_id, 512 AS n FROM range((SELECT n // 512 FROM b))")
+_LENGTHS = f"{_FLAT}, w AS (SELECT length(token) AS x, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM e)"
+
+
+def _lengths(spark, d):
+    """Documents with their tokens' lengths in place of ids."""
+    return materialise(_tokens(spark, d).select("doc_id", F.transform("tokens", F.length).alias("ids")), "lengths")
+
+
+@query(f"WITH {_LENGTHS} SELECT g // 512 AS block_id, count(*) AS n, md5(string_agg(x, ',' ORDER BY g)) AS block_md5 FROM w GROUP BY 1 HAVING count(*) = 512")
 def pack_blocks(spark, d):
-    blocks = ordered.chunks(_tokens(spark, d).withColumn("ids", F.transform("tokens", F.length)), "doc_id", "ids", 512)
-    return blocks.select("block_id", F.size("input_ids").alias("n"))
+    blocks = ordered.chunks(_lengths(spark, d), "doc_id", "ids", 512)
+    return blocks.select("block_id", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",").cast("binary")).alias("block_md5"))
 
 
 @query(f"WITH {_FLAT}, w AS (SELECT length(token) AS x, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM e), m AS (SELECT g // 384 - s AS block_id, g, x FROM w, range(2) r(s)) SELECT block_id, md5(string_agg(x, ',' ORDER BY g)) AS block_md5 FROM m WHERE block_id >= 0 AND g >= block_id * 384 AND g < block_id * 384 + 512 GROUP BY block_id HAVING count(*) = 512")
 def pack_strided(spark, d):
-    blocks = ordered.chunks(_tokens(spark, d).withColumn("ids", F.transform("tokens", F.length)), "doc_id", "ids", 512, 384)
+    blocks = ordered.chunks(_lengths(spark, d), "doc_id", "ids", 512, 384)
     return blocks.select("block_id", F.md5(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",").cast("binary")).alias("block_md5"))
 
 
-@query(f"WITH {_FLAT}, w AS (SELECT length(token) AS x, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM e) SELECT a.g AS block_id, a.x AS first_x, b.x AS last_y FROM w a JOIN w b ON b.g = a.g + 8")
+@query(f"WITH {_FLAT}, w AS (SELECT length(token) AS x, row_number() OVER o - 1 AS g, lead(length(token), 8) OVER o AS y FROM e WINDOW o AS (ORDER BY doc_id, pos)) SELECT g AS block_id, x AS first_x, y AS last_y FROM w WHERE y IS NOT NULL")
 def dense_windows(spark, d):
     """Stride-1 windows over all tokens: inherently a window a token."""
-    w = ordered.dense_windows(_tokens(spark, d).withColumn("ids", F.transform("tokens", F.length)), "doc_id", "ids", 8)
+    w = ordered.dense_windows(_lengths(spark, d), "doc_id", "ids", 8)
     return w.select("block_id", F.element_at("x", 1).alias("first_x"), F.element_at("y", -1).alias("last_y"))
 
 
@@ -324,8 +360,8 @@ def learning_rates(spark, d):
 
 @query("SELECT count(*) AS n, count(*) >= 100 AS ok FROM documents WHERE trim(text) <> ''")
 def size_gate(spark, d):
-    n = table(spark, d, "documents").agg(F.count_if(F.trim("text") != "").alias("n"))
-    return n.select("n", (F.col("n") >= 100).alias("ok"))
+    n = readers.count_rows(table(spark, d, "documents").select(F.col("text").alias("value")))
+    return n.join(corpus.gate(n, {"too_few_rows": F.col("n") >= 100})).select("n", "ok")
 
 
 @query("SELECT item_id, md5(text) AS text_md5 FROM benchmark")
@@ -354,13 +390,18 @@ def mojibake_repair(spark, d):
     return table(spark, d, "documents").select("doc_id", (S.mojibake("text") != F.col("text")).alias("repaired"))
 
 
-@query()
+@query("WITH p AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS s FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY s) AS n FROM p), st AS (SELECT range AS step, CASE WHEN range % 3 = 1 THEN 1 ELSE 0 END AS s, CASE WHEN range % 3 = 1 THEN range // 3 ELSE 2 * (range // 3) + range % 3 // 2 END AS want FROM range((SELECT count(*) FROM documents))) SELECT step, s, doc_id FROM st JOIN r USING (s) WHERE want % n = k")
 def smooth_mix(spark, d):
+    """As many steps as there are documents."""
     docs = table(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "en", 0).otherwise(1).alias("s"))
-    return ordered.mix_streams(docs, "s", "doc_id", [2.0, 1.0], 300).select("step", "s", "doc_id")
+    return ordered.mix_streams(docs, "s", "doc_id", [2.0, 1.0], docs.count()).select("step", "s", "doc_id")
 
 
-@query()
+def _n(c: str) -> str:
+    return f"len(regexp_extract_all({c}, '{_TOKEN}'))"
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, {_n('prompt')} + {_n('answer')} + 1 AS n, {_n('prompt')} AS masked FROM pr")
 def masked_sequences(spark, d):
     n = lambda c: F.transform(K.tokenise(F.col(c)), F.length)
     return _pairs(spark, d).select("conv_id", "turn", ordered.masked(n("prompt"), n("answer")).alias("m")).select("conv_id", "turn", F.size("m.input_ids").alias("n"), F.size(F.filter("m.labels", lambda x: x == -100)).alias("masked"))
@@ -371,13 +412,16 @@ def synthetic_texts(spark, d):
     return readers.synthetic(spark, 200).select("id", F.length("text").alias("chars"))
 
 
-@query()
+_SHARES = "CASE WHEN source IN (" + ", ".join(f"'src{i}'" for i in range(20)) + ") THEN 20000.0 ELSE 400000.0 END"
+
+
+@query(f"WITH {_KEPT}, vd AS (SELECT doc_id FROM k WHERE {_DRAW.format(seed=0, key='doc_id')} < 0.02 ORDER BY {_DRAW.format(seed=0, key='doc_id')}, doc_id LIMIT 50), m AS (SELECT k.*, vd.doc_id IS NOT NULL AS valid FROM k LEFT JOIN vd USING (doc_id)), a AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM m WHERE NOT valid), z AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b2 FROM a WHERE b < {_SHARES}) SELECT doc_id, source, bytes, valid FROM z WHERE b2 < 400000 UNION ALL SELECT doc_id, source, bytes, valid FROM m WHERE valid")
 def prepared_corpus(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
     return corpus.prepare(docs, "doc_id", "source", 400_000, {f"src{i}": 0.05 for i in range(20)}, 0.02, 50, script=LETTERS).select("doc_id", "source", "bytes", "valid")
 
 
-@query()
+@query(f"WITH {_KEYED} SELECT DISTINCT key FROM q")
 def streamed_samples(spark, d):
     """Samples that arrive twice as a stream are appended once."""
     from lectern.streaming.ingest import append_new
@@ -391,8 +435,12 @@ def streamed_samples(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    from lectern.plans import records
+
+    return _Q | records.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from lectern.plans import records
+
+    return _SQL | records.oracle_sql()

@@ -18,6 +18,8 @@ _own: dict[str, str] = {}
 made: list[str] = []
 #: Bytes of an Arrow batch that goes to a Python worker.
 ARROW_BYTES = 4 << 20
+#: Bytes of input a core from which file splits are spread well enough by themselves.
+SPREAD = 128 << 20
 
 
 def local_session(cores: int = 8, memory: str = "8g", app: str = "lectern") -> SparkSession:
@@ -71,9 +73,10 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over at least as many partitions as there are cores: for costly row-wise work on a few small files. Inputs with enough partitions stay as they are."""
+    """`df` dealt to all cores, for costly row-wise work on a few small files: splits of a file with one row group are empty but for one. Inputs of SPREAD bytes a core and more stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= cores * SPREAD else df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

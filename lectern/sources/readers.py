@@ -134,6 +134,37 @@ def responses(raw: DataFrame, column: str = "raw_response") -> DataFrame:
     return each.filter(F.schema_of_variant("v").startswith("OBJECT"))
 
 
+def sample_texts(values: DataFrame) -> DataFrame:
+    """text of each line: prompt and answer under headings, text, content, or the line itself where it's no JSON; JSON strings are texts, other JSON that is no object is its own text, and blank texts go."""
+    from lectern.functions.text import instruction_text
+
+    rows = values.filter(F.col("value") != "")
+    v = F.try_parse_json("value")
+    kind = F.schema_of_variant(v)
+    fields = F.coalesce(instruction_text(_typed(v, "prompt"), _typed(v, "answer")), _typed(v, "text"), _typed(v, "content"))
+    text = F.when(v.isNull(), F.col("value")).when(kind.startswith("OBJECT"), fields).when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    return rows.select(text.alias("text")).filter(strip(F.coalesce("text", F.lit(""))) != "")
+
+
+def resolve_weighted_sources(sources: list, key: str, exists=lambda path: True) -> list[dict]:
+    """Weighted sources with a path each; what is no mapping, lacks a path, weighs nothing or doesn't exist raises, named by `key` and place."""
+    for i, s in enumerate(sources):
+        if not isinstance(s, dict) or "path" not in s:
+            raise ValueError(f"{key}[{i}] must be a mapping with a path")
+        if float(s.get("weight", 1.0)) <= 0:
+            raise ValueError(f"{key}[{i}] must weigh more than nothing")
+        if not exists(s["path"]):
+            raise FileNotFoundError(f"{key}[{i}]: {s['path']}")
+    return [dict(s) for s in sources]
+
+
+def should_stream(config: dict, key: str, size: int | None) -> bool:
+    """Whether a file is to be streamed: as the configuration says, else by its size (None: there's no file)."""
+    if key in config:
+        return bool(config[key])
+    return size is not None and size >= int(config.get("auto_streaming_min_bytes", 256 << 20))
+
+
 #: Weights of the template source's kinds, and its templates: a text is built of parts of one kind and more.
 TEMPLATES = (
     (20, '{{"id": {a}, "name": "item {b}", "tags": ["x{c}", "y"], "nested": {{"ok": true, "note": "a \\"quoted\\" word"}}}}'),
@@ -154,15 +185,15 @@ def synthetic(spark: SparkSession, rows: int, seed: int = 42, least: int = 1800,
         bounds.append(total)
 
     def drawn(*on: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), *on), F.lit(1 << 40))
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *on)), 1, 8), 16, 10).cast("long")
 
     def part(i: Column) -> Column:
         pick = F.pmod(drawn(F.col("id"), i, F.lit("kind")), F.lit(total))
         out = F.lit("")
         for (_, t), top in reversed(list(zip(TEMPLATES, bounds, strict=True))):
             text = F.lit(t.replace("{{", "\x01").replace("}}", "\x02").replace("{a}", "\x03").replace("{b}", "\x04").replace("{c}", "\x05").replace("\x01", "{").replace("\x02", "}"))
-            for k in "\x03\x04\x05":
-                text = F.replace(text, F.lit(k), F.pmod(drawn(F.col("id"), i, F.lit(k)), F.lit(1000)).cast("string"))
+            for k, name in zip("\x03\x04\x05", "abc", strict=True):
+                text = F.replace(text, F.lit(k), F.pmod(drawn(F.col("id"), i, F.lit(name)), F.lit(1000)).cast("string"))
             out = F.when(pick < top, text).otherwise(out)
         return out
 

@@ -44,6 +44,26 @@ def manifest(sharded: DataFrame, stats: dict[str, int], category_bytes: dict[str
     }
 
 
+def write_valid(split: DataFrame, path: str, valid: str = "valid", text: str = "text") -> DataFrame:
+    """Texts of the rows marked valid as compact JSON lines; the other rows go on."""
+    write_texts(split.filter(F.col(valid)), path, text)
+    return split.filter(~F.coalesce(F.col(valid), F.lit(False)))
+
+
+def write_vocabulary(vocabulary: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A vocabulary as one JSON object; `load_vocabulary` reads it."""
+    from lectern.functions.tokens import vocabulary_map
+
+    vocabulary_map(vocabulary).coalesce(1).write.mode(mode).text(path)
+
+
+def write_guarded(rows: DataFrame, path: str, sources: list[str] = (), force: bool = False) -> None:
+    """Texts of `value` to a path that is none of the sources and holds nothing yet, unless forced."""
+    if path.rstrip("/") in {s.rstrip("/") for s in sources}:
+        raise ValueError("the output must not be an input")
+    rows.select("value").write.mode("overwrite" if force else "errorifexists").text(path)
+
+
 def split_rejects(checked: DataFrame, reason: str = "reason", good: str = "ok") -> tuple[DataFrame, DataFrame]:
     """Accepted rows, and rejected ones with reject_reason."""
     return checked.filter(F.col(reason) == good).drop(reason), checked.filter(F.coalesce(F.col(reason) != good, F.lit(True))).withColumnRenamed(reason, "reject_reason")
