@@ -1,13 +1,16 @@
 """Main text of raw pages: the maximum-scoring run of words and tags.
 
-A page is read as a sequence of words and tags. A word's or tag's score is the log odds, learnt from the
-labelled pages below, that one of its kind lies in the article: words outside links and furniture score
-positive; tags, words of links and words of furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) score
-negative. One pass finds the contiguous run of the highest sum. Where article or main elements hold most
-of that run's words, the region is the outermost of them with all that's nested in it, and the run. The region's blocks, without those of furniture, are the text.
+A page is read as a sequence of words and tags. The score of a word is the log odds, learnt from the labelled pages
+below, that one of its kind and place lies in the region from the article's first block to its last; those of tags and
+furniture are so, too, but never above 0. Kinds are plain words, words of links, and
+words of furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments). Places are inside the page's
+holder elements, outside them, and anywhere on a page that has none. Holders are the main elements, or main and article
+elements where articles outside of main hold more words. One pass finds the contiguous run of the highest sum. The
+run's blocks, without those of furniture, are the text.
 
 Furniture is told by the element or by a name in its class, id or role, if that consists of words of furniture (with
-MODIFIERS or without) and of nothing else. Names make no furniture of html, body, article and main, of what lies in
+MODIFIERS or without) and of nothing else. Headers are those of the site: a header in an article or main element is the article's own, with its
+title. Names make no furniture of html, body, article and main, of what lies in
 pre and code, of headings by their ids, of sections in an article by ids that don't mean reader comments, and of an
 element other than reader comments that holds more than half of the page's words, and an h1, an article, a main or two
 paragraphs. Furniture within a line is left out of its block. Text in head, script, style and like elements is
@@ -15,7 +18,8 @@ no text at all. Character references are decoded, white space in a block becomes
 blocks are joined by a line feed. Inline tags and comments join what they stand between; <br> is white space.
 
 Defined cases: null and empty html give the empty text; a page that is cut off gives what it has, without an
-unfinished tag; a page of furniture only gives the empty text; rows that repeat an id are extracted one by one;
+unfinished tag; a page of furniture only gives the empty text; of runs of one sum the longest counts, of those the first; nesting
+of any depth takes time in proportion to the page; rows that repeat an id are extracted one by one;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -45,12 +49,18 @@ NAMELESS = frozenset("html body article main".split())
 RAW = frozenset("script style textarea title xmp iframe noframes noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HOLDERS = frozenset("article main".split())
+KINDS, PLACES = ("word", "link", "furniture"), ("inside", "outside", "open")
 
 #: Labelled pages that the scores are learnt from; {{ and }} stand around the article's parts.
 LABELLED = (
     "<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><div class=ad>Buy two of these now</div><article><h1>{{A bridge opens}}</h1><p>{{The new bridge across the river was opened on Monday after three years of work.}}</p><p>{{Its two lanes <b>carry</b> cars and its side paths are for people on foot.}}</p></article><footer>Site owner, all years</footer></body></html>",
     "<html><body><header><a href=/>Paper</a> your daily paper</header><div id=content><h1>{{How bread rises}}</h1><p>{{Yeast eats sugar and gives off gas, which the dough holds in small bubbles.}}<p>{{Warm places <a href=/w>speed this up</a>, and cold ones slow it down for a better taste.}}<ul><li>{{Flour of a strong kind}}</li><li>{{Water and some salt}}</li></ul></div><div class=sidebar><ul><li><a href=/1>Most read</a></li><li><a href=/2>Most shared</a></li></ul></div><div id=comments><p>I tried this and it went well for me.</p></div></body></html>",
     "<body><div class=menu><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></div><form action=q><input name=q><button>Go</button></form><main><h2>{{Rain}}</h2><p>{{It rained for nine days, said people who had kept count of them.}}</p><aside><p>Read more about the weather</p></aside><blockquote>{{We had never seen so much of it.}}</blockquote><p>{{On the tenth day it stopped.}}</p></main><div class=cookie-notice>We use cookies on this site</div><footer><a href=x>About</a> <a href=y>Terms</a></footer></body>",
+    "<body><div>The Daily Leaf</div><div>Skip to the text</div><main><header><h1>{{Owls}}</h1><p>{{By a writer of ours}}</p></header><p>{{Owls hunt by night.}}</p><ul><li><a href=/a>{{An earlier text on owls}}</a></li><li><a href=/b>{{A book on birds of prey}}</a></li></ul></main><div><p>More of our texts that other people like to read now and then</p><a href=/c>One</a></div><div>All texts belong to those who wrote them</div></body>",
+    "<body><div><a href=/>Start</a></div><article><h2>{{Tides}}</h2><p>{{The moon pulls the sea.}}</p><p>{{So does the sun.}}</p><p><a href=/t>{{A table of tides for this year}}</a></p></article><p>Written for people who live by the sea</p><p>Ask us for a copy on paper</p></body>",
+    "<body><div class=top-nav><a href=/>Front page</a> <a href=/all>All texts</a></div><h1>{{Salt}}</h1><p>{{Salt was once worth as much as silver in some lands.}}</p><div class=ad>Buy our new set of pans and save</div><p>{{It keeps meat and fish from going bad, and it was carried far for that.}}</p><div class=related><ul><li><a href=/p>Pepper</a></li><li><a href=/s>Sugar and where it comes from</a></li></ul></div><div class=footer>Made by hand</div></body>",
+    "<body><nav><a href=/>Home</a></nav><article><h2>{{First day}}</h2><p>{{We walked along the coast until it was dark.}}</p></article><div class=ad>Boots for all ways and all weather</div><article><h2>{{Second day}}</h2><p>{{It rained, and we stayed in and read.}}</p></article><footer>Walks of ours</footer></body>",
+    "<body><article><h1>{{Clocks}}</h1><p>{{The first ones had one hand.}}</p><aside><p>Watch our film on how a clock is made, with all its parts shown one by one, and order it for your school</p></aside><form>Your address <input name=m> and press <button>Send</button></form><p>{{Later ones had two.}}</p><section id=comments><p>Mine has none</p></section></article><div>Texts on things</div></body>",
     "<body><table><tr><td><a href=1>Up</a></td><td><a href=2>Down</a></td></tr></table><p>{{Plain pages of old have their text in the body with no other element around.}}</p><p>{{They're long, and they don't say what is what.}}</p><hr><a href=m>Mail us</a></body>",
 )
 
@@ -76,40 +86,43 @@ def _says_furniture(name: str, attributes: str, in_article: bool) -> str:
 
 
 class Page:
-    """Blocks of a page in order: text, kind of its words, tags before it, and the holder elements it lies in, outermost first."""
+    """Blocks of a page in order: text, kind of its words, whether they lie in main and in article (0 to 3), and the numbers of tags before it in each of these places."""
 
     def __init__(self, source: str, spared: frozenset[int] | None = None):
-        self.blocks: list[tuple[str, str, list[str], tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, str, int, list[int]]] = []
         self._parts: list[tuple[str, str]] = []
-        self._tags: list[str] = []
-        open_: list[tuple[str, str, int]] = []  # name, what it makes of words (or ""), holder
-        at, holders = 0, 0
+        self._tags = [0, 0, 0, 0]
+        open_: list[tuple[str, str]] = []  # name, what it makes of words (or "")
+        names, made = Counter(), Counter()  # of the open elements
+        at = 0
         spared = spared or frozenset()
         #: Of elements that are furniture by a name, by their places in the page: words, paragraphs, and whether there's a sign of an article.
         self.named: dict[int, list[int]] = {}
         inside: list[tuple[int, int]] = []  # depth in open_, place
         self.words = 0
-
-        def state() -> tuple[str, tuple[int, ...]]:
-            kind = "word"
-            for _, makes, _ in open_:
-                if makes == "furniture" or kind == "word" and makes:
-                    kind = makes
-            return kind, tuple(h for _, _, h in open_ if h)
-
-        kind, holder = "word", ()
+        kind, held = "word", 0
 
         def text(raw: str) -> None:
             if raw:
                 self._parts.append((raw, kind))
                 n = len(raw.split())
                 self.words += n
-                for _, p in inside:
-                    self.named[p][0] += n
+                if inside:
+                    self.named[inside[-1][1]][0] += n
 
         def leave() -> None:
+            """What an element that ends has counted goes to the one around it."""
             while inside and inside[-1][0] >= len(open_):
-                inside.pop()
+                _, place = inside.pop()
+                if inside:
+                    around, own = self.named[inside[-1][1]], self.named[place]
+                    around[:] = around[0] + own[0], around[1] + own[1], around[2] | own[2]
+
+        def close() -> str:
+            name, makes = open_.pop()
+            names[name] -= 1
+            made[makes] -= 1
+            return name
 
         def end_block() -> None:
             shown = [(x, k) for x, k in self._parts if k != "furniture"]
@@ -120,9 +133,9 @@ class Page:
                 sizes: Counter = Counter()
                 for x, k in shown:
                     sizes[k] += len(x)
-                made = "furniture" if sizes["furniture"] else sizes.most_common(1)[0][0]
-                self.blocks.append((t, made, self._tags, holder))
-                self._tags = []
+                most = "furniture" if sizes["furniture"] else sizes.most_common(1)[0][0]
+                self.blocks.append((t, most, held, self._tags))
+                self._tags = [0, 0, 0, 0]
             self._parts = []
 
         while True:
@@ -141,57 +154,69 @@ class Page:
                     if name == "head" and not end:
                         end = re.compile(r"<body[\s>]", re.I).search(source, at)
                     at = end.start() if end else len(source)
-                elif closing and name == "title":
-                    pass
                 continue
-            self._tags.append(name)
             if name == "br":
                 text(" ")
             if name in BLOCKS:
                 end_block()
                 while open_ and open_[-1][0] == "p":  # a paragraph ends where another block begins or its holder ends
-                    open_.pop()
+                    close()
+            self._tags[held] += 1
             if closing:
-                if any(n == name for n, _, _ in open_):
-                    while open_.pop()[0] != name:
+                if names[name]:
+                    while close() != name:
                         pass
             elif name not in VOID and not attributes.endswith("/"):
                 leave()
-                plain = name in NAMELESS or any(n in ("pre", "code") for n, _, _ in open_) or name in ("pre", "code")
-                says = _says_furniture(name, attributes, bool(holder)) if attributes and not plain and name not in FURNITURE else ""
-                makes = "furniture" if name in FURNITURE or says and place not in spared else "link" if name == "a" else ""
-                for _, p in inside:
-                    self.named[p][1] += name == "p"
-                    self.named[p][2] |= name in HOLDERS or name == "h1"
+                plain = name in NAMELESS or name in ("pre", "code") or names["pre"] + names["code"] > 0
+                says = _says_furniture(name, attributes, held > 0) if attributes and not plain and name not in FURNITURE else ""
+                own = name == "header" and held > 0
+                makes = "furniture" if name in FURNITURE and not own or says and place not in spared else "link" if name == "a" else ""
+                if inside:
+                    self.named[inside[-1][1]][1] += name == "p"
+                    self.named[inside[-1][1]][2] |= name in HOLDERS or name == "h1"
                 if says == "other" and place not in spared:
                     self.named[place] = [0, 0, 0]
                     inside.append((len(open_), place))
-                h = 0
-                if name in HOLDERS and not makes:
-                    holders += 1
-                    h = holders
-                if makes or h or name == "code" or name in BLOCKS and name != "p":
-                    open_.append((name, makes, h))
+                if makes or name in ("code", "article", "main") or name in BLOCKS and name != "p":
+                    open_.append((name, makes))
+                    names[name] += 1
+                    made[makes] += 1
             leave()
-            kind, holder = state()
+            kind = "furniture" if made["furniture"] else "link" if made["link"] else "word"
+            held = 2 * (names["main"] > 0) + (names["article"] > 0)
         end_block()
+        open_.clear()
+        leave()
 
     def wrappers(self) -> frozenset[int]:
         """Places of elements whose names say furniture, but which hold most of the page."""
         return frozenset(p for p, (n, paragraphs, sign) in self.named.items() if 2 * n > self.words and (sign or paragraphs > 1))
 
+    def places(self) -> list[str]:
+        """For the four places in and out of main and article, what they are: inside or outside the page's holders, or open where there's none."""
+        n = [0, 0, 0, 0]
+        for words, kind, held, _ in self.blocks:
+            n[held] += (words.count(" ") + 1) * (kind != "furniture")
+        if not n[1] + n[2] + n[3]:
+            return ["open"] * 4
+        main = n[2] + n[3] >= n[1]
+        return ["outside", "outside" if main else "inside", "inside", "inside"]
+
 
-def _learn() -> dict[str, float]:
-    """Log odds of each kind of word, and of tags, to lie in an article."""
+def _learn() -> dict[tuple[str, str], float]:
+    """Log odds of each kind of word, and of tags, in each place to lie between the article's first block and its last."""
     inside, outside = Counter(), Counter()
-    for page in LABELLED:
-        marked = Page(page)
-        for words, kind, tags, _ in marked.blocks:
-            of = inside if "{{" in words else outside
-            of[kind] += len(words.split())
-            outside["tag"] += len(tags)
-            inside["tag"] += 0.4 * len(tags) * ("{{" in words)
-    return {k: math.log((inside[k] + 0.5) / (outside[k] + 0.5)) for k in ("word", "link", "furniture", "tag")}
+    for source in LABELLED:
+        page = Page(source)
+        places, marked = page.places(), [i for i, b in enumerate(page.blocks) if "{{" in b[0]]
+        for i, (words, kind, held, tags) in enumerate(page.blocks):
+            of = inside if marked[0] <= i <= marked[-1] else outside
+            of[kind, places[held]] += len(words.split())
+            for k, n in enumerate(tags):
+                of["tag", places[k]] += n
+    found = {(k, p): math.log((inside[k, p] + 0.5) / (outside[k, p] + 0.5)) for k in (*KINDS, "tag") for p in PLACES}
+    return {(k, p): x if k in ("word", "link") else min(x, 0.0) for (k, p), x in found.items()}
 
 
 SCORES = _learn()
@@ -218,23 +243,12 @@ def main_text(source: str | None) -> str:
     while more := page.wrappers() - spared:
         spared |= more
         page = Page(source, spared)
-    blocks = page.blocks
+    places = page.places()
     line: list[float] = []
-    for words, kind, tags, _ in blocks:
-        line += [min(SCORES["tag"], 0) * len(tags), SCORES[kind] * (words.count(" ") + 1)]
+    for words, kind, held, tags in page.blocks:
+        line += [sum(SCORES["tag", places[k]] * n for k, n in enumerate(tags) if n), SCORES[kind, places[held]] * (words.count(" ") + 1)]
     first, last = best_run(line)
-    run = [i for i in range(len(blocks)) if first <= 2 * i + 1 < last]
-    size, total = Counter(), 0
-    for i in run:
-        if blocks[i][1] != "furniture":
-            n = blocks[i][0].count(" ") + 1
-            total += n
-            for h in blocks[i][3]:
-                size[h] += n
-    if most := [h for h, n in size.items() if 2 * n > total]:
-        outermost, taken = min(most), set(run)  # those that hold most lie in each other, and holders are numbered as they begin
-        run = [i for i, b in enumerate(blocks) if i in taken or outermost in b[3]]
-    return "\n".join(blocks[i][0] for i in run if blocks[i][1] != "furniture")
+    return "\n".join(b[0] for i, b in enumerate(page.blocks) if first <= 2 * i + 1 < last and b[1] != "furniture")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,10 @@ def test_linear_scan_equals_all_runs(xs):
 
 def test_scores_have_the_expected_signs():
     s = html_text.SCORES
-    assert s["word"] > 0 > s["tag"] and s["link"] < 0 and s["furniture"] < 0
+    for place in ("open", "outside"):
+        assert s["tag", place] < 0 and s["link", place] < 0 and s["furniture", place] < 0
+    assert s["word", "inside"] > 0 and s["word", "open"] > 0 > s["word", "outside"]
+    assert s["tag", "inside"] == s["furniture", "inside"] == 0  # what lies in the article doesn't break it
 
 
 def test_article_of_a_page():
@@ -103,3 +106,59 @@ def test_holders_keep_what_lies_in_and_around_them():
     assert main_text(f"<body><article><p>{long}</p></article><article><p>{lead}</p></article></body>") == f"{long}\n{lead}"
     assert main_text(f"<body><article><h1>{title}</h1><p>{long}</p><article><p>{lead}</p></article><p>{long}</p></article></body>") == f"{title}\n{long}\n{lead}\n{long}"
     assert main_text(f"<body><nav>Menu</nav><main><p>{lead}</p><aside>Not this</aside><article><p>{long}</p></article></main><footer>End</footer></body>") == f"{lead}\n{long}"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<p>Some plain words here</p>", "<div><a href=x>A link</a></div>", "<div class=ad>An advert with words</div>", "<article><p>Inside it</p></article>", "<nav><a href=y>Menu</a></nav>", "<aside>Not this one</aside>", "<hr>", "<main><h1>T</h1>", "</main>", "<h2>Head</h2>"]), max_size=9))
+def test_the_region_is_the_best_of_all_runs(parts):
+    page = html_text.Page("<body>" + "".join(parts))
+    places = page.places()
+    line = []
+    for words, kind, held, tags in page.blocks:
+        line += [sum(html_text.SCORES["tag", places[k]] * n for k, n in enumerate(tags)), html_text.SCORES[kind, places[held]] * len(words.split())]
+    runs = [(sum(line[a:b]), b - a, -a, a, b) for a, b in itertools.combinations(range(len(line) + 1), 2)]
+    best = max(runs, default=(0,), key=lambda r: (round(r[0], 9), r[1], r[2]))
+    a, b = best[3:] if best[0] > 1e-9 else (0, 0)
+    want = [x[0] for i, x in enumerate(page.blocks) if a <= 2 * i + 1 < b and x[1] != "furniture"]
+    assert page.wrappers() or main_text("<body>" + "".join(parts)) == "\n".join(want)
+
+
+def test_class_names_of_common_blogs():
+    for page in (
+        f"<body class='no-sidebar comments-open'>{BODY}</body>",
+        f"<body><div class='article-header'>{BODY}</div></body>",
+        f"<body><div class='site has-menu'>{BODY}</div></body>",
+        f"<body><main class='with-sidebar'>{BODY}</main></body>",
+        f"<body><section class='related-research'>{BODY}</section></body>",
+    ):
+        assert main_text(page) == WANT, page
+    assert main_text(f"<body><header>Site name</header><article><header><h1>Own title</h1></header>{BODY}</article></body>") == "Own title\n" + WANT
+
+
+#: Pages of layouts that the labelled ones don't have, with their articles.
+HELD_OUT = (
+    ("<body class='home blog'><div id=page class=site><header id=masthead class=site-header><div class=site-branding><a href=/>Notes</a></div><nav id=site-navigation><ul><li><a href=/a>About</a></li></ul></nav></header><div id=content class=site-content><main id=main class=site-main><article id=post-7 class='post type-post'><header class=entry-header><h1 class=entry-title>Bees in winter</h1></header><div class=entry-content><p>They keep warm in a ball.</p><div class=sharedaddy><h3>Share this</h3></div><p>The queen sits in the middle.</p></div><footer class=entry-footer><a href=/c>Garden</a></footer></article><div id=comments class=comments-area><h2>Two thoughts</h2><p>Mine died last year.</p></div></main></div><footer class=site-footer>Proudly made</footer></div></body>", "Bees in winter\nThey keep warm in a ball.\nThe queen sits in the middle."),
+    ("<body><table><tr><td><a href=1>Index</a></td><td><a href=2>Next</a></td></tr></table><center><h1>Of maps</h1></center><p>Old maps put east at the top.<p>Sailors drew them by hand.<hr><a href=3>Index</a></body>", "Of maps\nOld maps put east at the top.\nSailors drew them by hand."),
+    ("<body><div class=navbar><a href=/>Docs</a> <a href=/api>Interface</a></div><div class=sidebar><ul><li><a href=/i>Install</a></li><li><a href=/u>Use</a></li></ul></div><main><h1>Install</h1><p>Run this:</p><pre><code>make <span class=comment># all</span></code></pre><ul><li>Needs a compiler</li></ul></main><div class=pagination><a href=/u>Next: Use</a></div></body>", "Install\nRun this:\nmake # all\nNeeds a compiler"),
+    ("<body><div id=cookie-banner>We keep cookies <button>Fine</button></div><nav><a href=/w>World</a></nav><article><h1>Storm hits coast</h1><p class=byline>By one of us</p><p>Waves broke over the wall.</p><aside class=related><a href=/x>Last storm</a></aside><p>No one was hurt.</p></article><section class=newsletter><form>Mail <input></form></section><footer>All rights</footer></body>", "Storm hits coast\nBy one of us\nWaves broke over the wall.\nNo one was hurt."),
+    ("<body><div><span><a href=/>Home</a></span></div><div><h2>Short tale</h2><div>There was a fox.<br>It slept.</div><blockquote>Who is there?</blockquote></div><div class=footer-links><a href=/k>Contact</a></div></body>", "Short tale\nThere was a fox. It slept.\nWho is there?"),
+)
+
+
+def test_words_of_held_out_pages():
+    from collections import Counter
+
+    hit = got = want = 0
+    for page, text in HELD_OUT:
+        a, b = Counter(main_text(page).split()), Counter(text.split())
+        hit, got, want = hit + sum((a & b).values()), got + sum(a.values()), want + sum(b.values())
+    assert 2 * hit / (got + want) > 0.95
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    for tag in ("div", "div class=menu", "section class='widget x'"):
+        began = time.process_time()
+        main_text(f"<{tag}>" * 40_000 + "three plain words" + f"</{tag.split()[0]}>" * 40_000)
+        assert time.process_time() - began < 10
