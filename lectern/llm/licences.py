@@ -4,7 +4,9 @@ A paragraph (a line of the text, or with `wrapped` a window of lines, below) tha
 (one to three words) are the features of a softmax regression with an L1 penalty, trained on the driver from the
 templates below, variants of them, and paragraphs of other kinds. Each family is a class and so is `unknown`. The
 probability from which a family counts is placed between what held-out variants and held-out other paragraphs
-reach. A prediction holds only if a template of its family is confirmed: CONFIRM of its words are in the paragraph.
+reach. A prediction holds only if a template of its family is confirmed: of a template of more than SHORT words CONFIRM are
+in the paragraph; of a shorter one all pairs of neighbours are, where a full stop that a template ends with must
+be the end of a clause or of the paragraph. Short templates are made from FRAMES and the NAMES of each family.
 
 With `wrapped`, notices broken over lines are found too: lines up to a blank one are a block, and the windows of
 consecutive lines of a block are paragraphs of their own, up to SPAN words between first and last line (lines without
@@ -26,6 +28,7 @@ import itertools
 import json
 import math
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 #: What a paragraph must hold to be looked at, and notices of each family. No choice of CONFIRM of a template's
 #: words is without an anchor (`uncovered` is empty, or there is no model), so the anchors save work and lose nothing.
-ANCHORS = ("licen", "copyright", "reserved", "permission", "distribut", "spdx", "cc", "gnu", "creative", "released", "mozilla", "subject", "hereby", "granted", "obtaining", "permitted", "binary", "modif", "foundation", "published", "software", "domain", "dedicated")
+ANCHORS = ("licen", "copyright", "reserved", "permission", "distribut", "spdx", "cc", "gnu", "creative", "released", "mozilla", "subject", "hereby", "granted", "obtaining", "permitted", "binary", "modif", "foundation", "published", "software", "domain", "dedicated", "available", "gpl")
 TEMPLATES = {
     "AGPL": ("This program is licensed under the GNU Affero General Public License, version 3", "Licensed under the AGPL version 3 license", "SPDX-License-Identifier: AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Released under the Apache 2.0 License", "SPDX-License-Identifier: Apache-2.0"),
@@ -49,8 +52,26 @@ TEMPLATES = {
     "LGPL": ("This library is licensed under the GNU Lesser General Public License", "Licensed under the LGPL license", "SPDX-License-Identifier: LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License"),
     "MIT": ("Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License", "SPDX-License-Identifier: MPL-2.0"),
-    "proprietary": ("All rights reserved", "Copyright. All rights reserved. No part may be reproduced without permission"),
+    "proprietary": ("All rights reserved.", "Copyright. All rights reserved. No part may be reproduced without permission"),
 }
+#: How families are named in short notices, and what stands around a name.
+NAMES = {
+    "AGPL": ("AGPL", "AGPL-3.0", "AGPLv3", "GNU AGPL"),
+    "Apache-2.0": ("Apache-2.0", "Apache 2.0", "Apache License 2.0"),
+    "BSD": ("BSD", "BSD-3-Clause", "BSD-2-Clause", "3-Clause BSD", "2-Clause BSD"),
+    "CC-BY": ("CC BY", "CC BY 4.0", "CC BY 3.0"),
+    "CC-BY-NC": ("CC BY-NC", "CC BY-NC 4.0"),
+    "CC-BY-ND": ("CC BY-ND", "CC BY-ND 4.0"),
+    "CC-BY-SA": ("CC BY-SA", "CC BY-SA 4.0", "CC BY-SA 3.0"),
+    "CC0": ("CC0", "CC0 1.0", "CC0 1.0 Universal"),
+    "GPL-2.0": ("GPL-2.0", "GPLv2", "GPL version 2", "GNU GPL v2"),
+    "GPL-3.0": ("GPL-3.0", "GPLv3", "GPL version 3", "GNU GPL v3"),
+    "ISC": ("ISC",),
+    "LGPL": ("LGPL", "LGPL-2.1", "LGPL-3.0", "GNU LGPL"),
+    "MIT": ("MIT", "Expat"),
+    "MPL-2.0": ("MPL-2.0", "MPL 2.0"),
+}
+FRAMES = ("License: {}.", "{} license", "licensed under {}.", "licensed under the {}.", "released under {}.", "released under the {}.", "available under {}.", "available under the {}.", "distributed under the {}.", "under the {} license", "SPDX-License-Identifier: {}.")
 OTHER = (
     "He lost his driving license on the way home", "The license plate of the car was covered in mud", "Ask for permission before you enter the house",
     "Copyright law is older than most people think", "The old copyright office moved to a new building", "Redistributing wealth was the plan of the new government",
@@ -58,10 +79,13 @@ OTHER = (
     "The public domain has many old books and films", "Her poetic license went a little too far this time", "Licensing fees for the stadium went up again last year",
     "The version of the story that the public knew was general and free", "No license was needed for the small boat", "Without permission of the owner nobody may camp here",
     "The company was licensed to sell wine and beer under the new law", "MIT and other schools asked for permission to build a reactor license office",
+    "All rights reserved seating at the theatre was sold", "All rights reserved for members of the club are listed below", "The museum reserved all the seats on the right", "They came under the MIT dome at noon", "The letter was sent under CC to the board by him",
+    "The film was released under another name in 2.0 million homes", "Water was distributed under the bridge to people", "The house is available under the usual terms", "The new version 3 of the public plan was released under pressure",
+    "She was licensed under an old law to sell fish", "The BSD team won the cup under its new coach", "Our driver license: valid until May", "Boots are available under the stairs", "The ISC office grants a license to fishermen",
     "The Apache pilot had a license to fly", "A general with a public license to print money", "Software licenses were discussed at the meeting on open source",
 )
-#: Words of a template, as a share, that a paragraph must hold.
-CONFIRM = 0.8
+#: Words of a template, as a share, that a paragraph must hold, if it has more than SHORT of them; of a shorter one it must hold all pairs of neighbours.
+CONFIRM, SHORT = 0.8, 7
 UNKNOWN = "unknown"
 #: Words that the lines between the first and the last one of a window hold at most; the longest template has 30.
 SPAN = 40
@@ -79,9 +103,43 @@ def ngrams_of(ws: list[str]) -> set[str]:
     return {" ".join(ws[i : i + n]) for n in (1, 2, 3) for i in range(len(ws) - n + 1)}
 
 
+def short_notices(name: str) -> list[str]:
+    return [f.format(n) for n in NAMES.get(name, ()) for f in FRAMES]
+
+
+#: What ends a clause (white space follows), and what no word holds.
+_ENDS, _NO_WORD = r"[.!?;,)]+(?=[ \t\n\r\f\x0B])", "[^a-z0-9|]+"
+
+
+def words_with_ends(text: str) -> list[str]:
+    """Words, and a bar where a clause or the text ends."""
+    return re.sub(_NO_WORD, " ", re.sub(_ENDS, " | ", text.lower().replace("|", " ") + ".\n")).split()
+
+
+def pairs_of(text: str) -> set[str]:
+    """Pairs of neighbouring words and ends."""
+    ws = words_with_ends(text)
+    return {f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)}
+
+
+def _template_pairs(t: str) -> set[str]:
+    """The pairs that a short template asks for: its end counts only where it's spelt."""
+    ws = words_with_ends(t.removesuffix("."))
+    return {f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False) if a != "|" and (b != "|" or t.endswith("."))}
+
+
+def demands(name: str) -> list[tuple[bool, list[str]]]:
+    """What each template of a family asks for: whether pairs or words, and them."""
+    out = []
+    for t in (*TEMPLATES[name], *short_notices(name)):
+        ws = set(words_of(t))
+        out.append((False, sorted(ws)) if len(ws) > SHORT else (True, sorted(_template_pairs(t))))
+    return out
+
+
 def uncovered(anchors: tuple[str, ...]) -> list[str]:
-    """Templates that a paragraph could confirm without holding an anchor."""
-    return [t for ts in TEMPLATES.values() for t in ts for ws in [set(words_of(t))] if sum(not any(a in w for a in anchors) for w in ws) >= CONFIRM * len(ws)]
+    """What templates ask for that a paragraph could confirm without holding an anchor."""
+    return [" ".join(asked) for name in TEMPLATES for pairs, asked in demands(name) if sum(not any(a in w for a in anchors for w in x.split()) for x in asked) >= (len(asked) if pairs else CONFIRM * len(asked))]
 
 
 @functools.lru_cache(1)
@@ -96,17 +154,20 @@ def model() -> tuple[list[str], dict[str, list[float]], list[float], float]:
     for k, name in enumerate(classes[:-1]):
         for n, (t, (a, b)) in enumerate(itertools.product(TEMPLATES[name], itertools.product(before, after))):
             rows.append((ngrams_of(words_of(f"{a} {t} {b}")), k, n % 5 == 4))
+        for n, (t, (a, b)) in enumerate(itertools.product(short_notices(name), ((before[0], after[0]), (before[1], after[0]), (before[0], after[1])))):
+            rows.append((ngrams_of(words_of(f"{a} {t} {b}")), k, n % 5 == 4))
     for n, (t, (a, b)) in enumerate(itertools.product(OTHER, itertools.product(before[:3], after[:2]))):
         rows.append((ngrams_of(words_of(f"{a} {t} {b}")), len(classes) - 1, n % 5 == 4))
-    names = sorted(set().union(*(g for g, _, held in rows if not held)))
+    seen = Counter(g for grams, _, held in rows if not held for g in grams)
+    names = sorted(g for g, n in seen.items() if n > 1)
     at = {g: i for i, g in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
+    x = np.zeros((len(rows), len(names)), np.float32)
     for i, (grams, _, _) in enumerate(rows):
         x[i, [at[g] for g in grams if g in at]] = 1 / math.sqrt(len(grams))
     y, held = np.array([k for _, k, _ in rows]), np.array([h for _, _, h in rows])
     share = np.bincount(y[~held], minlength=len(classes))[y]
-    w, b = np.zeros((len(names), len(classes))), np.zeros(len(classes))
-    target, weight = np.eye(len(classes))[y], (~held / share)[:, None] / len(classes)
+    w, b = np.zeros((len(names), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    target, weight = np.eye(len(classes), dtype=np.float32)[y], ((~held / share)[:, None] / len(classes)).astype(np.float32)
     for _ in range(400):  # proximal gradient steps
         p = _softmax(x @ w + b)
         g = (p - target) * weight
@@ -119,8 +180,8 @@ def model() -> tuple[list[str], dict[str, list[float]], list[float], float]:
     right = p.argmax(axis=1) == y
     low = top[held & ~known].max()
     high = np.quantile(top[held & known & right], 0.02)
-    w = w.round(4)
-    return classes, {n: w[i].tolist() for n, i in at.items() if w[i].any()}, b.round(4).tolist(), float(round((low + high) / 2 if low < high else low, 4))
+    w, b = w.astype(float).round(4), b.astype(float)
+    return classes, {n: w[i].tolist() for n, i in at.items() if w[i].any()}, b.round(4).tolist(), round(float((low + high) / 2 if low < high else low), 4)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -142,8 +203,8 @@ def classify(text: str) -> str:
     k = int(p.argmax())
     if classes[k] == UNKNOWN or p[k] < least:
         return UNKNOWN
-    held = set(ws)
-    return classes[k] if any(len(held & set(words_of(t))) >= CONFIRM * len(set(words_of(t))) for t in TEMPLATES[classes[k]]) else UNKNOWN
+    held = set(ws), pairs_of(text)
+    return classes[k] if any(len(held[pairs] & set(asked)) >= (len(asked) if pairs else CONFIRM * len(asked)) for pairs, asked in demands(classes[k])) else UNKNOWN
 
 
 def notices(text: str) -> list[tuple[int, int, str]]:
@@ -173,12 +234,20 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
 
+def _pairs(text: Column) -> Column:
+    """`pairs_of` as a column."""
+    plain = F.concat(F.replace(F.lower(text), F.lit("|"), F.lit(" ")), F.lit(".\n"))
+    ws = F.split(F.trim(F.regexp_replace(F.regexp_replace(plain, _ENDS, " | "), _NO_WORD, " ")), " ")
+    return F.element_at(F.transform(F.array(ws), lambda ws: F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws)), lambda a, b: F.concat(a, F.lit(" "), b))), 1)
+
+
 def family(paragraph: Column) -> Column:
     """The family of a paragraph, `unknown` if none."""
     classes, weights, biases, least = model()
     # the tables are one literal each once constants are folded: thousands of literals would slow planning
     table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
-    templates = F.from_json(F.lit(json.dumps({c: [sorted(set(words_of(t))) for t in TEMPLATES[c]] for c in classes[:-1]})), "map<string,array<array<string>>>")
+    asked = {c: demands(c) for c in classes[:-1]}
+    by_words, by_pairs = (F.from_json(F.lit(json.dumps({c: [x for pairs, x in ds if pairs == kind] for c, ds in asked.items()})), "map<string,array<array<string>>>") for kind in (False, True))
 
     def of(ws: Column) -> Column:
         def runs(n: int) -> Column:
@@ -194,7 +263,8 @@ def family(paragraph: Column) -> Column:
             top = F.array_max(z)
             p = 1 / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
             name = F.element_at(F.array(*map(F.lit, classes)), F.array_position(z, top).cast("int"))
-            fits = F.exists(F.try_element_at(templates, name), lambda t: F.size(F.array_intersect(ws, t)) >= CONFIRM * F.size(t))
+            fit = lambda table, held, share: F.coalesce(F.exists(F.try_element_at(table, name), lambda t: F.size(F.array_intersect(held, t)) >= share * F.size(t)), F.lit(False))
+            fits = fit(by_words, ws, CONFIRM) | fit(by_pairs, _pairs(paragraph), 1.0)
             return F.when((p >= least) & (name != UNKNOWN) & fits, name).otherwise(F.lit(UNKNOWN))
 
         return F.element_at(F.transform(F.array(z), decide), 1)

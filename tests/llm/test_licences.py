@@ -95,3 +95,46 @@ def test_anchors_lose_nothing(spark, monkeypatch):
     some = [licences.classify(t) for t in texts]
     monkeypatch.setattr(licences, "ANCHORS", ("",))
     assert some == [licences.classify(t) for t in texts]
+
+
+#: Notices and other lines whose wording isn't the module's.
+UNSEEN = {
+    "License: MIT": "MIT",
+    "Released under GPL-3.0": "GPL-3.0",
+    "Apache-2.0 license": "Apache-2.0",
+    "The photos are under the CC BY-SA 4.0": "CC-BY-SA",
+    "Our code is licensed under the MIT License, see LICENSE.": "MIT",
+    "This package is distributed under the MPL-2.0.": "MPL-2.0",
+    "(c) 2021 the team. License: ISC": "ISC",
+    "You may use it; it is available under the LGPL-2.1.": "LGPL",
+    "Licensed under GPLv2, see COPYING": "GPL-2.0",
+    "The data are released under CC0.": "CC0",
+    "BSD 2-Clause license": "BSD",
+    "All text is available under CC BY 4.0.": "CC-BY",
+    "Drawings: licensed under CC BY-ND.": "CC-BY-ND",
+    "We publish under the AGPLv3 license": "AGPL",
+    "Copyright 2020 Some Person. All rights reserved.": "proprietary",
+    "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 3": "GPL-3.0",
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file": "Apache-2.0",
+    "Lizenz: licensed under CC BY-NC 4.0. Alle Rechte": "CC-BY-NC",
+}
+UNSEEN_OTHER = (
+    "All rights reserved seating at the theatre was sold", "His boat license ran out in June", "The public was generally free to enter under the new law", "She released the birds under a clear sky",
+    "Version 2.0 of the plan is available under the old name", "MIT students asked for a license to dig", "The Apache tribe was granted land", "Permission to land was granted at noon", "The copyright office is closed on Monday",
+    "A creative common room for all", "The foundation published a list of members", "Distributed under the tree were many gifts", "It is subject to change", "Redistribution of wealth is a topic of this book",
+    "Driving license: MIT students only", "He came under the MIT dome", "Software for the source of the river", "The general reserved his right to speak", "The binary forms of the word are listed here",
+)
+
+
+def test_unseen_wording():
+    said = {t: licences.classify(t) for t in (*UNSEEN, *UNSEEN_OTHER)}
+    found = [t for t, k in said.items() if k != "unknown"]
+    right = [t for t in found if UNSEEN.get(t) == said[t]]
+    assert len(right) / len(found) >= 0.95 and len(right) / len(UNSEEN) >= 0.95, {t: said[t] for t in said if said[t] != UNSEEN.get(t, "unknown")}
+    assert said["All rights reserved seating at the theatre was sold"] == "unknown"
+
+
+def test_unseen_wording_in_columns(spark):
+    texts = [*UNSEEN, *UNSEEN_OTHER, "a|b license mit", "License: MIT|GPL", "all rights reserved", "All rights reserved\u00a0", "license: mit)\nx"]
+    got = {r.doc_id: r.families for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), wrapped=True).collect()}
+    assert got == {i: sorted({f for *_, f in licences.notices(t)}) for i, t in enumerate(texts)}
