@@ -207,7 +207,8 @@ def exact_dedup(
     texts = texts.join(F.broadcast(several) if few else several, "digest")
     # written first: then both sides of the join are plain exchanges, and a hot group's texts can be split over tasks
     first = materialise(texts.filter(F.col("id").eqNullSafe(F.col("top"))).groupBy("digest").agg(F.min("text").alias("model")), "models")
-    unlike = materialise(texts.join(first, "digest").filter("text != model").select("digest").distinct(), "collisions")
+    # made distinct after it's written: an aggregate by the same key would keep a hot group's join in one task
+    unlike = materialise(texts.join(first, "digest").filter("text != model").select("digest"), "collisions").distinct()
 
     rows = rows.withColumnRenamed("n", "rows")
     out = rows.join(groups.select("digest", "top", F.col("n").alias("group_size")), "digest")

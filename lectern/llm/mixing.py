@@ -24,6 +24,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,21 +68,28 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     return x.select("src", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("w") * free).alias("target"))
 
 
-def permuted(k: np.ndarray, n: int, *seed: int) -> np.ndarray:
-    """A pseudorandom permutation of 0 .. n-1 at `k`: a balanced Feistel network that walks its cycle back below n."""
-    half = max(1, (max(1, int(n) - 1).bit_length() + 1) // 2)
-    low = np.uint64((1 << half) - 1)
-    salt = 0
+def _network(n: int, seed: tuple[int, ...]) -> tuple[np.uint64, np.uint64, np.uint64]:
+    """Bits of a half, their mask, and the key of the network that permutes 0 .. n-1."""
+    half, salt = max(1, (max(1, int(n) - 1).bit_length() + 1) // 2), 0
     for s in seed:
         salt = int(mix(np.array([salt ^ (s & 0xFFFFFFFFFFFFFFFF)], np.uint64), 5)[0])
+    return np.uint64(half), np.uint64((1 << half) - 1), np.uint64(salt)
+
+
+def permuted(k: np.ndarray, n: int, *seed: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of 0 .. n-1 at `k` (or, `back`, where it gives `k`): a balanced Feistel network that walks its cycle until below n."""
+    half, low, salt = _network(n, seed)
     out = np.asarray(k, np.uint64).copy()
     todo = np.arange(len(out))
     while len(todo):
         x = out[todo]
-        a, b = x >> np.uint64(half), x & low
-        for r in range(4):
-            a, b = b, a ^ (mix(b ^ np.uint64(salt), r) & low)
-        x = a << np.uint64(half) | b
+        a, b = x >> half, x & low
+        for r in (3, 2, 1, 0) if back else (0, 1, 2, 3):
+            if back:
+                a, b = b ^ (mix(a ^ salt, r) & low), a
+            else:
+                a, b = b, a ^ (mix(b ^ salt, r) & low)
+        x = a << half | b
         out[todo] = x
         todo = todo[x >= n]
     return out.astype(np.int64)
@@ -97,7 +105,7 @@ def quotas(size: int, target: float, block: int, seed: int, source: int, most: i
         return blocks, passes * blocks, 0
     # the pass in which rest words are taken: the short block lies at one known place
     short = block * blocks - size
-    place = int(np.flatnonzero(permuted(np.arange(blocks), blocks, seed, source, passes) == blocks - 1)[0]) if blocks < 1 << 16 else _place(blocks, seed, source, passes)
+    place = int(permuted(np.array([blocks - 1]), blocks, seed, source, passes, back=True)[0])
     k = -(-rest // block)
     given = k * block
     if place < k:
@@ -109,16 +117,6 @@ def quotas(size: int, target: float, block: int, seed: int, source: int, most: i
     return blocks, passes * blocks + k, given - rest
 
 
-def _place(blocks: int, seed: int, source: int, turn: int) -> int:
-    """Where a large source's permutation puts its last block, in bounded memory."""
-    for first in range(0, blocks, 1 << 20):
-        k = np.arange(first, min(blocks, first + (1 << 20)))
-        hit = np.flatnonzero(permuted(k, blocks, seed, source, turn) == blocks - 1)
-        if len(hit):
-            return int(k[hit[0]])
-    raise AssertionError("a permutation holds every block")
-
-
 def shard_counts(totals: np.ndarray, shards: int, shard: int, per_shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """For one shard: each source's slots in it, and in the shards before it."""
     lo, hi, here, before = 0, shards, totals.astype(np.int64), np.zeros(len(totals), np.int64)
@@ -132,6 +130,29 @@ def shard_counts(totals: np.ndarray, shards: int, shard: int, per_shard: int, se
     return here, before
 
 
+def hypergeometric(r: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of `draws` from good + bad are good. numpy's sampler, which takes up to 10**9, and beyond it the ratio of uniforms of Stadlober (1989): the same law."""
+    if max(good, bad) < 10**9:
+        return int(r.hypergeometric(good, bad, draws))
+    few, many, all_ = min(good, bad), max(good, bad), good + bad
+    m = min(draws, all_ - draws)
+    if not m:
+        return 0 if not draws else good
+    log_ways = lambda z: math.lgamma(z + 1) + math.lgamma(few - z + 1) + math.lgamma(m - z + 1) + math.lgamma(many - m + z + 1)
+    p = few / all_
+    middle, spread = m * p + 0.5, math.sqrt((all_ - m) * m * p * (1 - p) / (all_ - 1) + 0.5)
+    wide = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    top = log_ways(int((m + 1) * (few + 1) / (all_ + 2)))
+    end = min(min(m, few) + 1, int(middle + 16 * spread))
+    while True:
+        u, v = 1 - r.random(), r.random()
+        w = middle + wide * (v - 0.5) / u
+        if 0 <= w < end and 2 * math.log(u) <= top - log_ways(int(w)):
+            break
+    x = int(w) if good <= bad else m - int(w)
+    return x if m == draws else good - x
+
+
 def _split(totals: np.ndarray, draws: int, r: np.random.Generator) -> np.ndarray:
     """A multivariate hypergeometric draw, source after source."""
     out, rest = np.zeros(len(totals), np.int64), int(totals.sum())
@@ -140,13 +161,7 @@ def _split(totals: np.ndarray, draws: int, r: np.random.Generator) -> np.ndarray
         if not draws:
             break
         if rest and n:
-            # numpy's sampler takes up to 10**9; beyond it the normal law is exact to far below one slot in a million
-            if max(n, rest) < 10**9:
-                x = int(r.hypergeometric(n, rest, draws))
-            else:
-                p, all_ = n / (n + rest), n + rest
-                x = int(round(r.normal(draws * p, np.sqrt(max(0.0, draws * p * (1 - p) * (all_ - draws) / max(1, all_ - 1))))))
-                x = min(max(x, draws - rest, 0), int(n), draws)
+            x = hypergeometric(r, int(n), rest, draws)
         else:
             x = min(int(n), draws)
         out[i] = x

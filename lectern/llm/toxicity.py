@@ -12,7 +12,8 @@ Language, source, ids and labels are no inputs of a score; the language only pic
 `rejected`.
 
 Defined cases: null and empty texts are scored like a text without words; of rows
-that repeat a labelled id the one with the smallest text trains; with no labelled rows, or one label only, the score is that label's share, pulled to the middle; unlabelled rows and null labels don't train; rows that
+that repeat a labelled id the one with the smallest text trains; an id that is labelled both ways doesn't; labels of ids without a document count for nothing; training texts after the first
+MAX_TRAIN_BYTES of all in order of hashes are left out; with no labelled rows, or one label only, the score is that label's share, pulled to the middle; unlabelled rows and null labels don't train; rows that
 repeat an id are scored one by one; a null language takes the general threshold; an empty table gives no rows; other columns
 are kept by `score` and ignored by `toxicity`.
 """
@@ -27,6 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.shingles import chunks
@@ -35,6 +37,8 @@ from lectern.session import materialise, ship
 
 #: Labelled texts of each label that train at most; embedding rows; their width; filters of each width.
 MAX_TRAIN, ROWS, WIDE, FILTERS, WIDTHS = 1500, 1 << 15, 12, 8, (1, 2, 3)
+#: Bytes of their texts together.
+MAX_TRAIN_BYTES = 64 << 20
 #: Score at which a text counts as toxic, and texts of a language that its own threshold needs.
 DECISION, LEAST_OF_LANGUAGE = 0.7, 60
 #: Texts that are worked on together, which bounds memory.
@@ -294,12 +298,15 @@ def _calibrate(net: Net, nums: list[np.ndarray], rows: np.ndarray, y: np.ndarray
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> Net:
     """Train on labelled rows where `usable` (over the id) holds; at most `max_train` of each label."""
-    named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1) AND id IS NOT NULL").dropDuplicates(["id"])
+    named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1) AND id IS NOT NULL").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
+    named = named.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     named = named.withColumnRenamed("id", id_col).filter(usable).withColumnRenamed(id_col, "id").withColumn("h", F.xxhash64("id"))
     few = named.filter("y = 1").orderBy("h", "id").limit(max_train).unionByName(named.filter("y = 0").orderBy("h", "id").limit(max_train))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(few), "id")
     one = rows.groupBy("id").agg(F.min(F.struct("h", "id", "text", "lang", "y")).alias("r")).select("r.*")
-    got = one.orderBy("h", "id").collect()  # bounded: max_train of each label, and one row of an id however often it repeats
+    # bounded: max_train of each label, one row of an id however often it repeats, and MAX_TRAIN_BYTES of texts
+    held = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy("h", "id").rowsBetween(W.unboundedPreceding, 0))
+    got = one.withColumn("held", held).filter(F.col("held") <= MAX_TRAIN_BYTES).orderBy("h", "id").collect()
     texts, y = [r.text for r in got], np.array([r.y for r in got], int)
     net = train(texts, y, [r.lang for r in got])
     if len({*y}) == 2 and not named.groupBy("y").count().filter(F.col("count") > max_train).isEmpty():

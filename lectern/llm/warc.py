@@ -14,13 +14,13 @@ mismatch. Only resolved revisits have refers_to, payload and merged headers.
 
 Defined cases: records with a null url or date never match (no_earlier for revisits); null headers are empty; of responses
 with one date the one with the largest id counts; rows that repeat an id are resolved one by one; header
-names count without case; an empty table gives no rows; other columns are ignored.
+names count without case, and of names that differ in case alone the first in order of code points counts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,18 +62,23 @@ def resolve_revisits(records: DataFrame, payload: bool = False) -> DataFrame:
     strings), digest, length, and with `payload` also body.
     """
     headers = F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
-    lower = F.map_from_entries(F.map_entries(F.transform_keys(F.map_from_entries(F.array_sort(F.map_entries(headers))), lambda k, _: F.lower(k))))
+    named = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["key"].alias("key"), e["value"].alias("value"))))
+    first = lambda es: F.filter(es, lambda e, i: (i == 0) | (F.get(es, i - 1)["name"] != e["name"]))
+    lower = F.map_from_entries(F.transform(F.element_at(F.transform(F.array(named), first), 1), lambda e: F.struct(e["name"], e["value"])))
     r = records.select("record_id", "type", canonical_url(F.col("url")).alias("url_key"), F.col("micros").cast("long").alias("micros"), "status", lower.alias("h"), "digest", "length")
     r = r.withColumn("etag", _weak(_header(F.col("h"), "etag"))).withColumn("modified", F.trim(_header(F.col("h"), "last-modified")))
     r = r.withColumn("slice", F.floor(F.col("micros") / SLICE))
     full = (F.col("type") == "response") & (F.col("status") == 200)
-    r = r.withColumn("held", F.when(full & F.col("url_key").isNotNull() & F.col("micros").isNotNull(), F.struct("micros", "record_id", "etag", "modified", "digest", "length", F.to_json("h").alias("headers"))))
-    slices = r.filter("url_key IS NOT NULL AND micros IS NOT NULL").groupBy("url_key", "slice").agg(F.max("held").alias("last"))
+    r = r.withColumn("held", F.when(full, F.struct("micros", "record_id", "etag", "modified", "digest", "length", F.to_json("h").alias("headers"))))
+    # records that match nothing stay out of the windows: there might be many of them
+    r, lost = r.filter("url_key IS NOT NULL AND micros IS NOT NULL"), r.filter("type = 'revisit' AND (url_key IS NULL OR micros IS NULL)")
+    slices = r.groupBy("url_key", "slice").agg(F.max("held").alias("last"))
     before = W.partitionBy("url_key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     carried = slices.select("url_key", "slice", F.max("last").over(before).alias("carried"))
     inside = W.partitionBy("url_key", "slice").orderBy("micros").rangeBetween(W.unboundedPreceding, -1)
-    seen = r.withColumn("here", F.when(F.col("url_key").isNotNull() & F.col("micros").isNotNull(), F.max("held").over(inside)))
+    seen = r.withColumn("here", F.max("held").over(inside))
     out = seen.filter(F.col("type") == "revisit").join(carried, ["url_key", "slice"], "left").withColumn("to", F.coalesce("here", "carried"))
+    out = out.unionByName(lost, allowMissingColumns=True)
     none = F.col("etag").isNull() & F.col("modified").isNull()
     equal = (F.col("etag").isNull() | (F.col("etag") == F.col("to.etag"))) & (F.col("modified").isNull() | (F.col("modified") == F.col("to.modified")))
     outcome = F.when(F.col("to").isNull(), "no_earlier").when(none, "no_validator").when(F.coalesce(equal, F.lit(False)), "resolved").otherwise("mismatch")
@@ -93,15 +98,44 @@ def resolve_revisits(records: DataFrame, payload: bool = False) -> DataFrame:
 
 
 def parse_warc(raw: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzipped by record; one that is cut off ends the file."""
-    f = io.BytesIO(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+    """Records of a WARC file, plain or gzipped by record, read one by one; what lies between records and is none is skipped, and one that is cut off ends the file."""
+    return _records(io.BufferedReader(_Members(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw))
+
+
+class _Members(io.RawIOBase):
+    """What the members of a gzip file hold, piece by piece, up to where it's cut off or goes on as something else."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at, self.one = memoryview(raw), 0, zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        out = b""
+        while not out and (self.at < len(self.raw) or self.one.unconsumed_tail):
+            if self.one.eof:
+                self.at -= len(self.one.unused_data)
+                self.one = zlib.decompressobj(31)
+            more = self.one.unconsumed_tail
+            if not more:
+                more = self.raw[self.at : self.at + 65536]
+                self.at += len(more)
+            try:
+                out = self.one.decompress(more, len(into))
+            except zlib.error:
+                return 0
+        into[: len(out)] = out
+        return len(out)
+
+
+def _records(f) -> Iterator[dict]:
     while line := f.readline():
-        if not line.strip():
-            continue
         if not line.startswith(b"WARC/"):
-            raise ValueError("a record must begin with its version")
+            continue
         own = _lines(f)
-        size = int(own.get("content-length", 0))
+        said = own.get("content-length", "0").strip()
+        size = int(said) if said.isdigit() else 0
         block = f.read(size)
         if len(block) < size:
             return

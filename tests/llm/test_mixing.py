@@ -107,3 +107,20 @@ def test_mix_of_nothing(spark):
     assert mixing.mix_report(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     docs = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert sorted(map(tuple, mixing.mix_report(docs).collect())) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_a_permutation_is_undone():
+    for n in (1, 2, 3, 10, 1000, 12345):
+        k = np.arange(n)
+        p = mixing.permuted(k, n, 3, 4)
+        assert sorted(p) == list(k) and (mixing.permuted(p, n, 3, 4, back=True) == k).all()
+
+
+def test_draws_of_large_numbers_follow_the_law():
+    r = np.random.default_rng(3)
+    for good, bad, draws in ((3 * 10**9, 5 * 10**9, 10**6), (2 * 10**9, 10**6, 10**9), (10**3, 4 * 10**9, 10**9), (5 * 10**9, 10**9, 6 * 10**9 - 50)):
+        x = np.array([mixing.hypergeometric(r, good, bad, draws) for _ in range(4000)])
+        p, n = good / (good + bad), good + bad
+        sd = np.sqrt(draws * p * (1 - p) * (n - draws) / (n - 1))
+        assert abs(x.mean() - draws * p) < 5 * sd / np.sqrt(len(x)) + 1e-9 and abs(x.std() / sd - 1) < 0.08
+        assert (x >= max(0, draws - bad)).all() and (x <= min(good, draws)).all()

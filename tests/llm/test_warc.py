@@ -80,3 +80,20 @@ def test_files(spark, tmp_path):
     assert sorted(r.record_id for r in records.collect()) == ["<1>", "<2>", "<3>"]
     g = warc.resolve_revisits(records, payload=True).first()
     assert (g.outcome, g.refers_to, g.body) == ("resolved", "<1>", b"\x00body") and g.headers["x"] == "a b"
+
+
+def test_names_that_differ_in_case_and_null_keys(spark):
+    rows = [(1, "response", "http://a/x", 10, 200, {"ETag": "1", "etag": "2"}, "d", 1), (2, "revisit", "http://a/x", 20, 304, {"ETAG": "1", "Age": "5", "age": "6"}, None, 0), (3, "revisit", None, 20, 304, {"etag": "1"}, None, 0), (4, "revisit", "http://a/x", None, 304, None, None, 0)]
+    got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, "record_id long, type string, url string, micros long, status int, headers map<string,string>, digest string, length long")).collect()}
+    assert (got[2].outcome, got[2].refers_to, got[2].headers) == ("resolved", 1, {"etag": "1", "age": "5"})
+    assert got[3].outcome == got[4].outcome == "no_earlier"
+
+
+def test_junk_between_records_and_a_cut_member():
+    import gzip
+
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <1>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    assert [x["body"] for x in warc.parse_warc(b"junk\n" + record + b"more junk\n\n" + record)] == [b"hello"] * 2
+    packed = gzip.compress(record) * 3
+    assert len(list(warc.parse_warc(packed))) == 3 and len(list(warc.parse_warc(packed[:-20]))) == 2
+    assert len(list(warc.parse_warc(b"WARC/1.0\r\nContent-Length: many\r\n\r\n"))) == 1
