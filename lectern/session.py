@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,9 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see.
 
     It's what the cluster names in spark.checkpoint.dir. Only where that is unset
-    (tests, one machine) a local folder is made.
+    on one machine (a local master, as in tests) a local folder is made; elsewhere that is an error.
     """
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError(f"on a cluster {_KEY} must name a folder that all executors see")
     if not named:
         named = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="lectern-shared-"))
         atexit.register(shutil.rmtree, named.removeprefix("file://"), ignore_errors=True)
