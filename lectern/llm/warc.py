@@ -113,13 +113,14 @@ class _Members(io.RawIOBase):
 
     def readinto(self, into) -> int:
         out = b""
-        while not out and (self.at < len(self.raw) or self.one.unconsumed_tail):
+        while not out:
             if self.one.eof:
                 self.at -= len(self.one.unused_data)
                 self.one = zlib.decompressobj(31)
-            more = self.one.unconsumed_tail
-            if not more:
-                more = self.raw[self.at : self.at + 65536]
+            more = self.one.unconsumed_tail or self.raw[self.at : self.at + 65536]
+            if not len(more):
+                break
+            if not self.one.unconsumed_tail:
                 self.at += len(more)
             try:
                 out = self.one.decompress(more, len(into))
