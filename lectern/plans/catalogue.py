@@ -256,7 +256,7 @@ def _tokens(spark, d):
 
 
 def _vocab(spark, d):
-    return materialise(K.train_vocabulary(table(spark, d, "documents"), "text", "doc_id", 1000), "vocabulary")
+    return materialise(K.train_vocabulary(spread(table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id", 1000), "vocabulary")
 
 
 @query(f"WITH {_TOKENS} SELECT source, count(*) AS rows, CAST(sum(len(tokens) + 2) AS BIGINT) AS n_tokens FROM t WHERE text <> '' GROUP BY source")
