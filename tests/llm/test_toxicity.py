@@ -99,3 +99,12 @@ def test_a_repeated_id_pushes_no_label_out(spark, monkeypatch):
     toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.F.lit(True), max_train=20)
     texts, y = seen[0]
     assert len(texts) == 40 and sum(y) == 20 and [t for t in texts if t.startswith("copy")] == ["copy 0"]
+
+
+def test_labels_that_contradict_or_have_no_document(spark, monkeypatch):
+    rows = [(i, f"text {i}", "en") for i in range(20)]
+    labels = [(i, i % 2) for i in range(20)] + [(3, 0), (4, 0)] + [(i, 1) for i in range(100, 160)]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, langs: seen.append((sorted(texts), sum(y))) or toxicity.Net.new(1))
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.F.lit(True), max_train=12)
+    assert seen == [(sorted(f"text {i}" for i in range(20) if i != 3), 9)]
