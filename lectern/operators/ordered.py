@@ -27,8 +27,8 @@ def _same(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> D
     return a.join(right, on, how).drop(*[f"__right_{n}" for n in names])
 
 
-def running_before(df: DataFrame, value: str, order: str, by: list[str] | None = None, out: str = "before") -> DataFrame:
-    """`df` with the sum of `value` over the rows before each in its group. `order` is unique within a group.
+def running_before(df: DataFrame, value: str, order: str, by: list[str] | None = None, out: str = "before", total: str | None = None) -> DataFrame:
+    """`df` with the sum of `value` over the rows before each in its group, and the group's sum as `total`. `order` is unique within a group.
 
     Rows are dealt to ranges of (by, order), as many as the session has shuffle partitions, and written there, so a group that
     holds most rows has many ranges. Defined cases: nulls of `order` come first and of `by` are a group; null values
@@ -37,14 +37,17 @@ def running_before(df: DataFrame, value: str, order: str, by: list[str] | None =
     by = by or []
     cut = materialise(df.repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()), "ranges")
     sums = cut.groupBy(*by, "__part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__sum"))
-    starts = sums.withColumn("__start", F.sum("__sum").over(W.partitionBy(*by).orderBy("__part")) - F.col("__sum")).drop("__sum")
+    starts = sums.withColumn("__start", F.sum("__sum").over(W.partitionBy(*by).orderBy("__part")) - F.col("__sum"))
+    if total:
+        starts = starts.withColumn(total, F.sum("__sum").over(W.partitionBy(*by)))
+    starts = starts.drop("__sum")
     inner = F.coalesce(F.sum(value).over(W.partitionBy(*by, "__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return _same(cut.withColumn("__inner", inner), starts, [*by, "__part"]).withColumn(out, F.col("__start") + F.col("__inner")).drop("__part", "__start", "__inner")
 
 
-def dense_rank_of(df: DataFrame, order: str, out: str = "rank", by: list[str] | None = None) -> DataFrame:
-    """`df` with the 0-based place of each row in the order."""
-    return running_before(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, by, out).drop("__one")
+def dense_rank_of(df: DataFrame, order: str, out: str = "rank", by: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """`df` with the 0-based place of each row in the order, and the number of the group's rows as `total`."""
+    return running_before(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, by, out, total).drop("__one")
 
 
 def under_quota(df: DataFrame, size: str, quota: Column, order: str, by: list[str] | None = None) -> DataFrame:
