@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import embedding_dedup, exact_dedup, html_text, licences, mixing, near_dedup, pieces, token_files, toxicity, warc
+from lectern.llm import embedding_dedup, exact_dedup, html_text, licences, merkle, mixing, near_dedup, pieces, token_files, toxicity, warc
 from lectern.session import scratch, table
 
 
@@ -118,6 +118,63 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in the manifest, and whether the document as it is handed over belongs there: of those whose id's crc32 divides by 7, n_chars is handed over one too high."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0) & F.col("n_chars").isNotNull()
+    more = [(F.col(f).cast("decimal(20,0)") + 1) if f == "n_chars" else F.col(f) for f in fields]
+    claimed = F.when(tampered, merkle.leaf(*more))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), fields, "doc_id", "lang", 2, claimed)
+    return merkle.verified(rows).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: Digests that the tree needs are those of hex texts; a level of all groups is made at a time, then each document climbs its path.
+OP11_SQL = """
+WITH RECURSIVE tbl AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS bad
+  FROM documents, tbl
+), f AS (
+  SELECT doc_id, coalesce('v' || lang, '-') AS grp,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS b,
+    coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS b1,
+    coalesce(strlen(text) || ':' || text, '-') AS c, coalesce(bad, false) AS bad
+  FROM d
+), leaves AS (
+  SELECT doc_id, grp, sha256(a || b || c) AS leaf, sha256(a || CASE WHEN bad THEN b1 ELSE b END || c) AS claimed,
+         row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, sha256(a || b || c)) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n
+  FROM f
+), low AS (
+  SELECT 0 AS lvl, grp, idx, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lvl + 1, grp, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY lvl, grp, idx // 2, n
+), subs AS (
+  SELECT grp, lvl AS depth, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS lvl, idx, n, subroot AS h FROM subs
+  UNION ALL
+  SELECT lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY lvl, idx // 2, n
+), nodes AS (
+  SELECT low.lvl, low.grp, low.idx, low.h FROM low JOIN subs USING (grp) WHERE low.n > 1
+  UNION ALL
+  SELECT subs.depth + high.lvl, subs.grp, high.idx, high.h FROM high, subs WHERE high.n > 1
+), climb AS (
+  SELECT l.doc_id, l.leaf, l.grp, s.subroot, 0 AS lvl, l.idx, s.depth, s.idx AS sub_idx, l.claimed AS x, '' AS proof,
+         s.depth + (SELECT max(lvl) FROM high) AS top FROM leaves l JOIN subs s USING (grp)
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.grp, c.subroot, c.lvl + 1, here // 2, c.depth, c.sub_idx,
+         CASE WHEN n.h IS NULL THEN sha256(c.x) WHEN here % 2 = 0 THEN sha256(c.x || n.h) ELSE sha256(n.h || c.x) END,
+         c.proof || coalesce(n.h, ''), c.top
+  FROM (SELECT *, CASE WHEN lvl = depth THEN sub_idx ELSE idx END AS here FROM climb WHERE lvl < top) c
+  LEFT JOIN nodes n ON n.lvl = c.lvl AND n.grp = c.grp AND n.idx = c.here + 1 - 2 * (c.here % 2)
+)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = r.h AS verified
+FROM climb, (SELECT h FROM high WHERE n = 1) r WHERE lvl = top
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -130,8 +187,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_html_text": op10_html_text,
+        "op11_merkle": op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3_SQL, "op5_warc_revisits": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op5_warc_revisits": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_merkle": OP11_SQL}
