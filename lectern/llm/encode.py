@@ -9,6 +9,7 @@ the library together, which encodes them on several threads.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from itertools import chain
 
@@ -167,3 +168,54 @@ class WordEncoder:
     def encode(self, texts) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         return lists_of(*self.encode_all(texts))
+
+
+class ByteEncoder:
+    """The ids of a byte-level tokenizer file with the usual pattern, as Tokenizer.encode gives them.
+
+    The pattern lets a token begin with one blank and never holds one elsewhere but in runs of white space, and letters and
+    punctuation are never in one token: so texts are cut before a blank that ASCII print follows, between an ASCII letter and the
+    punctuation of a sentence, and after a line end between ASCII print. A text that holds an added
+    token's string, or the character that marks cuts, is cut in Python.
+    """
+
+    _CUT = "\0"
+    _RULES = ((r" ([!-~])", "\0 \\1"), (r"([A-Za-z])([.,;:!?)])", "\\1\0\\2"), (r"([!-~])\n([!-~])", "\\1\n\0\\2"))
+
+    def __init__(self, file_json: str, remembered: int = 300_000):
+        import json
+
+        from tokenizers import Tokenizer
+
+        threads()
+        self.tokenizer = Tokenizer.from_str(file_json)
+        spec = json.loads(file_json)
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or spec["post_processor"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("only for plain byte-level tokenizer files")
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.strings = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        glue, mark = (self.added[0], spec["added_tokens"][0]["id"]) if self.added else ("", -1)
+        self.segments = SegmentEncoder(lambda xs: encode_together(self.tokenizer, xs, glue, mark), remembered)
+
+    def _by_hand(self, text: str) -> list[str]:
+        parts = self.strings.split(text) if self.strings else [text]
+        return [s for k, p in enumerate(parts) for s in ([p] if k % 2 else re.split(r"(?= [!-~])", p))]
+
+    def encode_all(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (a list or an Arrow array) one after another, and where each text's begin and end."""
+        x = large(texts)
+        odd = np.zeros(len(x), bool)
+        for a in [self._CUT, *self.added]:
+            odd |= pc.match_substring(x, a).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(~odd), x, pa.scalar("", pa.large_string())) if odd.any() else x
+        for pattern, cut in self._RULES:
+            plain = pc.replace_substring_regex(plain, pattern, cut)
+        flat, offsets = self.segments.encode(pc.split_pattern(plain, self._CUT))
+        if not odd.any():
+            return flat, offsets
+        parts = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        for i in np.flatnonzero(odd):
+            cut = self._by_hand(x[int(i)].as_py())
+            parts[i] = self.segments.encode(pa.LargeListArray.from_arrays(pa.array([0, len(cut)], pa.int64()), pa.array(cut, pa.large_string())))[0]
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]

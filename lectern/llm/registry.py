@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import embedding_dedup, exact_dedup, html_text, licences, merkle, mixing, near_dedup, pieces, token_files, toxicity, warc
+from lectern.llm import embedding_dedup, exact_dedup, html_text, licences, merkle, mixing, near_dedup, packing, pieces, token_files, toxicity, warc, whitening
 from lectern.session import scratch, table
 
 
@@ -175,6 +175,14 @@ FROM climb, (SELECT h FROM high WHERE n = 1) r WHERE lvl = top
 """
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), block=1024, end_id=2)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"), components=32)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -188,6 +196,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_html_text": op10_html_text,
         "op11_merkle": op11_merkle,
+        "op12_packing": op12_packing,
+        "op13_whitening": op13_whitening,
     }
 
 
