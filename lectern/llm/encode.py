@@ -174,15 +174,15 @@ class ByteEncoder:
     """The ids of a byte-level tokenizer file with the usual pattern, as Tokenizer.encode gives them.
 
     The pattern lets a token begin with one blank and never holds one elsewhere but in runs of white space, and letters and
-    punctuation are never in one token: so texts are cut before a blank that ASCII print follows, between an ASCII letter and the
+    punctuation are never in one token: so texts are cut before a blank that print follows, between a Latin letter and the
     punctuation of a sentence, and after a line end between ASCII print. A text that holds an added
     token's string, or the character that marks cuts, is cut in Python.
     """
 
     _CUT = "\0"
-    _RULES = ((r" ([!-~])", "\0 \\1"), (r"([A-Za-z])([.,;:!?)])", "\\1\0\\2"), (r"([!-~])\n([!-~])", "\\1\n\0\\2"))
+    _RULES = ((r" ([!-~À-ÖØ-öø-ÿ])", "\0 \\1"), (r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?)])", "\\1\0\\2"), (r"([!-~])\n([!-~])", "\\1\n\0\\2"))
 
-    def __init__(self, file_json: str, remembered: int = 300_000):
+    def __init__(self, file_json: str, remembered: int = REMEMBERED):
         import json
 
         from tokenizers import Tokenizer
