@@ -10,13 +10,14 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
+from lectern.functions.annotate import annotate_lists
+from lectern.functions.jsonlines import read_one
+
 _OUTER = ("", "markdown", "md", "text", "txt")
-#: States of the annotator, and the deepest level.
-PLAIN, JSON_OBJECT, JSON_ARRAY, JSON_STRING, JSON_ESCAPE, MD_TEXT, MD_OUTER, MD_INNER, MD_CODE = range(9)
-MAX_DEPTH = 32
 _RUN = re.compile(r"(`{3,}|~{3,})(.*)", re.S)
 _STACK = re.compile(r"\s*(`{3,}|~{3,})[^`~]*\s*", re.S)
 
@@ -119,79 +120,6 @@ def repaired(text: str) -> str:
     return best
 
 
-class _Scanner:
-    """Depth and state before each token: a pushdown machine over JSON brackets, strings and fences."""
-
-    def __init__(self):
-        self.brackets: list[str] = []
-        self.depth, self.string, self.escape, self.fences, self.fresh = 0, False, False, [], True
-
-    def before(self, token: str) -> tuple[int, int]:
-        depth = max(0, min(self.depth + len(self.fences), MAX_DEPTH))
-        if self.escape or self.string and token in ('\\"', "\\\\", "\\n"):
-            return depth, JSON_ESCAPE
-        if self.string:
-            return depth, JSON_STRING
-        if self.brackets:
-            return depth, JSON_OBJECT if self.brackets[-1] == "{" else JSON_ARRAY
-        if self.fences:
-            return depth, MD_INNER if len(self.fences) > 1 else MD_OUTER
-        return depth, PLAIN if self.fresh else MD_TEXT
-
-    def take(self, tokens: list[str], i: int) -> None:
-        token = tokens[i]
-        if self.fresh and (f := self._fence(tokens, i)):
-            char, n, rest = f
-            if self.fences and not rest and self.fences[-1][0] == char and n >= self.fences[-1][1]:
-                self.fences.pop()
-            else:
-                self.fences.append((char, n))
-        if self.string:
-            if self.escape:
-                self.escape = False
-            elif token == "\\":
-                self.escape = True
-            elif token == '"':
-                self.string = False
-        elif token == '"':
-            self.string = True
-        elif token in ("{", "["):
-            self.brackets.append(token)
-            self.depth += 1
-        elif token in ("}", "]"):
-            self.brackets[-1:] = []
-            self.depth = max(0, self.depth - 1)
-        if "\n" in token:
-            self.fresh = not token[token.rindex("\n") + 1 :].strip()
-        elif token.strip():
-            self.fresh = False
-
-    @staticmethod
-    def _fence(tokens: list[str], i: int) -> tuple[str, int, str] | None:
-        f = fence(tokens[i])
-        char = tokens[i].strip()
-        if f or char not in ("`", "~"):
-            return f
-        n = 0
-        for t in tokens[i:]:
-            t = t.strip()
-            if not t or t.strip(char):
-                break
-            n += len(t)
-        return (char, n, "") if n >= 3 else None
-
-
-def annotate(tokens: list[str]) -> tuple[list[int], list[int]]:
-    """Depths and states of a text's tokens."""
-    s, depths, states = _Scanner(), [], []
-    for i, token in enumerate(tokens):
-        d, k = s.before(token)
-        depths.append(d)
-        states.append(k)
-        s.take(tokens, i)
-    return depths, states
-
-
 # ---- columns ------------------------------------------------------------------------------------
 
 
@@ -217,12 +145,9 @@ def fences_balanced(x: pd.Series) -> pd.Series:
 @F.pandas_udf(Y.StructType().add("kind", Y.StringType()).add("error", Y.StringType()))
 def json_kind(x: pd.Series) -> pd.DataFrame:
     """object, array or scalar of a valid JSON text, else the parser's message."""
-    rows = []
-    for t in x:
-        e = json_error(t)
-        v = None if e else json.loads(t)
-        rows.append((None if e else "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "scalar", e))
-    return pd.DataFrame(rows, columns=["kind", "error"], dtype=object)
+    found = [read_one(t if t is not None else "") for t in x]
+    kinds = {"object": "object", "array": "array", "string": "scalar", "scalar": "scalar"}
+    return pd.DataFrame([(kinds.get(r.get("kind")), r.get("error")) for r in found], columns=["kind", "error"], dtype=object)
 
 
 def _replaced(value, table: tuple) -> tuple[object, int]:
@@ -261,7 +186,7 @@ def json_blocks_of(x: pd.Series) -> pd.Series:
     return x.map(lambda t: [] if t is None else json_blocks(t))
 
 
-@F.pandas_udf(Y.StructType().add("depth", Y.ArrayType(Y.IntegerType())).add("state", Y.ArrayType(Y.IntegerType())))
-def annotations(x: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(Y.StructType().add("depth", Y.ArrayType(Y.IntegerType())).add("state", Y.ArrayType(Y.IntegerType())))
+def annotations(x: pa.Array) -> pa.Array:
     """Depth and state of each token of token arrays."""
-    return pd.DataFrame([annotate([] if t is None else list(t)) for t in x], columns=["depth", "state"])
+    return pa.StructArray.from_arrays(annotate_lists(x), ["depth", "state"])

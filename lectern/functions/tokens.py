@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.session import ship
+from lectern.session import materialise, ship
 
 #: Tokens of a vocabulary that goes to all executors at most (some 50 bytes each); a larger one is joined.
 BROADCAST_TOKENS = 500_000
@@ -72,25 +73,33 @@ def _shared(vocabulary: DataFrame):
 
 
 def encode(tokenised: DataFrame, vocabulary: DataFrame, key: str, tokens: str = "tokens", specials: bool = True, out: str = "ids") -> DataFrame:
-    """key, ids: unknown tokens to the unknown id. A null list is empty. Token by token in place, without a shuffle; for a vocabulary too large to send, by a join, where `key` must be unique."""
+    """key, ids of each row: unknown tokens to the unknown id. A null list is empty; keys may be null or repeat. Token by token in place, without a shuffle; for a vocabulary too large to send, by a join on the tokens of numbered rows."""
+    filled = tokenised.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("_tokens"))
     shared = _shared(vocabulary)
     if shared is None:
-        return _encode_by_join(tokenised, vocabulary, key, tokens, specials, out)
+        ids = _by_join(filled, vocabulary.select("token", F.col("token_id").alias("_found")), "_tokens", "token", F.lit(UNK)).select(key, F.col("_found").alias("_ids"))
+    else:
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids = (pa.array(x, t) for x, t in zip(shared.value, (pa.string(), pa.int32()), strict=True))
-        for batch in batches:
-            lists = batch.column(1)
-            found = pc.fill_null(ids.take(pc.index_in(lists.flatten(), value_set=names)), UNK)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _in_lists(found, lists)], names=[key, "_ids"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, ids = (pa.array(x, t) for x, t in zip(shared.value, (pa.string(), pa.int32()), strict=True))
+            for batch in batches:
+                lists = batch.column(1)
+                found = pc.fill_null(ids.take(pc.index_in(lists.flatten(), value_set=names)), UNK)
+                yield pa.RecordBatch.from_arrays([batch.column(0), _in_lists(found, lists)], names=[key, "_ids"])
 
-    filled = tokenised.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("_tokens"))
-    kind = filled.schema[key].dataType.simpleString()
-    ids = filled.mapInArrow(run, f"`{key}` {kind}, _ids array<int>")
+        ids = filled.mapInArrow(run, f"`{key}` {filled.schema[key].dataType.simpleString()}, _ids array<int>")
     whole = F.concat(F.array(F.lit(BOS)), F.col("_ids"), F.array(F.lit(EOS))) if specials else F.col("_ids")
     return ids.select(key, whole.alias(out))
 
 
+def _by_join(rows: DataFrame, vocabulary: DataFrame, listed: str, on: str, missing: Column) -> DataFrame:
+    """`rows` with `_found`: for each element of a list what the vocabulary has for it, else `missing`, in order. Rows are numbered and written first, so keys needn't tell them apart."""
+    numbered = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    met = numbered.select("_row", F.posexplode(listed).alias("_pos", on)).join(vocabulary, on, "left")
+    found = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_found", missing).alias("x"))))["x"].alias("_found"))
+    return numbered.join(found, "_row", "left").withColumn("_found", F.coalesce("_found", F.array())).drop("_row")
+
+
 def _in_lists(values: pa.Array, like: pa.ListArray) -> pa.ListArray:
     """Values laid out as the lists of another array without nulls."""
     counts = pc.list_value_length(like).to_numpy(zero_copy_only=False)
@@ -98,64 +107,51 @@ def _in_lists(values: pa.Array, like: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def decode(encoded: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """key, text: tokens joined; padding, begin and end are left out, the unknown token isn't, and stands for unknown ids. A null list is empty."""
+def _named(encoded: DataFrame, vocabulary: DataFrame, key: str, ids: str) -> DataFrame:
+    """key, _names: the token of each id, the unknown token where there's none. A null list is empty."""
+    filled = encoded.select(key, F.coalesce(ids, F.array().cast("array<int>")).cast("array<int>").alias("_ids"))
     shared = _shared(vocabulary)
     if shared is None:
-        return _decode_by_join(encoded, vocabulary, key, ids, out)
+        return _by_join(filled, vocabulary.select(F.col("token").alias("_found"), "token_id"), "_ids", "token_id", F.lit(SPECIALS[UNK])).select(key, F.col("_found").alias("_names"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, numbers = (pa.array(x, t) for x, t in zip(shared.value, (pa.string(), pa.int32()), strict=True))
-        silent = pa.array([PAD, BOS, EOS], pa.int32())
         for batch in batches:
             lists = batch.column(1)
-            flat = lists.flatten()
-            said = pc.fill_null(names.take(pc.index_in(flat, value_set=numbers)), SPECIALS[UNK])
-            said = pc.if_else(pc.is_in(flat, value_set=silent), "", said)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_join(_in_lists(said, lists), "")], names=[key, out])
-
-    filled = encoded.select(key, F.coalesce(ids, F.array().cast("array<int>")).cast("array<int>").alias("_ids"))
-    return filled.mapInArrow(run, f"`{key}` {filled.schema[key].dataType.simpleString()}, `{out}` string")
+            said = pc.fill_null(names.take(pc.index_in(lists.flatten(), value_set=numbers)), SPECIALS[UNK])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _in_lists(said, lists)], names=[key, "_names"])
 
+    return filled.mapInArrow(run, f"`{key}` {filled.schema[key].dataType.simpleString()}, _names array<string>")
 
-def _encode_by_join(tokenised: DataFrame, vocabulary: DataFrame, key: str, tokens: str, specials: bool, out: str) -> DataFrame:
-    flat = tokenised.select(key, F.posexplode(tokens).alias("pos", "token"))
-    ids = flat.join(vocabulary, "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("id"))))["id"].alias(out))
-    body = F.coalesce(out, F.array().cast("array<int>"))
-    whole = F.concat(F.array(F.lit(BOS)), body, F.array(F.lit(EOS))) if specials else body
-    return tokenised.select(key).join(ids, key, "left").select(key, whole.alias(out))
 
-
-def _decode_by_join(encoded: DataFrame, vocabulary: DataFrame, key: str, ids: str, out: str) -> DataFrame:
-    flat = encoded.select(key, F.posexplode(ids).alias("pos", "token_id")).filter(~F.col("token_id").isin(PAD, BOS, EOS))
-    said = flat.join(vocabulary, "token_id", "left").withColumn("token", F.coalesce("token", F.lit(SPECIALS[UNK])))
-    text = said.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "token")))["token"], "").alias(out))
-    return encoded.select(key).join(text, key, "left").select(key, F.coalesce(out, F.lit("")).alias(out))
+def decode(encoded: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """key, text of each row: tokens joined; padding, begin and end are left out, the unknown token isn't, and stands for unknown ids. A null list is empty; keys may be null or repeat."""
+    silent = (SPECIALS[PAD], SPECIALS[BOS], SPECIALS[EOS])
+    return _named(encoded, vocabulary, key, ids).select(key, F.array_join(F.filter("_names", lambda t: ~t.isin(*silent)), "").alias(out))
 
 
 def annotate_ids(encoded: DataFrame, vocabulary: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """key, depth_ids, state_ids of id lists: specials are depth 0 and plain, and the annotator doesn't see them; unknown ids are the unknown token, a special one."""
-    from lectern.functions.structure import PLAIN, annotate
+    """key, depth_ids, state_ids of id lists: specials are depth 0 and plain, and the annotator doesn't see them; unknown ids are the unknown token, a special one. Keys may be null or repeat."""
+    from lectern.functions.annotate import PLAIN, annotate_lists
 
-    shared = _shared(vocabulary)
-    if shared is None:
-        raise ValueError(f"a vocabulary of more than {BROADCAST_TOKENS} tokens")
+    ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = dict(zip(shared.value[1], shared.value[0], strict=True))
         for batch in batches:
-            depths, states = [], []
-            for row in batch.column(1).to_pylist():
-                said = [names.get(i, SPECIALS[UNK]) for i in row or []]
-                at = [i for i, t in enumerate(said) if t not in SPECIALS]
-                depth, state = [0] * len(said), [PLAIN] * len(said)
-                for i, d, k in zip(at, *annotate([said[i] for i in at]), strict=True):
-                    depth[i], state[i] = d, k
-                depths.append(depth)
-                states.append(state)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(depths, pa.list_(pa.int32())), pa.array(states, pa.list_(pa.int32()))], names=[key, "depth_ids", "state_ids"])
-
-    rows = encoded.select(key, F.col(ids).cast("array<int>").alias("_ids"))
+            lists = batch.column(1)
+            flat = lists.flatten()
+            seen = pc.invert(pc.is_in(flat, value_set=pa.array(SPECIALS))).to_numpy(zero_copy_only=False)
+            offsets = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+            kept = np.r_[0, np.cumsum(seen)][offsets]
+            made = annotate_lists(pa.ListArray.from_arrays(pa.array(kept, pa.int32()), flat.filter(pa.array(seen))))
+            out = []
+            for values, special in zip(made, (0, PLAIN), strict=True):
+                whole = np.full(len(flat), special, np.int32)
+                whole[seen] = values.values.to_numpy()
+                out.append(_in_lists(pa.array(whole), lists))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=[key, "depth_ids", "state_ids"])
+
+    rows = _named(encoded, vocabulary, key, ids)
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, depth_ids array<int>, state_ids array<int>")
 
 

@@ -12,19 +12,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.session import materialise
+from lectern.operators import nextfit
+from lectern.session import materialise, ship
 
 
 def _same(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """A join on columns of one name where nulls equal each other; `b`'s are dropped."""
     right = b.withColumnsRenamed({n: f"__right_{n}" for n in names})
     on = reduce(lambda x, y: x & y, [a[n].eqNullSafe(right[f"__right_{n}"]) for n in names])
-    return a.join(right, on, how).drop(*[f"__right_{n}" for n in names])
+    joined = a.join(right, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__right_{n}" for n in names])
 
 
 def running_before(df: DataFrame, value: str, order: str, by: list[str] | None = None, out: str = "before", total: str | None = None) -> DataFrame:
@@ -56,9 +59,9 @@ def under_quota(df: DataFrame, size: str, quota: Column, order: str, by: list[st
 
 
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key. Keys meet as (order, key) minima before the join, so no hot key gathers its rows."""
+    """The first row of each key; null is a key. Keys meet as (order, key) minima before the join, so no hot key gathers its rows. Rows that are equal in both stay together: `order` tells rows of a key apart."""
     first = df.groupBy(key).agg(F.min(order).alias(order))
-    return df.join(first, [key, order], "left_semi")
+    return _same(df, first, [key, order], "left_semi")
 
 
 def hashed(on: Column, seed: int = 0) -> Column:
@@ -67,13 +70,21 @@ def hashed(on: Column, seed: int = 0) -> Column:
 
 
 def valid_split(df: DataFrame, key: str, rate: float = 0.002, most: int = 10_000, seed: int = 0) -> DataFrame:
-    """`df` with `valid`: rows whose hash is below `rate`, the `most` smallest ones at most."""
-    drawn = df.select(F.col(key).alias("_k"), hashed(F.col(key), seed).alias("_h")).filter(F.col("_h") < rate).orderBy("_h", "_k").limit(most).select("_k")
-    return df.join(drawn, df[key] == drawn["_k"], "left").withColumn("valid", F.col("_k").isNotNull()).drop("_k")
+    """`df` with `valid`: rows whose key's hash is below `rate`, from the smallest on, `most` of them at most.
+
+    As many rows come out as go in. Rows of one key (null is a key) go the same way, so copies never stand on both sides: the
+    cut lies before the first hash whose rows would exceed `most`. Only hashes of drawn rows are ordered, in two levels.
+    """
+    h = F.coalesce(hashed(F.col(key), seed), hashed(F.lit("null"), seed))
+    drawn = df.select(h.alias("__h")).filter(F.col("__h") < rate).groupBy("__h").agg(F.count("*").alias("__n"))
+    cut = rate
+    if (drawn.agg(F.sum("__n")).first()[0] or 0) > most:
+        cut = running_before(drawn, "__n", "__h", out="__before").filter(F.col("__before") + F.col("__n") > most).agg(F.min("__h")).first()[0]
+    return df.withColumn("valid", h < cut)
 
 
 def ratio_split(df: DataFrame, key: str, ratios: tuple[float, float, float] = (0.95, 0.03, 0.02), seed: int = 0) -> DataFrame:
-    """`df` with `split`: train, val and test by hash order; cuts are floors, the rest is test."""
+    """`df` with `split`: train, val and test by hash order (null keys first); cuts are floors, the rest is test. Rows of one key follow each other, and a cut may lie between them."""
     if abs(sum(ratios) - 1) > 1e-6:
         raise ValueError("ratios must add up to 1")
     placed = dense_rank_of(df.withColumn("_h", (hashed(F.col(key), seed) * 2**48).cast("long")), "_h", "__place")
@@ -83,7 +94,7 @@ def ratio_split(df: DataFrame, key: str, ratios: tuple[float, float, float] = (0
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """`n` rows drawn evenly: those of the smallest hashes."""
+    """`n` rows drawn evenly: those of the smallest hashes, null keys first. `n` is meant small: each task keeps that many."""
     return df.withColumn("_h", hashed(F.col(key), seed)).orderBy("_h", key).limit(n).drop("_h")
 
 
@@ -111,28 +122,96 @@ def weighted_choice(on: Column, weights: dict[str, float], seed: int = 0) -> Col
 # ---- shards -------------------------------------------------------------------------------------
 
 
-def assign_shards(df: DataFrame, size: str, limit: int, order: str, parts: int = 64) -> DataFrame:
-    """`df` with shard_id by next fit in order: a shard is closed before the row that would overfill it.
+#: Ranges whose functions are composed in one task.
+TOGETHER = 32
+
+
+def assign_shards(df: DataFrame, size: str, limit: int, order: str) -> DataFrame:
+    """`df` with shard_id (int) by next fit in order: a shard is closed before the row that would overfill it.
 
-    Next fit is sequential: where a shard begins depends on all rows before it, and prefix sums divided by
-    the limit give other shards. So a stream of (order, size) pairs, 16 bytes a row, is walked in one task; the
-    texts stay where they are and are joined by the order.
+    Ranges of the order are summed up, followed and numbered in parallel (see `nextfit`); what is sequential is one function for each
+    TOGETHER ranges. As many rows come out as go in: rows of equal order follow each other as they stand in `df`, nulls of
+    `order` come first, null and negative sizes count 0, and a row that is larger than a shard has one of its own.
     """
-    narrow = df.select(F.col(order).alias("o"), F.col(size).alias("n")).repartitionByRange(parts, "o").sortWithinPartitions("o")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, fill, rows = 0, 0, 0
-        for batch in batches:
-            ids = []
-            for n in batch["n"]:
-                if rows and fill + n > limit:
-                    shard, fill, rows = shard + 1, 0, 0
-                fill, rows = fill + n, rows + 1
-                ids.append(shard)
-            yield pd.DataFrame({"o": batch["o"], "shard_id": ids})
-
-    ids = materialise(narrow, "sizes").orderBy("o").coalesce(1).sortWithinPartitions("o").mapInPandas(walk, "o long, shard_id int")
-    return df.join(ids.withColumnRenamed("o", order), order)
+    dealt = df.withColumn("__nth", F.monotonically_increasing_id()).repartitionByRange(order, "__nth").sortWithinPartitions(order, "__nth")
+    # in a sorted partition this id is the partition's number and the row's place in it
+    cut = materialise(dealt.withColumn("__row", F.monotonically_increasing_id()).drop("__nth"), "ranges")
+    spark, part = ship(df.sparkSession), F.shiftright("__row", 33)
+    rows = cut.select(part.alias("part"), F.col("__row").alias("row"), F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0)).alias("n")).repartition("part").sortWithinPartitions("part", "row")
+    ranges = lambda batches: _by_part(batches, ("row", "n"))
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, (_, sizes) in ranges(batches):
+            yield _function_row(k, nextfit.steps_of(sizes, limit))
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, None
+        for k, f in _functions(batches):
+            if at is not None and k // TOGETHER != at:
+                yield _function_row(at, held)
+                held = None
+            held, at = f if held is None else held.then(f, limit), k // TOGETHER
+        if at is not None:
+            yield _function_row(at, held)
+
+    def follow(groups: list[int] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, at, out = nextfit.NOTHING, None, []
+            for k, f in _functions(batches):
+                if groups is not None and k // TOGETHER != at:
+                    at = k // TOGETHER
+                    state = entries.value[at]
+                out.append((k, *state))
+                state = f.enter(limit, *state)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, names=["part", "shards", "fill"])
+
+        return run
+
+    entry, function = "part long, shards long, fill long", "part long, steps binary, whole long"
+    each = materialise(rows.mapInArrow(sum_up, function), "functions")
+    groups = materialise(each.withColumn("up", F.floor(F.col("part") / TOGETHER)).repartition("up").sortWithinPartitions("up", "part").drop("up").mapInArrow(compose, function), "functions")
+    # a row for each TOGETHER ranges, one after another
+    first = {r.part: (r.shards, r.fill) for r in groups.coalesce(1).sortWithinPartitions("part").mapInArrow(follow(None), entry).collect()}
+    entries = spark.sparkContext.broadcast(first)
+    entered = each.withColumn("up", F.floor(F.col("part") / TOGETHER)).repartition("up").sortWithinPartitions("up", "part").drop("up").mapInArrow(follow(list(first)), entry)
+    states = spark.sparkContext.broadcast({r.part: (r.shards, r.fill) for r in entered.collect()})  # a row a range
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, (ids, sizes) in ranges(batches):
+            found = list(nextfit.starts_of(sizes, limit, *states.value[k]))
+            at, shard = (np.array(c, np.int64) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(shard)], names=["__row", "__shard"])
+
+    starts = materialise(rows.mapInArrow(begin, "__row long, __shard long"), "starts")  # a row a shard and range
+    w = W.partitionBy(part).orderBy("__row").rowsBetween(W.unboundedPreceding, 0)
+    return cut.join(starts, "__row", "left").withColumn("shard_id", F.last("__shard", ignorenulls=True).over(w).cast("int")).select(*df.columns, "shard_id")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns of each part, from batches sorted by `part`: a range of the order is what a task holds."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            parts = batch.column("part").to_numpy()
+            if held and parts[0] != (at := held[0].column("part")[0].as_py()):
+                yield at, [np.concatenate([b.column(c).to_numpy() for b in held]) for c in columns]
+                held = []
+            n = int(np.searchsorted(parts, parts[0], "right"))
+            held.append(batch.slice(0, n))
+            batch = batch.slice(n)
+    if held:
+        yield held[0].column("part")[0].as_py(), [np.concatenate([b.column(c).to_numpy() for b in held]) for c in columns]
+
+
+def _function_row(k: int, f: nextfit.Steps) -> pa.RecordBatch:
+    raw, whole = nextfit.pack(f)
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([raw], pa.binary()), pa.array([whole], pa.int64())], names=["part", "steps", "whole"])
+
+
+def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, nextfit.Steps]]:
+    for batch in batches:
+        for k, raw, whole in zip(*(batch.column(c).to_pylist() for c in ("part", "steps", "whole")), strict=True):
+            yield k, nextfit.unpack(raw, whole)
 
 
 # ---- sequences ----------------------------------------------------------------------------------

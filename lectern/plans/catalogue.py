@@ -373,13 +373,6 @@ def lenient_scan(spark, d):
     return spark.read.text(path).select(F.get_json_object("value", "$.id").cast("long").alias("item_id"), F.md5(readers.text_of(F.col("value")).cast("binary")).alias("text_md5"))
 
 
-@query()
-def annotate_states(spark, d):
-    """Depth and state figures of every document's tokens."""
-    rows = _tokens(spark, d).select("doc_id", S.annotations("tokens").alias("a"))
-    return rows.select("doc_id", F.size("a.depth").alias("n"), F.array_max("a.depth").alias("deepest"), F.size(F.array_distinct("a.state")).alias("states"))
-
-
 @query()
 def markdown_checks(spark, d):
     return table(spark, d, "documents").select("doc_id", S.markdown_check("text").alias("markdown"), S.mixed_check("text").alias("mixed"), S.json_check("text").alias("json"), S.fences_balanced("text").alias("balanced"))
@@ -435,12 +428,12 @@ def streamed_samples(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lectern.plans import records
+    from lectern.plans import flows, records, structures
 
-    return _Q | records.queries()
+    return _Q | records.queries() | structures.queries() | flows.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from lectern.plans import records
+    from lectern.plans import flows, records, structures
 
-    return _SQL | records.oracle_sql()
+    return _SQL | records.oracle_sql() | structures.oracle_sql() | flows.oracle_sql()

@@ -31,18 +31,23 @@ def query(sql: str | None = None):
 
 
 #: Pairs as lines of seven kinds, told by their number: text, content, pair, instruction, no JSON, a list, blank.
-_KINDS = f"{_PAIRS}, l AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS line FROM pr), n AS (SELECT *, line % 7 AS kind FROM l)"
+_KINDS = f"{_PAIRS}, l AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS line FROM pr), n AS (SELECT *, line % 7 AS kind, conv_id % 16 AS bucket, row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id, turn) AS nth FROM l)"
+
+
+#: Files that lines are dealt to, by conversation.
+_FILES = 16
 
 
 def _lines(spark, d, kinds: range | tuple = range(7)) -> str:
-    """A folder with one file of such lines; kinds that aren't asked for are left out."""
+    """Folders bucket=N with a file of such lines each; kinds that aren't asked for are left out."""
     rows = ordered.dense_rank_of(_pairs(spark, d).withColumn("o", F.struct("conv_id", "turn")), "o", "line").withColumn("line", F.col("line") + 1)
     made = lambda **f: F.to_json(F.struct(*[c.alias(n) for n, c in f.items()]))
     p, a, k = F.col("prompt"), F.col("answer"), F.pmod("line", F.lit(7))
     value = F.when(k == 0, made(text=p)).when(k == 1, made(content=a, n=F.col("line"))).when(k == 2, made(prompt=p, answer=a)).when(k == 3, made(instruction=p, input=F.lit(" "), output=a))
     value = value.when(k == 4, F.concat(F.lit("no json "), F.col("line").cast("string"))).when(k == 5, F.lit('["x"]')).otherwise(F.lit("  "))
     path = scratch(spark, "records")
-    rows.filter(k.isin(*kinds)).orderBy("line").select(value.alias("value")).coalesce(1).write.text(path)
+    dealt = rows.filter(k.isin(*kinds)).select(F.pmod("conv_id", F.lit(_FILES)).alias("bucket"), "line", value.alias("value")).repartition("bucket").sortWithinPartitions("bucket", "line")
+    dealt.select("bucket", "value").write.partitionBy("bucket").text(path)
     return path
 
 
@@ -50,19 +55,22 @@ def _md5(c):
     return F.md5(c.cast("binary"))
 
 
+_BUCKET = F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long")
+
+
 @query(
-    f"WITH {_KINDS}, t AS (SELECT 'general' AS category, 0 AS src_ord, line, CASE kind WHEN 0 THEN {_strip('prompt')} WHEN 1 THEN {_strip('answer')} WHEN 2 THEN prompt || chr(10) || answer WHEN 4 THEN 'no json ' || line ELSE '' END AS text FROM n "
-    f"UNION ALL SELECT 'extra', 1, row_number() OVER (ORDER BY line), {_strip('prompt')} FROM n WHERE kind = 0) SELECT category, src_ord, line, md5(text) AS text_md5 FROM t WHERE text <> ''"
+    f"WITH {_KINDS}, t AS (SELECT 'general' AS category, 0 AS src_ord, bucket, nth AS line, CASE kind WHEN 0 THEN prompt WHEN 1 THEN answer WHEN 2 THEN prompt || chr(10) || answer WHEN 4 THEN 'no json ' || line ELSE '' END AS text FROM n "
+    f"UNION ALL SELECT 'extra', 1, bucket, row_number() OVER (PARTITION BY bucket ORDER BY line), prompt FROM n WHERE kind = 0) SELECT category, src_ord, bucket, line, md5(text) AS text_md5 FROM t WHERE text <> ''"
 )
 def corpus_scan(spark, d):
-    """The tolerant reader over two sources in order."""
+    """The tolerant reader over two sources of many files in order."""
     sources = readers.parse_sources([f"general:{_lines(spark, d)}", f"extra:{_lines(spark, d, (0,))}"])
-    return readers.corpus(spark, sources).select("category", "src_ord", "line", _md5(F.col("text")).alias("text_md5"))
+    return readers.corpus(spark, sources).select("category", "src_ord", _BUCKET.alias("bucket"), "line", _md5(F.col("text")).alias("text_md5"))
 
 
-@query(f"WITH {_KINDS} SELECT line, CASE kind WHEN 4 THEN 'Expecting value: line 1 column 1 (char 0)' WHEN 5 THEN 'JSON line is not an object' END AS load_error FROM n WHERE kind <> 6")
+@query(f"WITH {_KINDS} SELECT bucket, nth AS line, CASE kind WHEN 4 THEN 'Expecting value: line 1 column 1 (char 0)' WHEN 5 THEN 'JSON line is not an object' END AS load_error FROM n WHERE kind <> 6")
 def validated_scan(spark, d):
-    return readers.validated(readers.lines(spark, _lines(spark, d)), "line").select("line", "load_error")
+    return readers.validated(readers.lines(spark, _lines(spark, d)), "file", "line").select(_BUCKET.alias("bucket"), "line", "load_error")
 
 
 @query(f"WITH {_KINDS} SELECT md5(CASE kind WHEN 0 THEN prompt ELSE answer END) AS text_md5 FROM n WHERE kind IN (0, 1)")
@@ -89,12 +97,12 @@ def row_count(spark, d):
 _BOTH = f"'问题：' || {_strip('prompt')} || chr(10) || '回答：' || {_strip('answer')} || chr(10)"
 
 
-@query(f"WITH {_KINDS} SELECT line, md5(CASE kind WHEN 0 THEN prompt WHEN 1 THEN answer WHEN 4 THEN 'no json ' || line WHEN 5 THEN '[\"x\"]' ELSE {_BOTH} END) AS text_md5 FROM n WHERE kind <> 6")
+@query(f"WITH {_KINDS} SELECT bucket, nth AS line, md5(CASE kind WHEN 0 THEN prompt WHEN 1 THEN answer WHEN 4 THEN 'no json ' || line WHEN 5 THEN '[''x'']' ELSE {_BOTH} END) AS text_md5 FROM n WHERE kind <> 6")
 def training_texts(spark, d):
     """Training rows, their pairs, and their texts."""
-    rows = readers.training_rows(readers.lines(spark, _lines(spark, d)), "line")
+    rows = readers.training_rows(readers.lines(spark, _lines(spark, d)), "file", "line")
     pair = T.prompt_of(*[F.col(c) for c in ("prompt", "answer", "instruction", "input", "output")])
-    return rows.select("line", _md5(T.training_text(F.col("raw"), pair, F.col("text"), F.col("content"))).alias("text_md5"))
+    return rows.select(_BUCKET.alias("bucket"), "line", _md5(T.training_text(F.col("raw"), pair, F.col("text"), F.col("content"))).alias("text_md5"))
 
 
 @query(f"WITH {_KINDS} SELECT md5(CASE kind WHEN 0 THEN prompt WHEN 1 THEN answer WHEN 2 THEN '### Instruction:' || chr(10) || {_strip('prompt')} || chr(10) || chr(10) || '### Response:' || chr(10) || {_strip('answer')} || chr(10) WHEN 4 THEN 'no json ' || line ELSE '[\"x\"]' END) AS text_md5 FROM n WHERE kind NOT IN (3, 6)")
@@ -127,13 +135,11 @@ def json_lines_written(spark, d):
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE CAST(('0x' || substr(md5('0:' || doc_id), 1, 12)) AS BIGINT) / 281474976710656.0 < 0.05")
 def valid_sink(spark, d):
-    """The valid split written as JSON lines and read again."""
+    """The valid split written as JSON lines with its ids, and read again."""
     docs = ordered.valid_split(table(spark, d, "documents"), "doc_id", 0.05, 10**9)
     path = scratch(spark, "valid")
-    writers.write_valid(docs, path)
-    found = spark.read.text(path).select(readers.text_of(F.col("value")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    mine = docs.filter("valid").join(found, T.strip(F.col("text")) == F.col("t"))
-    return mine.select("doc_id", _md5(F.col("text")).alias("text_md5"))
+    writers.write_valid(docs, path, keep=["doc_id"])
+    return spark.read.text(path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), _md5(readers.text_of(F.col("value"))).alias("text_md5"))
 
 
 @query(f"WITH {_VOCAB} SELECT token, token_id FROM voc")
@@ -224,14 +230,6 @@ def pack_annotated(spark, d):
     return sequences.blocks(e, "doc_id", 512, n_workers=2).select("worker", "block_id", said("input_ids").alias("inputs_md5"), said("labels").alias("labels_md5"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '" + _TOKEN + "')) + 2 AS n, 0 AS first_depth, 0 AS last_state FROM documents")
-def annotate_ids(spark, d):
-    """Depths and states of ids, specials left out."""
-    v = _vocab(spark, d)
-    a = K.annotate_ids(materialise(K.encode(_tokens(spark, d), v, "doc_id"), "ids"), v, "doc_id")
-    return a.select("doc_id", F.size("depth_ids").cast("long").alias("n"), F.element_at("depth_ids", 1).alias("first_depth"), F.element_at("state_ids", -1).alias("last_state"))
-
-
 @query("SELECT round(avg(coalesce(value, 0)), 9) AS value FROM (SELECT value FROM events ORDER BY event_id LIMIT 100)")
 def mean_loss(spark, d):
     return instructions.mean_loss(table(spark, d, "events"), "event_id", ["value"], 100).select(F.round("value", 9).alias("value"))

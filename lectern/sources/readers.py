@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.structure import json_kind
+from lectern.functions import jsonlines
 from lectern.functions.text import SPACE, strip
 
 #: Fields that may hold a text, best first.
@@ -29,25 +29,19 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return numbered.join(before, ["file", "start"]).select("value", "file", (F.col("before") + F.col("nth")).alias("line"))
 
 
-def _typed(v: Column, field: str) -> Column:
-    """A field that is a string, of a variant."""
-    got = F.try_variant_get(v, f"$.{field}", "variant")
-    return F.when(F.schema_of_variant(got) == "STRING", F.try_variant_get(v, f"$.{field}", "string"))
+def text_of(value: Column) -> Column:
+    """The text of a line: a JSON string, the first field that is a string, prompt and answer, or the line itself, stripped, if it's no JSON to Python; empty if there's none."""
 
+    def said(r: Column) -> Column:
+        fields = F.coalesce(*[r[f] for f in FIELDS], F.concat(r["prompt"], F.lit("\n"), r["answer"]), F.lit(""))
+        return F.when(r["error"].isNotNull(), strip(value)).when(r["kind"] == "string", r["whole"]).when(r["kind"] == "object", fields).otherwise("")
 
-def text_of(value: Column) -> Column:
-    """The text of a line: a JSON string, the first field that is a string, prompt and answer, or the line itself if it's no JSON; empty if there's none."""
-    line = strip(value)
-    v = F.try_parse_json(line)
-    fields = [F.when(strip(_typed(v, f)) != "", strip(_typed(v, f))) for f in FIELDS]
-    pair = F.concat(_typed(v, "prompt"), F.lit("\n"), _typed(v, "answer"))
-    whole = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    return F.when(v.isNull(), line).otherwise(F.coalesce(whole, *fields, pair, F.lit("")))
+    return jsonlines.once(jsonlines.read(strip(value)), said)
 
 
 def corpus(spark: SparkSession, sources: Iterable[tuple[str, str]]) -> DataFrame:
-    """category, src_ord, line, text of all sources in order: tolerant of bad lines, without empty texts."""
-    parts = [lines(spark, path).select(F.lit(c).alias("category"), F.lit(i).alias("src_ord"), "line", text_of(F.col("value")).alias("text")) for i, (c, path) in enumerate(sources)]
+    """category, src_ord, file, line, text of all sources in order: tolerant of bad lines, without empty texts."""
+    parts = [lines(spark, path).select(F.lit(c).alias("category"), F.lit(i).alias("src_ord"), "file", "line", text_of(F.col("value")).alias("text")) for i, (c, path) in enumerate(sources)]
     if not parts:
         raise ValueError("no sources")
     out = parts[0]
@@ -58,16 +52,16 @@ def corpus(spark: SparkSession, sources: Iterable[tuple[str, str]]) -> DataFrame
 
 def profile_texts(values: DataFrame) -> DataFrame:
     """text of JSON objects (text, or content where it's empty) and strings; other lines are skipped."""
-    v = F.try_parse_json(F.col("value"))
-    text = F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.when(_typed(v, "text") != "", _typed(v, "text")), _typed(v, "content"))
-    return values.select(text.alias("text")).filter("text IS NOT NULL")
+    d = values.select(jsonlines.read(F.col("value")).alias("r"))
+    text = F.coalesce(F.when(F.col("r.kind") == "string", F.col("r.whole")), F.when(F.col("r.text") != "", F.col("r.text")), F.col("r.content"))
+    return d.select(text.alias("text")).filter("text IS NOT NULL")
 
 
 def validated(values: DataFrame, *keep: str) -> DataFrame:
-    """The rows of `value` with `load_error` (null where it's a JSON object) and `v`, the object as a variant; blank lines go."""
-    rows = values.filter(strip(F.col("value")) != "").withColumn("_k", json_kind("value"))
-    error = F.when(F.col("_k.error").isNotNull(), F.col("_k.error")).when(F.col("_k.kind") != "object", "JSON line is not an object")
-    return rows.select(*keep, "value", error.alias("load_error")).withColumn("v", F.when(F.col("load_error").isNull(), F.try_parse_json("value")))
+    """The rows of `value` with `load_error` (null where it's a JSON object to Python) and `fields`, its strings by name; blank lines go."""
+    rows = values.filter(strip(F.col("value")) != "").select(*keep, "value", jsonlines.read(F.col("value")).alias("fields"))
+    error = F.coalesce(F.col("fields.error"), F.when(F.col("fields.kind") != "object", "JSON line is not an object"))
+    return rows.withColumn("load_error", error)
 
 
 def fail_fast(values: DataFrame) -> DataFrame:
@@ -82,11 +76,11 @@ def skip_bad(values: DataFrame) -> DataFrame:
 
 
 def training_rows(values: DataFrame, *keep: str) -> DataFrame:
-    """Rows as a wide union: raw text of lines that are no JSON object, or the string fields of those that are."""
+    """Rows as a wide union: raw text of lines that are no JSON to Python, what isn't an object as Python writes it, or the string fields of objects."""
     rows = validated(values, *keep)
     names = ("prompt", "answer", "instruction", "input", "output", "text", "content")
-    raw = F.when(F.col("load_error").isNotNull(), F.col("value"))
-    return rows.select(*keep, raw.alias("raw"), *[_typed(F.col("v"), n).alias(n) for n in names])
+    raw = F.when(F.col("fields.error").isNotNull(), F.col("value")).otherwise(F.col("fields.whole"))
+    return rows.select(*keep, raw.alias("raw"), *[F.col(f"fields.{n}").alias(n) for n in names])
 
 
 def count_rows(values: DataFrame) -> DataFrame:
@@ -138,11 +132,9 @@ def sample_texts(values: DataFrame) -> DataFrame:
     """text of each line: prompt and answer under headings, text, content, or the line itself where it's no JSON; JSON strings are texts, other JSON that is no object is its own text, and blank texts go."""
     from lectern.functions.text import instruction_text
 
-    rows = values.filter(F.col("value") != "")
-    v = F.try_parse_json("value")
-    kind = F.schema_of_variant(v)
-    fields = F.coalesce(instruction_text(_typed(v, "prompt"), _typed(v, "answer")), _typed(v, "text"), _typed(v, "content"))
-    text = F.when(v.isNull(), F.col("value")).when(kind.startswith("OBJECT"), fields).when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    rows = values.filter(F.col("value") != "").select("value", jsonlines.read(F.col("value")).alias("r"))
+    fields = F.coalesce(instruction_text(F.col("r.prompt"), F.col("r.answer")), F.col("r.text"), F.col("r.content"))
+    text = F.when(F.col("r.error").isNotNull(), F.col("value")).when(F.col("r.kind") == "object", fields).when(F.col("r.kind") == "string", F.col("r.whole")).otherwise(F.col("value"))
     return rows.select(text.alias("text")).filter(strip(F.coalesce("text", F.lit(""))) != "")
 
 

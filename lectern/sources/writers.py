@@ -15,9 +15,10 @@ def write_json_lines(rows: DataFrame, path: str, mode: str = "overwrite") -> Non
     rows.write.mode(mode).json(path)
 
 
-def write_texts(rows: DataFrame, path: str, text: str = "text", mode: str = "overwrite") -> None:
-    """Texts as compact JSON lines."""
-    rows.select(json_row(F.col(text)).alias("value")).write.mode(mode).text(path)
+def write_texts(rows: DataFrame, path: str, text: str = "text", mode: str = "overwrite", keep: list[str] = ()) -> None:
+    """Texts as compact JSON lines, with the columns to `keep` before them."""
+    line = F.to_json(F.struct(*keep, F.col(text).alias("text"))) if keep else json_row(F.col(text))
+    rows.select(line.alias("value")).write.mode(mode).text(path)
 
 
 def write_shards(sharded: DataFrame, path: str, order: list[str], text: str = "text") -> None:
@@ -44,9 +45,9 @@ def manifest(sharded: DataFrame, stats: dict[str, int], category_bytes: dict[str
     }
 
 
-def write_valid(split: DataFrame, path: str, valid: str = "valid", text: str = "text") -> DataFrame:
+def write_valid(split: DataFrame, path: str, valid: str = "valid", text: str = "text", keep: list[str] = ()) -> DataFrame:
     """Texts of the rows marked valid as compact JSON lines; the other rows go on."""
-    write_texts(split.filter(F.col(valid)), path, text)
+    write_texts(split.filter(F.col(valid)), path, text, keep=keep)
     return split.filter(~F.coalesce(F.col(valid), F.lit(False)))
 
 

@@ -30,7 +30,7 @@ def test_scalars(spark):
 def test_readers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text":1,"content":"c"}\n["x"]\nnot json\n\n"s"\n{"prompt":"p","answer":"a"}\n{"text":" "}\n', encoding="utf-8")
     got = readers.corpus(spark, [("general", str(tmp_path / "a.jsonl"))]).orderBy("line").collect()
-    assert [(r.line, r.text) for r in got] == [(1, "c"), (3, "not json"), (5, "s"), (6, "p\na")]
+    assert [(r.line, r.text) for r in got] == [(1, "c"), (3, "not json"), (5, "s"), (6, "p\na"), (7, " ")]
     v = spark.read.text(str(tmp_path / "a.jsonl"))
     assert readers.count_rows(v).first().n == 6
     assert sorted(r.load_error is None for r in readers.validated(v).collect()) == [False] * 3 + [True] * 3

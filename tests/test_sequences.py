@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions.annotate import annotate
 from lectern.functions import structure as S
 from lectern.functions import subword
 from lectern.functions import text as T
@@ -27,7 +28,7 @@ def test_six_sequences(spark):
     assert set(got) == {0, 1, 2, 4}  # blank texts go
     asked = K_tokens("问题：p1 x\n回答：")
     answered = K_tokens('a {"k": [1]}\n')
-    depth, state = S.annotate(asked + answered)
+    depth, state = annotate(asked + answered)
     full = [2, *(ids.get(t, 1) for t in asked + answered), 3]
     r, mask = got[0], len(asked)
     assert r.input_ids == full[:-1] and r.labels == [-100] * mask + full[1 + mask :]

@@ -1,5 +1,6 @@
 import pytest
 
+from lectern.functions.annotate import annotate
 from lectern.functions import structure as S
 
 T3, T4 = "```", "````"
@@ -48,7 +49,7 @@ def test_json(text, ok):
     ],
 )
 def test_annotator(tokens, depth, state):
-    assert S.annotate(tokens) == (depth, state)
+    assert annotate(tokens) == (depth, state)
 
 
 def test_mojibake():
