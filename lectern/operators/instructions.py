@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import structure as S
 from lectern.functions.text import sample_key, strip
-from lectern.operators.ordered import first_of_each
+from lectern.operators.ordered import first_of_each, running
 
 #: Tasks with the default draw's weights, tasks of structured output with theirs, formats, the plan's targets, markers of a trap.
 TASKS = {"general_qa": 0.30, "simple_format": 0.15, "json_escape": 0.20, "markdown_nested": 0.15, "control_trap": 0.10, "mixed_format": 0.10}
@@ -190,10 +190,9 @@ def evaluation(verdicts: DataFrame, group: str = "group", ok: str = "ok") -> Dat
 
 
 def best_so_far(log: DataFrame, step: str, value: str, run: str | None = None) -> DataFrame:
-    """`log` with best, the smallest value up to each step, and improved, whether the step set it. Runs are told by `run`."""
-    w = W.partitionBy(*([run] if run else [])).orderBy(step)
-    before = F.min(value).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return log.withColumn("best", F.min(value).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("improved", before.isNull() | (F.col(value) < before))
+    """`log` with best, the smallest value up to each step, and improved, whether the step set it. Runs are told by `run`. A whole log takes two levels, like a sum."""
+    d = running(log, {"__before": ("min", value)}, step, [run] if run else [])
+    return d.withColumn("best", F.least("__before", value)).withColumn("improved", F.col("__before").isNull() | (F.col(value) < F.col("__before"))).drop("__before")
 
 
 def mean_loss(log: DataFrame, step: str, values: list[str], most: int) -> DataFrame:

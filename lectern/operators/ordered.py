@@ -10,6 +10,7 @@ Columns that these operators add for themselves begin with two underscores; a ta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.operators import nextfit
+from lectern.operators.smooth import schedule
 from lectern.session import materialise, ship
 
 
@@ -48,6 +50,41 @@ def running_before(df: DataFrame, value: str, order: str, by: list[str] | None =
     return _same(cut.withColumn("__inner", inner), starts, [*by, "__part"]).withColumn(out, F.col("__start") + F.col("__inner")).drop("__part", "__start", "__inner")
 
 
+#: How values merge: over rows, and what came before with what a range holds.
+_MERGES = {
+    "sum": (F.sum, lambda before, here: F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+    "last": (lambda c: F.last(c, ignorenulls=True), lambda before, here: F.coalesce(here, before)),
+}
+
+
+def running(df: DataFrame, outs: dict[str, tuple[str, str | Column]], order: str, by: list[str] | None = None) -> DataFrame:
+    """`df` with what the rows before each in its group merge to: for each name (merge, column).
+
+    Merges are sum, min, max, last (the last value that isn't null), and argmin and argmax of a struct(value, of): the `of` of the smallest
+    or largest number, of equal ones the earliest. Any associative merge takes the same two levels: ranges of the order are merged, the
+    ranges before each are merged (a row a range), and each range goes on from there. Null where nothing came before (sum: 0); null values
+    are passed over. `order` is unique within a group; nulls of it come first and of `by` are a group.
+    """
+    by, merges, values = by or [], {}, {}
+    for name, (merge, column) in outs.items():
+        c = F.col(column) if isinstance(column, str) else column
+        if merge in ("argmin", "argmax"):
+            v = c.getField("value") if merge == "argmin" else -c.getField("value")
+            c = F.when(v.isNotNull(), F.struct(v.alias("value"), F.col(order).alias("order"), c.getField("of").alias("of")))  # of equal values the earliest
+        merges[name], values[f"__v_{name}"] = _MERGES["min" if merge.startswith("arg") else merge], c
+    cut = materialise(df.withColumns(values).repartitionByRange(*by, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = W.partitionBy(*by, "__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    along = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    whole = [F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.struct(order))).alias(n) if outs[n][0] == "last" else m(F.col(f"__v_{n}")).alias(n) for n, (m, _) in merges.items()]
+    ranges = cut.groupBy(*by, "__part").agg(*whole)
+    before = ranges.select(*by, "__part", *[m(F.col(n)).over(along).alias(f"__b_{n}") for n, (m, _) in merges.items()])
+    met = _same(cut.withColumns({f"__i_{n}": m(F.col(f"__v_{n}")).over(inside) for n, (m, _) in merges.items()}), before, [*by, "__part"])
+    made = {n: join(F.col(f"__b_{n}"), F.col(f"__i_{n}")) for n, (_, join) in merges.items()}
+    return met.select(*df.columns, *[(c["of"] if outs[n][0].startswith("arg") else c).alias(n) for n, c in made.items()])
+
+
 def dense_rank_of(df: DataFrame, order: str, out: str = "rank", by: list[str] | None = None, total: str | None = None) -> DataFrame:
     """`df` with the 0-based place of each row in the order, and the number of the group's rows as `total`."""
     return running_before(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, by, out, total).drop("__one")
@@ -217,6 +254,43 @@ def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, nextfit
 # ---- sequences ----------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class BlockMap:
+    """Where the blocks of a sequence of lists lie: `rows` (by, order, at, n) tells where each row's elements stand among all, in order. A block is at block_id times `stride`; so a map is a row a list, whatever the stride, and blocks are cut from the lists only when they're read."""
+
+    rows: DataFrame
+    order: str
+    block: int
+    stride: int
+    by: list[str]
+
+    def counts(self) -> DataFrame:
+        """by, blocks: whole blocks of each group."""
+        total = F.coalesce(F.max(F.col("at") + F.col("n")), F.lit(0))
+        return self.rows.groupBy(*self.by).agg(F.greatest(F.floor((total - self.block) / self.stride) + 1, F.lit(0)).cast("long").alias("blocks"))
+
+    def read(self, df: DataFrame, lists: list[str], names: list[str] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+        """by, block_id, and the blocks first .. last (excluding it; all without them) of `df`'s lists: only rows that they touch are looked up."""
+        rows = self.rows
+        if first is not None:
+            rows = rows.filter(F.col("at") + F.col("n") > first * self.stride)
+        if last is not None:
+            rows = rows.filter(F.col("at") < (last - 1) * self.stride + self.block)
+        placed = _same(df.select(*self.by, self.order, *lists), rows.withColumnsRenamed({"at": "__at", "n": "__n"}), [*self.by, self.order])
+        return _sliced(placed, lists, names or lists, self.block, self.stride, self.by, first or 0, last)
+
+
+def block_map(df: DataFrame, order: str, length: Column, block: int, stride: int | None = None, by: list[str] | None = None) -> BlockMap:
+    """The map of lists of these lengths, made from lengths alone. Needs 0 < stride <= block, and an `order` that is unique within a group. Null lengths count 0."""
+    stride = stride or block
+    if not 0 < stride <= block:
+        raise ValueError("stride must be in 1 .. block")
+    by = by or []
+    sized = df.select(*by, order, F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    placed = running_before(sized, "n", order, by, "at").filter("n > 0")
+    return BlockMap(materialise(placed.select(*by, order, "at", "n").sortWithinPartitions(*by, "at"), "blocks"), order, block, stride, by)
+
+
 def chunks(df: DataFrame, order: str, ids: str | list[str], block: int, stride: int | None = None, by: list[str] | None = None) -> DataFrame:
     """by, block_id, and blocks of `block` elements of the rows' lists one after another, every `stride` elements; the tail that fills none is dropped.
 
@@ -228,15 +302,21 @@ def chunks(df: DataFrame, order: str, ids: str | list[str], block: int, stride:
     if not 0 < stride <= block:
         raise ValueError("stride must be in 1 .. block")
     by, lists = by or [], [ids] if isinstance(ids, str) else ids
-    names = ["input_ids"] if isinstance(ids, str) else lists
     slim = df.select(*by, order, *lists).withColumn("__n", F.greatest(F.size(lists[0]), F.lit(0)).cast("long"))
-    at, end = F.col("__at"), F.col("__at") + F.col("__n")
     placed = running_before(slim, "__n", order, by, "__at").filter("__n > 0")
-    lowest = F.greatest(F.floor((at - block) / stride) + 1, F.lit(0)).cast("long")
-    met = placed.withColumn("block_id", F.explode(F.sequence(lowest, F.floor((end - 1) / stride).cast("long"))))
-    first = F.greatest(at, F.col("block_id") * stride)
-    length = F.least(end, F.col("block_id") * stride + block) - first
-    part = F.struct(first.alias("at"), *[F.slice(c, (first - at + 1).cast("int"), length.cast("int")).alias(n) for c, n in zip(lists, names, strict=True)])
+    return _sliced(placed, lists, ["input_ids"] if isinstance(ids, str) else lists, block, stride, by)
+
+
+def _sliced(placed: DataFrame, lists: list[str], names: list[str], block: int, stride: int, by: list[str], first: int = 0, last: int | None = None) -> DataFrame:
+    """Blocks first .. last (excluding it) of lists that stand at __at and have __n elements."""
+    at, end = F.col("__at"), F.col("__at") + F.col("__n")
+    lowest = F.greatest(F.floor((at - block) / stride) + 1, F.lit(first)).cast("long")
+    highest = F.floor((end - 1) / stride).cast("long")
+    highest = highest if last is None else F.least(highest, F.lit(last - 1))
+    met = placed.filter(lowest <= highest).withColumn("block_id", F.explode(F.sequence(lowest, highest)))
+    begin = F.greatest(at, F.col("block_id") * stride)
+    length = F.least(end, F.col("block_id") * stride + block) - begin
+    part = F.struct(begin.alias("at"), *[F.slice(c, (begin - at + 1).cast("int"), length.cast("int")).alias(n) for c, n in zip(lists, names, strict=True)])
     packed = met.filter(length > 0).select(*by, "block_id", part.alias("part")).groupBy(*by, "block_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     whole = packed.select(*by, "block_id", *[F.flatten(F.col("parts")[n]).alias(n) for n in names])
     return whole.filter(F.size(names[0]) == block)
@@ -283,36 +363,14 @@ def smooth_schedule(weights: list[float], steps: int) -> list[int]:
     return out
 
 
-def smooth_period(weights: list[float], most: int = 1_000_000) -> list[int]:
-    """The schedule up to where all credits are back at nothing, from where it repeats; `most` steps at most."""
-    if not weights or min(weights) <= 0:
-        raise ValueError("weights must be positive")
-    credit, out, total = [0.0] * len(weights), [], sum(weights)
-    while len(out) < most:
-        credit = [c + w for c, w in zip(credit, weights, strict=True)]
-        k = max(range(len(weights)), key=lambda i: (credit[i], -i))
-        credit[k] -= total
-        out.append(k)
-        if max(map(abs, credit)) < 1e-9 * total:
-            return out
-    raise ValueError("the weights have no common measure")
-
-
 def mix_streams(df: DataFrame, source: str, order: str, weights: list[float], steps: int) -> DataFrame:
-    """`df`'s rows dealt by the smooth schedule, exhausted sources starting over: step and the row. Sources are numbered 0 ...
+    """`df`'s rows dealt by the smooth schedule of any positive weights, exhausted sources starting over: step and the row. Sources are numbered 0 ...
 
-    One period of the schedule is a small table; steps are a range that is joined with it. Rows of no
-    numbered source take no part; a source without rows gives its steps none.
+    Rows of no numbered source take no part; a source without rows gives its steps none.
     """
-    plan, rows = [0] * len(weights), []
-    for at, k in enumerate(smooth_period(weights)):
-        rows.append((at, k, plan[k]))
-        plan[k] += 1
-    spark = df.sparkSession
-    period = spark.createDataFrame([(at, k, nth, plan[k]) for at, k, nth in rows], "__at long, __src int, __nth long, __uses long")
-    deal = spark.range(steps).select(F.col("id").alias("step"), F.pmod("id", F.lit(len(rows))).alias("__at"), F.floor(F.col("id") / len(rows)).alias("__turn")).join(F.broadcast(period), "__at")
-    placed = dense_rank_of(df, order, "__place", [source])
-    sizes = placed.groupBy(F.col(source).alias("__of")).agg(F.count("*").alias("__size"))
-    want = deal.join(F.broadcast(sizes.filter(F.col("__of").between(0, len(weights) - 1))), F.col("__src") == F.col("__of"))  # a row a source
-    want = want.withColumn("__want", F.pmod(F.col("__turn") * F.col("__uses") + F.col("__nth"), F.col("__size"))).select("step", "__src", "__want")
-    return want.join(placed, (F.col("__src") == F.col(source)) & (F.col("__want") == F.col("__place"))).drop("__src", "__want", "__place")
+    deal = schedule(df.sparkSession, weights, steps)
+    placed = dense_rank_of(df.filter(F.col(source).between(0, len(weights) - 1)), order, "__place", [source], total="__size")
+    sizes = materialise(placed.groupBy(F.col(source).alias("__of")).agg(F.first("__size").alias("__size")), "sizes")
+    want = deal.join(F.broadcast(sizes), F.col("source") == F.col("__of"))  # a row a source
+    want = want.select("step", F.col("__of"), F.pmod("nth", F.col("__size")).alias("__want"))
+    return want.join(placed.drop("__size"), (F.col("__of") == F.col(source)) & (F.col("__want") == F.col("__place"))).drop("__of", "__want", "__place")

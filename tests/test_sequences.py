@@ -89,14 +89,10 @@ def test_running_sums_with_nulls_ties_and_own_names(spark):
         corpus.judged(spark.createDataFrame([("t", "k")], "text string, key string"))
 
 
-def test_mix_of_periods(spark):
-    for weights in ([2.0, 1.0], [0.5, 0.25, 0.25], [1.0], [3.0, 2.0]):
-        one = ordered.smooth_period(weights)
-        assert one * 3 == ordered.smooth_schedule(weights, 3 * len(one))
+def test_mix_of_sources_that_run_out(spark):
     df = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (None, 4), (7, 5)], "s long, o long")
     assert [r.o for r in ordered.mix_streams(df, "s", "o", [2, 1], 6).orderBy("step").collect()] == [1, 3, 2, 1, 3, 2]
-    with pytest.raises(ValueError):
-        ordered.smooth_period([1.0, math.pi], most=1000)
+    assert [r.o for r in ordered.mix_streams(df, "s", "o", [math.pi, 1.0], 5).orderBy("step").collect()] == [1, 2, 3, 1, 2]
 
 
 def test_logits(spark):
