@@ -42,11 +42,13 @@ def tokenise(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({PATTERN})"), F.lit(1))
 
 
-def train_vocabulary(texts: DataFrame, text: str, order: str, size: int, least: int = 1) -> DataFrame:
-    """token, token_id: specials and seeds, then tokens by count, ties by first appearance (`order` of rows, then place)."""
+def train_vocabulary(texts: DataFrame, text: str, order: str, size: int, least: int = 1, candidates: DataFrame | None = None) -> DataFrame:
+    """token, token_id: specials and seeds, then tokens by count, ties by first appearance (`order` of rows, then place). With `candidates` (a column token) only those are counted."""
     base = texts.sparkSession.createDataFrame([(t, i) for i, t in enumerate(dict.fromkeys(SPECIALS + SEEDS))], "token string, token_id int").coalesce(1)
     n = len(dict.fromkeys(SPECIALS + SEEDS))
     seen = texts.select(F.col(order).alias("ord"), F.posexplode(tokenise(F.col(text))).alias("pos", "token"))
+    if candidates is not None:
+        seen = seen.join(F.broadcast(candidates) if candidates.count() <= BROADCAST_TOKENS else candidates, "token", "left_semi")
     counts = seen.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
     fresh = counts.filter(F.col("n") >= least).join(F.broadcast(base), "token", "left_anti")  # 26 rows
     top = fresh.orderBy(F.desc("n"), "first").limit(max(0, size - n))
@@ -54,6 +56,49 @@ def train_vocabulary(texts: DataFrame, text: str, order: str, size: int, least:
     return base.unionByName(ranked.select("token", "token_id"))
 
 
+def heavy_tokens(texts: DataFrame, text: str, most: int, counters: int | None = None) -> DataFrame | None:
+    """token: candidates that surely hold the `most` most frequent tokens with all their ties; None if bounded summaries can't tell.
+
+    Each task keeps `counters` counts at most (16 times `most`). When there are more, the next largest count is taken off all of
+    them, and what isn't left above nothing goes: so a count is too low by at most what was taken off, and so is the
+    count of a token that went. Summaries add up, and so do their errors. Tokens whose count plus the error falls short of the
+    `most`-th count can't be among the most frequent ones. If the error itself reaches that count, tokens that no summary
+    holds might be, and nothing can be told.
+    """
+    ship(texts.sparkSession)
+    room = counters or 16 * most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, error = pa.table({"token": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), 0
+        for batch in batches:
+            met = pc.value_counts(batch.column(0).flatten())
+            new = pa.table({"token": met.field(0), "n": met.field(1)})
+            held = pa.concat_tables([held, new]).group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"])
+            if len(held) > room:
+                n = held["n"].to_numpy()
+                off = int(np.partition(n, len(n) - room - 1)[len(n) - room - 1])
+                held, error = held.filter(pa.array(n > off)), error + off
+                held = held.set_column(1, "n", pc.subtract(held["n"], off))
+        yield from held.combine_chunks().to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([error], pa.int64())], names=["token", "n"])
+
+    rows = texts.select(tokenise(F.col(text)).alias("tokens")).mapInArrow(run, "token string, n long")
+    found = materialise(rows.groupBy("token").agg(F.sum("n").alias("n")), "summaries")
+    error = found.filter("token IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = found.filter("token IS NOT NULL")
+    # the seeds have ids of their own; they're counted like others, so as many places more are looked at
+    place = most + len(dict.fromkeys(SPECIALS + SEEDS))
+    best = counts.select("n").orderBy(F.desc("n")).limit(place).agg(F.count("*").alias("k"), F.min("n").alias("n")).first()
+    if best.k < place:
+        return counts.select("token") if not error else None
+    return counts.filter(F.col("n") + error >= best.n).select("token") if error < best.n else None
+
+
+def train_vocabulary_by_summaries(texts: DataFrame, text: str, order: str, size: int, counters: int | None = None) -> DataFrame:
+    """What `train_vocabulary` gives, ties included, with an exact count of candidates alone; of all tokens where summaries can't tell."""
+    return train_vocabulary(texts, text, order, size, candidates=heavy_tokens(texts, text, max(1, size), counters))
+
+
 def vocabulary_map(vocabulary: DataFrame) -> DataFrame:
     """One row: the vocabulary as a JSON object."""
     return vocabulary.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "token_id")))).alias("token_to_id"))).alias("value"))
