@@ -2,7 +2,7 @@
 
 A page is read as a sequence of words and tags. The score of a word is the log odds, learnt from the labelled pages
 below, that one of its kind and place lies in the region from the article's first block to its last; those of tags and
-furniture are so, too, but never above 0. Kinds are plain words, words of links, and
+furniture are so, too, but never above 0. Kinds are plain words, words of links outside of paragraphs, and
 words of furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments). Places are inside the page's
 holder elements, outside them, and anywhere on a page that has none. Holders are the main elements, or main and article
 elements where articles outside of main hold more words. One pass finds the contiguous run of the highest sum. The
@@ -13,7 +13,7 @@ MODIFIERS or without) and of nothing else. Headers are those of the site: a head
 title. Names make no furniture of html, body, article and main, of what lies in
 pre and code, of headings by their ids, of sections in an article by ids that don't mean reader comments, and of an
 element other than reader comments that holds more than half of the page's words, and an h1, an article, a main or two
-paragraphs. Furniture within a line is left out of its block. Text in head, script, style and like elements is
+paragraphs; nor do forms, headers, asides and fieldsets make any where they hold that much, outside of articles. Furniture within a line is left out of its block. Text in head, script, style and like elements is
 no text at all. Character references are decoded, white space in a block becomes one space, and
 blocks are joined by a line feed. Inline tags and comments join what they stand between; <br> is white space.
 
@@ -42,13 +42,15 @@ from lectern.session import ship
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 SILENT = frozenset("head script style noscript template iframe object svg math canvas audio video textarea title noframes xmp".split())
 FURNITURE = frozenset("nav header footer aside form menu button select dialog fieldset".split())
-WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices alert newsletter subscribe subscription share sharing social comment comments disqus replies respond related recommended popup modal overlay widget toolbar pagination pager skip login signup complementary contentinfo search".split())
+WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr colophon notice notices alert newsletter subscribe subscription share sharing social comment comments disqus replies respond related recommended popup modal overlay widget toolbar pagination pager skip login signup complementary contentinfo search".split())
 MODIFIERS = frozenset("main site page global top bottom left right primary secondary sticky fixed mobile desktop container wrapper wrap inner outer box bar block area list item items link links button buttons icon icons section posts articles stories form".split())
 COMMENTS = frozenset("comment comments disqus replies respond".split())
 NAMELESS = frozenset("html body article main".split())
 RAW = frozenset("script style textarea title xmp iframe noframes noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HOLDERS = frozenset("article main".split())
+#: Furniture elements that some sites wrap around whole pages.
+WRAPPERS = frozenset("form header aside fieldset".split())
 KINDS, PLACES = ("word", "link", "furniture"), ("inside", "outside", "open")
 
 #: Labelled pages that the scores are learnt from; {{ and }} stand around the article's parts.
@@ -64,7 +66,7 @@ LABELLED = (
     "<body><table><tr><td><a href=1>Up</a></td><td><a href=2>Down</a></td></tr></table><p>{{Plain pages of old have their text in the body with no other element around.}}</p><p>{{They're long, and they don't say what is what.}}</p><hr><a href=m>Mail us</a></body>",
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|</[^>]*(?:>|$)|<$", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|$)|</[^>]*(?:>|$)|<$", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HEADING = re.compile("h[1-6]")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -100,7 +102,7 @@ class Page:
         self.named: dict[int, list[int]] = {}
         inside: list[tuple[int, int]] = []  # depth in open_, place
         self.words = 0
-        kind, held = "word", 0
+        kind, held, paragraph = "word", 0, False
 
         def text(raw: str) -> None:
             if raw:
@@ -159,6 +161,7 @@ class Page:
                 text(" ")
             if name in BLOCKS:
                 end_block()
+                paragraph = name == "p" and not closing
                 while open_ and open_[-1][0] == "p":  # a paragraph ends where another block begins or its holder ends
                     close()
             self._tags[held] += 1
@@ -171,7 +174,11 @@ class Page:
                 plain = name in NAMELESS or name in ("pre", "code") or names["pre"] + names["code"] > 0
                 says = _says_furniture(name, attributes, held > 0) if attributes and not plain and name not in FURNITURE else ""
                 own = name == "header" and held > 0
-                makes = "furniture" if name in FURNITURE and not own or says and place not in spared else "link" if name == "a" else ""
+                if name in WRAPPERS and not own and not held:
+                    says = "other"
+                element = name in FURNITURE and not own and not (name in WRAPPERS and place in spared)
+                # a paragraph of a link is prose that is linked; links of menus stand in lists, cells and divisions
+                makes = "furniture" if element or says and place not in spared else "link" if name == "a" and not paragraph else ""
                 if inside:
                     self.named[inside[-1][1]][1] += name == "p"
                     self.named[inside[-1][1]][2] |= name in HOLDERS or name == "h1"

@@ -162,3 +162,27 @@ def test_deep_nesting_takes_time_in_proportion():
         began = time.process_time()
         main_text(f"<{tag}>" * 40_000 + "three plain words" + f"</{tag.split()[0]}>" * 40_000)
         assert time.process_time() - began < 10
+
+
+def test_elements_around_a_whole_page_are_spared():
+    body = "<div id=content><h1>T one</h1><p>Para one of text.</p><p>Para two of text.</p></div>"
+    for element in ("form id=aspnetForm", "aside", "header", "fieldset"):
+        assert main_text(f"<body><{element}>{body}</{element.split()[0]}></body>") == "T one\nPara one of text.\nPara two of text."
+    kept = main_text(f"<body>{body}<form><p>Send us a line.</p><p>Or two.</p></form></body>")
+    assert "Send" not in kept and kept.startswith("T one")
+    assert main_text("<body><article><h1>A</h1><p>Few words.</p><aside><p>Many more words stand beside it than in it.</p><p>And more of them still.</p></aside></article></body>") == "A\nFew words."
+
+
+def test_linked_paragraphs_are_text():
+    page = "<body><h1>Recipes</h1><p>Try <a href=x>this soup with beans and more</a>.</p><p><a href=y>Bread of rye</a></p><p>Enjoy.</p></body>"
+    assert main_text(page) == "Recipes\nTry this soup with beans and more.\nBread of rye\nEnjoy."
+    assert main_text("<body><div class=gdpr>We keep what you type</div><article><p>Text.</p></article><div class=colophon>Set in lead</div></body>") == "Text."
+
+
+def test_unfinished_tags_take_linear_time():
+    import time
+
+    for part in ("<x", '<a b="', "<!--", "<![CDATA[", '<a b=">', "</", "<x y='"):
+        began = time.process_time()
+        main_text(part * 60_000)
+        assert time.process_time() - began < 5, part
