@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 
 #: What a paragraph must hold to be looked at, and notices of each family. No choice of CONFIRM of a template's
 #: words is without an anchor (`uncovered` is empty, or there is no model), so the anchors save work and lose nothing.
-ANCHORS = ("licen", "copyright", "reserved", "permission", "distribut", "spdx", "cc", "gnu", "creative", "released", "mozilla", "subject", "hereby", "granted", "obtaining", "permitted", "binary", "modif", "foundation", "published", "software", "domain", "dedicated", "available", "gpl")
+ANCHORS = ("licen", "copyright", "reserved", "permission", "distribut", "spdx", "cc", "gnu", "creative", "released", "mozilla", "subject", "hereby", "granted", "obtaining", "permitted", "binary", "modif", "foundation", "published", "software", "domain", "dedicated", "available", "gpl", "noncommercial")
 TEMPLATES = {
     "AGPL": ("This program is licensed under the GNU Affero General Public License, version 3", "Licensed under the AGPL version 3 license", "SPDX-License-Identifier: AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Released under the Apache 2.0 License", "SPDX-License-Identifier: Apache-2.0"),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License", "Licensed under the BSD License", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-NC-ND": ("Licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    "CC-BY-NC-SA": ("Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
     "CC-BY-ND": ("Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC0": ("Licensed under CC0 1.0 Universal", "This work is dedicated to the public domain under CC0"),
@@ -61,6 +63,8 @@ NAMES = {
     "BSD": ("BSD", "BSD-3-Clause", "BSD-2-Clause", "3-Clause BSD", "2-Clause BSD"),
     "CC-BY": ("CC BY", "CC BY 4.0", "CC BY 3.0"),
     "CC-BY-NC": ("CC BY-NC", "CC BY-NC 4.0"),
+    "CC-BY-NC-ND": ("CC BY-NC-ND", "CC BY-NC-ND 4.0"),
+    "CC-BY-NC-SA": ("CC BY-NC-SA", "CC BY-NC-SA 4.0"),
     "CC-BY-ND": ("CC BY-ND", "CC BY-ND 4.0"),
     "CC-BY-SA": ("CC BY-SA", "CC BY-SA 4.0", "CC BY-SA 3.0"),
     "CC0": ("CC0", "CC0 1.0", "CC0 1.0 Universal"),

@@ -138,3 +138,9 @@ def test_unseen_wording_in_columns(spark):
     texts = [*UNSEEN, *UNSEEN_OTHER, "a|b license mit", "License: MIT|GPL", "all rights reserved", "All rights reserved\u00a0", "license: mit)\nx"]
     got = {r.doc_id: r.families for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), wrapped=True).collect()}
     assert got == {i: sorted({f for *_, f in licences.notices(t)}) for i, t in enumerate(texts)}
+
+
+def test_combined_creative_commons_terms():
+    for terms, name in (("NonCommercial-ShareAlike", "CC-BY-NC-SA"), ("NonCommercial-NoDerivatives", "CC-BY-NC-ND"), ("NonCommercial", "CC-BY-NC"), ("ShareAlike", "CC-BY-SA"), ("NoDerivatives", "CC-BY-ND")):
+        assert licences.classify(f"This work is licensed under a Creative Commons Attribution-{terms} 4.0 International License.") == name
+        assert licences.classify(f"Licensed under {name.replace('CC-', 'CC ')} 4.0.") == name
