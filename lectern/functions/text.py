@@ -24,6 +24,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def words(c: Column) -> Column:
+    """Runs of what isn't white space; none of a null text."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+
+
 def script_count(c: Column, script: str = CJK) -> Column:
     """Characters of a class, CJK by default."""
     return F.regexp_count(c, F.lit(f"[{script}]"))

@@ -72,7 +72,7 @@ def manifest_blocks(rows: DataFrame, vocabulary: DataFrame, shard: str, order: s
     """
     shards = shuffled(rows.select(shard).distinct(), shard, seed + epoch)
     placed = shards.withColumn("__shard", F.xxhash64(F.lit(seed + epoch), F.col(shard)))
-    d = rows.join(F.broadcast(placed), shard)  # a row a shard
+    d = rows.join(placed, shard)  # a row a shard: small ones are broadcast by their size
     # a total order: shards by hash, their rows by place
     d = dense_rank_of(d.withColumn("__key", F.struct("__shard", shard, order)), "__key", "__place")
     d = dense_rank_of(d.withColumn("__mixed", F.struct(F.floor(F.col("__place") / buffer), F.xxhash64(F.lit(seed + epoch), "__place"), F.col("__place"))), "__mixed", "__turn")

@@ -402,7 +402,38 @@ def masked_sequences(spark, d):
 
 @query()
 def synthetic_texts(spark, d):
-    return readers.synthetic(spark, 200).select("id", F.length("text").alias("chars"))
+    """Structured texts of the documents' own words."""
+    docs = spread(table(spark, d, "documents")).select("doc_id", T.words(F.col("text")).alias("words"))
+    made = materialise(readers.synthetic(docs, "doc_id", F.col("words")), "synthetic")
+    return made.select("doc_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_HAN = ("etaoinshrdlu", "一丁七万丈三上下不与丐丑")
+
+
+@query(
+    f"WITH z AS (SELECT doc_id, translate(text, '{_HAN[0]}', '{_HAN[1]}') AS t FROM documents), j AS (SELECT doc_id, t, length(regexp_replace(t, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) AS han, length(regexp_replace(t, '[\\p{{L}}\\p{{N}}{_IN}]', '', 'g')) AS symbols FROM z) "
+    f"SELECT doc_id, han, round(CAST(han AS DOUBLE) / greatest(length(t), 1), 9) AS ratio, round(CASE WHEN length(t) = 0 THEN 1.0 ELSE CAST(symbols AS DOUBLE) / length(t) END, 9) AS density, han < 50 AS short, md5(regexp_replace(t, '([\\x{{4e00}}-\\x{{9fff}}]){_W}+', '\\1', 'g')) AS squeezed FROM j"
+)
+def han_scalars(spark, d):
+    """The counts of CJK texts, made of documents whose commonest letters are other signs."""
+    z = table(spark, d, "documents").select("doc_id", F.translate("text", *_HAN).alias("t"))
+    t = F.col("t")
+    squeezed = F.regexp_replace(t, f"([{T.CJK}])[{T.SPACE}]+", "$1")
+    return z.select("doc_id", T.script_count(t).alias("han"), F.round(T.script_ratio(t), 9).alias("ratio"), F.round(T.symbol_density(t), 9).alias("density"), (T.keep_reason(t, most_symbols=1.0, most_repeats=1.0) == "too_short").alias("short"), F.md5(squeezed.cast("binary")).alias("squeezed"))
+
+
+@query()
+def subword_ids(spark, d):
+    """Ids of a tokenizer file, and whether they lead back to the same ids."""
+    import public_tokenizers
+
+    from lectern.functions.subword import load_tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        made = load_tokenizer(f.read())
+    ids = spread(table(spark, d, "documents")).select("doc_id", "text", made.encode(F.col("text")).alias("ids"))
+    return ids.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_md5"))
 
 
 _SHARES = "CASE WHEN source IN (" + ", ".join(f"'src{i}'" for i in range(20)) + ") THEN 20000.0 ELSE 400000.0 END"

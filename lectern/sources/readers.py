@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,39 +158,48 @@ def should_stream(config: dict, key: str, size: int | None) -> bool:
     return size is not None and size >= int(config.get("auto_streaming_min_bytes", 256 << 20))
 
 
-#: Weights of the template source's kinds, and its templates: a text is built of parts of one kind and more.
+#: Weights of the template source's kinds, and their parts: a text is built of parts of one kind and more. {a} to {c} are numbers, {u} to {w} words.
 TEMPLATES = (
-    (20, '{{"id": {a}, "name": "item {b}", "tags": ["x{c}", "y"], "nested": {{"ok": true, "note": "a \\"quoted\\" word"}}}}'),
-    (20, "# Section {a}\n\n- point {b}\n- point {c}\n\n| k | v |\n|---|---|\n| {a} | {b} |"),
-    (12, "service:\n  name: s{a}\n  replicas: {b}\n  ports:\n    - {c}"),
-    (16, "def f{a}(x):\n    if x > {b}:\n        return [x, {c}]\n    return {{}}"),
-    (16, "function g{a}(x) {{\n  return x.map((y) => y + {b}).filter((y) => y !== {c});\n}}"),
-    (10, "````markdown\n```json\n{{\"n\": {a}}}\n```\ntext {b}\n````"),
-    (6, 'path = "C:\\\\dir{a}\\\\new{b}" and a line\\n end {c}'),
+    (20, '{{"id": {a}, "name": "{u}", "tags": ["{v}", "{w}{b}"], "nested": {{"ok": true, "count": {c}, "note": "a \\"{u}\\" of {v}"}}}}'),
+    (20, "# {u} {a}\n\n- {v} and {w}\n- {b} of them\n\n| {u} | {v} |\n|---|---|\n| {a} | {b} |\n\n> {w} {u}"),
+    (12, "{u}:\n  name: {v}{a}\n  replicas: {b}\n  labels:\n    kind: {w}\n  ports:\n    - {c}"),
+    (16, "def {u}_{a}(x, {v}={b}):\n    if x > {v}:\n        return [x, {c}, '{w}']\n    return {{'{w}': x}}"),
+    (16, "function {u}{a}(x) {{\n  const {v} = {{ {w}: {b} }};\n  return x.map((y) => y + {v}.{w}).filter((y) => y !== {c});\n}}"),
+    (10, '````markdown\n```json\n{{"{u}": {a}, "{v}": [{b}]}}\n```\n{w} text {c}\n````'),
+    (6, '{u} = "C:\\\\{v}\\\\n{b}" and a line\\n of \\"{w}\\" ends at {c}'),
 )
 
 
-def synthetic(spark: SparkSession, rows: int, seed: int = 42, least: int = 1800, most: int = 4200) -> DataFrame:
-    """id, text: structured texts from templates drawn by hash; a text ends with the part that reaches its own drawn length."""
+def synthetic(rows: DataFrame, id_col: str, words: Column, seed: int = 42, least: int = 1800, most: int = 4200) -> DataFrame:
+    """id_col, text: a structured text for each row, from templates drawn by hash and the row's own words (plain ones are used; without any it's `item`); a text ends with the part that reaches its own drawn length."""
     bounds, total = [], 0
     for w, _ in TEMPLATES:
         total += w
         bounds.append(total)
 
     def drawn(*on: Column) -> Column:
-        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *on)), 1, 8), 16, 10).cast("long")
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("__id"), *on)), 1, 8), 16, 10).cast("long")
 
     def part(i: Column) -> Column:
-        pick = F.pmod(drawn(F.col("id"), i, F.lit("kind")), F.lit(total))
+        pick = F.pmod(drawn(i, F.lit("kind")), F.lit(total))
         out = F.lit("")
         for (_, t), top in reversed(list(zip(TEMPLATES, bounds, strict=True))):
-            text = F.lit(t.replace("{{", "\x01").replace("}}", "\x02").replace("{a}", "\x03").replace("{b}", "\x04").replace("{c}", "\x05").replace("\x01", "{").replace("\x02", "}"))
-            for k, name in zip("\x03\x04\x05", "abc", strict=True):
-                text = F.replace(text, F.lit(k), F.pmod(drawn(F.col("id"), i, F.lit(name)), F.lit(1000)).cast("string"))
-            out = F.when(pick < top, text).otherwise(out)
+            pieces = re.split(r"(\{[abcuvw]\})", t.replace("{{", "\x01").replace("}}", "\x02"))
+            said = []
+            for p in pieces:
+                if re.fullmatch(r"\{[abc]\}", p):
+                    said.append(F.pmod(drawn(i, F.lit(p[1])), F.lit(1000)).cast("string"))
+                elif re.fullmatch(r"\{[uvw]\}", p):
+                    said.append(F.get(F.col("__words"), F.pmod(drawn(i, F.lit(p[1])), F.size("__words")).cast("int")))
+                elif p:
+                    said.append(F.lit(p.replace("\x01", "{").replace("\x02", "}")))
+            out = F.when(pick < top, F.concat(*said)).otherwise(out)
         return out
 
-    parts = F.transform(F.sequence(F.lit(1), F.lit(most // 30)), part)
-    end = least + F.pmod(drawn(F.col("id"), F.lit("length")), F.lit(most - least + 1))
+    plain = F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda x: x.rlike("^[A-Za-z]{2,20}$"))
+    d = rows.select(F.col(id_col), F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("__id"), plain.alias("__words"))
+    d = d.withColumn("__words", F.when(F.size("__words") > 0, F.col("__words")).otherwise(F.array(F.lit("item"))))
+    parts = F.transform(F.sequence(F.lit(1), F.lit(most // 40)), part)
+    end = least + F.pmod(drawn(F.lit("length")), F.lit(most - least + 1))
     grown = F.aggregate(parts, F.lit(""), lambda acc, p: F.when(F.length(acc) >= end, acc).when(acc == "", p).otherwise(F.concat(acc, F.lit("\n\n"), p)))
-    return spark.range(rows).select("id", grown.alias("text"))
+    return d.select(id_col, grown.alias("text"))

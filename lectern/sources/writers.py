@@ -82,6 +82,6 @@ def summary_json(row: dict) -> str:
 
 
 def file_manifest(files: DataFrame, release: str) -> dict:
-    """Path, size and digest of files read as binaryFile, and their totals: one row a file reaches the driver."""
+    """Path, size and digest of files read as binaryFile (which leaves out empty ones), and their totals: one row a file reaches the driver."""
     found = files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).orderBy("path").collect()
     return {"release": release, "file_count": len(found), "total_size": sum(r["size"] for r in found), "files": [r.asDict() for r in found]}

@@ -39,8 +39,9 @@ def test_readers(spark, tmp_path):
     assert readers.skip_bad(v).count() == 3
     assert readers.parse_sources(["a:b", "c"]) == [("a", "b"), ("general", "c")]
     assert readers.responses(spark.createDataFrame([('{"samples":[{"a":1},2]}',), ("bad",)], "raw_response string")).count() == 1
-    texts = readers.synthetic(spark, 5).collect()
-    assert all(1800 <= len(t.text) <= 4700 for t in texts)
+    docs = spark.createDataFrame([(1, "some plain words é1"), (2, None), (None, ""), (3, "x " * 500)], "i long, t string")
+    texts = readers.synthetic(docs, "i", T.words(F.col("t"))).collect()
+    assert len(texts) == 4 and all(1800 <= len(t.text) <= 4700 for t in texts) and "plain" in texts[0].text and "item" in texts[1].text
 
 
 def test_vocabulary(spark):
@@ -127,3 +128,21 @@ def test_queries_and_sql_name_the_same_things():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_reports_and_configurations(spark, tmp_path):
+    p = corpus.profile(spark.createDataFrame([("中文" * 40,), ("short",), (None,)], "text string")).first().asDict()
+    said = writers.report(p, ["one\ntwo", "x" * 900], "Title")
+    assert said.startswith("# Title\n") and "| rows | 3 |" in said and "'one\\ntwo'" in said and "x" * 301 not in said
+    assert json.loads(writers.summary_json({"b": 1, "a": "é"})) == {"a": "é", "b": 1} and writers.summary_json({"a": "é"}).count("é") == 1
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.txt").write_bytes(b"abc")
+    (tmp_path / "f" / "b.txt").write_bytes(b"d")
+    m = writers.file_manifest(spark.read.format("binaryFile").load(str(tmp_path / "f")), "r1")
+    assert (m["release"], m["file_count"], m["total_size"]) == ("r1", 2, 4) and m["files"][0]["sha256"].startswith("ba7816bf")
+    assert readers.load_config('{"a": 1}') == {"a": 1} and readers.load_config("a: 1\nb:\n  - x") == {"a": 1, "b": ["x"]}
+    assert readers.load_config("[1]", strict=False) == {}
+    with pytest.raises(ValueError):
+        readers.load_config("[1]")
+    first, rest = instructions.up_to_need(spark.range(10), "id", 4)
+    assert sorted(r.id for r in first.collect()) == [0, 1, 2, 3] and rest.count() == 6
