@@ -123,6 +123,26 @@ def encode_structured(spark, d):
     return e.select("event_id", *[_digest(c).alias(c) for c in sequences.SEQUENCES])
 
 
+#: Answers around documents: closed; closed early; with an inner fence that could close the outer one; JSON in an inner fence; not opened; opened with a wrong name.
+_ANSWERS = (
+    f"n AS (SELECT doc_id, text, source, doc_id % 6 AS k, 1 + len(regexp_extract_all(text, '\\r\\n|[\\n\\r\\v\\f\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS n FROM documents), "
+    "w AS (SELECT *, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'early_outer_fence_close_at_line_' || (n + 2) WHEN 2 THEN 'inner_fence_can_conflict_with_outer_at_line_' || (n + 2) WHEN 3 THEN 'ok' WHEN 4 THEN 'missing_outer_opening_fence' ELSE 'unexpected_outer_fence_suffix: ' || source END AS markdown FROM n)"
+)
+
+
+@query(f"WITH {_ANSWERS} SELECT doc_id, markdown, CASE k WHEN 0 THEN 'mixed_no_json_block_found' WHEN 3 THEN 'ok' ELSE 'mixed_markdown_failed: ' || markdown END AS mixed, k IN (0, 3, 5) AS balanced, CASE WHEN k = 3 THEN md5(text) END AS block_md5 FROM w")
+def fence_reasons(spark, d):
+    """Checks of fenced answers in both dialects, and what their JSON blocks hold."""
+    t, k = F.col("text"), F.pmod("doc_id", F.lit(6))
+    said = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    quoted = F.regexp_extract(F.to_json(F.struct(t.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
+    answer = F.when(k == 0, said("```markdown\n", t, "\n```")).when(k == 1, said("```\n", t, "\n```\n", t, "\n```")).when(k == 2, said("```\n", t, "\n````\n```"))
+    answer = answer.when(k == 3, said("````md\n```json\n", quoted, "\n```\n````")).when(k == 4, said(t, "\n```")).otherwise(said("~~~", F.col("source"), "\n", t, "\n~~~"))
+    a = materialise(table(spark, d, "documents").select("doc_id", answer.alias("a")), "answers")
+    block = F.get(S.json_blocks_of("a"), F.lit(0))
+    return a.select("doc_id", S.markdown_check("a").alias("markdown"), S.mixed_check("a").alias("mixed"), S.fences_balanced("a").alias("balanced"), F.md5(F.from_json(F.concat(F.lit('{"t":'), block, F.lit("}")), "t string")["t"].cast("binary")).alias("block_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
