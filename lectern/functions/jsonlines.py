@@ -10,13 +10,14 @@ lines (and values that are no object or string, which are rendered as Python wri
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
+from lectern.functions.text import once
+
 #: Levels of nesting that are told natively.
 LEVELS = 5
 #: Fields that are read where they are strings.
@@ -65,11 +66,6 @@ def typed(v: Column, field: str) -> Column:
     return F.when(F.schema_of_variant(got) == "STRING", F.try_variant_get(v, f"$.{field}", "string"))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once a row, however often it's named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def read(line: Column) -> Column:
     """struct(kind, error, whole, and NAMES): kind is object, string, array or scalar, or null with Python's error; `whole` is what isn't an object, as text. Null gives nulls."""
     v = F.try_parse_json(line)

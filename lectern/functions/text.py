@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -20,6 +21,11 @@ REPLACEMENTS = (("100°C", "100 摄氏度"), ("100 °C", "100 摄氏度"), ("100
 STOPS = ("\n问题：", "\n回答：", "\nPrompt:", "\nAnswer:", "用户：", "助手：", "User ＞", "Model ＞")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once a row, however often it's named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -176,25 +182,33 @@ def repetition_penalty(logits: Column, generated: Column, penalty: float) -> Col
     """Logits (an array by token id) with those of generated tokens pushed down."""
     if penalty <= 1.0:
         return logits
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(generated, i), F.when(x < 0, x * penalty).otherwise(x / penalty)).otherwise(x))
+    return once(generated, lambda seen: F.transform(logits, lambda x, i: F.when(F.array_contains(seen, i), F.when(x < 0, x * penalty).otherwise(x / penalty)).otherwise(x)))
 
 
 def no_repeat_ngram(logits: Column, generated: Column, n: int) -> Column:
     """Logits where a token that would repeat an n-gram of the generated ones is impossible; n of 1 and less changes nothing."""
     if n <= 1:
         return logits
-    size = F.size(generated)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: (i + n - 1 <= size) & (F.slice(generated, i, n - 1) == F.slice(generated, F.greatest(size - n + 2, F.lit(1)), n - 1)))
-    banned = F.transform(starts, lambda i: F.element_at(generated, i + n - 1))
-    return F.when(size + 1 < n, logits).otherwise(F.transform(logits, lambda x, i: F.when(F.array_contains(banned, i), F.lit(float("-inf"))).otherwise(x)))
+
+    def banned(seen: Column) -> Column:
+        size = F.size(seen)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: (i + n - 1 <= size) & (F.slice(seen, i, n - 1) == F.slice(seen, F.greatest(size - n + 2, F.lit(1)), n - 1)))
+        return F.transform(starts, lambda i: F.element_at(seen, i + n - 1))
+
+    cut = once(once(generated, banned), lambda no: F.transform(logits, lambda x, i: F.when(F.array_contains(no, i), F.lit(float("-inf"))).otherwise(x)))
+    return F.when(F.size(generated) + 1 < n, logits).otherwise(cut)
 
 
 def top_k(logits: Column, k: int) -> Column:
     """Logits below the k-th largest are impossible; ties with it stay."""
     if k <= 0:
         return logits
-    least = F.element_at(F.sort_array(logits, False), F.least(F.lit(k), F.size(logits)))
-    return F.transform(logits, lambda x: F.when(x < least, F.lit(float("-inf"))).otherwise(x))
+
+    def cut(x: Column) -> Column:
+        least = F.element_at(F.sort_array(x, False), F.least(F.lit(k), F.size(x)))
+        return once(least, lambda low: F.transform(x, lambda v: F.when(v < low, F.lit(float("-inf"))).otherwise(v)))
+
+    return once(logits, cut)
 
 
 def top_p(logits: Column, p: float) -> Column:

@@ -130,9 +130,16 @@ def ratio_split(df: DataFrame, key: str, ratios: tuple[float, float, float] = (0
     return placed.withColumn("split", F.when(F.col("__place") < a, "train").when(F.col("__place") < b, "val").otherwise("test")).drop("_h", "__place")
 
 
+#: Rows that a task holds at most to find the smallest of all.
+HELD = 100_000
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """`n` rows drawn evenly: those of the smallest hashes, null keys first. `n` is meant small: each task keeps that many."""
-    return df.withColumn("_h", hashed(F.col(key), seed)).orderBy("_h", key).limit(n).drop("_h")
+    """`n` rows drawn evenly: those of the smallest hashes, null keys first. Up to HELD rows each task keeps the smallest; more are told by their place in the order."""
+    drawn = df.withColumn("__h", F.struct(hashed(F.col(key), seed).alias("h"), F.col(key).alias("key")))
+    if n <= HELD:
+        return drawn.orderBy("__h").limit(n).drop("__h")
+    return dense_rank_of(drawn, "__h", "__place").filter(F.col("__place") < n).drop("__h", "__place")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0, buffer: int | None = None, order: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from lectern.functions import structure as S
 from lectern.functions import text as T
 from lectern.functions import tokens as K
 from lectern.operators import corpus, instructions, ordered, sequences
-from lectern.plans.catalogue import _PAIRS, _TOKEN, _VOCAB, _pairs, _strip, _tokens, _vocab
+from lectern.plans.catalogue import _PAIRS, _TOKEN, _VOCAB, _pairs, _strip, _vocab
 from lectern.session import materialise, scratch, table
 from lectern.sources import readers, writers
 
@@ -157,10 +157,10 @@ def reject_side(spark, d):
     return bad.groupBy(F.substring_index("reject_reason", ":", -1).cast("long").alias("part")).agg(F.count("*").alias("n"))
 
 
-#: Answers made of four kinds: valid JSON, broken JSON, a good Markdown answer, one that never closes; unsafe answers on some.
+#: Answers made of events: their JSON, the same with something after it, a good Markdown answer, one that never closes; unsafe answers on some.
 _CASES = (
-    "c AS (SELECT event_id, event_id % 4 AS k, event_id % 3 AS u, CASE event_id % 5 WHEN 4 THEN 'odd' ELSE CASE WHEN event_id % 4 < 2 THEN 'json' ELSE 'markdown' END END AS format FROM events), "
-    "s AS (SELECT *, CASE WHEN format = 'odd' THEN 'unknown_task_or_format: task_type=plain, format=odd' WHEN k = 1 THEN 'invalid_json: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)' WHEN k = 3 THEN 'missing_or_wrong_outer_closing_fence' ELSE 'ok' END AS safe, "
+    "c AS (SELECT event_id, props, event_id % 4 AS k, event_id % 3 AS u, CASE event_id % 5 WHEN 4 THEN 'odd' ELSE CASE WHEN event_id % 4 < 2 THEN 'json' ELSE 'markdown' END END AS format FROM events), "
+    "s AS (SELECT *, CASE WHEN format = 'odd' THEN 'unknown_task_or_format: task_type=plain, format=odd' WHEN k = 1 THEN 'invalid_json: Extra data: line 1 column ' || (length(props) + 1) || ' (char ' || length(props) || ')' WHEN k = 3 THEN 'missing_or_wrong_outer_closing_fence' ELSE 'ok' END AS safe, "
     "u = 1 AND format = 'json' AS passed FROM c), "
     "r AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'empty_prompt' ELSE CASE WHEN safe <> 'ok' AND passed THEN safe || ' | unsafe_answer_unexpectedly_passed' WHEN safe <> 'ok' THEN safe WHEN passed THEN 'unsafe_answer_unexpectedly_passed' ELSE 'ok' END END AS reason FROM s)"
 )
@@ -168,9 +168,10 @@ _CASES = (
 
 def _cases(spark, d):
     k, e = F.pmod("event_id", F.lit(4)), F.col("event_id")
-    answer = F.when(k == 0, '{"a": [1]}').when(k == 1, "{a}").when(k == 2, "```markdown\nx\n```").otherwise("```\nx\n~~~")
+    said, t = F.col("props"), F.col("event_type")
+    answer = F.when(k == 0, said).when(k == 1, F.concat(said, F.lit("x"))).when(k == 2, F.concat(F.lit("```markdown\n"), t, F.lit("\n```"))).otherwise(F.concat(F.lit("```\n"), t, F.lit("\n~~~")))
     fmt = F.when(F.pmod(e, F.lit(5)) == 4, "odd").when(k < 2, "json").otherwise("markdown")
-    unsafe = F.when(F.pmod(e, F.lit(3)) == 1, "[1]").when(F.pmod(e, F.lit(3)) == 2, " ")
+    unsafe = F.when(F.pmod(e, F.lit(3)) == 1, said).when(F.pmod(e, F.lit(3)) == 2, " ")
     return table(spark, d, "events").select("event_id", F.lit("plain").alias("task_type"), fmt.alias("format"), F.when(F.pmod(e, F.lit(11)) == 0, " ").otherwise("ask").alias("prompt"), answer.alias("answer"), unsafe.alias("unsafe_answer"))
 
 
@@ -186,11 +187,12 @@ def output_checks(spark, d):
     return instructions.judge_outputs(_cases(spark, d), "answer").select("event_id", "reason", F.col("group").alias("kind"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"t\": [\"100 摄氏度\", {\"u\": \"100 摄氏度 and 100 摄氏度\"}], \"100℃\": 1}' WHEN 1 THEN '{\"t\": \"plain\"}' WHEN 2 THEN '[\"100 摄氏度\"]' ELSE '7' END AS value, CASE event_id % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS changed FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"t\": [\"100 摄氏度 ' || event_type || '\", {\"u\": \"100 摄氏度 and 100 摄氏度\"}], \"100℃ ' || event_type || '\": ' || user_id || '}' WHEN 1 THEN props WHEN 2 THEN '[\"' || event_type || ' 100 摄氏度\", ' || props || ']' ELSE CAST(user_id AS VARCHAR) END AS value, CASE event_id % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS changed FROM events")
 def nested_replacements(spark, d):
     """Strings replaced in whole JSON values, with the number changed."""
-    k = F.pmod("event_id", F.lit(4))
-    line = F.when(k == 0, '{"t": ["100℃", {"u": "100 °C and 100°C"}], "100℃": 1}').when(k == 1, '{"t": "plain"}').when(k == 2, '["100 ℃"]').otherwise(" 7 ")
+    k, t, u, p = F.pmod("event_id", F.lit(4)), F.col("event_type"), F.col("user_id").cast("string"), F.col("props")
+    line = F.when(k == 0, F.concat(F.lit('{"t": ["100℃ '), t, F.lit('", {"u": "100 °C and 100°C"}], "100℃ '), t, F.lit('": '), u, F.lit("}"))).when(k == 1, p)
+    line = line.when(k == 2, F.concat(F.lit('["'), t, F.lit(' 100 ℃", '), p, F.lit("]"))).otherwise(F.concat(F.lit(" "), u, F.lit(" ")))
     return table(spark, d, "events").select("event_id", S.normalise_json(line).alias("x")).select("event_id", "x.value", "x.changed")
 
 
@@ -251,16 +253,16 @@ def budgets(spark, d):
 
 
 @query(
-    "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS l, [vec_id % 8, (vec_id + 1) % 8, vec_id % 8] AS g FROM embeddings), p AS (SELECT vec_id, l[1:8] AS h, g FROM v), "
+    "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS l, [vec_id % 64, (vec_id + 1) % 64, vec_id % 64] AS g FROM embeddings), p AS (SELECT vec_id, l AS h, g FROM v), "
     "r AS (SELECT vec_id, g, list_transform(h, lambda x, i: CASE WHEN list_contains(g, i - 1) THEN CASE WHEN x < 0 THEN x * 1.5 ELSE x / 1.5 END ELSE x END) AS h FROM p), "
     "b AS (SELECT vec_id, g, list_transform(h, lambda x, i: CASE WHEN i - 1 = g[2] THEN CAST('-inf' AS DOUBLE) ELSE x END) AS h FROM r) "
     "SELECT vec_id, len(list_filter(h, lambda x: x >= list_reverse_sort(h)[3])) AS possible, round(list_max(h), 9) AS best FROM b"
 )
 def logit_filters(spark, d):
-    """Repetition penalty, no repeated bigrams and the three best, over eight logits a row."""
-    l = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))  # noqa: E741
+    """Repetition penalty, no repeated bigrams and the three best, over a vector's components as logits."""
+    l = F.transform("embedding", lambda x: x.cast("double"))  # noqa: E741
     v = F.col("vec_id")
-    g = F.array(*[F.pmod(v + k, F.lit(8)).cast("int") for k in (0, 1, 0)])
+    g = F.array(*[F.pmod(v + k, F.lit(64)).cast("int") for k in (0, 1, 0)])
     made = table(spark, d, "embeddings").select("vec_id", l.alias("l"), g.alias("g"))
     made = made.select("vec_id", T.top_k(T.no_repeat_ngram(T.repetition_penalty(F.col("l"), F.col("g"), 1.5), F.col("g"), 2), 3).alias("h"))
     return made.select("vec_id", F.size(F.filter("h", lambda x: x > float("-inf"))).cast("long").alias("possible"), F.round(F.array_max("h"), 9).alias("best"))

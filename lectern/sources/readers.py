@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import jsonlines
-from lectern.functions.text import SPACE, strip
+from lectern.functions.text import SPACE, once, strip
 
 #: Fields that may hold a text, best first.
 FIELDS = ("text", "content", "passage", "document")
@@ -37,7 +37,7 @@ def text_of(value: Column) -> Column:
         fields = F.coalesce(*[r[f] for f in FIELDS], F.concat(r["prompt"], F.lit("\n"), r["answer"]), F.lit(""))
         return F.when(r["error"].isNotNull(), strip(value)).when(r["kind"] == "string", r["whole"]).when(r["kind"] == "object", fields).otherwise("")
 
-    return jsonlines.once(jsonlines.read(strip(value)), said)
+    return once(jsonlines.read(strip(value)), said)
 
 
 def corpus(spark: SparkSession, sources: Iterable[tuple[str, str]]) -> DataFrame:

@@ -90,5 +90,5 @@ def test_splits_and_samples_with_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None if i % 5 == 0 else i // 2, i) for i in range(101)], "k long, i long")
     split = ordered.ratio_split(df, "k").groupBy("split").agg(F.count("*").alias("n")).collect()
     assert {r.split: r.n for r in split} == {"train": 95, "val": 3, "test": 3}
-    assert ordered.sample(df, "k", 10).count() == 10 and ordered.sample(df, "k", 1000).count() == 101
+    assert ordered.sample(df, "k", 10).count() == 10 and ordered.sample(df, "k", 1000).count() == 101 and ordered.sample(df, "k", 10**9).count() == 101
     assert sorted(r.i for r in ordered.batches(df.withColumn("o", F.col("i")), "o", 10).collect()) == list(range(101))
