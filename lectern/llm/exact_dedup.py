@@ -30,6 +30,8 @@ from lectern.session import materialise, scratch
 
 #: Digests that one filter covers, on average; a filter of this size takes about 0.5 MB.
 DIGESTS_A_FILTER = 200_000
+#: Digests of a batch that meet a filter in one task, on average; a bucket with more of them is dealt to several, each with the filter.
+DIGESTS_A_TASK = 1_000_000
 #: Groups of copies (48 bytes each) that are broadcast at most; with more of them the join shuffles.
 BROADCAST_GROUPS = 200_000
 
@@ -157,10 +159,12 @@ class Snapshot:
         made.select("bucket", "key").groupBy("bucket").applyInPandas(_filter_of, "bucket int, seed long, segment long, segments long, prints binary").write.parquet(f"{path}/filters")
         return cls(groups.sparkSession, path, buckets)
 
-    def screen(self, groups: DataFrame) -> DataFrame:
-        """digest and whether the snapshot may hold it, for the digests of a batch."""
-        batch = _bucketed(groups, self.buckets).select("bucket", "digest", "key")
-        return self.filters.groupBy("bucket").cogroup(batch.groupBy("bucket")).applyInPandas(_screen, "digest binary, maybe boolean")
+    def screen(self, groups: DataFrame, digests_a_task: int = DIGESTS_A_TASK) -> DataFrame:
+        """digest and whether the snapshot may hold it, for the digests of a batch (a written table). A batch that is large for the snapshot has its buckets dealt by a salt, and each part gets the bucket's filter."""
+        salts = max(1, -(-groups.count() // (self.buckets * digests_a_task)))
+        batch = _bucketed(groups, self.buckets).select("bucket", F.pmod(F.hash("digest", F.lit(7)), F.lit(salts)).alias("salt"), "digest", "key")
+        filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return filters.groupBy("bucket", "salt").cogroup(batch.groupBy("bucket", "salt")).applyInPandas(_screen, "digest binary, maybe boolean")
 
 
 # ---- operator -----------------------------------------------------------------------------------
@@ -170,10 +174,9 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.sum("n").alias("n"), F.max("id").alias("top"))
 
 
-def merge_batch(snapshot: Snapshot, batch: DataFrame) -> DataFrame:
-    """digest, n, top over snapshot and batch together; `batch`: digest, n, top."""
-    said = snapshot.screen(batch)
-    held = said.filter("maybe").select("digest")
+def merge_batch(snapshot: Snapshot, batch: DataFrame, digests_a_task: int = DIGESTS_A_TASK) -> DataFrame:
+    """digest, n, top over snapshot and batch together; `batch`: digest, n, top, a written table."""
+    held = materialise(snapshot.screen(batch, digests_a_task).filter("maybe").select("digest"), "held")
     met = batch.join(held, "digest", "left_semi").join(snapshot.groups.select("digest", F.col("n").alias("n0"), F.col("top").alias("top0")), "digest", "full")
     # full: groups of the snapshot that the batch doesn't meet stay as they are
     met = met.select("digest", (F.coalesce("n", F.lit(0)) + F.coalesce("n0", F.lit(0))).alias("n"), F.greatest("top", "top0").alias("top"))
@@ -198,7 +201,7 @@ def exact_dedup(
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
     rows = materialise(plain.select("id", "old", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("sha")).groupBy("id", "old", "digest", "sha").agg(F.count("*").alias("n")), "digests")
     snapshot = Snapshot.write(_groups(rows.filter("old")), scratch(spark, "snapshot"))
-    groups = materialise(merge_batch(snapshot, _groups(rows.filter("NOT old"))), "groups")
+    groups = materialise(merge_batch(snapshot, materialise(_groups(rows.filter("NOT old")), "batch")), "groups")
 
     # byte checks: each row of a group against the text of the row that stays
     several = groups.filter("n > 1").select("digest", "top")

@@ -75,6 +75,18 @@ def test_exact_dedup_against_brute_force(spark, weak):
     assert sum(g.kept for g in got) == len({(t or "") for _, t, _ in rows})
 
 
+def test_a_batch_much_larger_than_its_snapshot(spark, tmp_path):
+    digest = exact_dedup.sha256(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("digest")
+    named = lambda first, last: spark.range(first, last).select(digest, F.lit(1).cast("long").alias("n"), F.col("id").alias("top"))
+    snapshot = exact_dedup.Snapshot.write(named(0, 40), str(tmp_path / "s"))
+    batch = named(20, 3000)
+    said = snapshot.screen(batch, digests_a_task=10)
+    assert said.count() == 2980 and 20 <= said.filter("maybe").count() < 30
+    got = exact_dedup.merge_batch(snapshot, batch, digests_a_task=10)
+    assert {(r.n, r.top) for r in got.collect()} == {(1, i) for i in (*range(20), *range(40, 3000))} | {(2, i) for i in range(20, 40)}
+    assert got.count() == 3000
+
+
 def test_exact_dedup_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_dedup(docs, exact_dedup.in_first_half()).count() == 0
