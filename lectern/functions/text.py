@@ -167,12 +167,18 @@ def learning_rate(step: Column, max_lr: float, max_steps: int, warmup: int = 0,
     return F.when((step <= warmup) & F.lit(warmup > 0), max_lr * step / max(1, warmup)).otherwise(later)
 
 
-def pretty_bytes(n: Column) -> Column:
-    return F.when(n >= 1 << 30, F.format_string("%.2f GB", n / (1 << 30))).otherwise(F.format_string("%.2f MB", n / (1 << 20)))
+def _shown(form: Callable[[int], str]) -> Callable[[Column], Column]:
+    """Figures as Python writes them: it rounds what the binary number really is, which Java's formats don't. For reports' few rows."""
 
+    @F.pandas_udf("string")
+    def column(x: pd.Series) -> pd.Series:
+        return x.map(lambda n: None if pd.isna(n) else form(int(n)))
 
-def pretty_count(n: Column) -> Column:
-    return F.concat(F.format_number(n, 0), F.lit(" ("), F.format_string("%.2f", n / 1_000_000), F.lit("M)"))
+    return column
+
+
+pretty_bytes = _shown(lambda n: f"{n / (1 << 30):.2f} GB ({n / (1 << 20):.1f} MB)")
+pretty_count = _shown(lambda n: f"{n:,} ({n / 1_000_000:.2f}M)")
 
 
 # ---- logits -------------------------------------------------------------------------------------

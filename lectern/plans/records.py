@@ -268,6 +268,55 @@ def logit_filters(spark, d):
     return made.select("vec_id", F.size(F.filter("h", lambda x: x > float("-inf"))).cast("long").alias("possible"), F.round(F.array_max("h"), 9).alias("best"))
 
 
+def _cut(text: str) -> str:
+    for m in T.STOPS:
+        text = f"split_part({text}, '{m}', 1)".replace(chr(10), "' || chr(10) || '")
+    return text
+
+
+_TAILS = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Answer: ' || source WHEN 2 THEN ' 用户：' || source || chr(10) || '问题：x' ELSE chr(10) || 'Answer' END"
+
+
+@query(
+    f"WITH g AS (SELECT doc_id, n_chars, '  ' || text || {_TAILS} AS t FROM documents) SELECT doc_id, md5({_strip(_cut('t'))}) AS clean_md5, doc_id % 4 IN (1, 2) AS stopped, least(greatest(doc_id - 480, 0), 32) AS depth, "
+    "printf('%.2f GB (%.1f MB)', n_chars * 1000000 / 1073741824, n_chars * 1000000 / 1048576) AS bytes, format('{:,}', n_chars * 1000) || ' (' || printf('%.2f', n_chars * 1000 / 1000000) || 'M)' AS tokens FROM g"
+)
+def text_cleanups(spark, d):
+    """Generated texts up to their stop markers, depths in bounds, and figures as they're shown."""
+    k = F.pmod("doc_id", F.lit(4))
+    tail = F.when(k == 0, "").when(k == 1, F.concat(F.lit("\nAnswer: "), F.col("source"))).when(k == 2, F.concat(F.lit(" 用户："), F.col("source"), F.lit("\n问题：x"))).otherwise("\nAnswer")
+    g = table(spark, d, "documents").select("doc_id", "n_chars", F.concat(F.lit("  "), F.col("text"), tail).alias("t"))
+    return g.select("doc_id", _md5(T.clean_generated(F.col("t"))).alias("clean_md5"), T.has_stop(F.col("t")).alias("stopped"), T.clamp_depth(F.col("doc_id") - 480).alias("depth"), T.pretty_bytes(F.col("n_chars") * 1_000_000).alias("bytes"), T.pretty_count(F.col("n_chars") * 1000).alias("tokens"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) <= 150 AS taken FROM documents")
+def needed_samples(spark, d):
+    """The rows that are still needed, and the overflow."""
+    first, rest = instructions.up_to_need(table(spark, d, "documents").select("doc_id"), "doc_id", 150)
+    return first.withColumn("taken", F.lit(True)).unionByName(rest.withColumn("taken", F.lit(False)))
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, md5(prompt) AS asked_md5 FROM pr WHERE turn % 3 <> 2 UNION ALL SELECT conv_id, turn, md5(answer) FROM pr WHERE turn % 3 <> 2")
+def parsed_responses(spark, d):
+    """The objects of responses' lists of samples: two of each pair, but for broken responses, and without what is no object."""
+    made = F.to_json(F.struct(F.array(F.struct(F.col("prompt").alias("instruction")), F.struct(F.col("answer").alias("instruction"))).alias("samples")))
+    cut = F.concat(F.regexp_replace(made, r"\]\}$", ""), F.lit(", 7, null]}"))
+    raw = F.when(F.pmod("turn", F.lit(3)) == 2, F.concat(F.lit("broken "), made)).otherwise(cut)
+    rows = _pairs(spark, d).withColumn("raw_response", raw)
+    found = readers.responses(rows, "raw_response", "conv_id", "turn")
+    return found.select("conv_id", "turn", _md5(F.try_variant_get("v", "$.instruction", "string")).alias("asked_md5"))
+
+
+@query(f"WITH {_PAIRS}, i AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS k FROM pr) SELECT printf('ai_general_qa_%08d', k) AS id, 'general_qa' AS task_type, CASE WHEN k % 2 = 0 THEN 'json' ELSE 'plain' END AS format, CASE WHEN k % 3 = 0 THEN 1 WHEN k % 3 = 1 THEN CAST(k AS INTEGER) END AS difficulty, md5({_strip('prompt')}) AS asked_md5 FROM i")
+def normalised_samples(spark, d):
+    """Samples with ids by place, defaults for what is missing, and difficulties that are numbers."""
+    rows = ordered.dense_rank_of(_pairs(spark, d).withColumn("o", F.struct("conv_id", "turn")), "o", "k")
+    k = F.col("k")
+    made = rows.select("o", F.lit(None).cast("string").alias("task_type"), F.when(k % 2 == 0, " json ").alias("format"), F.when(k % 3 == 1, k.cast("string")).when(k % 3 == 2, "hard").alias("difficulty"), F.col("prompt").alias("instruction"), F.lit("").alias("input"), F.col("answer").alias("output"))
+    out = instructions.normalise_samples(made, "general_qa", "o")
+    return out.select("id", "task_type", "format", "difficulty", _md5(F.col("instruction")).alias("asked_md5"))
+
+
 @query("SELECT CASE WHEN count(*) FILTER (length(trim(text)) > 0) < 100 THEN 'too_few_rows' WHEN sum(strlen(text)) < 1000000000 THEN 'too_few_bytes' ELSE 'ok' END AS reason FROM documents")
 def gates(spark, d):
     """The first gate that a corpus fails."""

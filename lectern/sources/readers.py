@@ -123,9 +123,9 @@ def manifest_texts(spark: SparkSession, manifest: dict, exists=lambda path: True
     return spark.read.text(paths)
 
 
-def responses(raw: DataFrame, column: str = "raw_response") -> DataFrame:
-    """v: each object of the list `samples` in JSON responses. No network: the responses are rows."""
-    each = raw.select(F.explode_outer(F.try_variant_get(F.try_parse_json(column), "$.samples", "array<variant>")).alias("v"))
+def responses(raw: DataFrame, column: str = "raw_response", *keep: str) -> DataFrame:
+    """keep, v: each object of the list `samples` in JSON responses. No network: the responses are rows."""
+    each = raw.select(*keep, F.explode_outer(F.try_variant_get(F.try_parse_json(column), "$.samples", "array<variant>")).alias("v"))
     return each.filter(F.schema_of_variant("v").startswith("OBJECT"))
 
 
