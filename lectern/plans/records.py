@@ -55,7 +55,8 @@ def _md5(c):
     return F.md5(c.cast("binary"))
 
 
-_BUCKET = F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long")
+def _bucket():
+    return F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("bucket")
 
 
 @query(
@@ -65,12 +66,12 @@ _BUCKET = F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long")
 def corpus_scan(spark, d):
     """The tolerant reader over two sources of many files in order."""
     sources = readers.parse_sources([f"general:{_lines(spark, d)}", f"extra:{_lines(spark, d, (0,))}"])
-    return readers.corpus(spark, sources).select("category", "src_ord", _BUCKET.alias("bucket"), "line", _md5(F.col("text")).alias("text_md5"))
+    return readers.corpus(spark, sources).select("category", "src_ord", _bucket(), "line", _md5(F.col("text")).alias("text_md5"))
 
 
 @query(f"WITH {_KINDS} SELECT bucket, nth AS line, CASE kind WHEN 4 THEN 'Expecting value: line 1 column 1 (char 0)' WHEN 5 THEN 'JSON line is not an object' END AS load_error FROM n WHERE kind <> 6")
 def validated_scan(spark, d):
-    return readers.validated(readers.lines(spark, _lines(spark, d)), "file", "line").select(_BUCKET.alias("bucket"), "line", "load_error")
+    return readers.validated(readers.lines(spark, _lines(spark, d)), "file", "line").select(_bucket(), "line", "load_error")
 
 
 @query(f"WITH {_KINDS} SELECT md5(CASE kind WHEN 0 THEN prompt ELSE answer END) AS text_md5 FROM n WHERE kind IN (0, 1)")
@@ -102,7 +103,7 @@ def training_texts(spark, d):
     """Training rows, their pairs, and their texts."""
     rows = readers.training_rows(readers.lines(spark, _lines(spark, d)), "file", "line")
     pair = T.prompt_of(*[F.col(c) for c in ("prompt", "answer", "instruction", "input", "output")])
-    return rows.select(_BUCKET.alias("bucket"), "line", _md5(T.training_text(F.col("raw"), pair, F.col("text"), F.col("content"))).alias("text_md5"))
+    return rows.select(_bucket(), "line", _md5(T.training_text(F.col("raw"), pair, F.col("text"), F.col("content"))).alias("text_md5"))
 
 
 @query(f"WITH {_KINDS} SELECT md5(CASE kind WHEN 0 THEN prompt WHEN 1 THEN answer WHEN 2 THEN '### Instruction:' || chr(10) || {_strip('prompt')} || chr(10) || chr(10) || '### Response:' || chr(10) || {_strip('answer')} || chr(10) WHEN 4 THEN 'no json ' || line ELSE '[\"x\"]' END) AS text_md5 FROM n WHERE kind NOT IN (3, 6)")
