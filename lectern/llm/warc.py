@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.worker import lean
-from lectern.session import ship
+from lectern.session import materialise, ship
 
 #: Headers that a 304 answer may change in a stored response.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning")
@@ -167,26 +167,66 @@ def _lines(f: io.BytesIO) -> dict[str, str]:
     return out
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files at `path`, as `resolve_revisits` takes them. A file is one task's work."""
-    ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+_RECORD = "record_id string, type string, url string, date string, status int, headers map<string,string>, digest string, length long, body binary"
+#: What stands before a record's first line, and a record's first line up to where that was cut off; files whose names a plan lists one by one.
+_BETWEEN, _FIRST, _NAMED = "\r\nWARC/1.", b"WARC/1.", 1000
+
+
+def _parsed(column: str, whole: bool):
+    """Records of whole files, or of chunks of one record."""
+    schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("length", pa.int64()), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("length", pa.int64()), ("body", pa.binary())])
+        rows, held = [], 0
         for batch in batches:
-            for raw in batch.column("content").to_pylist():
-                rows, held = [], 0
-                for x in parse_warc(raw):
+            for raw in batch.column(column).to_pylist():
+                for x in parse_warc(raw) if whole else _records(io.BytesIO(_headed(raw))):
                     rows.append(x | {"headers": list(x["headers"].items())})
                     held += x["length"]
                     if held > 1 << 22:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, held = [], 0
+
+    return lean("warc", run)
+
 
-    out = files.mapInArrow(lean("warc", run), "record_id string, type string, url string, date string, status int, headers map<string,string>, digest string, length long, body binary")
+def _headed(chunk: bytes) -> bytes:
+    return chunk if chunk.startswith(_FIRST) or not chunk[:1].isdigit() else _FIRST + chunk
+
+
+def _cut_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with a chunk that ends before its record does."""
+    for batch in batches:
+        found = set()
+        for name, chunk in zip(batch.column("file").to_pylist(), batch.column("chunk").to_pylist(), strict=True):
+            raw = _headed(chunk)
+            if name not in found and _FIRST in raw and next(_records(io.BytesIO(raw)), None) is None:
+                found.add(name)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["file"])
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the WARC files at `path`, as `resolve_revisits` takes them.
+
+    Spark's text reader cuts files before each record's first line: a large plain file is read by its splits, a gzipped one as a stream, and what a
+    task holds at once is a record. Where a chunk ends before the length that its record tells (a payload holds such a line, or
+    the file is cut off), the file is parsed whole, a file a task, below 2 GB.
+    """
+    ship(spark)
+    text = spark.read.option("lineSep", _BETWEEN).option("ignoreCorruptFiles", "true").text(path)
+    chunks = text.select(F.col("value").cast("binary").alias("chunk"), F.col("_metadata.file_path").alias("file"))
+    odd = materialise(chunks.mapInArrow(lean("warc", _cut_off), "file string").distinct(), "odd")
+    names = [r.file for r in odd.orderBy("file").limit(_NAMED + 1).collect()]
+    if names:
+        files = spark.read.format("binaryFile").load(path).select("content", F.col("_metadata.file_path").alias("file"))
+        few = len(names) <= _NAMED
+        chunks, files = (chunks.filter(~F.col("file").isin(names)), files.filter(F.col("file").isin(names))) if few else (chunks.join(odd, "file", "left_anti"), files.join(odd, "file", "left_semi"))
+    out = chunks.select("chunk").mapInArrow(_parsed("chunk", False), _RECORD)
+    if names:
+        out = out.unionByName(files.select("content").mapInArrow(_parsed("content", True), _RECORD))
     return out.withColumn("micros", F.unix_micros(F.try_to_timestamp("date"))).drop("date")
 
 

@@ -97,3 +97,26 @@ def test_junk_between_records_and_a_cut_member():
     packed = gzip.compress(record) * 3
     assert len(list(warc.parse_warc(packed))) == 3 and len(list(warc.parse_warc(packed[:-20]))) == 2
     assert len(list(warc.parse_warc(b"WARC/1.0\r\nContent-Length: many\r\n\r\n"))) == 1
+
+
+def test_files_by_records(spark, tmp_path):
+    def record(i, body):
+        return b"WARC/1.%d\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (i % 2, i, len(body)) + body + b"\r\n\r\n"
+
+    bodies = {i: (b"\x00\xff %d\n" % i) * (1 + i % 50 * 400) for i in range(200)}
+    (tmp_path / "large.warc").write_bytes(b"".join(record(i, b) for i, b in bodies.items()))
+    more = {1000 + i: b"x" * i for i in range(20)}
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(gzip.compress(record(i, b)) for i, b in more.items()))
+    tricky = {2000: b"how a file looks:\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc", 2001: b"after"}
+    (tmp_path / "tricky.warc").write_bytes(b"".join(record(i, b) for i, b in tricky.items()))
+    bare = {3000: b"one", 3001: b"two"}
+    (tmp_path / "bare.warc").write_bytes(b"junk\n" + b"\n".join(record(i, b).rstrip() + b"\n" for i, b in bare.items()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        records = warc.read_warc(spark, str(tmp_path))
+        assert records.rdd.getNumPartitions() > 20
+        got = records.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {int(r.record_id.strip("<>")): bytes(r.body) for r in got} == bodies | more | tricky | bare and len(got) == 224
