@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.functions.text import sample_key
+from lectern.operators.keystore import KeyStore, add_new
 
 
 def append_new(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -25,3 +26,14 @@ def append_new(stream: DataFrame, path: str, checkpoint: str, once: bool = True)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def append_to_store(stream: DataFrame, store: KeyStore, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Append samples (instruction, output, ...) of a stream to a key store unless their key is there. A batch looks at the filters and at the buckets that may hold one of its keys, not at the whole store; one that runs again finds its keys stored and appends nothing."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        mine = KeyStore(batch.sparkSession, store.path, store.key, store.buckets)
+        add_new(mine, batch.withColumn(store.key, sample_key(F.col("instruction"), F.col("output"))))
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

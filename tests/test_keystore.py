@@ -4,6 +4,7 @@ import pytest
 
 from lectern.functions import tokens as K
 from lectern.operators.keystore import KeyStore, add_new
+from lectern.streaming.ingest import append_to_store
 
 
 def keys(spark, numbers):
@@ -30,6 +31,17 @@ def test_no_stored_key_is_missed_and_few_others_are_looked_at(spark, tmp_path):
     assert sorted(r.i for r in store.new(asked).collect()) == [10**7 + k for k in range(1000)]
 
 
+def test_a_stream_appends_what_the_store_lacks(spark, tmp_path):
+    schema = "instruction string, output string"
+    store = KeyStore(spark, str(tmp_path / "s"), buckets=4)
+    for rows in ([("a", "x"), ("b", "y")], [("b", "y"), ("c", None)], [(" a", "x "), (None, None)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        append_to_store(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "state")).awaitTermination()
+    assert sorted(str(r.instruction).strip() for r in store.samples().collect()) == ["None", "a", "b", "c"]
+    append_to_store(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "again")).awaitTermination()
+    assert store.samples().count() == 4
+
+
 def test_buckets_that_cannot_hold_a_key_stay_unread(spark, tmp_path):
     store = KeyStore(spark, str(tmp_path / "s"), buckets=16)
     store.append(keys(spark, range(200)))
