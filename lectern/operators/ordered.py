@@ -298,20 +298,56 @@ def block_map(df: DataFrame, order: str, length: Column, block: int, stride: int
     return BlockMap(materialise(placed.select(*by, order, "at", "n").sortWithinPartitions(*by, "at"), "blocks"), order, block, stride, by)
 
 
-def chunks(df: DataFrame, order: str, ids: str | list[str], block: int, stride: int | None = None, by: list[str] | None = None) -> DataFrame:
+def chunks(df: DataFrame, order: str, ids: str | list[str], block: int, stride: int | None = None, by: list[str] | None = None, n_workers: int | None = None) -> DataFrame:
     """by, block_id, and blocks of `block` elements of the rows' lists one after another, every `stride` elements; the tail that fills none is dropped.
 
     One list column gives input_ids; several of equal lengths give a column each under their own names. Needs
     0 < stride <= block. A row gives each block that it overlaps one slice, and a block joins its few slices.
-    Null and empty lists give nothing.
+    Null and empty lists give nothing. With `n_workers` rows are dealt as `workers` deals them, and `worker` is a group. Where blocks overlap twice and more, only those that span lists are shuffled.
     """
     stride = stride or block
     if not 0 < stride <= block:
         raise ValueError("stride must be in 1 .. block")
     by, lists = by or [], [ids] if isinstance(ids, str) else ids
+    names = ["input_ids"] if isinstance(ids, str) else lists
+    # the lists are written once, with a number for each row; places are told from their lengths alone
     slim = df.select(*by, order, *lists).withColumn("__n", F.greatest(F.size(lists[0]), F.lit(0)).cast("long"))
-    placed = running_before(slim, "__n", order, by, "__at").filter("__n > 0")
-    return _sliced(placed, lists, ["input_ids"] if isinstance(ids, str) else lists, block, stride, by)
+    held = materialise(slim.withColumn("__id", F.monotonically_increasing_id()), "lists")
+    lengths, dealt = held.select(*by, order, "__id", "__n"), ["worker"] if n_workers else []
+    if n_workers:
+        lengths, by = dense_rank_of(lengths, order, "__place").withColumn("worker", F.pmod("__place", F.lit(n_workers))).drop("__place"), [*by, "worker"]
+    places = running_before(lengths, "__n", order, by, "__at").filter("__n > 0").select("__id", "__at", *dealt)
+    # the side of places is built, so lists aren't sorted
+    whole = held.join(places.hint("shuffle_hash"), "__id")
+    if block < 2 * stride:
+        return _sliced(whole, lists, names, block, stride, by)
+    return _within(whole, lists, names, block, stride, by).unionByName(_across(held, places, lists, names, block, stride, by))
+
+
+def _within(placed: DataFrame, lists: list[str], names: list[str], block: int, stride: int, by: list[str]) -> DataFrame:
+    """Blocks that lie in one list, cut where they are: nothing is shuffled for them."""
+    at, end = F.col("__at"), F.col("__at") + F.col("__n")
+    first, last = F.ceil(at / stride).cast("long"), F.floor((end - block) / stride).cast("long")
+    met = placed.filter(first <= last).withColumn("block_id", F.explode(F.sequence(first, last)))
+    begin = (F.col("block_id") * stride - at + 1).cast("int")
+    return met.select(*by, "block_id", *[F.slice(c, begin, F.lit(block)).alias(n) for c, n in zip(lists, names, strict=True)])
+
+
+def _across(held: DataFrame, places: DataFrame, lists: list[str], names: list[str], block: int, stride: int, by: list[str]) -> DataFrame:
+    """Blocks that span lists, joined of the lists' ends: of each list its first and last block - 1 elements at most are shuffled."""
+    edge = F.least(F.col("__n"), F.lit(block - 1)).cast("int")
+    ends = lambda left: F.struct(F.lit(left).alias("left"), (F.lit(0).cast("long") if left else F.col("__n") - edge).alias("off"), *[F.slice(c, F.lit(1) if left else F.size(c) - edge + 1, edge).alias(c) for c in lists])
+    own = [c for c in by if c in held.columns]
+    cut = held.filter("__n > 0").select(*own, "__id", "__n", F.explode(F.array(ends(True), ends(False))).alias("__e")).select(*own, "__id", "__n", "__e.left", "__e.off", *[F.col("__e")[c].alias(c) for c in lists])
+    placed, at, end = cut.join(places, "__id"), F.col("__at"), F.col("__at") + F.col("__n")
+    inner = F.ceil(at / stride)  # the first block that begins in the list
+    lowest = F.when(F.col("left"), F.greatest(F.floor((at - block) / stride) + 1, F.lit(0))).otherwise(F.greatest(inner, F.floor((end - block) / stride) + 1)).cast("long")
+    highest = F.when(F.col("left"), inner - 1).otherwise(F.floor((end - 1) / stride)).cast("long")
+    met = placed.filter(lowest <= highest).withColumn("block_id", F.explode(F.sequence(lowest, highest)))
+    here = at + F.col("off")
+    begin = F.greatest(here, F.col("block_id") * stride)
+    length = F.least(here + F.size(lists[0]), F.col("block_id") * stride + block) - begin
+    return _joined(met, lists, names, block, by, begin, begin - here + 1, length)
 
 
 def _sliced(placed: DataFrame, lists: list[str], names: list[str], block: int, stride: int, by: list[str], first: int = 0, last: int | None = None) -> DataFrame:
@@ -323,7 +359,12 @@ def _sliced(placed: DataFrame, lists: list[str], names: list[str], block: int, s
     met = placed.filter(lowest <= highest).withColumn("block_id", F.explode(F.sequence(lowest, highest)))
     begin = F.greatest(at, F.col("block_id") * stride)
     length = F.least(end, F.col("block_id") * stride + block) - begin
-    part = F.struct(begin.alias("at"), *[F.slice(c, (begin - at + 1).cast("int"), length.cast("int")).alias(n) for c, n in zip(lists, names, strict=True)])
+    return _joined(met, lists, names, block, by, begin, begin - at + 1, length)
+
+
+def _joined(met: DataFrame, lists: list[str], names: list[str], block: int, by: list[str], begin: Column, start: Column, length: Column) -> DataFrame:
+    """Whole blocks of slices: each is `length` elements from `start` on in its row's lists, and stands at `begin` among all."""
+    part = F.struct(begin.alias("at"), *[F.slice(c, start.cast("int"), length.cast("int")).alias(n) for c, n in zip(lists, names, strict=True)])
     packed = met.filter(length > 0).select(*by, "block_id", part.alias("part")).groupBy(*by, "block_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     whole = packed.select(*by, "block_id", *[F.flatten(F.col("parts")[n]).alias(n) for n in names])
     return whole.filter(F.size(names[0]) == block)
