@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import structure as S
 from lectern.functions import text as T
 from lectern.functions import tokens as K
-from lectern.operators.ordered import chunks, dense_rank_of, shuffled, workers
+from lectern.operators.ordered import chunks, dense_rank_of, shuffled
 
 #: Fixed value: the label that a loss leaves out. The sequences of a row.
 IGNORE = -100
@@ -52,8 +52,9 @@ def _shifted(d: DataFrame, key: str) -> DataFrame:
 
 def blocks(encoded: DataFrame, order: str, block: int, stride: int | None = None, n_workers: int = 1) -> DataFrame:
     """worker, block_id and SEQUENCES in blocks: each worker packs the rows whose place in the order is its own modulo `n_workers`."""
-    dealt = workers(encoded, order, n_workers) if n_workers > 1 else encoded.withColumn("worker", F.lit(0).cast("long"))
-    return chunks(dealt, order, list(SEQUENCES), block, stride, ["worker"])
+    if n_workers > 1:
+        return chunks(encoded, order, list(SEQUENCES), block, stride, n_workers=n_workers)
+    return chunks(encoded.withColumn("worker", F.lit(0).cast("long")), order, list(SEQUENCES), block, stride, ["worker"])
 
 
 def dense_blocks(encoded: DataFrame, order: str, block: int) -> DataFrame:

@@ -13,7 +13,7 @@ from lectern.functions import text as T
 from lectern.functions import tokens as K
 from lectern.operators import corpus, instructions, ordered, sequences
 from lectern.plans.catalogue import _PAIRS, _TOKEN, _VOCAB, _pairs, _strip, _vocab
-from lectern.session import materialise, scratch, table
+from lectern.session import materialise, scratch, spread, table
 from lectern.sources import readers, writers
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,8 +227,8 @@ def encode_rows(spark, d):
 )
 def pack_annotated(spark, d):
     """Documents as annotated sequences, packed by two workers."""
-    rows = table(spark, d, "documents").select("doc_id", F.col("text"))
-    e = materialise(sequences.encode_rows(rows, _vocab(spark, d), "doc_id"), "encoded")
+    rows = spread(table(spark, d, "documents").select("doc_id", "text"))
+    e = sequences.encode_rows(rows, _vocab(spark, d), "doc_id")
     said = lambda c: _md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
     return sequences.blocks(e, "doc_id", 512, n_workers=2).select("worker", "block_id", said("input_ids").alias("inputs_md5"), said("labels").alias("labels_md5"))
 

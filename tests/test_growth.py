@@ -55,3 +55,10 @@ def test_overlapping_blocks(spark, block, stride):
         flat = [x for of, _, ids in data if of == g for x in ids]
         want |= {(g, k // stride): flat[k : k + block] for k in range(0, len(flat) - block + 1, stride)}
     assert got == want
+
+
+def test_lists_are_written_once_for_blocks(spark, written):
+    rows = spark.range(30).select("id", *[F.array(F.lit(1), F.lit(2)).alias(c) for c in sequences.SEQUENCES])
+    assert sequences.blocks(rows, "id", 6, n_workers=2).count() == 10
+    assert all("input_ids" not in df.columns for what, df in written if what == "ranges")
+    assert sum("input_ids" in df.columns for _, df in written) == 1
