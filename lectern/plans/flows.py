@@ -67,16 +67,17 @@ def manifest_source_scan(spark, d):
     "SELECT epoch, dense_rank() OVER (PARTITION BY epoch ORDER BY drawn, shard, chunk) - 1 AS place, row_number() OVER (PARTITION BY epoch, shard, chunk ORDER BY md5((5 + epoch) || ':' || shard || ':' || chunk || ':' || nth), nth) - 1 AS turn, doc_id FROM o"
 )
 def epoch_stream(spark, d):
-    """Two epochs as a stream that stops after every few chunks and goes on from its checkpoint."""
+    """Two epochs as a stream that stops after its first chunks and goes on from its checkpoint, a few chunks at a time."""
     path, out, state = _sharded(spark, d), scratch(spark, "epochs"), scratch(spark, "state")
     stream = spark.readStream.format(manifest_source.NAME).options(path=path, streaming="true", epochs=2, seed=5, admit=80).load()
-    rows, seen = manifest_source.read_chunks(stream, path, 5), -1
-    while True:
-        rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
-        found = spark.read.schema("epoch int, place long, turn int, shard int, line long, value string").parquet(out)
-        if (n := found.count()) == seen:
-            break
-        seen = n
+    write = manifest_source.read_chunks(stream, path, 5).writeStream.format("parquet").option("checkpointLocation", state)
+    write.trigger(availableNow=True).start(out).awaitTermination()  # ends after its first chunks
+    rest = write.trigger(processingTime="0 seconds").start(out)
+    try:
+        rest.processAllAvailable()  # batch after batch up to the last epoch's end
+    finally:
+        rest.stop()
+    found = spark.read.schema("epoch int, place long, turn int, shard int, line long, value string").parquet(out)
     return found.select(F.col("epoch").cast("long").alias("epoch"), "place", F.col("turn").cast("long").alias("turn"), F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
 
 

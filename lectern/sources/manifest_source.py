@@ -251,7 +251,9 @@ def read_chunks(chunks: DataFrame, path: str, seed: int = 0) -> DataFrame:
                 cols = [pa.array([r["epoch"]] * n, pa.int32()), pa.array([r["place"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([r["shard"]] * n, pa.int32()), pa.array([i + 1 for i in order], pa.int64()), pa.array([lines[i] for i in order], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["epoch", "place", "turn", "shard", "line", "value"])
 
-    return chunks.mapInArrow(run, "epoch int, place long, turn int, shard int, line long, value string")
+    # a simple source hands its rows over as one partition; they name chunks, which all cores read
+    dealt = chunks.repartition(chunks.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, "epoch int, place long, turn int, shard int, line long, value string")
 
 
 class ManifestSource(DataSource):

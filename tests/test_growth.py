@@ -57,6 +57,11 @@ def test_overlapping_blocks(spark, block, stride):
     assert got == want
 
 
+def test_chunks_are_read_by_all_cores(spark):
+    chunks = spark.createDataFrame([(0, 0, 0, 0, "x", 0, 1)], "epoch int, place long, shard int, chunk int, path string, first long, bytes long").coalesce(1)
+    assert manifest_source.read_chunks(chunks, "/nowhere").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_lists_are_written_once_for_blocks(spark, written):
     rows = spark.range(30).select("id", *[F.array(F.lit(1), F.lit(2)).alias(c) for c in sequences.SEQUENCES])
     assert sequences.blocks(rows, "id", 6, n_workers=2).count() == 10
