@@ -181,7 +181,9 @@ def synthetic(rows: DataFrame, id_col: str, words: Column, seed: int = 42, least
         return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("__id"), *on)), 1, 8), 16, 10).cast("long")
 
     def part(i: Column) -> Column:
-        pick = F.pmod(drawn(i, F.lit("kind")), F.lit(total))
+        return once(F.pmod(drawn(i, F.lit("kind")), F.lit(total)), lambda pick: of_kind(i, pick))
+
+    def of_kind(i: Column, pick: Column) -> Column:
         out = F.lit("")
         for (_, t), top in reversed(list(zip(TEMPLATES, bounds, strict=True))):
             pieces = re.split(r"(\{[abcuvw]\})", t.replace("{{", "\x01").replace("}}", "\x02"))
@@ -199,7 +201,8 @@ def synthetic(rows: DataFrame, id_col: str, words: Column, seed: int = 42, least
     plain = F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda x: x.rlike("^[A-Za-z]{2,20}$"))
     d = rows.select(F.col(id_col), F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("__id"), plain.alias("__words"))
     d = d.withColumn("__words", F.when(F.size("__words") > 0, F.col("__words")).otherwise(F.array(F.lit("item"))))
-    parts = F.transform(F.sequence(F.lit(1), F.lit(most // 40)), part)
-    end = least + F.pmod(drawn(F.lit("length")), F.lit(most - least + 1))
-    grown = F.aggregate(parts, F.lit(""), lambda acc, p: F.when(F.length(acc) >= end, acc).when(acc == "", p).otherwise(F.concat(acc, F.lit("\n\n"), p)))
+    d = d.withColumn("__end", least + F.pmod(drawn(F.lit("length")), F.lit(most - least + 1)))
+    # a part is made when it's joined: those after the text's end never are
+    more = lambda acc, i: F.when(F.length(acc) >= F.col("__end"), acc).otherwise(F.concat(acc, F.when(acc == "", "").otherwise("\n\n"), part(i)))
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(most // 40)), F.lit(""), more)
     return d.select(id_col, grown.alias("text"))

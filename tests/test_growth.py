@@ -57,6 +57,11 @@ def test_overlapping_blocks(spark, block, stride):
     assert got == want
 
 
+def test_parts_after_the_end_are_not_made(spark):
+    made = readers.synthetic(spark.range(3), "id", F.array(F.lit("word")))
+    assert "transform(sequence(" not in _plan(made)
+
+
 def test_chunks_are_read_by_all_cores(spark):
     chunks = spark.createDataFrame([(0, 0, 0, 0, "x", 0, 1)], "epoch int, place long, shard int, chunk int, path string, first long, bytes long").coalesce(1)
     assert manifest_source.read_chunks(chunks, "/nowhere").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
