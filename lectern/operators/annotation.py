@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.annotate import START, annotate_lists, effects_of
 from lectern.functions.tokens import tokenise
-from lectern.session import materialise, ship
+from lectern.session import materialise, ship, spread
 
 #: Characters of a piece, about.
 PIECE = 1 << 16
@@ -35,7 +35,8 @@ def annotate_texts(rows: DataFrame, key: str, text: str = "text", chars: int = P
     Keys may be null or repeat: rows are numbered first. A null or empty text gives no rows.
     """
     ship(rows.sparkSession)
-    numbered = rows.select(F.col(key).alias("key"), pieces(F.col(text), chars).alias("parts")).withColumn("row", F.monotonically_increasing_id())
+    # a few small files are dealt to all cores: each step below works on the pieces as they are written here
+    numbered = spread(rows.select(*dict.fromkeys((key, text)))).select(F.col(key).alias("key"), pieces(F.col(text), chars).alias("parts")).withColumn("row", F.monotonically_increasing_id())
     cut = materialise(numbered.select("key", "row", F.size("parts").alias("of"), F.posexplode("parts").alias("piece", "part")), "pieces")
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from lectern.functions import structure as S
 from lectern.functions import tokens as K
 from lectern.operators import annotation, sequences
 from lectern.plans.catalogue import _TOKEN, _VOCAB, _strip, _vocab
-from lectern.session import materialise, table
+from lectern.session import materialise, spread, table
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -42,7 +42,7 @@ def _made(spark: SparkSession, d: str) -> DataFrame:
     said = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
     text = F.when(k == 0, p).when(k == 1, said("````markdown\n```json\n", p, "\n```\n", t, ' "', t, '\n" ````\n````\n[', p))
     text = text.when(k == 2, said('say "', F.replace(p, F.lit('"'), F.lit('\\"')), '" \\n', p, "]")).otherwise(said("~~~\n", t, "\n~~~~ x\n{", p, '\n\n  ```\n"a\\', p))
-    return table(spark, d, "events").select("event_id", "event_type", text.alias("text"))
+    return spread(table(spark, d, "events").select("event_id", "event_type", "props")).select("event_id", "event_type", text.alias("text"))
 
 
 def _walk(depth: str, state: str, zero: str) -> str:

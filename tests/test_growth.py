@@ -67,6 +67,11 @@ def test_chunks_are_read_by_all_cores(spark):
     assert manifest_source.read_chunks(chunks, "/nowhere").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_pieces_of_one_file_are_dealt(spark, written):
+    annotation.annotate_texts(spark.range(0, 40, 1, 1).select("id", F.lit('{"a": [1]}\n').alias("text")), "id", chars=4)
+    assert dict(written)["pieces"].rdd.getNumPartitions() > 1
+
+
 def test_lists_are_written_once_for_blocks(spark, written):
     rows = spark.range(30).select("id", *[F.array(F.lit(1), F.lit(2)).alias(c) for c in sequences.SEQUENCES])
     assert sequences.blocks(rows, "id", 6, n_workers=2).count() == 10
