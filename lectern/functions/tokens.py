@@ -46,13 +46,26 @@ def train_vocabulary(texts: DataFrame, text: str, order: str, size: int, least:
     """token, token_id: specials and seeds, then tokens by count, ties by first appearance (`order` of rows, then place). With `candidates` (a column token) only those are counted."""
     base = texts.sparkSession.createDataFrame([(t, i) for i, t in enumerate(dict.fromkeys(SPECIALS + SEEDS))], "token string, token_id int").coalesce(1)
     n = len(dict.fromkeys(SPECIALS + SEEDS))
-    seen = texts.select(F.col(order).alias("ord"), F.posexplode(tokenise(F.col(text))).alias("pos", "token"))
+    split = lambda rows: rows.select(F.col(order).alias("ord"), tokenise(F.col(text)).alias("tokens"))
+    # an inner explode infers a filter on its list, which tokenises all texts once more where they're read
+    seen = split(texts).select("ord", F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
     if candidates is not None:
         seen = seen.join(F.broadcast(candidates) if candidates.count() <= BROADCAST_TOKENS else candidates, "token", "left_semi")
-    counts = seen.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
-    fresh = counts.filter(F.col("n") >= least).join(F.broadcast(base), "token", "left_anti")  # 26 rows
-    top = fresh.orderBy(F.desc("n"), "first").limit(max(0, size - n))
-    ranked = top.withColumn("token_id", (F.row_number().over(W.orderBy(F.desc("n"), "first")) + n - 1).cast("int"))
+    # counts and first rows are numbers that hash aggregation adds up in place (a struct with the place would be sorted token by token)
+    counts = seen.groupBy("token").agg(F.count("*").alias("n"), F.when(F.count_if(F.col("ord").isNull()) == 0, F.min("ord")).alias("ord"))
+    fresh = materialise(counts.filter(F.col("n") >= least).join(F.broadcast(base), "token", "left_anti"), "counts")  # 26 rows
+    by_first = [F.desc("n"), F.asc_nulls_first("ord")]
+    # the last count and row that make it: what's left is as many tokens, and those that first appear in that row as often
+    last = fresh.orderBy(*by_first).limit(max(0, size - n)).orderBy("n", F.desc_nulls_last("ord")).limit(1).select(F.col("n").alias("_n"), F.col("ord").alias("_ord"))
+    near = fresh.join(F.broadcast(last), (F.col("n") > F.col("_n")) | (F.col("n") == F.col("_n")) & (F.col("ord").isNull() | (F.col("ord") <= F.col("_ord")))).drop("_n", "_ord")
+    near = materialise(near, "frequent")
+    rows = near.select("ord").distinct()
+    first = split(texts.join(rows, texts[order].eqNullSafe(rows["ord"]), "left_semi")).select("ord", F.posexplode_outer("tokens").alias("pos", "token"))
+    met = near.select("token", "n", F.col("ord").alias("of")).join(first.withColumnRenamed("token", "_t"), (F.col("token") == F.col("_t")) & F.col("of").eqNullSafe(F.col("ord")))
+    placed = met.groupBy("token", "n", "of").agg(F.min("pos").alias("pos"))
+    best = [F.desc("n"), F.asc_nulls_first("of"), F.asc("pos")]
+    top = placed.orderBy(*best).limit(max(0, size - n))
+    ranked = top.withColumn("token_id", (F.row_number().over(W.orderBy(*best)) + n - 1).cast("int"))
     return base.unionByName(ranked.select("token", "token_id"))
 
 

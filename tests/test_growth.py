@@ -57,6 +57,32 @@ def test_overlapping_blocks(spark, block, stride):
     assert got == want
 
 
+def test_vocabulary_is_counted_by_hash(spark, written):
+    rng = random.Random(1)
+    data = [(None if i % 40 == 3 else i, " ".join(rng.choice(("a", "b", "c", "d{}", "e;f", "gh")) + str(rng.randrange(9)) * rng.randrange(2) for _ in range(12))) for i in range(150)]
+    df = spark.createDataFrame(data, "o long, t string")
+    count, first = {}, {}
+    for o, t in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for p, w in enumerate(x.t for x in spark.createDataFrame([(t,)], "t string").select(F.explode(K.tokenise(F.col("t"))).alias("t")).collect()) if o is None or o < 12 else ():
+            first.setdefault(w, (o is not None, o or 0, p))
+    for r in df.select(F.explode(K.tokenise(F.col("t"))).alias("t")).collect():
+        count[r.t] = count.get(r.t, 0) + 1
+    seeds = list(dict.fromkeys(K.SPECIALS + K.SEEDS))
+    late = (True, 99, 0)
+    ranked = sorted((w for w in count if w not in seeds), key=lambda w: (-count[w], first.get(w, late)))
+    for size in (27, 30, 33):
+        got = {r.token: r.token_id for r in K.train_vocabulary(df, "t", "o", size).collect()}
+        assert got == {w: i for i, w in enumerate(seeds + ranked[: size - len(seeds)])}
+    plan = _plan(next(d for what, d in written if what == "counts"))
+    assert "SortAggregate" not in plan and "size(regexp_extract_all" not in plan
+
+
+def test_vocabulary_ties_go_by_place(spark):
+    df = spark.createDataFrame([(7, "z y x w"), (3, "b a c b2"), (3, "q a p"), (9, "z b")], "o long, t string")
+    got = [r.token for r in K.train_vocabulary(df, "t", "o", 32).orderBy("token_id").collect()][26:]
+    assert got[:4] == [" ", "b", "a", "z"] and set(got[4:]) == {"q", "c"}
+
+
 def test_parts_after_the_end_are_not_made(spark):
     made = readers.synthetic(spark.range(3), "id", F.array(F.lit("word")))
     assert "transform(sequence(" not in _plan(made)
