@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
@@ -37,8 +38,8 @@ def words(c: Column) -> Column:
 
 
 def script_count(c: Column, script: str = CJK) -> Column:
-    """Characters of a class, CJK by default."""
-    return F.regexp_count(c, F.lit(f"[{script}]"))
+    """Characters of a class, CJK by default, told by how much shorter a text is without them: `regexp_count` lists each of them as a string first."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{script}]+", ""))
 
 
 def script_ratio(c: Column, script: str = CJK) -> Column:
@@ -47,7 +48,9 @@ def script_ratio(c: Column, script: str = CJK) -> Column:
 
 def symbol_density(c: Column) -> Column:
     """Share of characters that are no letter, digit or white space; 1 for an empty text."""
-    symbols = F.regexp_count(c, F.lit(f"[^\\p{{L}}\\p{{N}}{SPACE}]"))
+    # the commonest classes go first, so that the many tests of white space meet only what's left
+    rest = F.regexp_replace(c, r"[a-zA-Z0-9 \p{L}\p{N}]+", "")
+    symbols = F.length(F.regexp_replace(rest, f"[{SPACE}]+", ""))
     return F.when(F.length(c) == 0, 1.0).otherwise(symbols / F.length(c))
 
 
@@ -59,11 +62,27 @@ def command_text(c: Column) -> Column:
 
 def repeated_ngrams(c: Column, n: int = 4, max_chars: int = 4000) -> Column:
     """Share of character n-grams that repeat earlier ones, in the first `max_chars` characters without white space."""
-    s = F.regexp_replace(F.substring(c, 1, max_chars), f"[{SPACE}]+", "")
 
-    # the runs of n characters that start at each of the first n places are all n-grams; the pattern engine cuts them in one pass each
-    grams = F.concat(*[F.regexp_extract_all(F.substring(s, k + 1, max_chars), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for k in range(n)])
-    return F.when(F.length(s) < n * 4, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
+    @F.arrow_udf(Y.DoubleType())
+    def share(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _repeated(t, n) for t in texts.to_pylist()], pa.float64())
+
+    return share(F.substring(c, 1, max_chars))
+
+
+def _repeated(text: str, n: int) -> float:
+    """Share of n-grams of a text without white space that repeat earlier ones."""
+    s = "".join(text.split())  # white space of str.split is SPACE
+    if len(s) < n * 4:
+        return 0.0
+    signs = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if n > 4 or int(signs.max()) >> 16:
+        return 1 - len({s[i : i + n] for i in range(len(s) - n + 1)}) / (len(s) - n + 1)
+    places, grams = len(s) - n + 1, np.zeros(len(s) - n + 1, np.uint64)
+    for k in range(n):  # 16 bits a character
+        grams = grams << np.uint64(16) | signs[k : k + places]
+    grams.sort()
+    return 1 - (1 + int(np.count_nonzero(grams[1:] != grams[:-1]))) / places
 
 
 def normalise(c: Column) -> Column:

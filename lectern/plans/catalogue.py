@@ -266,7 +266,7 @@ def token_counts(spark, d):
 
 @query(f"WITH {_FLAT} SELECT token, count(*) AS n FROM e GROUP BY token")
 def token_frequency(spark, d):
-    return _tokens(spark, d).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return _tokens(spark, d).select(F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_VOCAB} SELECT token, token_id FROM voc")
@@ -417,7 +417,7 @@ _HAN = ("etaoinshrdlu", "一丁七万丈三上下不与丐丑")
 )
 def han_scalars(spark, d):
     """The counts of CJK texts, made of documents whose commonest letters are other signs."""
-    z = table(spark, d, "documents").select("doc_id", F.translate("text", *_HAN).alias("t"))
+    z = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.translate("text", *_HAN).alias("t"))
     t = F.col("t")
     squeezed = F.regexp_replace(t, f"([{T.CJK}])[{T.SPACE}]+", "$1")
     return z.select("doc_id", T.script_count(t).alias("han"), F.round(T.script_ratio(t), 9).alias("ratio"), F.round(T.symbol_density(t), 9).alias("density"), (T.keep_reason(t, most_symbols=1.0, most_repeats=1.0) == "too_short").alias("short"), F.md5(squeezed.cast("binary")).alias("squeezed"))

@@ -83,6 +83,33 @@ def test_vocabulary_ties_go_by_place(spark):
     assert got[:4] == [" ", "b", "a", "z"] and set(got[4:]) == {"q", "c"}
 
 
+def test_counts_list_no_characters(spark):
+    odd = ["", "a!b", "aé中😀 x", " 　\t", "ab1²☃\x85", None]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    made = df.select("t", T.script_count(F.col("t"), "\\p{L}").alias("n"), T.script_count(F.col("t")).alias("han"), T.symbol_density(F.col("t")).alias("d"))
+    assert "regexp_extract_all" not in _plan(made)
+    assert [(r.n, r.han, r.d) for r in made.collect()] == [(0, 0, 1.0), (2, 0, 1 / 3), (4, 1, 1 / 6), (0, 0, 0.0), (2, 0, 1 / 6), (None, None, None)]
+
+
+def test_normalised_and_keyed(spark):
+    for t in ("", " ", "a  b", "\ta　 b \n", "a b", " \x85x  ", "a \t"):
+        r = spark.createDataFrame([(t,)], "t string").select(T.normalise(F.col("t")).alias("n"), T.dedup_key(F.col("t")).alias("k"), F.sha1(F.lit("".join(t.split()))).alias("w")).first()
+        assert r.n == " ".join(t.split()) and r.k == r.w
+
+
+def test_repeats_in_one_pass(spark):
+    ship(spark)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(of) for _ in range(n)) for of in ("ab", "abc \n　", "a😀b中", "é☃\x85z") for n in (0, 15, 16, 17, 400, 5000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    made = df.select("i", T.repeated_ngrams(F.col("t")).alias("x"))
+    assert "regexp" not in _plan(made)
+    for r in made.collect():
+        s = "".join(texts[r.i][:4000].split())
+        grams = [s[k : k + 4] for k in range(len(s) - 3)]
+        assert r.x == pytest.approx(0.0 if len(s) < 16 else 1 - len(set(grams)) / len(grams))
+
+
 def test_parts_after_the_end_are_not_made(spark):
     made = readers.synthetic(spark.range(3), "id", F.array(F.lit("word")))
     assert "transform(sequence(" not in _plan(made)
